@@ -1,0 +1,503 @@
+"""Operators against brute force, exact round trips and held-out labels."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pandas as pd
+import pytest
+import xxhash
+
+import corpus_pipeline
+from pricetide.llm import ann, bpe, exact_dedup, licenses, line_dedup, lm_score, mixing, queries, secrets, simhash, toxicity
+
+SPACE = re.compile(r"[\x20\x09-\x0D]+")
+WORDS = [f"w{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+
+
+def prose(n, seed):
+    return " ".join(random.Random(seed).choices(WORDS, k=n))
+
+
+def odd_rows():
+    """Nulls in any column, empty and long texts, ties and repeated rows."""
+    base = [(1, prose(80, 1), "en", "a", 1), (2, prose(80, 1), "en", "a", 1), (2, prose(80, 1), "en", "a", 1), (3, "", None, None, None), (4, None, "en", "b", 0), (None, prose(60, 5), "en", "b", 0)]
+    base += [(5, prose(40_000, 9), "fr", "b", 0), (6, prose(80, 1).replace(" ", "\t\n", 3), "en", "a", 1), (None, None, None, None, None), (7, " \n\t ", "en", "a", 0)]
+    return base
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """With columns whose names clash with those that operators make."""
+    rows = spark.createDataFrame(odd_rows(), SCHEMA)
+    for c in ("id", "key", "block", "hash", "fp", "size", "label", "_k"):
+        rows = rows.selectExpr("*", f"cast(7 as int) as {c}")
+    return rows.repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def docs_of(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+
+
+# --- 1 nearest neighbours
+
+
+def brute_nearest(rows, k=5):
+    names = np.array([i for i, _ in rows])
+    v = np.array([x for _, x in rows], np.float64)
+    u = v / np.sqrt((v * v).sum(1))[:, None]
+    out = {}
+    for i, q in zip(names, u):
+        if i % 50 == 0:
+            s = u @ q
+            order = sorted((-c, n) for c, n in zip(s, names) if n != i)[:k]
+            out[int(i)] = [int(n) for _, n in order]
+    return out
+
+
+def test_ann_recall(spark, sf_dir):
+    got = queries.op1_ann(spark, sf_dir).toPandas()
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    want = brute_nearest(rows)
+    assert set(got["query_id"]) == set(want)
+    by = {q: list(g.sort_values("rank")["vec_id"]) for q, g in got.groupby("query_id")}
+    assert np.mean([len(set(by[q]) & set(w)) / len(w) for q, w in want.items()]) >= 0.9
+    vec = dict(rows)
+    for r in got.head(50).itertuples():
+        a, b = np.array(vec[r.query_id], float), np.array(vec[r.vec_id], float)
+        assert abs(r.score - a @ b / np.sqrt(a @ a) / np.sqrt(b @ b)) < 1e-12
+
+
+def test_ann_odd_vectors(spark):
+    nan = float("nan")
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None), (6, [nan, 1.0]), (7, [None, 1.0]), (8, [float("inf"), 0.0]), (50, [1.0, 0.1]), (100, None), (9, [1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.nearest(ann.index(vectors), vectors.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(0, 1, 1), (0, 2, 2), (0, 3, 50), (0, 4, 3), (50, 1, 0), (50, 2, 1), (50, 3, 2), (50, 4, 3)]
+    empty = vectors.limit(0)
+    assert ann.nearest(ann.index(empty), empty).count() == 0
+
+
+def test_ann_many_shards(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 16)).astype(np.float32)
+    x[300:800] = x[300]  # a third of all rows bear one vector
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.nearest(ann.index(vectors, shard=300), vectors.where("vec_id % 50 = 0"), block=10).toPandas()
+    want = brute_nearest(rows)
+    by = {q: list(g.sort_values("rank")["vec_id"]) for q, g in got.groupby("query_id")}
+    assert np.mean([len(set(by[q]) & set(w)) / 5 for q, w in want.items()]) >= 0.95
+    assert by[350] == want[350]
+
+
+# --- 2 secrets
+
+
+def brute_secrets(text):
+    found = []
+    for m in re.finditer(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[1]) >= 8:
+            found.append((m.start(), 0, m.end()))
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(found)
+
+
+def test_secret_patterns():
+    rng = random.Random(4)
+    pool = ["password", "PassWD", "secret", "tokeN", "api_key", "apikey", '"', "'", " ", "  ", ":", "=", "abc", "12345678", "AKIA", "AKIAIOSFODNN7", "ZZZ99", "0123456789abcdef", "deadbeef", "é", "K", "ſecret", "\n", "\t", "-", "Q"]
+    for _ in range(4000):
+        text = "".join(rng.choices(pool, k=rng.randint(0, 14)))
+        assert secrets.scan(text)[0] == brute_secrets(text), text
+
+
+def test_secret_entropy():
+    rng = random.Random(5)
+    key = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=40))
+    text = f"see {key} and 123e4567-e89b-12d3-a456-426614174000 or /usr/local/lib/python3/site/packages/x and abcdefghijklmnopqrstuvwxyz012345"
+    base, added = secrets.scan(text)
+    assert not base and len(added) == 1 and 4 <= added[0][0] < added[0][2] <= 44
+    import math
+    from collections import Counter
+
+    s = "".join(rng.choices("abcd01234", k=200))
+    want = []
+    for i in range(len(s) - 23):
+        c = Counter(s[i : i + 24])
+        if -sum(v / 24 * math.log2(v / 24) for v in c.values()) >= 2.8 - 1e-12:
+            want.append(i)
+    got = {i for a, b in secrets.entropy_spans(s, 24, 2.8) for i in range(a, b)}
+    assert got == {j for i in want for j in range(i, i + 24)}
+
+
+def test_secrets_odd(odd, none):
+    got = secrets.secrets(odd)
+    assert got.count() == odd.count() and got.where("spans != ''").count() == 0
+    assert secrets.secrets(none).count() == 0
+
+
+# --- 3 language models
+
+
+def test_lm_score(spark):
+    texts = [prose(30, s) for s in range(40)] + ["Good news today"] * 3 + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    target = docs.where("doc_id >= 40").select("doc_id")
+    got = lm_score.lm_score(docs, target, word_bits=10, pair_bits=12).toPandas().set_index("doc_id")
+    classes, counts = lm_score.Classes(10, 12), [{}, {}, {}]
+    for i, t in enumerate(texts):
+        w = classes.of(t)
+        b, p = classes.pair(w)
+        for c, x in zip(counts, (b, w, p)):
+            for v in x:
+                c.setdefault(int(v), [0, 0])
+                c[int(v)][0] += 1
+                c[int(v)][1] += i >= 40
+    total = [sum(c[m] for c in counts[1].values()) for m in (0, 1)]
+    for i in (0, 7, 41):
+        w = classes.of(texts[i])
+        b, p = classes.pair(w)
+        loss = [np.mean([-np.log((counts[2].get(int(z), [0, 0])[m] + 4 * (counts[1].get(int(x), [0, 0])[m] + 1) / (total[m] + 1024)) / (counts[0].get(int(y), [0, 0])[m] + 4)) for x, y, z in zip(w, b, p)]) for m in (0, 1)]
+        assert abs(got.loc[i, "loss_background"] - loss[0]) < 1e-9 and abs(got.loc[i, "score"] - (loss[1] - loss[0])) < 1e-9
+    assert got.loc[41, "score"] < got.loc[0, "score"] and got.loc[44, "score"] == 0 and got.loc[43, "n_tokens"] == 0
+
+
+def test_lm_odd(spark, odd, none):
+    target = odd.select("doc_id")
+    assert lm_score.lm_score(odd, target, word_bits=8, pair_bits=8).count() == odd.count()
+    assert lm_score.lm_score(none, target.limit(0), word_bits=8, pair_bits=8).count() == 0
+
+
+# --- 4 toxicity
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        old, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
+    return row[-1]
+
+
+def test_automaton():
+    terms = ["scum", "idiot", "moron", "worthless", "disgusting"]
+    automaton, rng = toxicity.Automaton([*terms, "lowei*"]), random.Random(2)
+    for _ in range(3000):
+        word = list(rng.choice(terms))
+        for _ in range(rng.randint(0, 3)):
+            at, c = rng.randrange(len(word) + 1), rng.choice("abdeimost")
+            word[at : at + rng.randint(0, 1)] = [c] * rng.randint(0, 1)
+        word = "".join(word)
+        want = min(((d, t) for t in terms if (d := distance(word, t)) <= toxicity.Automaton.edits(t)), default=None)
+        assert automaton.match(word) == want, word
+    assert automaton.match("loweischaft") == (0, "lowei*") and automaton.match("lowe") is None
+
+
+def test_quotation():
+    features = toxicity.Features(["idiot"])
+    abuse, quoted, typo = features.of("you are an idiot now"), features.of('he said "idiot" to them'), features.of("you idoit idiott")
+    assert abuse[0] > 0 and abuse[1] == 0 and quoted[0] == 0 and quoted[1] > 0 and typo[2] > 0
+    assert features.of("") == [0.0] * toxicity.FEATURES
+
+
+def test_toxicity_held_out(spark, sf_dir):
+    directory = sf_dir.replace("sf0.001", "sf0.1")
+    got = queries.op4_toxicity(spark, directory).where("held_out").join(spark.read.parquet(f"{directory}/labels.parquet"), "doc_id").toPandas()
+    assert len(got) > 100 and (got["predicted"] == got["toxic"]).mean() > 0.97
+    a, b = got[got.toxic == 1]["score"], got[got.toxic == 0]["score"]
+    assert np.mean([(x > b).mean() for x in a]) > 0.93
+
+
+def test_toxicity_ignores_held_out_labels(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    other = labels.withColumn("toxic", __import__("pyspark").sql.functions.expr("if(crc32(cast(doc_id as string)) % 5 = 0, 1 - toxic, toxic)"))
+    assert toxicity.fit(docs, labels) == toxicity.fit(docs, other)
+
+
+def test_toxicity_odd(spark, odd, none):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(odd, labels)
+    got = toxicity.toxicity(odd, model).toPandas()
+    assert len(got) == odd.count() and got["score"].between(0, 1).all()
+    assert toxicity.toxicity(none, toxicity.fit(none, labels)).count() == 0
+    assert toxicity.reject(odd, toxicity.Model()).columns == odd.columns
+
+
+# --- 5 mixing
+
+
+def test_mix(spark):
+    rng = random.Random(1)
+    rows = [(i, prose(rng.randint(0, 60), i), "s%d" % (i % 7 if i % 3 else 0)) for i in range(3000)] + [(5000, "a b", None), (5001, None, "empty")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(docs).toPandas()
+    sizes = got.groupby("source", dropna=False)["size"].sum()
+    names = sorted(n for n in sizes.index if isinstance(n, str)) + [None]
+    size = {n: int(sizes[n] if n is not None else got[got.source.isna()]["size"].sum()) for n in names}
+    weight = {n: (3, 1, 2)[k % 3] for k, n in enumerate(names)}
+    target, left, open_ = {}, 1.5 * sum(size.values()), set(names)
+    while True:
+        share = {n: left * weight[n] / sum(weight[m] for m in open_) for n in open_}
+        over = {n for n in open_ if share[n] >= 2 * size[n]}
+        if not over:
+            target |= share
+            break
+        for n in over:
+            target[n] = 2.0 * size[n]
+            left -= target[n]
+        open_ -= over
+    for r in got.itertuples():
+        assert abs(r.target - target[r.source if isinstance(r.source, str) else None]) < 1e-6 and r.copies <= 2
+    taken = (got["size"] * got["copies"]).groupby(got["source"].fillna("")).sum()
+    for n in names:
+        if size[n] > 1000:
+            assert abs(taken[n or ""] - target[n]) < 0.15 * target[n]
+    again = mixing.mix(docs.repartition(2)).toPandas()
+    assert got.sort_values("id")["copies"].tolist() == again.sort_values("id")["copies"].tolist()
+    assert mixing.mixed(docs).count() == int(got["copies"].sum())
+
+
+def test_mix_odd(odd, none):
+    got = mixing.mix(odd).toPandas()
+    assert len(got) == odd.count() and got["copies"].between(0, 2).all()
+    assert mixing.mixed(odd).columns == odd.columns
+    assert mixing.mix(none).count() == 0 and mixing.mixed(none).count() == 0
+
+
+# --- 6 line dedup
+
+
+def test_line_dedup(spark):
+    passage, notice = prose(60, 77), "Order 1182 was shipped to the customer on Monday by our partner in the north of town"
+    texts = []
+    for i in range(12):
+        own = [prose(25, 1000 * i + k) for k in range(4)]
+        if i >= 6:
+            own.insert(i % 4, passage)
+        if i % 2:
+            own.insert(2, notice.replace("1182", str(1182 + i)))
+        texts.append("\n".join(own))
+    copies = ["\n".join(prose(25, 99_000 + k) for k in range(5))] * 9
+    copies[4] = copies[4].replace(" ", " really ", 1)
+    docs = docs_of(spark, texts + copies)
+    got = line_dedup.line_dedup(docs).toPandas().set_index("doc_id")
+    held = [i for i in range(12) if passage in got.loc[i, "text"]]
+    assert held == [6]
+    assert [i for i in range(12) if "was shipped to" in got.loc[i, "text"]] == [1]
+    for i in range(12):
+        want = [x for x in texts[i].split("\n") if not (x == passage and i != 6 or "shipped" in x and i != 1)]
+        assert got.loc[i, "text"].split("\n") == want
+    for i in range(12, 21):
+        assert got.loc[i, "text"] == copies[i - 12] and got.loc[i, "n_dropped"] == 0
+
+
+def test_line_dedup_variable_half(spark):
+    heads = [prose(7, 500 + i) for i in range(6)]
+    tail = prose(7, 4242)
+    texts = [f"{prose(20, 10 * i)}\nNotice of {h} {tail}\n{prose(20, 10 * i + 5)}" for i, h in enumerate(heads)]
+    got = line_dedup.line_dedup(docs_of(spark, texts)).toPandas().set_index("doc_id")
+    assert got["n_dropped"].tolist() == [0, 1, 1, 1, 1, 1]
+
+
+def test_line_dedup_odd(odd, none):
+    got = line_dedup.line_dedup(odd)
+    assert got.columns == [*odd.columns, "n_lines", "n_dropped"] and got.count() == odd.count()
+    assert sorted(map(str, got.select(odd.columns).collect())) == sorted(map(str, odd.collect()))
+    assert line_dedup.line_dedup(none).count() == 0
+
+
+# --- 7 BPE
+
+
+def test_bpe_as_the_library(spark):
+    from tokenizers import Tokenizer
+
+    library, rng = Tokenizer.from_file(queries.VOCABULARY), random.Random(1)
+    pool = ["a", "A", "é", "É", "Σ", "ΑΣ", "İ", "1", "½", "²", "Ⅷ", "一", "<|endoftext|>", "<|startoftext|>", "<|", "'s", "'LL", "'", "_", "-", "\x1c", "\x85", "\xa0", " ", "\n", "\t", "ß", "ﬁ", "😀", "‍", "\x00", "</w>", "w", "aaaaaaa", "Hello", "worldwide", "", "ا", "ǅ", "ạ̀", "ſ"]
+    texts = ["".join(rng.choices(pool, k=rng.randint(0, 12))) for _ in range(3000)] + [prose(300, 3), "supercalifragilistic" * 40, "zq" * 500, ""]
+    rows = bpe.bpe(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), queries.VOCABULARY, digest=False).toPandas().set_index("doc_id")
+    for i, e in enumerate(library.encode_batch(texts, add_special_tokens=False)):
+        assert rows.loc[i, "ids"] == " ".join(map(str, e.ids)) and rows.loc[i, "n_tokens"] == len(e.ids), texts[i]
+        assert rows.loc[i, "decoded"] == library.decode(e.ids, skip_special_tokens=False)
+
+
+def test_bpe_query(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.VOCABULARY)
+    got = queries.op7_bpe(spark, sf_dir).toPandas().set_index("doc_id")
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
+        e = library.encode(r["text"] or "", add_special_tokens=False)
+        assert got.loc[r["doc_id"], "ids_sha256"] == hashlib.sha256(" ".join(map(str, e.ids)).encode()).hexdigest()
+        assert got.loc[r["doc_id"], "decoded_sha256"] == hashlib.sha256(library.decode(e.ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_bpe_odd(odd, none):
+    assert bpe.bpe(odd, queries.VOCABULARY).count() == odd.count() and bpe.bpe(none, queries.VOCABULARY).count() == 0
+
+
+# --- 8 exact copies
+
+
+def test_exact_dedup(odd, none):
+    got = exact_dedup.exact_dedup(odd).toPandas()
+    texts = {}
+    for r in odd_rows():
+        texts.setdefault(SPACE.sub(" ", r[1] or ""), []).append(r[0])
+    assert len(got) == odd.count()
+    for ids in texts.values():
+        least = min((i for i in ids if i is not None), default=None)
+        for i in (i for i in ids if i is not None):
+            r = got[(got.doc_id == i)].iloc[0]
+            assert r["keep_id"] == least and r["group_size"] == len(ids) and r["kept"] == (i == least)
+    assert exact_dedup.exact_dedup(none).count() == 0
+
+
+def test_exact_dedup_levels(spark):
+    rows = [(i, "same" if i % 3 == 0 else f"t{i % 50}") for i in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    for bits, rounds in ((1, 5), (3, 2), (4, 1)):
+        got = exact_dedup.exact_dedup(docs, bits=bits, rounds=rounds).groupBy("text_sha256").agg({"doc_id": "min", "keep_id": "max", "group_size": "max", "*": "count"}).collect()
+        assert all(r["min(doc_id)"] == r["max(keep_id)"] and r["max(group_size)"] == r["count(1)"] for r in got) and len(got) == 51
+
+
+# --- 9 licenses
+
+
+def test_alignment():
+    a, b = "x the mit license is here now y".split(), "the mit license was here now".split()
+    assert [b[j] for _, j in licenses.align(a, b)] == ["the", "mit", "license", "here", "now"]
+    rng = random.Random(6)
+    for _ in range(500):
+        p = [rng.randrange(50) for _ in range(rng.randrange(12))]
+        p = list(dict.fromkeys(p))
+        best = max((len(s) for m in range(1 << len(p)) if (s := [p[i] for i in range(len(p)) if m >> i & 1]) == sorted(s)), default=0)
+        got = [p[i] for i in licenses.rising(p)]
+        assert got == sorted(got) and len(got) == best
+
+
+def test_licenses(spark, odd, none):
+    mit = licenses.TEMPLATES["mit-text"]
+    texts = [
+        prose(300, 1) + " Released under the MIT License. " + prose(30, 2),
+        "Licensed under the Apache License, Version 2.0.\nLicensed under CC BY-NC 4.0.",
+        prose(50, 3) + "\n" + mit.replace("merge, ", "").replace("person", "individual") + "\n" + prose(50, 4),
+        "the license of the driver was released",
+        licenses.TEMPLATES["apache-2.0-header"] + " " + prose(5, 1) + " All rights reserved.",
+    ]
+    got = licenses.licenses(docs_of(spark, texts)).orderBy("doc_id").toPandas()
+    assert got["licenses"].tolist() == ["mit", "apache-2.0,cc-by-nc-4.0", "mit-text", "", "all-rights-reserved,apache-2.0-header"]
+    start, end = map(int, got.loc[0, "spans"].split(":")[:2])
+    assert texts[0][start:end] == "Released under the MIT License"
+    assert licenses.licenses(odd).count() == odd.count() and licenses.licenses(none).count() == 0
+
+
+# --- 10 near copies
+
+
+def brute_fingerprint(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(prints, radius=4):
+    """prints: id -> fingerprint."""
+    fps = sorted(set(prints.values()))
+    x = np.array(fps, np.uint64)
+    top = {f: f for f in fps}
+
+    def find(f):
+        while top[f] != f:
+            top[f] = top[top[f]]
+            f = top[f]
+        return f
+
+    for i, f in enumerate(fps):
+        for j in np.flatnonzero(np.bitwise_count(x ^ x[i]) <= radius):
+            top[find(fps[j])] = find(f)
+    least = {}
+    for i, f in prints.items():
+        least[find(f)] = min(i, least.get(find(f), i))
+    return {i: least[find(f)] for i, f in prints.items()}
+
+
+def test_simhash_query(spark, sf_dir):
+    directory = sf_dir.replace("sf0.001", "sf0.01")
+    got = queries.op10_simhash(spark, directory).toPandas().set_index("doc_id")
+    prints = {r["doc_id"]: brute_fingerprint(r["text"]) for r in spark.read.parquet(f"{directory}/documents.parquet").select("doc_id", "text").collect()}
+    assert {i: int(v, 16) for i, v in got["fingerprint"].items()} == prints
+    assert got["component_id"].to_dict() == brute_components(prints)
+
+
+def test_masks_cover():
+    masks, rng = simhash.masks(4), random.Random(3)
+    assert len(masks) == 31
+    for _ in range(20_000):
+        bits = sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4)))
+        assert any(not m & bits for m in masks)
+
+
+def test_simhash_crowded_buckets(spark):
+    """Balls of many fingerprints, chains and lone ones, with blocks far smaller than buckets."""
+    rng, fps = random.Random(8), set()
+    for _ in range(3):
+        centre = rng.getrandbits(64)
+        fps |= {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for _ in range(150)}
+    f = rng.getrandbits(64)
+    for _ in range(40):
+        f ^= sum(1 << b for b in rng.sample(range(64), 4))
+        fps.add(f)
+    fps |= {rng.getrandbits(64) for _ in range(50)}
+    signed = sorted(simhash._signed(f) for f in fps)
+    prints = spark.createDataFrame([(f, rng.randint(1, 3)) for f in signed], "fp long, n long").repartition(3)
+    got = {r["fp"]: r["label"] for r in simhash.classes(prints, block=16).collect()}
+    want = brute_components({f: f % (1 << 64) for f in signed})
+    groups, found = {}, {}
+    for f in signed:
+        groups.setdefault(want[f], set()).add(f)
+        found.setdefault(got.get(f, f), set()).add(f)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, found.values()))
+
+
+def test_simhash_odd(odd, none):
+    got = simhash.near_dedup(odd).toPandas()
+    assert len(got) == odd.count() and set(got[got.doc_id.isin([1, 2, 6])]["component_id"]) == {1} and set(got[got.doc_id.isin([3, 4, 7])]["component_id"]) == {3}
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "5", "None"]
+    assert simhash.near_dedup(none).count() == 0 and simhash.keep_one(none).count() == 0
+
+
+# --- the pipeline
+
+
+def test_pipeline(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, sf_dir)
+        assert after.columns == docs.columns, name
+        docs = after
+    assert corpus_pipeline.run(spark, sf_dir).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert pd.Series([n for n, _ in corpus_pipeline.STAGES]).is_unique
+
+
+def test_pipeline_odd(spark, odd, none, tmp_path):
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (odd, none):
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, str(tmp_path))
+            docs.count()
