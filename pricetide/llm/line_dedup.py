@@ -55,7 +55,8 @@ def line_dedup(
     Counts are added up in map tasks by template and sketch before they move, so
     a line in a third of all documents costs as much as any other. The templates
     that recur are a table of their own, which Spark broadcasts only if its size
-    is under the session's limit; else it joins, splitting hot keys.
+    is under the session's limit; else it joins, splitting hot keys. The lines to
+    drop meet the texts in a merge join at every size.
 
     Null texts count as empty; a text without a dropped line stays as it is,
     null included, and a document that loses all lines stays with an empty
@@ -81,7 +82,7 @@ def line_dedup(
 
     split = F.split(whole(F.col(text_col)), "\n")
     kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains(gone, i)), "\n")
-    found = docs.withColumn(k, F.xxhash64(id_col, text_col)).join(dropped.withColumnRenamed("k", k), k, "left")
+    found = docs.withColumn(k, F.xxhash64(id_col, text_col)).join(dropped.withColumnRenamed("k", k).hint("merge"), k, "left")
     lost = F.col(gone).isNotNull()
     return found.select(
         *(F.when(lost, kept).otherwise(F.col(text_col)).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns),
