@@ -94,7 +94,7 @@ def import_price(s: Column) -> Column:
     token = F.regexp_replace(s, r"[^0-9.,-]", "")
     whole = F.regexp_replace(F.regexp_replace(token, "[.,][0-9]*$", ""), "[.,]", "")
     value = F.concat(whole, F.lit("."), F.regexp_extract(token, "[.,]([0-9]*)$", 1), F.lit("0")).try_cast("double")
-    return F.when(value >= 0, half_up(value * 100).cast("long"))
+    return F.when((value >= 0) & token.rlike("[0-9]"), half_up(value * 100).cast("long"))
 
 
 def detect_currency(s: Column) -> Column:
