@@ -108,7 +108,8 @@ def lm_score(
     words and word pairs, fixed in number. The background model counts every
     document, the target model those whose id is in `target` (id_col). A pair's
     frequency is smoothed by the word's own. The counts, whose size the
-    vocabulary fixes, are broadcast; each token then has two losses.
+    vocabulary fixes, are broadcast; each token then has two losses. Texts meet
+    the target's ids in a merge join at every size.
 
     Result: id_col, n_tokens, loss_target, loss_background, score (the mean
     difference; lower is closer to the target), one row for each input row.
@@ -118,7 +119,7 @@ def lm_score(
     """
     chosen = target.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull()).distinct().withColumn("target", F.lit(True))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counted = fit(rows.join(chosen, "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target")), word_bits, pair_bits)
+    counted = fit(rows.join(chosen.hint("merge"), "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target")), word_bits, pair_bits)
     shared = docs.sparkSession.sparkContext.broadcast(counted)
 
     def make() -> Callable:
