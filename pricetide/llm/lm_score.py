@@ -1,29 +1,35 @@
-"""Cross-entropy difference of two matched n-gram models."""
+"""Cross-entropy difference of two matched n-gram models over one vocabulary, which grows with the corpus."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from pricetide.llm.common import SLICE, per_row
+from pricetide.llm.common import SLICE, cut
 
-#: log2 of the word classes and of the pair classes of the shared vocabulary; weight of the words' own frequency in a pair's.
-WORD_BITS, PAIR_BITS, PRIOR = 18, 20, 4.0
-#: Words whose class a worker remembers.
-REMEMBERED = 500_000
+#: Word classes of the models' contexts (a power of two); weight of a class's own frequency in a pair's; what each word's count starts from.
+CLASSES, PRIOR, START = 512, 4.0, 0.5
+#: Bytes of text of a block, about: its words' counts are in memory at once.
+BLOCK_BYTES = 64 << 20
+#: Target ids that are broadcast, at most (16 MB); more meet the texts in a merge join.
+BROADCAST_IDS = 2_000_000
+#: Words that a worker remembers, words that a task adds up before it passes counts on, rows of a batch.
+REMEMBERED, FLUSH, ROWS = 500_000, 2_000_000, 65_536
 
 
-class Classes:
-    """Words (ASCII lower case, split at ASCII white space) to classes by XXH64; class 0 begins a text."""
+class Words:
+    """Words (ASCII lower case, split at ASCII white space) as XXH64 of their bytes, in signed form."""
 
-    def __init__(self, word_bits: int, pair_bits: int):
+    def __init__(self):
         import xxhash
 
-        self.digest, self.words, self.pairs = xxhash.xxh64_intdigest, (1 << word_bits) - 1, (1 << pair_bits) - 1
+        self.digest = xxhash.xxh64_intdigest
         self.low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
         self.known: dict[bytes, int] = {}
 
@@ -31,109 +37,161 @@ class Classes:
         words = (text or "").encode("utf-8", "surrogatepass").translate(self.low).split()
         if len(self.known) > REMEMBERED:
             self.known = {}
-        known, digest, top = self.known, self.digest, self.words
+        known, digest = self.known, self.digest
         for w in set(words):
             if w not in known:
-                known[w] = 1 + digest(w) % top
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                known[w] = digest(w)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words)).view(np.int64)
 
-    def pair(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The class before each word, and the class of the pair."""
-        before = np.concatenate(([0], words))[: len(words)]
-        mixed = (before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (words.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        return before, (mixed >> np.uint64(20)).astype(np.int64) & self.pairs
 
+def pairs(words: np.ndarray, classes: int) -> np.ndarray:
+    """The pair (class before, own class) of each word, as before * classes + own; class `classes` begins a text."""
+    own = words & (classes - 1)
+    return np.concatenate(([classes], own))[: len(own)] * classes + own
 
-def counts(docs: DataFrame, word_bits: int, pair_bits: int) -> DataFrame:
-    """kind (0 words before, 1 words, 2 pairs), class, background, target over all rows of text, target (boolean).
 
-    A task adds up its own rows in arrays of the vocabulary's fixed size; the tasks' counts are then summed.
+def counts(rows: DataFrame, classes: int) -> DataFrame:
+    """block, word, background, target over rows of block, text, target; block -1 holds the class pairs.
+
+    A task adds up a few million words at a time, Spark its tasks' counts.
     """
+    names = ["block", "word", "background", "target"]
+
+    def added(blocks: list, words: list, flags: list) -> Iterator[pa.RecordBatch]:
+        if not words:
+            return
+        block, word, flag = np.concatenate(blocks), np.concatenate(words), np.concatenate(flags)
+        order = np.lexsort((word, block))
+        block, word, flag = block[order], word[order], flag[order]
+        at = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (word[1:] != word[:-1]))))
+        n, t = np.diff(np.append(at, len(word))), np.add.reduceat(flag, at)
+        for s in range(0, len(at), ROWS):
+            x = slice(s, s + ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(block[at[x]]), pa.array(word[at[x]]), pa.array(n[x].astype(np.int64)), pa.array(t[x])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = Classes(word_bits, pair_bits)
-        sizes = (1 << word_bits, 1 << word_bits, 1 << pair_bits)
-        sums = [np.zeros((2, n), np.int64) for n in sizes]
+        known, table = Words(), np.zeros((2, (classes + 1) * classes), np.int64)
+        blocks, words, flags, held = [], [], [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                for text, target in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    words = classes.of(text)
-                    if not len(words):
+                for block, text, target in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    found = known.of(text)
+                    n = len(found)
+                    if not n:
                         continue
-                    before, pairs = classes.pair(words)
-                    for total, x in zip(sums, (before, words, pairs), strict=True):
-                        np.add.at(total[0], x, 1)
-                        if target:
-                            np.add.at(total[1], x, 1)
-        for kind, total in enumerate(sums):
-            at = np.flatnonzero(total[0])
-            for s in range(0, len(at), 65536):
-                x = at[s : s + 65536]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x.astype(np.int32)), pa.array(total[0][x]), pa.array(total[1][x])], ["kind", "class", "background", "target"])
-
-    made = docs.select("text", "target").mapInArrow(run, "kind int, class int, background long, target long")
-    return made.groupBy("kind", "class").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def fit(docs: DataFrame, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS) -> list[np.ndarray]:
-    """Counts of both models as arrays [kind][model, class]; at most 2 ** (word_bits + 1) + 2 ** pair_bits rows come to the driver."""
-    rows = counts(docs, word_bits, pair_bits).toArrow()
-    kind, place = rows.column("kind").to_numpy(), rows.column("class").to_numpy()
-    out = []
-    for k, n in enumerate((1 << word_bits, 1 << word_bits, 1 << pair_bits)):
-        total, own = np.zeros((2, n)), kind == k
-        total[0, place[own]], total[1, place[own]] = rows.column("background").to_numpy()[own], rows.column("target").to_numpy()[own]
-        out.append(total)
-    return out
-
-
-def losses(model: list[np.ndarray], classes: Classes, words: np.ndarray, prior: float = PRIOR) -> np.ndarray:
-    """-log p of each word under the background and the target model, in rows."""
-    begun, single, double = model
-    before, pairs = classes.pair(words)
-    alone = (single[:, words] + 1.0) / (single.sum(1, keepdims=True) + single.shape[1])
-    return -np.log((double[:, pairs] + prior * alone) / (begun[:, before] + prior))
+                    both = pairs(found, classes)
+                    np.add.at(table[0], both, 1)
+                    if target:
+                        np.add.at(table[1], both, 1)
+                    blocks.append(np.full(n, block, np.int32))
+                    words.append(found)
+                    flags.append(np.full(n, int(target), np.int64))
+                    held += n
+                    if held >= FLUSH:
+                        yield from added(blocks, words, flags)
+                        blocks, words, flags, held = [], [], [], 0
+        yield from added(blocks, words, flags)
+        at = np.flatnonzero(table[0])
+        for s in range(0, len(at), ROWS):
+            x = at[s : s + ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), -1, np.int32)), pa.array(x), pa.array(table[0][x]), pa.array(table[1][x])], names)
+
+    made = rows.select("block", "text", "target").mapInArrow(run, "block int, word long, background long, target long")
+    return made.groupBy("block", "word").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+
+
+def contexts(table: np.ndarray, distinct: np.ndarray, prior: float, start: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of both models: -log p(class | class before), and log of the divisor of a word's count in its class.
+
+    `table` holds [model, class before, class] counts, `distinct` the words of each class.
+    """
+    own, before = table.sum(1), table.sum(2)
+    alone = (own + 1.0) / (own.sum(1, keepdims=True) + own.shape[1])
+    pair = -np.log((table + prior * alone[:, None, :]) / (before[:, :, None] + prior))
+    return pair, np.log(np.maximum(own + start * distinct, start))
 
 
 def lm_score(
-    docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS, prior: float = PRIOR
+    docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, prior: float = PRIOR, block_bytes: int = BLOCK_BYTES, broadcast_ids: int = BROADCAST_IDS
 ) -> DataFrame:
     """Per-token loss under a target model less that under a background model.
 
-    Method: two models of words given the word before are matched in all but
-    their text: order, smoothing and the vocabulary, whose classes are hashes of
-    words and word pairs, fixed in number. The background model counts every
-    document, the target model those whose id is in `target` (id_col). A pair's
-    frequency is smoothed by the word's own. The counts, whose size the
-    vocabulary fixes, are broadcast; each token then has two losses. Texts meet
-    the target's ids in a merge join at every size.
+    Method: two class-bigram models are matched in all but their text. A word's
+    probability is that of its class after the class before it, times the word's
+    share of its class. Both share one vocabulary: every distinct word of the
+    corpus, known by its 64-bit hash. The background model counts all documents,
+    the target model those whose id is in `target` (id_col). A class pair is
+    smoothed by the class's own frequency, a word's count starts from START.
+
+    The vocabulary grows with the corpus and is never in one place. Texts are
+    dealt to blocks of about `block_bytes`; counts are added up by block and word,
+    in map tasks first, then by word, and each block gets the totals of its own
+    words, ahead of its texts, which stream past them. The classes' pairs, fixed
+    in number, come to the driver. Target ids are broadcast up to `broadcast_ids`
+    of them; more meet the texts in a merge join.
 
     Result: id_col, n_tokens, loss_target, loss_background, score (the mean
     difference; lower is closer to the target), one row for each input row.
     Texts without words, null included, have 0 for all. A null id is never in
-    the target. Without targets the target model is uniform. Other columns are
-    not read. An empty table gives an empty result.
+    the target. Without targets the target model knows no counts. Other columns
+    are not read. An empty table gives an empty result.
     """
+    spark = docs.sparkSession
     chosen = target.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull()).distinct().withColumn("target", F.lit(True))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counted = fit(rows.join(chosen.hint("merge"), "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target")), word_bits, pair_bits)
-    shared = docs.sparkSession.sparkContext.broadcast(counted)
-
-    def make() -> Callable:
-        classes, model = Classes(word_bits, pair_bits), shared.value
-
-        def run(found):
-            out = []
-            for i, text in found:
-                words = classes.of(text)
-                both = losses(model, classes, words, prior).mean(1) if len(words) else (0.0, 0.0)
-                out.append((i, len(words), float(both[1]), float(both[0]), float(both[1] - both[0])))
-            return out
-
-        return run
+    chosen = cut(chosen)
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    blocks = max(spark.sparkContext.defaultParallelism, -(-total // block_bytes))
+    rows = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int").alias("block"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    few = chosen.count() <= broadcast_ids
+    flagged = rows.join(F.broadcast(chosen) if few else chosen.hint("merge"), "id", "left").select("block", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    counted = cut(counts(flagged, classes))
+
+    words = counted.where("block >= 0")
+    totals = words.groupBy("word").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    vocabulary = words.select("block", "word").join(totals, "word")
+    table, distinct = np.zeros((2, (classes + 1) * classes)), np.zeros(classes)
+    for c in counted.where("block < 0").select("word", "background", "target").toArrow().to_batches():
+        at, n, t = (v.to_numpy() for v in c.columns)
+        table[0, at], table[1, at] = n, t
+    for c, n in words.select("word").distinct().groupBy(F.col("word").bitwiseAND(F.lit(classes - 1)).alias("c")).count().collect():
+        distinct[c] = n
+    shared = spark.sparkContext.broadcast(contexts(table.reshape(2, classes + 1, classes), distinct, prior, START))
 
     kind = dict(docs.dtypes)[id_col]
-    return per_row(rows, make, f"id {kind}, n_tokens long, loss_target double, loss_background double, score double").withColumnRenamed("id", id_col)
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    ahead = vocabulary.select("block", F.lit(0).alias("kind"), "word", "background", "target", none("id", kind), none("text", "string"))
+    behind = rows.select("block", F.lit(1).alias("kind"), none("word", "long"), none("background", "long"), none("target", "long"), "id", "text")
+    dealt = ahead.unionByName(behind).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind")
+    schema = f"id {kind}, n_tokens long, loss_target double, loss_background double, score double"
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (pair, divisor), known = shared.value, Words()
+        flat = pair.reshape(2, -1)
+        now, held, keys, loss = None, [], np.zeros(0, np.int64), np.zeros((2, 0))
+        for batch in batches:
+            block, turn = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            edges = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (turn[1:] != turn[:-1]), [True])))
+            for s, e in zip(edges, edges[1:]):
+                part = batch.slice(s, e - s)
+                if block[s] != now:
+                    now, held, keys, loss = block[s], [], np.zeros(0, np.int64), np.zeros((2, 0))
+                if turn[s] == 0:
+                    held.append([part.column(c).to_numpy() for c in ("word", "background", "target")])
+                    continue
+                if held:
+                    keys, *both = (np.concatenate(c) for c in zip(*held, strict=True))
+                    order = np.argsort(keys)
+                    keys = keys[order]
+                    loss, held = divisor[:, keys & (classes - 1)] - np.log(np.stack(both)[:, order] + START), []
+                for at in range(0, part.num_rows, SLICE):
+                    some = part.slice(at, SLICE)
+                    found = []
+                    for i, text in zip(some.column("id").to_pylist(), some.column("text").to_pylist(), strict=True):
+                        w = known.of(text)
+                        b, t = (loss[:, np.searchsorted(keys, w)] + flat[:, pairs(w, classes)]).mean(1).tolist() if len(w) else (0.0, 0.0)
+                        found.append((i, len(w), t, b, t - b))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*found, strict=True), out, strict=True)], schema=out)
+
+    return dealt.mapInArrow(run, schema).withColumnRenamed("id", id_col)

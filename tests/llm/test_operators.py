@@ -153,29 +153,43 @@ def test_lm_score(spark):
     texts = [prose(30, s) for s in range(40)] + ["Good news today"] * 3 + ["", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     target = docs.where("doc_id >= 40").select("doc_id")
-    got = lm_score.lm_score(docs, target, word_bits=10, pair_bits=12).toPandas().set_index("doc_id")
-    classes, counts = lm_score.Classes(10, 12), [{}, {}, {}]
-    for i, t in enumerate(texts):
-        w = classes.of(t)
-        b, p = classes.pair(w)
-        for c, x in zip(counts, (b, w, p)):
-            for v in x:
-                c.setdefault(int(v), [0, 0])
-                c[int(v)][0] += 1
-                c[int(v)][1] += i >= 40
-    total = [sum(c[m] for c in counts[1].values()) for m in (0, 1)]
-    for i in (0, 7, 41):
-        w = classes.of(texts[i])
-        b, p = classes.pair(w)
-        loss = [np.mean([-np.log((counts[2].get(int(z), [0, 0])[m] + 4 * (counts[1].get(int(x), [0, 0])[m] + 1) / (total[m] + 1024)) / (counts[0].get(int(y), [0, 0])[m] + 4)) for x, y, z in zip(w, b, p)]) for m in (0, 1)]
-        assert abs(got.loc[i, "loss_background"] - loss[0]) < 1e-9 and abs(got.loc[i, "score"] - (loss[1] - loss[0])) < 1e-9
+    got = lm_score.lm_score(docs, target, classes=8).toPandas().set_index("doc_id")
+    known, pair, word, begun, own = lm_score.Words(), {}, {}, {}, {}
+    split = {i: known.of(t).tolist() for i, t in enumerate(texts)}
+    for i, ws in split.items():
+        before = 8
+        for w in ws:
+            for m in (0, 1) if i >= 40 else (0,):
+                for counts, key in ((pair, (m, before, w & 7)), (word, (m, w)), (begun, (m, before)), (own, (m, w & 7))):
+                    counts[key] = counts.get(key, 0) + 1
+            before = w & 7
+    vocabulary = {w for ws in split.values() for w in ws}
+
+    def loss(m, before, w):
+        c, total = w & 7, sum(n for (k, _), n in own.items() if k == m)
+        alone = (own.get((m, c), 0) + 1) / (total + 8)
+        of_class = (pair.get((m, before, c), 0) + 4 * alone) / (begun.get((m, before), 0) + 4)
+        return -np.log(of_class * (word.get((m, w), 0) + 0.5) / (own.get((m, c), 0) + 0.5 * sum(v & 7 == c for v in vocabulary)))
+
+    for i, ws in split.items():
+        want = [np.mean([loss(m, b, w) for b, w in zip([8, *(v & 7 for v in ws)], ws)]) if ws else 0 for m in (0, 1)]
+        assert abs(got.loc[i, "loss_background"] - want[0]) < 1e-9 and abs(got.loc[i, "score"] - (want[1] - want[0])) < 1e-9
     assert got.loc[41, "score"] < got.loc[0, "score"] and got.loc[44, "score"] == 0 and got.loc[43, "n_tokens"] == 0
+    small = lm_score.lm_score(docs, target, classes=8, block_bytes=300, broadcast_ids=0).toPandas().set_index("doc_id")
+    assert np.allclose(small.loc[got.index, "score"], got["score"])
+
+
+def test_lm_sums_to_one():
+    rng = np.random.default_rng(3)
+    pair, divisor = lm_score.contexts(rng.integers(0, 5, (2, 9, 8)).astype(float), np.full(8, 3.0), 4.0, 0.5)
+    assert np.allclose(np.exp(-pair).sum(2), 1) and np.isfinite(divisor).all()
 
 
 def test_lm_odd(spark, odd, none):
     target = odd.select("doc_id")
-    assert lm_score.lm_score(odd, target, word_bits=8, pair_bits=8).count() == odd.count()
-    assert lm_score.lm_score(none, target.limit(0), word_bits=8, pair_bits=8).count() == 0
+    assert lm_score.lm_score(odd, target, classes=8).count() == odd.count()
+    assert lm_score.lm_score(odd, target.limit(0), classes=8).where("isnan(score) OR score IS NULL").count() == 0
+    assert lm_score.lm_score(none, target.limit(0), classes=8).count() == 0
 
 
 # --- 4 toxicity
