@@ -16,11 +16,11 @@ from pricetide.llm.common import SLICE, cut
 #: Word classes of the models' contexts (a power of two); weight of a class's own frequency in a pair's; what each word's count starts from.
 CLASSES, PRIOR, START = 512, 4.0, 0.5
 #: Bytes of text of a block, about: its words' counts are in memory at once.
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 96 << 20
 #: Target ids that are broadcast, at most (16 MB); more meet the texts in a merge join.
 BROADCAST_IDS = 2_000_000
 #: Words that a worker remembers, words that a task adds up before it passes counts on, rows of a batch.
-REMEMBERED, FLUSH, ROWS = 500_000, 2_000_000, 65_536
+REMEMBERED, FLUSH, ROWS = 200_000, 1_000_000, 65_536
 
 
 class Words:
@@ -53,7 +53,7 @@ def pairs(words: np.ndarray, classes: int) -> np.ndarray:
 def counts(rows: DataFrame, classes: int) -> DataFrame:
     """block, word, background, target over rows of block, text, target; block -1 holds the class pairs.
 
-    A task adds up a few million words at a time, Spark its tasks' counts.
+    A task adds up about a million words at a time, Spark its tasks' counts.
     """
     names = ["block", "word", "background", "target"]
 
@@ -64,7 +64,7 @@ def counts(rows: DataFrame, classes: int) -> DataFrame:
         order = np.lexsort((word, block))
         block, word, flag = block[order], word[order], flag[order]
         at = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (word[1:] != word[:-1]))))
-        n, t = np.diff(np.append(at, len(word))), np.add.reduceat(flag, at)
+        n, t = np.diff(np.append(at, len(word))), np.add.reduceat(flag, at, dtype=np.int64)
         for s in range(0, len(at), ROWS):
             x = slice(s, s + ROWS)
             yield pa.RecordBatch.from_arrays([pa.array(block[at[x]]), pa.array(word[at[x]]), pa.array(n[x].astype(np.int64)), pa.array(t[x])], names)
@@ -86,7 +86,7 @@ def counts(rows: DataFrame, classes: int) -> DataFrame:
                         np.add.at(table[1], both, 1)
                     blocks.append(np.full(n, block, np.int32))
                     words.append(found)
-                    flags.append(np.full(n, int(target), np.int64))
+                    flags.append(np.full(n, target, np.int8))
                     held += n
                     if held >= FLUSH:
                         yield from added(blocks, words, flags)
