@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricetide.functions.scalars import detect_currency, host, price_cents, without_fragment
+from pricetide.functions.scalars import detect_currency, digits, host, name_score, normalize_currency, price_cents, without_fragment
 
 # Fixed values, in the order in which they are tried.
 CHALLENGES = (
@@ -114,3 +114,78 @@ def incremental(pages: DataFrame, cache: DataFrame) -> DataFrame:
 def carry_forward(pages: DataFrame, previous: DataFrame) -> DataFrame:
     """Verified offers of unchanged pages, repeated as new observations."""
     return pages.join(previous.where("verified"), ["url", "fingerprint"]).select("page_id", "url", "price_cents", "currency")
+
+
+def context_prices(pairs: DataFrame, around: int = 1800) -> DataFrame:
+    """page_id, price_cents, currency, score: labelled prices within `around` characters of the wanted code.
+
+    A current or sale label adds 18 to 54; a price with shipping, instalments or
+    former prices within 45 characters doesn't count. Of equal prices the best score stays. pairs has page_id, html, ean.
+    """
+    text = pairs.select("page_id", "ean", visible(F.col("html")).alias("text")).withColumn("at", F.expr("locate(ean, text)")).where("at > 0")
+    near = text.withColumn("w", F.expr(f"substr(text, greatest(1, at - {around}), least(at - 1, {around}) + length(ean) + {around})"))
+    label = r"(?i)(.{0,45}?)((?:current\s+price|sale\s+price|our\s+price|now|price)\s*[:\-]?\s*(?:€|EUR|\$|USD|£|GBP|CHF|PLN|SEK)?\s*\d{1,8}(?:(?:[ .,'’]\d{3})+)?(?:[.,]\d{1,2})?\s*(?:€|EUR|USD|GBP|CHF|PLN|SEK)?)"
+    found = near.select("page_id", F.explode(F.arrays_zip(F.regexp_extract_all("w", F.lit(label), 1).alias("before"), F.regexp_extract_all("w", F.lit(label), 2).alias("raw"))).alias("m"))
+    ok = found.where(~F.concat("m.before", "m.raw").rlike(r"(?i)shipping|delivery|postage|per\s+month|monthly|save\s+|discount|was\s+|old\s+price"))
+    score = F.lit(54) + F.when(F.col("m.raw").rlike(r"(?i)current|sale|our\s+price|now"), 18).otherwise(0)
+    rows = ok.select("page_id", price_cents(F.col("m.raw")).alias("price_cents"), detect_currency(F.col("m.raw")).alias("currency"), score.alias("score")).where("price_cents IS NOT NULL")
+    return rows.groupBy("page_id", "price_cents", "currency").agg(F.max("score").alias("score"))
+
+
+def json_nodes(pages: DataFrame, depth: int = 6) -> DataFrame:
+    """page_id, path, node: every JSON object down to `depth` levels in a page's linked-data scripts; bad JSON has none."""
+    body = F.regexp_extract_all("html", F.lit(r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), 1)
+    level = pages.select("page_id", F.posexplode(body).alias("place", "text")).select("page_id", F.col("place").cast("string").alias("path"), F.try_parse_json("text").alias("node")).where("node IS NOT NULL")
+    out = level
+    for _ in range(depth):
+        level = level.sparkSession.sql("SELECT page_id, concat(path, '/', coalesce(c.key, CAST(c.pos AS STRING))) AS path, c.value AS node FROM {level}, LATERAL variant_explode(node) AS c WHERE schema_of_variant(c.value) RLIKE '^(OBJECT|ARRAY)'", level=level)
+        out = out.unionByName(level)
+    return out.where(F.schema_of_variant("node").startswith("OBJECT"))
+
+
+def structured_candidates(pairs: DataFrame, depth: int = 6) -> DataFrame:
+    """page_id, ean, price_cents, currency, in_stock, exact_ean, name_score, score of each product node of a page; pairs has page_id, html, ean, name."""
+    nodes = json_nodes(pairs, depth)
+    get = lambda path: F.try_variant_get("node", path, "string")
+    offer = lambda key: F.coalesce(get(f"$.offers.{key}"), get(f"$.offers[0].{key}"))
+    code = F.coalesce(*(get(f"$.{k}") for k in ("gtin13", "gtin", "gtin14", "gtin12", "gtin8", "ean", "sku")))
+    typed = nodes.where(F.coalesce(get("$['@type']"), F.lit("")).rlike("Product")).select(
+        "page_id", "path", digits(code).alias("code"), get("$.name").alias("title"), price_cents(offer("price")).alias("price_cents"),
+        normalize_currency(offer("priceCurrency")).alias("currency"), offer("availability").alias("stock"),
+    )
+    rows = typed.join(pairs.select("page_id", "ean", "name"), "page_id")
+    exact, named = F.coalesce(F.col("code") == F.col("ean"), F.lit(False)), name_score(F.col("name"), F.col("title"))
+    in_stock = F.when(F.col("stock").rlike("OutOfStock|SoldOut|Discontinued"), False).when(F.col("stock").rlike("InStock|LimitedAvailability"), True)
+    score = F.when(exact, 260).otherwise(0) + 90 * named + F.when(F.col("price_cents").isNotNull(), 24).otherwise(0) + F.when(F.col("stock").isNotNull(), 8).otherwise(0)
+    return rows.select("page_id", "path", "ean", "price_cents", "currency", in_stock.alias("in_stock"), exact.alias("exact_ean"), named.alias("name_score"), score.alias("score"))
+
+
+def select_offer(structured: DataFrame, candidates: DataFrame) -> DataFrame:
+    """page_id, price_cents, currency, source: a page's structured offer, if its identity holds, unless a page price scores higher and the code is met.
+
+    Identity is the code, or 0.65 of the name. Structured scores count 80 more.
+    candidates has page_id, price_cents, currency, score, source.
+    """
+    best = structured.groupBy("page_id").agg(F.max_by(F.struct("price_cents", "currency", "exact_ean", "name_score", "score"), F.struct("score", "path")).alias("s"))
+    top = candidates.groupBy("page_id").agg(F.max_by(F.struct("price_cents", "currency", "score", "source"), F.struct("score", -F.col("price_cents"))).alias("h"))
+    rows = best.join(top, "page_id", "left")
+    identity = F.col("s.exact_ean") | (F.col("s.name_score") >= 0.65)
+    own = identity & F.col("s.price_cents").isNotNull()
+    html = identity & F.col("h").isNotNull() & (~own | (F.col("s.exact_ean") & (F.col("h.score") > F.col("s.score") + 80)))
+    pick = lambda c: F.when(html, F.col(f"h.{c}")).when(own, F.col(f"s.{c}")).alias(c)
+    return rows.select("page_id", pick("price_cents"), pick("currency"), F.when(html, F.col("h.source")).when(own, "structured").alias("source")).where("source IS NOT NULL")
+
+
+def public_data_urls(pages: DataFrame, most: int = 3) -> DataFrame:
+    """page_id, link, score: the likeliest data addresses of a page on its own host; account paths and token-bearing ones don't count. pages may have ean."""
+    tags = F.regexp_extract_all("html", F.lit(r"(?is)<[a-z][^>]*\s(data-product-api|data-product-json|data-json-url|data-api-url)=[\"']([^\"']+)"), 0)
+    rows = pages.select("page_id", "ean", host(F.col("url")).alias("page_host"), F.regexp_extract("url", r"^(https?://[^/?#]+)", 1).alias("root"), F.explode(tags).alias("t"))
+    href = F.regexp_extract("t", r"(?is)\s(data-(?:product-api|product-json|json-url|api-url))=[\"']([^\"']+)$", 2)
+    kind = F.regexp_extract("t", r"(?is)\s(data-(?:product-api|product-json|json-url|api-url))=[\"']([^\"']+)$", 1)
+    rows = rows.withColumn("link", without_fragment(F.when(href.startswith("/"), F.concat("root", href)).otherwise(href)))
+    open_ = ~F.col("link").rlike(r"(?i)/(account|admin|auth|checkout|login|oauth|session)(/|$|\?)") & ~F.col("link").rlike(r"(?i)[?&][^=&]*(token|secret|auth|signature|session|password|passcode|api[_-]?key|access[_-]?key|jwt)[^=&]*=")
+    base = F.when(kind.contains("product"), 11).when(kind.contains("json"), 9).otherwise(8)
+    score = base + F.when(F.col("link").rlike(r"(?i)/api/|\.json(/|$)|product|catalog|item|search"), 3).otherwise(0) + F.when(F.contains("link", "ean"), 8).otherwise(0)
+    ok = rows.where((host(F.col("link")) == F.col("page_host")) & open_).groupBy("page_id", "link").agg(F.max(score).alias("score"))
+    w = Window.partitionBy("page_id").orderBy(F.desc("score"), "link")
+    return ok.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("page_id", "link", "score")

@@ -100,3 +100,20 @@ def fair_batches(df: DataFrame, host: str, order: str, k: int) -> DataFrame:
     starts = ordered.select(F.explode(F.aggregate("h", start, step)["out"]).alias("s")).select(F.col("s.host").alias(host), F.col("s.start").alias("_start"))
     n = F.row_number().over(Window.partitionBy(host).orderBy(order))
     return df.join(starts, host).withColumn("batch", F.col("_start") + n - 1).drop("_start")
+
+
+def apply_edit(schedules: DataFrame, edits: DataFrame, now: str) -> DataFrame:
+    """Schedules after edits: a change of timing or targets moves the next run, one of targets starts the cursor anew.
+
+    edits has id and, where null keeps the value, cadence_minutes, enabled,
+    target_mode. A cadence outside 15 minutes to 30 days is no edit. One edit a schedule.
+    """
+    new = edits.where(F.coalesce(F.col("cadence_minutes").between(15, 43_200), F.lit(True))).select("id", *(F.col(c).alias(f"_{c}") for c in ("cadence_minutes", "enabled", "target_mode")))
+    rows = schedules.join(new, "id", "left")
+    pick = {c: F.coalesce(f"_{c}", c) for c in ("cadence_minutes", "enabled", "target_mode")}
+    retargeted = pick["target_mode"] != F.col("target_mode")
+    timed = (pick["cadence_minutes"] != F.col("cadence_minutes")) | (~F.col("enabled") & pick["enabled"]) | retargeted
+    later = F.timestamp_add("MINUTE", pick["cadence_minutes"].cast("int"), F.lit(now).cast("timestamp_ntz"))
+    return rows.select(
+        "id", *(v.alias(c) for c, v in pick.items()), F.when(timed, later).otherwise(F.col("next_run_at")).alias("next_run_at"), F.when(retargeted, 0).otherwise(F.col("cursor_index")).cast("long").alias("cursor_index")
+    )
