@@ -189,3 +189,72 @@ def public_data_urls(pages: DataFrame, most: int = 3) -> DataFrame:
     ok = rows.where((host(F.col("link")) == F.col("page_host")) & open_).groupBy("page_id", "link").agg(F.max(score).alias("score"))
     w = Window.partitionBy("page_id").orderBy(F.desc("score"), "link")
     return ok.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("page_id", "link", "score")
+
+
+def search_forms(pages: DataFrame, most: int = 2) -> DataFrame:
+    """page_id, place, action, field, hidden: the likeliest search forms of each page.
+
+    A form is sent by GET to the page's own host. Its best text control scores
+    10 for the type search, 8 for a name such as q, query or search, and 4 for a
+    label that speaks of searching; under 8 it is no search form. Hidden fields
+    come as name=value, comma-joined, but for tokens.
+    """
+    forms = F.regexp_extract_all("html", F.lit(r"(?is)<form\b[^>]*>.*?</form>"), 0)
+    attr = lambda c, name: F.regexp_extract(c, rf"(?is)\s{name}\s*=\s*[\"']([^\"']*)", 1)
+    rows = pages.select("page_id", host(F.col("url")).alias("page_host"), F.regexp_extract("url", r"^(https?://[^/?#]+)", 1).alias("root"), F.posexplode(forms).alias("place", "form"))
+    head = F.regexp_extract("form", "(?is)^<form[^>]*>", 0)
+    rows = rows.withColumn("method", F.lower(attr(head, "method"))).withColumn("action", attr(head, "action")).where("method IN ('', 'get')")
+    rows = rows.withColumn("action", F.when(F.col("action").rlike("(?i)^https?://"), F.col("action")).when(F.col("action").startswith("/"), F.concat("root", "action")).otherwise(F.concat("root", F.lit("/"), "action")))
+    rows = rows.where(host(F.col("action")) == F.col("page_host")).withColumn("inputs", F.regexp_extract_all("form", F.lit(r"(?is)<input\b[^>]*>"), 0))
+
+    def control(tag: Column) -> Column:
+        name, kind, label = F.lower(attr(tag, "name")), F.lower(attr(tag, "type")), F.lower(F.concat(attr(tag, "placeholder"), F.lit(" "), attr(tag, "aria-label")))
+        score = F.when(kind == "search", 10).otherwise(0) + F.when(name.rlike("^(q|s|query|search|keyword|keywords|term|isci)$"), 8).otherwise(0) + F.when(label.rlike("search|iskanje|suche|buscar|recherche"), 4).otherwise(0)
+        return F.when((name != "") & kind.isin("", "text", "search"), F.struct(score.alias("score"), attr(tag, "name").alias("name")))
+
+    best = F.aggregate(F.transform("inputs", control), F.lit(None).cast("struct<score:int,name:string>"), lambda a, c: F.when(c.isNotNull() & (a.isNull() | (c["score"] > a["score"])), c).otherwise(a))
+    kept = F.filter("inputs", lambda t: (F.lower(attr(t, "type")) == "hidden") & (attr(t, "name") != "") & ~F.lower(attr(t, "name")).rlike("csrf|token|nonce|session"))
+    hidden = F.array_join(F.transform(kept, lambda t: F.concat(attr(t, "name"), F.lit("="), attr(t, "value"))), ",")
+    found = rows.select("page_id", "place", "action", best.alias("best"), hidden.alias("hidden")).where("best.score >= 8")
+    w = Window.partitionBy("page_id").orderBy(F.desc("best.score"), "place")
+    return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("page_id", "place", "action", F.col("best.name").alias("field"), "hidden")
+
+
+def profile_prices(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """page_id, price_cents, currency, score, source: the price in the first element that a host's selector names.
+
+    A selector is a tag, #id, .class or [attr=value]. Scores are 210 and 80 for a
+    met code, else 40 times the name's score. pairs has page_id, url, html,
+    exact_ean, name_score; profiles host and price_selector, one row a host.
+    """
+    quote = lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))
+    sel = F.col("price_selector")
+    attribute, value = F.regexp_extract(sel, r"^\[([\w-]+)=[\"']?([^\"'\]]*)", 1), F.regexp_extract(sel, r"^\[([\w-]+)=[\"']?([^\"'\]]*)", 2)
+    inside = (
+        F.when(sel.startswith("#"), F.concat(F.lit("[a-z]\\w*\\b[^>]*\\sid=[\"']"), quote(F.substr(sel, F.lit(2))), F.lit("[\"']")))
+        .when(sel.startswith("."), F.concat(F.lit("[a-z]\\w*\\b[^>]*\\sclass=[\"'](?:[^\"']*\\s)?"), quote(F.substr(sel, F.lit(2))), F.lit("(?:\\s[^\"']*)?[\"']")))
+        .when(sel.startswith("["), F.concat(F.lit("[a-z]\\w*\\b[^>]*\\s"), quote(attribute), F.lit("=[\"']"), quote(value), F.lit("[\"']")))
+        .otherwise(F.concat(quote(sel), F.lit("\\b")))
+    )
+    rules = profiles.where("price_selector IS NOT NULL").select("host", F.concat(F.lit("(?is)<"), inside, F.lit("[^>]*>([^<]{1,80})<")).alias("pattern"))
+    rows = pairs.withColumn("host", host(F.col("url"))).join(rules, "host")
+    text = F.call_function("regexp_extract", F.col("html"), F.col("pattern"), F.lit(1))
+    score = 210 + F.when(F.col("exact_ean"), F.lit(80.0)).otherwise(F.col("name_score") * 40)
+    out = rows.select("page_id", price_cents(text).alias("price_cents"), normalize_currency(detect_currency(text)).alias("currency"), score.alias("score"), F.lit("profile-selector").alias("source"))
+    return out.where("price_cents IS NOT NULL")
+
+
+def classify_results(targets: DataFrame, offers: DataFrame, seen: DataFrame) -> DataFrame:
+    """id, status, reason_code of each wanted product after its pages were read.
+
+    found with a priced offer; needs_review with an offer without a price
+    (price_missing); blocked where every page seen was a challenge, by the first
+    kind; not_found otherwise. offers has id and price_cents, seen id and challenge.
+    """
+    priced = offers.groupBy("id").agg(F.count("price_cents").alias("priced"))
+    pages = seen.groupBy("id").agg(F.count("*").alias("seen"), F.count("challenge").alias("walls"), F.min("challenge").alias("wall"))
+    rows = targets.select("id").join(priced, "id", "left").join(pages, "id", "left")
+    walled = F.coalesce((F.col("seen") > 0) & (F.col("seen") == F.col("walls")), F.lit(False))
+    status = F.when(F.col("priced") > 0, "found").when(F.col("priced") == 0, "needs_review").when(walled, "blocked").otherwise("not_found")
+    reason = F.when(F.col("priced") > 0, "found").when(F.col("priced") == 0, "price_missing").when(walled, F.col("wall")).otherwise("not_found")
+    return rows.select("id", status.alias("status"), reason.alias("reason_code"))

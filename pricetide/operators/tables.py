@@ -65,3 +65,11 @@ def missing_ids(base: DataFrame, ids: DataFrame) -> DataFrame:
 
 def ttl(df: DataFrame, column: str, now: str, days: int) -> DataFrame:
     return df.where(F.col(column) > F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {days} days"))
+
+
+def schema_drift(tables: dict[str, DataFrame], required: DataFrame) -> DataFrame:
+    """table, column of the required columns that the tables lack; names in either case."""
+    have = {(t.lower(), c.lower()) for t, df in tables.items() for c in df.columns}
+    present = required.sparkSession.createDataFrame(sorted(have), "table string, column string")
+    named = required.select(F.lower("table").alias("table"), F.lower("column").alias("column")).distinct()
+    return named.join(F.broadcast(present), ["table", "column"], "left_anti")

@@ -161,3 +161,31 @@ def _(products: DataFrame) -> DataFrame:
 @query("pages_public_data_urls", "products", "SELECT id AS page_id, 'https://www.' || host || '/api/item/' || ean AS link, 22 AS score FROM products")
 def _(products: DataFrame) -> DataFrame:
     return pages.public_data_urls(_shop_pages(products))
+
+
+@query("pages_search_forms", "products", "SELECT id AS page_id, 0 AS place, website_url || 'search' AS action, CASE WHEN product_id % 2 = 0 THEN 'q' ELSE 'find' END AS field, 'lang=' || store_id AS hidden FROM products")
+def _(products: DataFrame) -> DataFrame:
+    field = "CASE WHEN product_id % 2 = 0 THEN '<input name=\"q\">' ELSE '<input type=\"search\" name=\"find\">' END"
+    form = f"""'<form action="/search"><input type="hidden" name="csrf_token" value="x"><input type="hidden" name="lang" value="' || store_id || '">' || {field} || '</form>'"""
+    other = """'<form method="post" action="/search"><input name="q"></form><form action="https://elsewhere.example/"><input name="q"></form><form action="/mail"><input name="mail"></form>'"""
+    return pages.search_forms(products.selectExpr("id AS page_id", "website_url AS url", f"{form} || {other} AS html"))
+
+
+@query("pages_profile_prices", "products websites", "SELECT id AS page_id, own_price_cents AS price_cents, 'EUR' AS currency, CASE WHEN product_id % 2 = 0 THEN 290.0 ELSE 230.0 END AS score, 'profile-selector' AS source FROM products")
+def _(products: DataFrame, websites: DataFrame) -> DataFrame:
+    price = "format_string('%.2f EUR', own_price_cents / 100)"
+    html = f"""'<div class="price old">1.00 EUR</div><span id="now" class="price main" data-testid="cost">' || {price} || '</span><strong>' || {price} || '</strong>'"""
+    pairs = products.selectExpr("id AS page_id", "website_url AS url", f"{html} AS html", "product_id % 2 = 0 AS exact_ean", "0.5D AS name_score")
+    rules = websites.selectExpr("'shop-' || id || '.example' AS host", "CASE id % 4 WHEN 0 THEN '#now' WHEN 1 THEN '.main' WHEN 2 THEN '[data-testid=\"cost\"]' ELSE 'strong' END AS price_selector")
+    return pages.profile_prices(pairs, rules)
+
+
+@query(
+    "pages_classify_results",
+    "products",
+    "SELECT id, CASE WHEN product_id % 5 = 0 THEN 'found' WHEN product_id % 5 = 1 THEN 'needs_review' WHEN product_id % 5 = 2 THEN 'blocked' ELSE 'not_found' END AS status, CASE WHEN product_id % 5 = 0 THEN 'found' WHEN product_id % 5 = 1 THEN 'price_missing' WHEN product_id % 5 = 2 THEN 'captcha' ELSE 'not_found' END AS reason_code FROM products",
+)
+def _(products: DataFrame) -> DataFrame:
+    offers = products.where("product_id % 5 < 2").selectExpr("id", "CASE WHEN product_id % 5 = 0 THEN own_price_cents END AS price_cents")
+    seen = products.where("product_id % 5 > 1 AND product_id % 5 < 4").selectExpr("id", "explode(CASE WHEN product_id % 5 = 2 THEN array('captcha', 'login_wall') ELSE array('captcha', NULL) END) AS challenge")
+    return pages.classify_results(products, offers, seen)

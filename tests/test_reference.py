@@ -168,3 +168,24 @@ def test_stream_metrics_as_batch(spark, sf_dir, tmp_path):
 def test_stream_once(spark, sf_dir, tmp_path):
     runs = domain(spark, sf_dir, "runs").select("host", "started_at")
     assert streamed(spark, runs, lambda s: jobs.insert_once(s, "host", "started_at"), tmp_path).count() == runs.select("host").distinct().count()
+
+
+def test_schema_drift(spark, sf_dir):
+    tables_ = {"region": spark.read.parquet(f"{sf_dir}/region.parquet")}
+    required = spark.createDataFrame([("region", "R_NAME"), ("region", "r_area"), ("moon", "m_id"), ("moon", "m_id")], "table string, column string")
+    assert sorted(map(tuple, tables.schema_drift(tables_, required).collect())) == [("moon", "m_id"), ("region", "r_area")]
+
+
+def test_json_nodes_odd(spark):
+    ld = '<script type="application/ld+json">{}</script>'
+    rows = [(1, None), (2, ""), (3, ld.format("{bad")), (4, ld.format('[{"a":{"b":[{"c":null}]}},3]')), (5, ld.format('"text"'))]
+    got = pages.json_nodes(spark.createDataFrame(rows, "page_id int, html string")).select("page_id", "path").collect()
+    assert sorted(map(tuple, got)) == [(4, "0/0"), (4, "0/0/a"), (4, "0/0/a/b/0")]
+
+
+def test_offer_needs_identity(spark):
+    made = "page_id int, path string, price_cents long, currency string, exact_ean boolean, name_score double, score double"
+    structured = spark.createDataFrame([(1, "a", 100, "EUR", False, 0.5, 77.0), (2, "a", None, "EUR", False, 0.7, 71.0), (3, "a", 100, "EUR", False, 0.7, 87.0), (4, "a", 100, "EUR", True, 0.7, 87.0)], made)
+    prices = spark.createDataFrame([(i, 200, "EUR", 170.0, "ean-context") for i in (1, 2, 3, 4)], "page_id int, price_cents long, currency string, score double, source string")
+    got = {r["page_id"]: (r["price_cents"], r["source"]) for r in pages.select_offer(structured, prices).collect()}
+    assert got == {2: (200, "ean-context"), 3: (100, "structured"), 4: (200, "ean-context")}
