@@ -135,11 +135,14 @@ def context_prices(pairs: DataFrame, around: int = 1800) -> DataFrame:
 def json_nodes(pages: DataFrame, depth: int = 6) -> DataFrame:
     """page_id, path, node: every JSON object down to `depth` levels in a page's linked-data scripts; bad JSON has none."""
     body = F.regexp_extract_all("html", F.lit(r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), 1)
-    level = pages.select("page_id", F.posexplode(body).alias("place", "text")).select("page_id", F.col("place").cast("string").alias("path"), F.try_parse_json("text").alias("node")).where("node IS NOT NULL")
-    out = level
+    rows = pages.select("page_id", F.posexplode(body).alias("place", "text")).select("page_id", F.col("place").cast("string").alias("path"), F.try_parse_json("text").alias("node"), F.lit(True).alias("open")).where("node IS NOT NULL")
+    # each level passes on what it has and opens what the level before found, so that one chain reads the pages once
+    step = """SELECT page_id, CASE WHEN own THEN path ELSE concat(path, '/', coalesce(c.key, CAST(c.pos AS STRING))) END AS path, CASE WHEN own THEN node ELSE c.value END AS node, NOT own AS open
+        FROM (SELECT *, explode(CASE WHEN open THEN array(true, false) ELSE array(true) END) AS own FROM {rows}), LATERAL variant_explode_outer(CASE WHEN own THEN NULL ELSE node END) AS c
+        WHERE own OR schema_of_variant(c.value) RLIKE '^(OBJECT|ARRAY)'"""
     for _ in range(depth):
-        level = level.sparkSession.sql("SELECT page_id, concat(path, '/', coalesce(c.key, CAST(c.pos AS STRING))) AS path, c.value AS node FROM {level}, LATERAL variant_explode(node) AS c WHERE schema_of_variant(c.value) RLIKE '^(OBJECT|ARRAY)'", level=level)
-        out = out.unionByName(level)
+        rows = rows.sparkSession.sql(step, rows=rows)
+    out = rows.select("page_id", "path", "node")
     return out.where(F.schema_of_variant("node").startswith("OBJECT"))
 
 
