@@ -116,51 +116,63 @@ def carry_forward(pages: DataFrame, previous: DataFrame) -> DataFrame:
     return pages.join(previous.where("verified"), ["url", "fingerprint"]).select("page_id", "url", "price_cents", "currency")
 
 
-def context_prices(pairs: DataFrame, around: int = 1800) -> DataFrame:
-    """page_id, price_cents, currency, score: labelled prices within `around` characters of the wanted code.
+#: A price with a label before or behind it, and words near a price that make it another price.
+LABELLED = (
+    r"(?:current\s+price|sale\s+price|our\s+price|now|price)\s*[:\-]?\s*(?:€|EUR|\$|USD|£|GBP|CHF|PLN|SEK)?\s*\d{1,8}(?:(?:[ .,'’]\d{3})+)?(?:[.,]\d{1,2})?\s*(?:€|EUR|USD|GBP|CHF|PLN|SEK)?",
+    r"(?:€|EUR|\$|USD|£|GBP|CHF|PLN|SEK)\s*\d{1,8}(?:(?:[ .,'’]\d{3})+)?(?:[.,]\d{1,2})?\s*(?:current|today|now)",
+)
+OTHER_PRICE = r"(?i)shipping|delivery|postage|per\s+month|monthly|save\s+|discount|was\s+|old\s+price"
+
+
+def _labelled(text: Column, pattern: str, around: int = 45) -> Column:
+    """raw (each match of a pattern), and the characters before and after it, up to `around`."""
+    group = lambda g: F.regexp_extract_all(text, F.lit(f"(?is)\\G(.*?)({pattern})(?=(.{{0,{around}}}))"), g)
+    parts = F.arrays_zip(group(1).alias("gap"), group(2).alias("raw"), group(3).alias("after"))
+    last = lambda *c: F.right(F.concat(*c), F.lit(around))
+    start = F.struct(F.lit("").alias("tail"), F.array().cast("array<struct<before:string,raw:string,after:string>>").alias("out"))
+    step = lambda a, m: F.struct(last(a["tail"], m["gap"], m["raw"]).alias("tail"), F.array_append(a["out"], F.struct(last(a["tail"], m["gap"]).alias("before"), m["raw"].alias("raw"), m["after"].alias("after"))).alias("out"))
+    return F.aggregate(parts, start, step, lambda a: a["out"])
 
-    A current or sale label adds 18 to 54; a price with shipping, instalments or
-    former prices within 45 characters doesn't count. Of equal prices the best score stays. pairs has page_id, html, ean.
+
+def context_prices(pairs: DataFrame, around: int = 1800, around_name: int = 1400) -> DataFrame:
+    """page_id, price_cents, currency, score, source: labelled prices near the wanted code (54) or, if pairs has a name, near that (35).
+
+    A current or sale label adds 18; a price with shipping, instalments or former
+    prices within 45 characters of it doesn't count. Of equal prices the best score
+    stays, the code's before the name's. pairs has page_id, html, ean.
     """
-    text = pairs.select("page_id", "ean", visible(F.col("html")).alias("text")).withColumn("at", F.expr("locate(ean, text)")).where("at > 0")
-    near = text.withColumn("w", F.expr(f"substr(text, greatest(1, at - {around}), least(at - 1, {around}) + length(ean) + {around})"))
-    label = r"(?i)(.{0,45}?)((?:current\s+price|sale\s+price|our\s+price|now|price)\s*[:\-]?\s*(?:€|EUR|\$|USD|£|GBP|CHF|PLN|SEK)?\s*\d{1,8}(?:(?:[ .,'’]\d{3})+)?(?:[.,]\d{1,2})?\s*(?:€|EUR|USD|GBP|CHF|PLN|SEK)?)"
-    found = near.select("page_id", F.explode(F.arrays_zip(F.regexp_extract_all("w", F.lit(label), 1).alias("before"), F.regexp_extract_all("w", F.lit(label), 2).alias("raw"))).alias("m"))
-    ok = found.where(~F.concat("m.before", "m.raw").rlike(r"(?i)shipping|delivery|postage|per\s+month|monthly|save\s+|discount|was\s+|old\s+price"))
-    score = F.lit(54) + F.when(F.col("m.raw").rlike(r"(?i)current|sale|our\s+price|now"), 18).otherwise(0)
-    rows = ok.select("page_id", price_cents(F.col("m.raw")).alias("price_cents"), detect_currency(F.col("m.raw")).alias("currency"), score.alias("score")).where("price_cents IS NOT NULL")
-    return rows.groupBy("page_id", "price_cents", "currency").agg(F.max("score").alias("score"))
-
-
-def json_nodes(pages: DataFrame, depth: int = 6) -> DataFrame:
-    """page_id, path, node: every JSON object down to `depth` levels in a page's linked-data scripts; bad JSON has none."""
-    body = F.regexp_extract_all("html", F.lit(r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), 1)
-    rows = pages.select("page_id", F.posexplode(body).alias("place", "text")).select("page_id", F.col("place").cast("string").alias("path"), F.try_parse_json("text").alias("node"), F.lit(True).alias("open")).where("node IS NOT NULL")
+    named = F.col("name") if "name" in pairs.columns else F.lit(None).cast("string")
+    text = pairs.select("page_id", "ean", F.trim(F.regexp_replace(F.lower(named), r"\s+", " ")).alias("name"), visible(F.col("html")).alias("text"))
+    near = lambda what, n: F.when(F.expr(f"{what} != '' AND locate({what}, lower(text)) > 0"), F.expr(f"substr(text, greatest(1, locate({what}, lower(text)) - {n}), least(locate({what}, lower(text)) - 1, {n}) + length({what}) + {n})"))
+    windows = F.array(F.struct(near("ean", around).alias("w"), F.lit(54).alias("base"), F.lit("ean-context").alias("source")), F.struct(near("name", around_name).alias("w"), F.lit(35).alias("base"), F.lit("name-context").alias("source")))
+    rows = text.select("page_id", F.explode(windows).alias("x")).select("page_id", "x.*").where("w IS NOT NULL")
+    found = rows.select("page_id", "base", "source", F.explode(F.concat(*(_labelled(F.col("w"), p) for p in LABELLED))).alias("m"))
+    ok = found.where(~F.concat("m.before", "m.raw", "m.after").rlike(OTHER_PRICE))
+    score = F.col("base") + F.when(F.col("m.raw").rlike(r"(?i)current|sale|our\s+price|now"), 18).otherwise(0)
+    priced = ok.select("page_id", price_cents(F.col("m.raw")).alias("price_cents"), detect_currency(F.col("m.raw")).alias("currency"), score.alias("score"), "source").where("price_cents IS NOT NULL")
+    best = priced.groupBy("page_id", "price_cents", "currency").agg(F.max(F.struct("score", F.col("source") == "ean-context")).alias("b"))
+    return best.select("page_id", "price_cents", "currency", F.col("b.score").alias("score"), F.when(F.col("b.col2"), "ean-context").otherwise("name-context").alias("source"))
+
+
+def json_documents(html: Column) -> Column:
+    """Texts of a page's JSON scripts (linked data, plain JSON and the state of two known frameworks), or the page itself if it is JSON."""
+    scripts = F.arrays_zip(F.regexp_extract_all(html, F.lit(r"(?is)<script\b([^>]*)>(.*?)</script>"), 1).alias("head"), F.regexp_extract_all(html, F.lit(r"(?is)<script\b([^>]*)>(.*?)</script>"), 2).alias("body"))
+    data = F.filter(scripts, lambda s: s["head"].rlike(r"""(?i)\stype=["']?application/(ld\+)?json(;|["'\s]|$)|\sid=["']?__(next|nuxt)_data__(["'\s]|$)"""))
+    return F.when(html.rlike(r"(?s)^\s*(\{.*\}|\[.*\])\s*$"), F.array(html)).otherwise(F.transform(data, lambda s: s["body"]))
+
+
+def json_nodes(pages: DataFrame, depth: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
+    """page_id, the columns to keep, path, node: every JSON object down to `depth` levels in a page's JSON documents; bad JSON has none."""
+    kept = "".join(f", `{c}`" for c in keep)
+    rows = pages.select("page_id", *keep, F.posexplode(json_documents(F.col("html"))).alias("place", "text"))
+    rows = rows.select("page_id", *keep, F.col("place").cast("string").alias("path"), F.try_parse_json("text").alias("node"), F.lit(True).alias("open")).where("node IS NOT NULL")
     # each level passes on what it has and opens what the level before found, so that one chain reads the pages once
-    step = """SELECT page_id, CASE WHEN own THEN path ELSE concat(path, '/', coalesce(c.key, CAST(c.pos AS STRING))) END AS path, CASE WHEN own THEN node ELSE c.value END AS node, NOT own AS open
-        FROM (SELECT *, explode(CASE WHEN open THEN array(true, false) ELSE array(true) END) AS own FROM {rows}), LATERAL variant_explode_outer(CASE WHEN own THEN NULL ELSE node END) AS c
+    step = f"""SELECT page_id{kept}, CASE WHEN own THEN path ELSE concat(path, '/', coalesce(c.key, CAST(c.pos AS STRING))) END AS path, CASE WHEN own THEN node ELSE c.value END AS node, NOT own AS open
+        FROM (SELECT *, explode(CASE WHEN open THEN array(true, false) ELSE array(true) END) AS own FROM {{rows}}), LATERAL variant_explode_outer(CASE WHEN own THEN NULL ELSE node END) AS c
         WHERE own OR schema_of_variant(c.value) RLIKE '^(OBJECT|ARRAY)'"""
     for _ in range(depth):
         rows = rows.sparkSession.sql(step, rows=rows)
-    out = rows.select("page_id", "path", "node")
-    return out.where(F.schema_of_variant("node").startswith("OBJECT"))
-
-
-def structured_candidates(pairs: DataFrame, depth: int = 6) -> DataFrame:
-    """page_id, ean, price_cents, currency, in_stock, exact_ean, name_score, score of each product node of a page; pairs has page_id, html, ean, name."""
-    nodes = json_nodes(pairs, depth)
-    get = lambda path: F.try_variant_get("node", path, "string")
-    offer = lambda key: F.coalesce(get(f"$.offers.{key}"), get(f"$.offers[0].{key}"))
-    code = F.coalesce(*(get(f"$.{k}") for k in ("gtin13", "gtin", "gtin14", "gtin12", "gtin8", "ean", "sku")))
-    typed = nodes.where(F.coalesce(get("$['@type']"), F.lit("")).rlike("Product")).select(
-        "page_id", "path", digits(code).alias("code"), get("$.name").alias("title"), price_cents(offer("price")).alias("price_cents"),
-        normalize_currency(offer("priceCurrency")).alias("currency"), offer("availability").alias("stock"),
-    )
-    rows = typed.join(pairs.select("page_id", "ean", "name"), "page_id")
-    exact, named = F.coalesce(F.col("code") == F.col("ean"), F.lit(False)), name_score(F.col("name"), F.col("title"))
-    in_stock = F.when(F.col("stock").rlike("OutOfStock|SoldOut|Discontinued"), False).when(F.col("stock").rlike("InStock|LimitedAvailability"), True)
-    score = F.when(exact, 260).otherwise(0) + 90 * named + F.when(F.col("price_cents").isNotNull(), 24).otherwise(0) + F.when(F.col("stock").isNotNull(), 8).otherwise(0)
-    return rows.select("page_id", "path", "ean", "price_cents", "currency", in_stock.alias("in_stock"), exact.alias("exact_ean"), named.alias("name_score"), score.alias("score"))
+    return rows.select("page_id", *keep, "path", "node").where(F.schema_of_variant("node").startswith("OBJECT"))
 
 
 def select_offer(structured: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -180,14 +192,17 @@ def select_offer(structured: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def public_data_urls(pages: DataFrame, most: int = 3) -> DataFrame:
-    """page_id, link, score: the likeliest data addresses of a page on its own host; account paths and token-bearing ones don't count. pages may have ean."""
-    tags = F.regexp_extract_all("html", F.lit(r"(?is)<[a-z][^>]*\s(data-product-api|data-product-json|data-json-url|data-api-url)=[\"']([^\"']+)"), 0)
-    rows = pages.select("page_id", "ean", host(F.col("url")).alias("page_host"), F.regexp_extract("url", r"^(https?://[^/?#]+)", 1).alias("root"), F.explode(tags).alias("t"))
-    href = F.regexp_extract("t", r"(?is)\s(data-(?:product-api|product-json|json-url|api-url))=[\"']([^\"']+)$", 2)
-    kind = F.regexp_extract("t", r"(?is)\s(data-(?:product-api|product-json|json-url|api-url))=[\"']([^\"']+)$", 1)
+    """page_id, link, score: the likeliest data addresses of a page on its own host, JSON alternates first; account paths and token-bearing ones don't count. pages has ean; give it shown html (`links.shown`) to leave out hidden elements."""
+    named = F.regexp_extract_all("html", F.lit(r"""(?is)<[a-z][^>]*?\sdata-(?:product-api|product-json|json-url|api-url)=["'][^"']+["'][^>]*>"""), 0)
+    tag = lambda t, name: F.struct(F.lit(name).alias("kind"), F.regexp_extract(t, rf"""(?is)\s{name}=["']([^"']+)""", 1).alias("href"))
+    own = F.flatten(F.transform(named, lambda t: F.array(*(tag(t, n) for n in ("data-product-api", "data-product-json", "data-json-url", "data-api-url")))))
+    heads = F.filter(F.regexp_extract_all("html", F.lit(r"(?is)<link\b[^>]*>"), 0), lambda t: t.rlike(r"""(?is)\srel=["'](?:[^"']*\s)?alternate[\s"']""") & t.rlike(r"""(?is)\stype=["'][^"']*(?:application|text)/(?:[a-z0-9.+-]*\+)?json"""))
+    found = F.filter(F.concat(own, F.transform(heads, lambda t: tag(t, "href"))), lambda x: x["href"] != "")
+    rows = pages.select("page_id", "ean", host(F.col("url")).alias("page_host"), F.regexp_extract("url", r"^(https?://[^/?#]+)", 1).alias("root"), F.explode(found).alias("t"))
+    kind, href = F.col("t.kind"), F.replace(F.col("t.href"), F.lit("&amp;"), F.lit("&"))
     rows = rows.withColumn("link", without_fragment(F.when(href.startswith("/"), F.concat("root", href)).otherwise(href)))
     open_ = ~F.col("link").rlike(r"(?i)/(account|admin|auth|checkout|login|oauth|session)(/|$|\?)") & ~F.col("link").rlike(r"(?i)[?&][^=&]*(token|secret|auth|signature|session|password|passcode|api[_-]?key|access[_-]?key|jwt)[^=&]*=")
-    base = F.when(kind.contains("product"), 11).when(kind.contains("json"), 9).otherwise(8)
+    base = F.when(kind == "href", 12).when(kind.contains("product"), 11).when(kind.contains("json"), 9).otherwise(8)
     score = base + F.when(F.col("link").rlike(r"(?i)/api/|\.json(/|$)|product|catalog|item|search"), 3).otherwise(0) + F.when(F.contains("link", "ean"), 8).otherwise(0)
     ok = rows.where((host(F.col("link")) == F.col("page_host")) & open_).groupBy("page_id", "link").agg(F.max(score).alias("score"))
     w = Window.partitionBy("page_id").orderBy(F.desc("score"), "link")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.functions import scalars as S
-from pricetide.operators import crawl, pages, policy, schedule
+from pricetide.operators import crawl, links, offers, pages, policy, schedule
 from pricetide.plans.reference_queries import _URL_HOST, NOW, _robots, pages_query, query
 
 _KIND_HOST = "CASE {0} % 5 WHEN 0 THEN 'amazon.s' || {0} || '.example' WHEN 1 THEN 'temu.s' || {0} || '.example' ELSE 'shop-' || {0} || '.example' END"
@@ -128,7 +128,7 @@ def _shop_pages(products: DataFrame) -> DataFrame:
     offer = "CASE WHEN product_id % 3 = 0 THEN '' ELSE '\"price\":\"' || format_string('%.2f', own_price_cents / 100) || '\",' END"
     data = f"""'{{"@graph":[{{"@type":"WebSite","name":"shop"}},{{"@type":["Product"],"name":"' || name || '","gtin13":"' || CASE WHEN product_id % 2 = 0 THEN ean ELSE '0000000000000' END
         || '","offers":[{{' || {offer} || '"priceCurrency":"EUR","availability":"https://schema.org/InStock"}}]}}]}}'"""
-    text = "'<p>EAN ' || ean || '</p><p>Our price: 9.99 EUR</p><p>Shipping price 4.90 EUR</p>'"
+    text = "'<p>EAN ' || ean || '</p><p>Our price: 9.99 EUR</p><p>Sold by the shop itself, with a two-year warranty.</p><p>Shipping price 4.90 EUR</p>'"
     api = """'<div data-product-api="/api/item/' || ean || '"></div><i data-json-url="/x.json?token=1"></i><i data-api-url="https://' || host || '/login/x"></i>'"""
     return products.selectExpr("id AS page_id", "ean", "name", "website_url AS url", f"'<script type=\"application/ld+json\">' || {data} || '</script>' || {text} || {api} AS html")
 
@@ -144,18 +144,18 @@ def _(products: DataFrame) -> DataFrame:
     "SELECT id AS page_id, ean, CASE WHEN product_id % 3 <> 0 THEN own_price_cents END AS price_cents, 'EUR' AS currency, true AS in_stock, product_id % 2 = 0 AS exact_ean, CASE WHEN product_id % 2 = 0 THEN 260 ELSE 0 END + 98.0 + CASE WHEN product_id % 3 <> 0 THEN 24 ELSE 0 END AS score FROM products",
 )
 def _(products: DataFrame) -> DataFrame:
-    return pages.structured_candidates(_shop_pages(products)).select("page_id", "ean", "price_cents", "currency", "in_stock", "exact_ean", "score")
+    return offers.structured_candidates(_shop_pages(products)).select("page_id", "ean", "price_cents", "currency", "in_stock", "exact_ean", "score")
 
 
 @query("pages_context_prices", "products", "SELECT id AS page_id, 999 AS price_cents, 'EUR' AS currency, 72 AS score FROM products")
 def _(products: DataFrame) -> DataFrame:
-    return pages.context_prices(_shop_pages(products))
+    return pages.context_prices(_shop_pages(products)).drop("source")
 
 
 @query("pages_select_offer", "products", "SELECT id AS page_id, CASE WHEN product_id % 3 = 0 THEN 999 ELSE own_price_cents END AS price_cents, 'EUR' AS currency, CASE WHEN product_id % 3 = 0 THEN 'ean-context' ELSE 'structured' END AS source FROM products")
 def _(products: DataFrame) -> DataFrame:
     made = _shop_pages(products)
-    return pages.select_offer(pages.structured_candidates(made), pages.context_prices(made).withColumn("source", F.lit("ean-context")))
+    return pages.select_offer(offers.structured_candidates(made), pages.context_prices(made))
 
 
 @query("pages_public_data_urls", "products", "SELECT id AS page_id, 'https://www.' || host || '/api/item/' || ean AS link, 22 AS score FROM products")
@@ -189,3 +189,36 @@ def _(products: DataFrame) -> DataFrame:
     offers = products.where("product_id % 5 < 2").selectExpr("id", "CASE WHEN product_id % 5 = 0 THEN own_price_cents END AS price_cents")
     seen = products.where("product_id % 5 > 1 AND product_id % 5 < 4").selectExpr("id", "explode(CASE WHEN product_id % 5 = 2 THEN array('captcha', 'login_wall') ELSE array('captcha', NULL) END) AS challenge")
     return pages.classify_results(products, offers, seen)
+
+
+def _match_pages(products: DataFrame) -> DataFrame:
+    """Pages of products in four kinds: linked data, a price element beside the code, a bare element that a selector names, and neither."""
+    data = """'<script type="application/ld+json">{"@type":"Product","name":"' || name || '","gtin13":"' || ean || '","offers":{"price":"' || price || '","priceCurrency":"EUR","availability":"OutOfStock"}}</script>'"""
+    made = products.withColumn("price", F.expr("format_string('%.2f', own_price_cents / 100)"))
+    html = f"""CASE product_id % 4 WHEN 0 THEN {data} WHEN 1 THEN '<h1>' || name || '</h1><p>EAN ' || ean || '</p><span class="price-now">' || price || ' EUR</span><p>in stock</p>' WHEN 2 THEN '<h1>' || name || '</h1><em id="cost">' || price || ' EUR</em>' ELSE '<p>-</p>' END"""
+    return made.selectExpr("id AS page_id", "website_url AS url", f"{html} AS html", "ean", "name")
+
+
+@query(
+    "pages_match",
+    "products",
+    """SELECT id AS page_id, product_id % 4 < 2 AS ean_match, CASE WHEN product_id % 4 < 3 THEN own_price_cents END AS price_cents, CASE WHEN product_id % 4 < 3 THEN 'EUR' END AS currency, CASE product_id % 4 WHEN 0 THEN false WHEN 1 THEN true END AS in_stock,
+    CASE product_id % 4 WHEN 0 THEN 'structured' WHEN 1 THEN 'product-element' WHEN 2 THEN 'profile-selector' END AS price_source, product_id % 4 = 0 AS structured FROM products""",
+)
+def _(products: DataFrame) -> DataFrame:
+    rules = products.select(S.host(F.col("website_url")).alias("host")).distinct().withColumn("price_selector", F.lit("#cost"))
+    return offers.match_pages(_match_pages(products), rules).select("page_id", "ean_match", "price_cents", "currency", "in_stock", "price_source", "structured")
+
+
+_NESTED = """'<style>.trap-' || {0} || ' {{ display: none }}</style><a href="/open">o</a><div class="x trap-' || {0} || '"><p><a href="/trap/' || {0} || '">t</a></p><a href="/open">o</a></div><span hidden><a href="/gone">g</a></span>'"""
+
+
+@query("pages_hidden_links", "products", "SELECT id AS page_id, unnest(['/trap/' || product_id, '/gone']) AS link FROM products")
+def _(products: DataFrame) -> DataFrame:
+    return links.hidden_links(products.selectExpr("id AS page_id", f"{_NESTED.format('product_id')} AS html"))
+
+
+@query("pages_likely_links", "products", "SELECT id AS page_id, website_url || unnest(['canonical', 'p/' || ean]) AS link, unnest([30, 24]) AS score FROM products")
+def _(products: DataFrame) -> DataFrame:
+    html = f"""'<link rel="canonical" href="/canonical"><a href="/p/' || ean || '">buy</a><a href="/about">us</a>' || {_NESTED.format('ean')}"""
+    return links.likely_links(products.selectExpr("id AS page_id", "website_url AS url", f"{html} AS html", "ean", "'Zz' AS name")).drop("n")
