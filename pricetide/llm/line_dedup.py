@@ -9,14 +9,17 @@ from pricetide.llm.common import cut, fresh, stored, whole
 
 #: Least tokens of a template, and of one with a variable half; least documents and sketches; least sketches a document.
 TOKENS, HALF_TOKENS, DOCUMENTS, VARIETY = 4, 12, 3, 0.5
+#: The mark of an exact leaf in a template's hash.
+EXACT = 2
 
 
 def templates(docs: DataFrame, id_col: str, text_col: str, tokens: int, half_tokens: int) -> DataFrame:
-    """k (hash of id and text), id, and x: for each line its templates' hashes, null where a line has none.
+    """k (hash of id and text), id, h (hash of the text), and x: for each line its templates' hashes, null where a line has none.
 
     The tree's first level is the number of tokens, the next two the leading
     tokens. Tokens that hold a digit are variable. Below, a line has its exact
     leaf, and two leaves in which one half of its further tokens is variable.
+    Bit 1 of a hash tells exact leaves from the others.
     """
     masked = lambda line: F.split(F.trim(F.regexp_replace(line, r"[^ \t\r]*[0-9][^ \t\r]*", "<*>")), r"[ \t\r]+")
 
@@ -25,13 +28,14 @@ def templates(docs: DataFrame, id_col: str, text_col: str, tokens: int, half_tok
         half = F.floor((n - 2) / 2).cast("int")
         first, second = F.slice(t, 3, half), F.slice(t, half + 3, n)
         lead = [n, F.get(t, 0), F.get(t, 1)]
-        exact = F.when(n >= tokens, F.xxhash64(F.lit("exact"), t))
-        keep_first = F.when(n >= half_tokens, F.xxhash64(F.lit("first"), *lead, first))
-        keep_second = F.when(n >= half_tokens, F.xxhash64(F.lit("second"), *lead, second))
+        marked = lambda mark, *c: F.xxhash64(*c).bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(mark).cast("long"))
+        exact = F.when(n >= tokens, marked(EXACT, F.lit("exact"), t))
+        keep_first = F.when(n >= half_tokens, marked(0, F.lit("first"), *lead, first))
+        keep_second = F.when(n >= half_tokens, marked(0, F.lit("second"), *lead, second))
         return F.struct(exact.alias("exact"), keep_first.alias("a"), keep_second.alias("b"))
 
-    rows = docs.select(F.xxhash64(id_col, text_col).alias("k"), F.col(id_col).alias("id"), F.transform(F.split(whole(F.col(text_col)), "\n"), masked).alias("t"))
-    return rows.select("k", "id", F.transform("t", leaves).alias("x"))
+    rows = docs.select(F.xxhash64(id_col, text_col).alias("k"), F.col(id_col).alias("id"), F.xxhash64(whole(F.col(text_col))).alias("h"), F.transform(F.split(whole(F.col(text_col)), "\n"), masked).alias("t"))
+    return rows.select("k", "id", "h", F.transform("t", leaves).alias("x"))
 
 
 def line_dedup(
@@ -47,13 +51,18 @@ def line_dedup(
 
     A template recurs if at least `documents` documents hold it that have at
     least `documents`, and `variety` times their number, of different sketches.
-    A document's sketch is its smallest template hash but the line's own: whole
-    copies of a document share it, so copies alone make no template recur, and
-    are left for the near-duplicate stage. Of a recurring template the document
-    with the smallest id keeps its lines; all others lose theirs.
-
-    Counts are added up in map tasks by template and sketch before they move, so
-    a line in a third of all documents costs as much as any other. The templates
+    A document's sketch is its rarest exact template, if fewer documents hold
+    that than the template in question, else its whole text. The lines of one
+    passage, which the same documents hold, so never stand for each other. Whole
+    copies of a document share their sketch, so copies alone make no template
+    recur, and are left for the near-duplicate stage; copies that differ in a
+    line are different documents. Of a recurring template the document with the
+    smallest id keeps its lines; all others lose theirs.
+
+    Counts are added up in map tasks, by template and then by template and
+    sketch, before they move, so a line in a third of all documents costs as much
+    as any other. Only templates of two documents or more go on from the first
+    count; they meet their documents in a merge join at every size. The templates
     that recur are a table of their own, which Spark broadcasts only if its size
     is under the session's limit; else it joins, splitting hot keys. The lines to
     drop meet the texts in a merge join at every size.
@@ -65,11 +74,17 @@ def line_dedup(
     """
     doc = cut(templates(docs, id_col, text_col, tokens, half_tokens))
     keys = F.array_distinct(F.filter(F.flatten(F.transform("x", lambda s: F.array(s["exact"], s["a"], s["b"]))), lambda v: v.isNotNull()))
-    exact = F.array_sort(F.array_distinct(F.filter(F.transform("x", lambda s: s["exact"]), lambda v: v.isNotNull())))
-    sketched = doc.select("id", keys.alias("keys"), exact.alias("exact")).select("id", "keys", F.get("exact", 0).alias("m1"), F.get("exact", 1).alias("m2"))
-    lines = sketched.select("id", "m1", "m2", F.explode("keys").alias("key"))
-    sketch = F.when(F.col("key") == F.col("m1"), F.col("m2")).otherwise(F.col("m1"))
-    by_sketch = lines.withColumn("sketch", sketch).groupBy("key", "sketch").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    lines = doc.select("k", F.explode(keys).alias("key"))
+    common = stored(lines.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    held = lines.join(common.hint("merge"), "key").groupBy("k").agg(F.collect_set(F.struct("n", "key")).alias("held"))
+    own = F.size(F.array_distinct(F.array_compact(F.transform("x", lambda s: s["exact"]))))
+    facts = doc.select("k", "id", "h", own.alias("own")).groupBy("k").agg(F.min("id").alias("id"), F.min("h").alias("h"), F.max("own").alias("own"))
+    exact = F.filter("held", lambda t: t["key"].bitwiseAND(F.lit(EXACT)) > 0)
+    # a template that no other document holds is as good as any other of its kind: the document's hash stands for it
+    rarest = F.when(F.size(exact) < F.col("own"), F.struct(F.lit(1).cast("long").alias("n"), F.col("k").alias("key"))).otherwise(F.array_min(exact))
+    contexts = held.join(facts.hint("merge"), "k").select("id", "h", rarest.alias("r"), F.explode("held").alias("t"))
+    sketch = F.when(F.col("r.n") < F.col("t.n"), F.col("r.key")).otherwise(F.col("h"))
+    by_sketch = contexts.select("id", "t.key", sketch.alias("sketch")).groupBy("key", "sketch").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     counts = by_sketch.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sketches"), F.min("first").alias("first"))
     recurs = (F.col("n") >= documents) & (F.col("sketches") >= documents) & (F.col("sketches") >= F.col("n") * variety)
     recurring = stored(counts.where(recurs).select("key", "first"))

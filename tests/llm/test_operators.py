@@ -324,6 +324,24 @@ def test_line_dedup_variable_half(spark):
     assert got["n_dropped"].tolist() == [0, 1, 1, 1, 1, 1]
 
 
+@pytest.mark.parametrize("shared, own", [(1, 4), (3, 2), (5, 1), (5, 5), (7, 3), (10, 1), (10, 5), (3, 0)])
+def test_line_dedup_passages(spark, shared, own):
+    """Passages of several lines against brute force; where a document has no other line, its title of two tokens is its own."""
+    passages = [[prose(9, 7000 + 100 * p + k) for k in range(shared)] for p in range(4)]
+    texts = []
+    for i in range(60):
+        lines = [prose(9, 100_000 + 100 * i + k) for k in range(own)]
+        texts.append("\n".join([f"Title {i}", *lines[: i % 3], *passages[i % 4], *lines[i % 3 :]]))
+    first = {}
+    want = []
+    for i, text in enumerate(texts):
+        lines = text.split("\n")
+        want.append([x for x in lines if len(x.split()) < 4 or first.setdefault(x, i) == i])
+    got = line_dedup.line_dedup(docs_of(spark, texts)).toPandas().set_index("doc_id").sort_index()
+    kept = sum(len(set(got.loc[i, "text"].split("\n")) & set(passages[i % 4])) for i in range(4, 60)) / (56 * shared)
+    assert kept == 0 and [got.loc[i, "text"].split("\n") for i in range(60)] == want
+
+
 def test_line_dedup_odd(odd, none):
     got = line_dedup.line_dedup(odd)
     assert got.columns == [*odd.columns, "n_lines", "n_dropped"] and got.count() == odd.count()
