@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from pricetide.llm.common import cut, fresh, stored, whole
 
-#: Least tokens of a template, and of one with a variable half; least documents and sketches; least sketches a document.
-TOKENS, HALF_TOKENS, DOCUMENTS, VARIETY = 4, 12, 3, 0.5
-#: The mark of an exact leaf in a template's hash.
-EXACT = 2
+#: Least tokens of a template, and of one with a variable half; least different documents; tokens of an exact line for which two suffice.
+TOKENS, HALF_TOKENS, DOCUMENTS, LONG_TOKENS = 4, 12, 3, 50
+#: The marks of an exact leaf, and of a long one, in a template's hash.
+EXACT, LONG = 2, 1
 
 
-def templates(docs: DataFrame, id_col: str, text_col: str, tokens: int, half_tokens: int) -> DataFrame:
+def templates(docs: DataFrame, id_col: str, text_col: str, tokens: int, half_tokens: int, long_tokens: int) -> DataFrame:
     """k (hash of id and text), id, h (hash of the text), and x: for each line its templates' hashes, null where a line has none.
 
     The tree's first level is the number of tokens, the next two the leading
     tokens. Tokens that hold a digit are variable. Below, a line has its exact
     leaf, and two leaves in which one half of its further tokens is variable.
-    Bit 1 of a hash tells exact leaves from the others.
+    Bit 1 of a hash tells exact leaves from the others, bit 0 long exact leaves.
     """
     masked = lambda line: F.split(F.trim(F.regexp_replace(line, r"[^ \t\r]*[0-9][^ \t\r]*", "<*>")), r"[ \t\r]+")
 
@@ -28,10 +28,10 @@ def templates(docs: DataFrame, id_col: str, text_col: str, tokens: int, half_tok
         half = F.floor((n - 2) / 2).cast("int")
         first, second = F.slice(t, 3, half), F.slice(t, half + 3, n)
         lead = [n, F.get(t, 0), F.get(t, 1)]
-        marked = lambda mark, *c: F.xxhash64(*c).bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(mark).cast("long"))
-        exact = F.when(n >= tokens, marked(EXACT, F.lit("exact"), t))
-        keep_first = F.when(n >= half_tokens, marked(0, F.lit("first"), *lead, first))
-        keep_second = F.when(n >= half_tokens, marked(0, F.lit("second"), *lead, second))
+        marked = lambda mark, *c: F.xxhash64(*c).bitwiseAND(F.lit(-4)).bitwiseOR(mark.cast("long"))
+        exact = F.when(n >= tokens, marked(F.when(n >= long_tokens, EXACT + LONG).otherwise(EXACT), F.lit("exact"), t))
+        keep_first = F.when(n >= half_tokens, marked(F.lit(0), F.lit("first"), *lead, first))
+        keep_second = F.when(n >= half_tokens, marked(F.lit(0), F.lit("second"), *lead, second))
         return F.struct(exact.alias("exact"), keep_first.alias("a"), keep_second.alias("b"))
 
     rows = docs.select(F.xxhash64(id_col, text_col).alias("k"), F.col(id_col).alias("id"), F.xxhash64(whole(F.col(text_col))).alias("h"), F.transform(F.split(whole(F.col(text_col)), "\n"), masked).alias("t"))
@@ -45,12 +45,13 @@ def line_dedup(
     tokens: int = TOKENS,
     half_tokens: int = HALF_TOKENS,
     documents: int = DOCUMENTS,
-    variety: float = VARIETY,
+    long_tokens: int = LONG_TOKENS,
 ) -> DataFrame:
     """`docs` without the lines of recurring templates; all its columns, then n_lines and n_dropped.
 
-    A template recurs if at least `documents` documents hold it that have at
-    least `documents`, and `variety` times their number, of different sketches.
+    A template recurs if documents of at least `documents` different sketches hold
+    it, or of two if it is a whole line of `long_tokens` tokens or more; how many
+    documents share a sketch doesn't count.
     A document's sketch is its rarest exact template, if fewer documents hold
     that than the template in question, else its whole text. The lines of one
     passage, which the same documents hold, so never stand for each other. Whole
@@ -72,7 +73,7 @@ def line_dedup(
     text. Null ids come last in the choice of the first document. Repeated rows
     are treated alike. An empty table gives an empty result.
     """
-    doc = cut(templates(docs, id_col, text_col, tokens, half_tokens))
+    doc = cut(templates(docs, id_col, text_col, tokens, half_tokens, long_tokens))
     keys = F.array_distinct(F.filter(F.flatten(F.transform("x", lambda s: F.array(s["exact"], s["a"], s["b"]))), lambda v: v.isNotNull()))
     lines = doc.select("k", F.explode(keys).alias("key"))
     common = stored(lines.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
@@ -84,9 +85,9 @@ def line_dedup(
     rarest = F.when(F.size(exact) < F.col("own"), F.struct(F.lit(1).cast("long").alias("n"), F.col("k").alias("key"))).otherwise(F.array_min(exact))
     contexts = held.join(facts.hint("merge"), "k").select("id", "h", rarest.alias("r"), F.explode("held").alias("t"))
     sketch = F.when(F.col("r.n") < F.col("t.n"), F.col("r.key")).otherwise(F.col("h"))
-    by_sketch = contexts.select("id", "t.key", sketch.alias("sketch")).groupBy("key", "sketch").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    counts = by_sketch.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sketches"), F.min("first").alias("first"))
-    recurs = (F.col("n") >= documents) & (F.col("sketches") >= documents) & (F.col("sketches") >= F.col("n") * variety)
+    by_sketch = contexts.select("id", "t.key", sketch.alias("sketch")).groupBy("key", "sketch").agg(F.min("id").alias("first"))
+    counts = by_sketch.groupBy("key").agg(F.count(F.lit(1)).alias("sketches"), F.min("first").alias("first"))
+    recurs = F.col("sketches") >= F.when(F.col("key").bitwiseAND(F.lit(LONG)) > 0, min(2, documents)).otherwise(documents)
     recurring = stored(counts.where(recurs).select("key", "first"))
 
     k, gone = fresh(docs, "_k", "_dropped")

@@ -342,6 +342,24 @@ def test_line_dedup_passages(spark, shared, own):
     assert kept == 0 and [got.loc[i, "text"].split("\n") for i in range(60)] == want
 
 
+def test_line_dedup_copies_outvote_none(spark):
+    """A passage in a document with many copies and in others recurs; lines of the copies alone don't."""
+    passage = prose(12, 61)
+    copied = "\n".join([prose(12, 62), passage, prose(12, 63)])
+    others = ["\n".join([prose(12, 900 + i), passage]) for i in range(4)]
+    got = line_dedup.line_dedup(docs_of(spark, [copied] * 40 + others)).toPandas().set_index("doc_id").sort_index()
+    assert got["n_dropped"].tolist() == [0] + [1] * 43
+    assert all(len(got.loc[i, "text"].split("\n")) == 2 for i in range(1, 40))
+
+
+def test_line_dedup_two_documents(spark):
+    """A long line goes if two different documents hold it, a short one if three do; two copies keep theirs."""
+    long, short = prose(50, 71), prose(49, 72)
+    texts = [f"{prose(12, 80)}\n{long}\n{short}", f"{prose(12, 81)}\n{long}\n{short}", prose(70, 82), prose(70, 82)]
+    got = line_dedup.line_dedup(docs_of(spark, texts)).toPandas().set_index("doc_id").sort_index()
+    assert got["n_dropped"].tolist() == [0, 1, 0, 0] and got.loc[1, "text"] == f"{prose(12, 81)}\n{short}"
+
+
 def test_line_dedup_odd(odd, none):
     got = line_dedup.line_dedup(odd)
     assert got.columns == [*odd.columns, "n_lines", "n_dropped"] and got.count() == odd.count()
