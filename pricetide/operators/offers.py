@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.functions.scalars import confidence, confidence_label, contains_barcode, digits, name_score, normalize_currency, price_cents
-from pricetide.operators.pages import context_prices, element_prices, json_nodes, meta_prices, profile_prices, signals, title, visible
+from pricetide.operators.pages import JSON_DEPTH, context_prices, element_prices, json_nodes, meta_prices, profile_prices, signals, title, visible
 
 # Keys (in lower case, without marks) that hold identifiers, names and addresses; containers of prices.
 CODES = ("gtin", "gtin8", "gtin12", "gtin13", "gtin14", "ean", "ean8", "ean13", "ean14", "barcode", "productid", "sku", "mpn")
@@ -72,7 +72,7 @@ def _generic_price(fields: Column) -> Column:
     return F.array_max(F.filter(made, lambda c: (c["cents"] > 0) & (c["cents"] < MOST_CENTS)))["cents"]
 
 
-def structured_candidates(pairs: DataFrame, depth: int = 6) -> DataFrame:
+def structured_candidates(pairs: DataFrame, depth: int = JSON_DEPTH) -> DataFrame:
     """page_id, path, ean, title, link, price_cents, currency, in_stock, exact_ean, name_score, score: a page's product nodes.
 
     Nodes of a product's type score 260 for the wanted code, 90 times the share
@@ -127,7 +127,7 @@ def price_candidates(pairs: DataFrame) -> DataFrame:
     return best.select("page_id", "price_cents", "currency", "b.score", "b.source")
 
 
-def match_pages(pairs: DataFrame, profiles: DataFrame, depth: int = 6) -> DataFrame:
+def match_pages(pairs: DataFrame, profiles: DataFrame, depth: int = JSON_DEPTH) -> DataFrame:
     """One row for each page paired with a wanted product: identity, offer, stock and confidence.
 
     Identity is the code (in a product node or the visible text), or a share of

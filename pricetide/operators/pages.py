@@ -154,6 +154,10 @@ def context_prices(pairs: DataFrame, around: int = 1800, around_name: int = 1400
     return best.select("page_id", "price_cents", "currency", F.col("b.score").alias("score"), F.when(F.col("b.col2"), "ean-context").otherwise("name-context").alias("source"))
 
 
+#: Levels of a JSON document, arrays included, below its top.
+JSON_DEPTH = 14
+
+
 def json_documents(html: Column) -> Column:
     """Texts of a page's JSON scripts (linked data, plain JSON and the state of two known frameworks), or the page itself if it is JSON."""
     scripts = F.arrays_zip(F.regexp_extract_all(html, F.lit(r"(?is)<script\b([^>]*)>(.*?)</script>"), 1).alias("head"), F.regexp_extract_all(html, F.lit(r"(?is)<script\b([^>]*)>(.*?)</script>"), 2).alias("body"))
@@ -161,7 +165,7 @@ def json_documents(html: Column) -> Column:
     return F.when(html.rlike(r"(?s)^\s*(\{.*\}|\[.*\])\s*$"), F.array(html)).otherwise(F.transform(data, lambda s: s["body"]))
 
 
-def json_nodes(pages: DataFrame, depth: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
+def json_nodes(pages: DataFrame, depth: int = JSON_DEPTH, keep: tuple[str, ...] = ()) -> DataFrame:
     """page_id, the columns to keep, path, node: every JSON object down to `depth` levels in a page's JSON documents; bad JSON has none."""
     kept = "".join(f", `{c}`" for c in keep)
     rows = pages.select("page_id", *keep, F.posexplode(json_documents(F.col("html"))).alias("place", "text"))

@@ -147,6 +147,19 @@ def _(products: DataFrame) -> DataFrame:
     return offers.structured_candidates(_shop_pages(products)).select("page_id", "ean", "price_cents", "currency", "in_stock", "exact_ean", "score")
 
 
+def _deep_pages(products: DataFrame) -> DataFrame:
+    """A page of each product whose framework state holds it ten levels deep, and its offer twelve."""
+    outer = ("props", "pageProps", "state", "initial", "cache", "catalog", "data", "list")
+    head, tail = "".join(f'{{"{k}":' for k in outer), "}" * len(outer)
+    data = f"""'{head}{{"products":[{{"@type":"Product","name":"' || name || '","gtin13":"' || ean || '","offers":[{{"price":"' || format_string('%.2f', own_price_cents / 100) || '","priceCurrency":"EUR","availability":"InStock"}}]}}]}}{tail}'"""
+    return products.selectExpr("id AS page_id", "ean", "name", "website_url AS url", f"'<script id=\"__NEXT_DATA__\" type=\"application/json\">' || {data} || '</script>' AS html")
+
+
+@query("pages_deep_candidates", "products", "SELECT id AS page_id, '0/props/pageProps/state/initial/cache/catalog/data/list/products/0' AS path, ean, own_price_cents AS price_cents, 'EUR' AS currency, true AS in_stock, true AS exact_ean FROM products")
+def _(products: DataFrame) -> DataFrame:
+    return offers.structured_candidates(_deep_pages(products)).select("page_id", "path", "ean", "price_cents", "currency", "in_stock", "exact_ean")
+
+
 @query("pages_context_prices", "products", "SELECT id AS page_id, 999 AS price_cents, 'EUR' AS currency, 72 AS score FROM products")
 def _(products: DataFrame) -> DataFrame:
     return pages.context_prices(_shop_pages(products)).drop("source")

@@ -1,6 +1,7 @@
 """Links that pages hide, structured offers and matches of pages, on pinned cases."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from pricetide.operators import links, offers, pages
 
@@ -49,6 +50,28 @@ def test_likely_links(spark):
     assert [(r["link"], r["score"]) for r in got] == [(f"{root}/c", 30), (f"{root}/p/{EAN}", 24), (f"{root}/a/item?v=1&w=2", 2), (f"{root}/sale", 2)]
 
 
+def deep(inner, levels):
+    """`inner` below so many levels, every other one an array."""
+    for i in range(levels):
+        inner = f"[{inner}]" if i % 2 else f'{{"k{i}":{inner}}}'
+    return inner
+
+
+def test_deep_nodes(spark):
+    """Products 10 and 14 levels deep count in nodes, candidates, offers and matches; one at 15 doesn't, as in the reference."""
+    product = f'{{"@type":"Product","name":"{NAME}","gtin13":"{EAN}","price":"8.50","offers":{{"price":"8.50","priceCurrency":"EUR"}}}}'
+    pairs = pairs_of(spark, [ld(deep(product, n)) for n in (6, 10, 14, 15)])
+    nodes = pages.json_nodes(pairs).groupBy("page_id").agg(F.max(F.size(F.split("path", "/"))).alias("n"))
+    assert {r["page_id"]: r["n"] - 1 for r in nodes.collect()} == {0: 7, 1: 11, 2: 14, 3: 14}
+    found = offers.structured_candidates(pairs).select("page_id", "price_cents").cache()
+    assert sorted(map(tuple, found.collect())) == [(0, 850), (1, 850), (2, 850)]
+    chosen = pages.select_offer(offers.structured_candidates(pairs), pages.context_prices(pairs)).collect()
+    assert sorted((r["page_id"], r["price_cents"]) for r in chosen) == [(0, 850), (1, 850), (2, 850)]
+    rules = spark.createDataFrame([], "host string, price_selector string")
+    match = {r["page_id"]: (r["structured"], r["price_cents"]) for r in offers.match_pages(pairs, rules).collect()}
+    assert match == {0: (True, 850), 1: (True, 850), 2: (True, 850), 3: (False, None)}
+
+
 def test_structured_candidates(spark):
     cases = [
         ld(f'{{"@type":"product","name":"{NAME}","gtin13":["1","{EAN}"],"offers":[{{"price":"9"}},{{"price":"8.50","salePrice":"7,50","priceCurrency":"eur","availability":"InStock"}}]}}'),
