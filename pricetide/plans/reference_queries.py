@@ -573,6 +573,38 @@ def _(products: DataFrame, schedules: DataFrame) -> DataFrame:
     return schedule.advance(few, left, NOW)
 
 
+def _all_due(schedules: DataFrame) -> DataFrame:
+    """Every schedule that is due, as many as there are."""
+    t = F.lit(NOW).cast("timestamp_ntz")
+    return schedules.where(F.col("enabled") & (F.col("next_run_at") <= t) & (F.col("lease_until").isNull() | (F.col("lease_until") <= t)))
+
+
+_DUE = f"SELECT * FROM schedules WHERE enabled AND next_run_at <= TIMESTAMP '{NOW}' AND (lease_until IS NULL OR lease_until <= TIMESTAMP '{NOW}')"
+_CYCLE_DUE = _CYCLE.replace("FROM schedules", f"FROM ({_DUE})").replace("JOIN schedules s", f"JOIN ({_DUE}) s")
+
+
+@query("schedule_all_cycle_products", "products schedules", f"SELECT schedule_id, id, host, last_checked_at FROM ({_CYCLE_DUE})")
+def _(products: DataFrame, schedules: DataFrame) -> DataFrame:
+    return schedule.cycle_products(products, _all_due(schedules))
+
+
+@query(
+    "schedule_all_tick_pick",
+    "products schedules",
+    f"""SELECT schedule_id, id, host, turn FROM (SELECT *, ((pos - cursor_index) % hosts + hosts) % hosts AS turn FROM (SELECT o.*, row_number() OVER (PARTITION BY schedule_id ORDER BY o.host) - 1 AS pos, count(*) OVER (PARTITION BY schedule_id) AS hosts, s.cursor_index
+    FROM (SELECT * FROM ({_CYCLE_DUE}) QUALIFY row_number() OVER (PARTITION BY schedule_id, host ORDER BY last_checked_at ASC NULLS LAST, id) = 1) o JOIN schedules s ON s.id = o.schedule_id)) WHERE turn < 4""",
+)
+def _(products: DataFrame, schedules: DataFrame) -> DataFrame:
+    return schedule.tick_pick(products, _all_due(schedules))
+
+
+@query("schedule_all_advance", "products schedules", f"SELECT s.id, CASE WHEN coalesce(n, 0) > 0 THEN next_run_at ELSE TIMESTAMP '{NOW}' + to_minutes(cadence_minutes) END AS next_run_at, CASE WHEN coalesce(n, 0) > 0 THEN cursor_index + 4 ELSE 0 END AS cursor_index, coalesce(n, 0) AS remaining FROM ({_DUE}) s LEFT JOIN (SELECT schedule_id, count(*) AS n FROM ({_CYCLE_DUE}) GROUP BY ALL) c ON c.schedule_id = s.id")
+def _(products: DataFrame, schedules: DataFrame) -> DataFrame:
+    every = _all_due(schedules)
+    left = schedule.cycle_products(products, every).groupBy("schedule_id").agg(F.count("*").alias("remaining"))
+    return schedule.advance(every, left, NOW)
+
+
 @query("schedule_ensure_default", "websites schedules", "SELECT DISTINCT owner, 'all' AS target_mode, 1440 AS cadence_minutes FROM websites WHERE owner NOT IN (SELECT owner FROM schedules WHERE target_mode = 'all' AND id % 20 < 12)")
 def _(websites: DataFrame, schedules: DataFrame) -> DataFrame:
     return schedule.ensure_default(websites.select("owner").distinct(), schedules.where("id % 20 < 12"))

@@ -11,6 +11,7 @@ from pricetide.functions import scalars as S
 from pricetide.operators import alerts, catalog, history, ops, pages, policy, schedule, tables
 from pricetide.plans import registry
 from pricetide.plans.adapters import domain
+from pricetide.plans.reference_queries import NOW
 from pricetide.sources import readers, sinks
 from pricetide.streaming import jobs
 
@@ -176,6 +177,13 @@ def test_schema_drift(spark, sf_dir):
     assert sorted(map(tuple, tables.schema_drift(tables_, required).collect())) == [("moon", "m_id"), ("region", "r_area")]
 
 
+def test_all_due_schedules(spark, sf_dir):
+    """The whole-table queries hold every due schedule, not the first 40."""
+    s = domain(spark, sf_dir, "schedules")
+    due = {r["id"] for r in s.where(F.expr(f"enabled AND next_run_at <= TIMESTAMP_NTZ '{NOW}' AND (lease_until IS NULL OR lease_until <= TIMESTAMP_NTZ '{NOW}')")).select("id").collect()}
+    assert len(due) > 40 and {r["id"] for r in registry.queries()["schedule_all_advance"](spark, sf_dir).select("id").collect()} == due
+
+
 def test_json_nodes_odd(spark):
     ld = '<script type="application/ld+json">{}</script>'
     rows = [(1, None), (2, ""), (3, ld.format("{bad")), (4, ld.format('[{"a":{"b":[{"c":null}]}},3]')), (5, ld.format('"text"'))]
