@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from pricetide.llm.common import cut
 
-#: Rows of a shard, about; queries of a block; edges of a node; beam of building and searching; slack of the pruning.
-SHARD, BLOCK, DEGREE, BUILD_BEAM, BEAM, ALPHA = 4096, 4096, 32, 48, 96, 1.2
+#: Rows of a shard, about; queries of a block (the index moves once a block); edges of a node; beam of building and searching; slack of the pruning.
+SHARD, BLOCK, DEGREE, BUILD_BEAM, BEAM, ALPHA = 4096, 32_768, 32, 48, 96, 1.2
 #: Nodes that enter the graph at once.
 BATCH = 256
 
@@ -122,7 +122,10 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
     Equal vectors are one node with their `keep` smallest ids, which is as many
     as a search for `keep` - 1 neighbours can return; a vector in a third of all
-    rows costs no more than others. Shards are dealt by a hash of the vector.
+    rows costs no more than others. Shards are dealt by a hash of the vector, each
+    to a task of its own. Rows of a null id, and vectors that are null, zero, not
+    finite or of another width than most, are left out; an empty table gives an
+    empty index.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vec")).where(usable(F.col("vec")) & F.col("id").isNotNull()).distinct()
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("n") <= keep)
@@ -130,7 +133,7 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     width = nodes.agg(F.mode(F.size("vec"), True)).first()[0]
     nodes = nodes.where(F.size("vec") == (width or 0))
     shards = max(1, -(-nodes.count() // shard))
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int"))
+    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int")).repartitionById(shards, F.col("shard"))
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ids", key=lambda s: s.map(lambda v: v[0])).reset_index(drop=True)

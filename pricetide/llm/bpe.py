@@ -276,7 +276,8 @@ def bpe(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     Method: texts split into words by the vocabulary's rules. Greedy longest
     match proposes each distinct word's tokens; vectorised checks test every
     adjacent pair of proposals; words with a pair that merging would not leave
-    apart, few of them, are merged exactly. A proposal whose pairs all hold is
+    apart are merged exactly, be they few or, as in invented prose, most of the
+    distinct words. A proposal whose pairs all hold is
     what merging gives, since no merge crosses a border and each token's own
     bytes merge to it. The vocabulary, whose size its file fixes, is broadcast.
 
@@ -284,7 +285,7 @@ def bpe(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     joined by one space, as the vocabulary names no decoder), or with `digest`
     ids_sha256 and decoded_sha256. One row for each input row. Null and empty
     texts have no tokens. Rows are independent of each other; repeated ids stay
-    repeated. Other columns are not read.
+    repeated. Other columns are not read. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
 

@@ -37,10 +37,13 @@ def whole(text: Column) -> Column:
 
 
 def folder(spark: SparkSession) -> None:
-    """Sees to a checkpoint folder: the one that the cluster names, or a temporary one where none is set, as in tests."""
+    """Sees to a checkpoint folder: the one that the cluster names, or a temporary one where none is set and Spark runs on this machine alone, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -53,7 +56,8 @@ def stored(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared checkpoint folder and read again.
 
     Unlike after `cut`, Spark then knows the size, and broadcasts the table in a
-    join only if that is under spark.sql.autoBroadcastJoinThreshold.
+    join only if that is under spark.sql.autoBroadcastJoinThreshold. The files
+    stay, as those of checkpoints do, until the folder is cleared.
     """
     folder(df.sparkSession)
     path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"

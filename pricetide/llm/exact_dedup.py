@@ -21,12 +21,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Method: rows start in 2 ** (bits * rounds) blocks, dealt by a hash of their
     id. A run holds, for each digest of a block, the smallest id and the number
-    of rows. In each round a block sends its runs to the block that shares its
-    number but for one group of bits, which the digest sets; the receiver merges
-    the 2 ** bits runs that meet there. After the last round the digest alone
-    sets the block, so each digest has one entry. Digests are SHA-256; length
-    and a second hash of the text travel along, so entries merge only when all
-    three agree. Winners then go back down to the blocks and from there to the rows.
+    of rows, in the order of block and digest. In each round a block sends its
+    run to the block that shares its number but for one group of bits, which the
+    digest sets; the receiver merges the 2 ** bits runs that meet there. After
+    the last round the digest alone sets the block, so each digest has one entry.
+    Sorting and merging are Spark's: the smallest id is a minimum of a struct,
+    which Spark keeps by sort aggregates alone, so every map task sorts its run,
+    folds equal neighbours and sends it on, and the receiver's external sort
+    brings the runs together, whose neighbours fold again. Digests are SHA-256;
+    length and a second hash of the text travel along, so entries merge only
+    when all three agree. Winners then go back down to the blocks and to the rows.
 
     A group of any size is pre-aggregated in each map task and spread over all
     blocks, on the way up and down. Nothing is collected.
@@ -45,14 +49,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     block = F.pmod(F.xxhash64("id"), F.lit(size**rounds)).cast("int")
     rows = cut(hashed.select("id", F.struct("digest", "second", "n").alias("key"), block.alias("block")))
 
-    level = rows.groupBy("block", "key").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    first = F.struct(F.col("id").isNull().alias("none"), "id")
+    level = rows.groupBy("block", "key").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("group_size"))
     for turn in range(rounds):
         shift, own = turn * bits, F.conv(F.hex(F.substring("key.digest", 1, 4)), 16, 10).cast("long")
         mask = (size - 1) << shift
         to = F.col("block").bitwiseAND(F.lit(~mask)).bitwiseOR(own.bitwiseAND(F.lit(mask)).cast("int"))
-        level = level.withColumn("block", to).groupBy("block", "key").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        level = level.withColumn("block", to).groupBy("block", "key").agg(F.min("first").alias("first"), F.sum("group_size").alias("group_size"))
 
-    groups = level.where("group_size > 1").select("key", "keep_id", "group_size")
+    groups = level.where("group_size > 1").select("key", F.col("first.id").alias("keep_id"), "group_size")
     down = rows.select("block", "key").distinct().join(groups, "key")
     found = rows.join(down, ["block", "key"], "left")
     lone = F.col("group_size").isNull()

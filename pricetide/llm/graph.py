@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.llm.common import cut
+from pricetide.llm.common import cut, spread
+
+#: Tasks that the rows of one label are dealt over.
+SALTS = 64
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 200) -> DataFrame:
@@ -13,7 +16,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
 
     Each round takes the smallest label among a node's neighbours and then the
     label of that label, so that paths halve; it ends when no label changes. A
-    hub's rows are split by the skew join and pre-aggregated before they move.
+    hub's rows are split by the skew join and pre-aggregated before they move;
+    nodes that share a label meet that label's own by salts.
     """
     both = links.select(F.col(a).alias("node"), F.col(b).alias("other"))
     both = cut(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).where("node != other").distinct())
@@ -23,7 +27,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         lower = cut(lower)
         top = lower.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        jumped = cut(lower.join(top, "label", "left").select("node", "was", F.least("label", "top").alias("label")))
+        jumped = cut(spread(lower, "label", F.pmod(F.xxhash64("node"), F.lit(SALTS)), top).select("node", "was", F.least("label", "top").alias("label")))
         changed = jumped.where("label != was").limit(1).count()
         labels = jumped.select("node", "label")
         if not changed:

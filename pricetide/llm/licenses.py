@@ -194,7 +194,7 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
     joined), best_coverage (double, 0 without a notice), spans
     (start:end:name:coverage in per cent, by start, comma-joined; code points,
     end exclusive). One row for each input row; null and empty texts have none.
-    Other columns are not read.
+    Other columns are not read. An empty table gives an empty result.
     """
     chosen = TEMPLATES if templates is None else templates
 

@@ -21,7 +21,8 @@ def templates(docs: DataFrame, id_col: str, text_col: str, tokens: int, half_tok
     leaf, and two leaves in which one half of its further tokens is variable.
     Bit 1 of a hash tells exact leaves from the others, bit 0 long exact leaves.
     """
-    masked = lambda line: F.split(F.trim(F.regexp_replace(line, r"[^ \t\r]*[0-9][^ \t\r]*", "<*>")), r"[ \t\r]+")
+    # anchored and possessive, so that a token without digits is read once whatever its length
+    masked = lambda line: F.split(F.btrim(F.regexp_replace(line, r"(?<![^ \t\r])[^ \t\r0-9]*+[0-9][^ \t\r]*+", "<*>"), F.lit(" \t\r")), r"[ \t\r]+")
 
     def leaves(t):
         n = F.size(t)

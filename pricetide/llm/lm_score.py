@@ -11,16 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from pricetide.llm.common import SLICE, cut
+from pricetide.llm.common import SLICE, stored
 
 #: Word classes of the models' contexts (a power of two); weight of a class's own frequency in a pair's; what each word's count starts from.
 CLASSES, PRIOR, START = 512, 4.0, 0.5
 #: Bytes of text of a block, about: its words' counts are in memory at once.
-BLOCK_BYTES = 96 << 20
-#: Target ids that are broadcast, at most (16 MB); more meet the texts in a merge join.
-BROADCAST_IDS = 2_000_000
-#: Words that a worker remembers, words that a task adds up before it passes counts on, rows of a batch.
+BLOCK_BYTES = 48 << 20
+#: Words that a worker remembers, words that a task holds before it adds them up, rows of a batch.
 REMEMBERED, FLUSH, ROWS = 200_000, 1_000_000, 65_536
+#: Kinds of a block's rows, in the order in which rows of one id come: counts of a word, the mark of a target id, a text.
+COUNTS, MARK, TEXT = 0, 1, 2
 
 
 class Words:
@@ -50,55 +50,82 @@ def pairs(words: np.ndarray, classes: int) -> np.ndarray:
     return np.concatenate(([classes], own))[: len(own)] * classes + own
 
 
-def counts(rows: DataFrame, classes: int) -> DataFrame:
-    """block, word, background, target over rows of block, text, target; block -1 holds the class pairs.
+class Counts:
+    """How often words occur in all texts of a block and in those of the target."""
 
-    A task adds up about a million words at a time, Spark its tasks' counts.
-    """
-    names = ["block", "word", "background", "target"]
-
-    def added(blocks: list, words: list, flags: list) -> Iterator[pa.RecordBatch]:
-        if not words:
-            return
-        block, word, flag = np.concatenate(blocks), np.concatenate(words), np.concatenate(flags)
-        order = np.lexsort((word, block))
-        block, word, flag = block[order], word[order], flag[order]
-        at = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (word[1:] != word[:-1]))))
-        n, t = np.diff(np.append(at, len(word))), np.add.reduceat(flag, at, dtype=np.int64)
-        for s in range(0, len(at), ROWS):
-            x = slice(s, s + ROWS)
-            yield pa.RecordBatch.from_arrays([pa.array(block[at[x]]), pa.array(word[at[x]]), pa.array(n[x].astype(np.int64)), pa.array(t[x])], names)
+    def __init__(self):
+        self.words: list[np.ndarray] = []
+        self.targets: list[np.ndarray] = []
+        self.held = 0
+        self.sums: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, words: np.ndarray, target: bool) -> None:
+        self.words.append(words)
+        self.targets.append(np.full(len(words), target, np.int8))
+        self.held += len(words)
+        if self.held >= FLUSH:
+            self.fold()
+
+    def fold(self) -> None:
+        if self.held:
+            words = np.concatenate(self.words)
+            self.sums.append(self.summed(words, np.ones(len(words), np.int64), np.concatenate(self.targets)))
+        self.words, self.targets, self.held = [], [], 0
+
+    @staticmethod
+    def summed(words: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(words, kind="stable")
+        words = words[order]
+        at = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
+        return words[at], np.add.reduceat(n[order], at), np.add.reduceat(t[order], at, dtype=np.int64)
+
+    def batches(self, block: int) -> Iterator[pa.RecordBatch]:
+        self.fold()
+        if self.sums:
+            yield from sent(block, *self.summed(*(np.concatenate(c) for c in zip(*self.sums, strict=True))))
+
+
+def sent(block: int, words: np.ndarray, n: np.ndarray, t: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for s in range(0, len(words), ROWS):
+        part = [c[s : s + ROWS] for c in (words, n, t)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), block, np.int32)), *map(pa.array, part)], ["block", "word", "background", "target"])
+
+
+def texts(part: pa.RecordBatch, mark: list) -> Iterator[tuple]:
+    """(id, text, whether the target holds the id) of a block's texts, which come by id and after their mark; mark[0] is the last."""
+    for kind, i, text in zip(*(part.column(c).to_pylist() for c in ("kind", "id", "text")), strict=True):
+        if kind == MARK:
+            mark[0] = i
+        else:
+            yield i, text, i == mark[0]
+
+
+def counts(dealt: DataFrame, classes: int) -> DataFrame:
+    """block, word, background, target of the words of each block; block -1 holds the class pairs, to be added up over its tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, table = Words(), np.zeros((2, (classes + 1) * classes), np.int64)
-        blocks, words, flags, held = [], [], [], 0
+        now, mark, held = None, [known], Counts()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                for block, text, target in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    found = known.of(text)
-                    n = len(found)
-                    if not n:
-                        continue
-                    both = pairs(found, classes)
-                    np.add.at(table[0], both, 1)
-                    if target:
-                        np.add.at(table[1], both, 1)
-                    blocks.append(np.full(n, block, np.int32))
-                    words.append(found)
-                    flags.append(np.full(n, target, np.int8))
-                    held += n
-                    if held >= FLUSH:
-                        yield from added(blocks, words, flags)
-                        blocks, words, flags, held = [], [], [], 0
-        yield from added(blocks, words, flags)
+            block = batch.column("block").to_numpy()
+            edges = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
+            for s, e in zip(edges, edges[1:]):
+                if block[s] != now:
+                    yield from held.batches(now)
+                    now, mark, held = int(block[s]), [known], Counts()
+                for at in range(s, e, SLICE):
+                    for _, text, target in texts(batch.slice(at, min(SLICE, e - at)), mark):
+                        words = known.of(text)
+                        if len(words):
+                            np.add.at(table[0], both := pairs(words, classes), 1)
+                            if target:
+                                np.add.at(table[1], both, 1)
+                            held.add(words, target)
+        yield from held.batches(now)
         at = np.flatnonzero(table[0])
-        for s in range(0, len(at), ROWS):
-            x = at[s : s + ROWS]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), -1, np.int32)), pa.array(x), pa.array(table[0][x]), pa.array(table[1][x])], names)
+        yield from sent(-1, at, table[0][at], table[1][at])
 
-    made = rows.select("block", "text", "target").mapInArrow(run, "block int, word long, background long, target long")
-    return made.groupBy("block", "word").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    return dealt.mapInArrow(run, "block int, word long, background long, target long")
 
 
 def contexts(table: np.ndarray, distinct: np.ndarray, prior: float, start: float) -> tuple[np.ndarray, np.ndarray]:
@@ -112,8 +139,26 @@ def contexts(table: np.ndarray, distinct: np.ndarray, prior: float, start: float
     return pair, np.log(np.maximum(own + start * distinct, start))
 
 
+class Target:
+    """Counts of the target model, to be lessened by those of a text of its own."""
+
+    def __init__(self, table: np.ndarray, distinct: np.ndarray, prior: float, start: float):
+        self.table, self.own, self.before = table.ravel(), table.sum(0), table.sum(1)
+        self.distinct, self.prior, self.start = distinct, prior, start
+
+    def loss(self, words: np.ndarray, both: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """-log p of each word of a text; `counts` are its words' counts in the target, this text's own among them."""
+        classes, n = len(self.own), len(words)
+        before, own = np.divmod(both, classes)
+        less = lambda x: (u := np.unique(x, return_inverse=True, return_counts=True))[2][u[1]]
+        of_class = self.own[own] - np.bincount(own, minlength=classes)[own]
+        alone = (of_class + 1.0) / (self.own.sum() - n + classes)
+        pair = (self.table[both] - less(both) + self.prior * alone) / (self.before[before] - np.bincount(before, minlength=classes + 1)[before] + self.prior)
+        return np.log(of_class + self.start * self.distinct[own]) - np.log(pair) - np.log(counts - less(words) + self.start)
+
+
 def lm_score(
-    docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, prior: float = PRIOR, block_bytes: int = BLOCK_BYTES, broadcast_ids: int = BROADCAST_IDS
+    docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, prior: float = PRIOR, block_bytes: int = BLOCK_BYTES, leave_out: bool = True
 ) -> DataFrame:
     """Per-token loss under a target model less that under a background model.
 
@@ -122,76 +167,84 @@ def lm_score(
     share of its class. Both share one vocabulary: every distinct word of the
     corpus, known by its 64-bit hash. The background model counts all documents,
     the target model those whose id is in `target` (id_col). A class pair is
-    smoothed by the class's own frequency, a word's count starts from START.
+    smoothed by the class's own frequency, a word's count starts from START. With
+    `leave_out` a document of the target is scored by the target's counts less
+    its own, so that it gains nothing from being there itself.
 
     The vocabulary grows with the corpus and is never in one place. Texts are
-    dealt to blocks of about `block_bytes`; counts are added up by block and word,
-    in map tasks first, then by word, and each block gets the totals of its own
-    words, ahead of its texts, which stream past them. The classes' pairs, fixed
-    in number, come to the driver. Target ids are broadcast up to `broadcast_ids`
-    of them; more meet the texts in a merge join.
+    dealt to blocks of about `block_bytes` by id and text. Target ids meet the
+    documents' ids and blocks, without texts, and go to the blocks as marks ahead
+    of their documents. A block adds up its own words; the blocks' counts are
+    added up by word, and each block gets the totals of its own words, ahead of
+    its texts, which stream past them. The classes' pairs, fixed in number, come
+    to the driver. The plan is the same at every size.
 
     Result: id_col, n_tokens, loss_target, loss_background, score (the mean
     difference; lower is closer to the target), one row for each input row.
     Texts without words, null included, have 0 for all. A null id is never in
-    the target. Without targets the target model knows no counts. Other columns
-    are not read. An empty table gives an empty result.
+    the target; rows that repeat an id of the target all belong to it, and each
+    leaves out itself alone. Without targets the target model knows no counts.
+    Other columns are not read. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    chosen = target.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull()).distinct().withColumn("target", F.lit(True))
-    chosen = cut(chosen)
+    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = max(spark.sparkContext.defaultParallelism, -(-total // block_bytes))
-    rows = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int").alias("block"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    few = chosen.count() <= broadcast_ids
-    flagged = rows.join(F.broadcast(chosen) if few else chosen.hint("merge"), "id", "left").select("block", "text", F.coalesce("target", F.lit(False)).alias("target"))
-    counted = cut(counts(flagged, classes))
+    block = F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int").alias("block")
+    rows = docs.select(block, F.lit(TEXT).alias("kind"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    chosen = target.select(F.col(id_col).cast(kind).alias("id")).where(F.col("id").isNotNull()).distinct()
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    marks = stored(rows.select("block", "id").distinct().join(chosen, "id").select("block", F.lit(MARK).alias("kind"), "id", none("text", "string")))
+    deal = lambda all_: all_.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "id", "kind")
+    counted = stored(counts(deal(rows.unionByName(marks)), classes))
 
     words = counted.where("block >= 0")
-    totals = words.groupBy("word").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-    vocabulary = words.select("block", "word").join(totals, "word")
+    totals = stored(words.groupBy("word").agg(F.sum("background").alias("background"), F.sum("target").alias("target")))
+    vocabulary = words.select("block", "word").join(totals.hint("merge"), "word")
     table, distinct = np.zeros((2, (classes + 1) * classes)), np.zeros(classes)
-    for c in counted.where("block < 0").select("word", "background", "target").toArrow().to_batches():
+    for c in counted.where("block < 0").groupBy("word").agg(F.sum("background"), F.sum("target")).toArrow().to_batches():
         at, n, t = (v.to_numpy() for v in c.columns)
         table[0, at], table[1, at] = n, t
-    for c, n in words.select("word").distinct().groupBy(F.col("word").bitwiseAND(F.lit(classes - 1)).alias("c")).count().collect():
+    for c, n in totals.groupBy(F.col("word").bitwiseAND(F.lit(classes - 1)).alias("c")).count().collect():
         distinct[c] = n
-    shared = spark.sparkContext.broadcast(contexts(table.reshape(2, classes + 1, classes), distinct, prior, START))
+    table = table.reshape(2, classes + 1, classes)
+    shared = spark.sparkContext.broadcast((*contexts(table, distinct, prior, START), Target(table[1], distinct, prior, START)))
 
-    kind = dict(docs.dtypes)[id_col]
-    none = lambda c, t: F.lit(None).cast(t).alias(c)
-    ahead = vocabulary.select("block", F.lit(0).alias("kind"), "word", "background", "target", none("id", kind), none("text", "string"))
-    behind = rows.select("block", F.lit(1).alias("kind"), none("word", "long"), none("background", "long"), none("target", "long"), "id", "text")
-    dealt = ahead.unionByName(behind).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind")
+    ahead = vocabulary.select("block", F.lit(COUNTS).alias("kind"), none("id", kind), none("text", "string"), "word", "background", "target")
+    behind = (rows.unionByName(marks) if leave_out else rows).select("*", none("word", "long"), none("background", "long"), none("target", "long"))
     schema = f"id {kind}, n_tokens long, loss_target double, loss_background double, score double"
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (pair, divisor), known = shared.value, Words()
+        (pair, divisor, own), known = shared.value, Words()
         flat = pair.reshape(2, -1)
-        now, held, keys, loss = None, [], np.zeros(0, np.int64), np.zeros((2, 0))
+        now, mark, held, keys, seen, loss = None, [known], [], np.zeros(0, np.int64), np.zeros(0), np.zeros((2, 0))
         for batch in batches:
-            block, turn = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
-            edges = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (turn[1:] != turn[:-1]), [True])))
+            block, late = batch.column("block").to_numpy(), batch.column("kind").to_numpy() != COUNTS
+            edges = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (late[1:] != late[:-1]), [True])))
             for s, e in zip(edges, edges[1:]):
                 part = batch.slice(s, e - s)
                 if block[s] != now:
-                    now, held, keys, loss = block[s], [], np.zeros(0, np.int64), np.zeros((2, 0))
-                if turn[s] == 0:
+                    now, mark, held = block[s], [known], []
+                if not late[s]:
                     held.append([part.column(c).to_numpy() for c in ("word", "background", "target")])
                     continue
                 if held:
                     keys, *both = (np.concatenate(c) for c in zip(*held, strict=True))
                     order = np.argsort(keys)
-                    keys = keys[order]
-                    loss, held = divisor[:, keys & (classes - 1)] - np.log(np.stack(both)[:, order] + START), []
+                    keys, both, held = keys[order], np.stack(both)[:, order], []
+                    loss, seen = divisor[:, keys & (classes - 1)] - np.log(both + START), both[1]
                 for at in range(0, part.num_rows, SLICE):
-                    some = part.slice(at, SLICE)
                     found = []
-                    for i, text in zip(some.column("id").to_pylist(), some.column("text").to_pylist(), strict=True):
+                    for i, text, target in texts(part.slice(at, SLICE), mark):
                         w = known.of(text)
-                        b, t = (loss[:, np.searchsorted(keys, w)] + flat[:, pairs(w, classes)]).mean(1).tolist() if len(w) else (0.0, 0.0)
+                        b, t = 0.0, 0.0
+                        if len(w):
+                            places, two = np.searchsorted(keys, w), pairs(w, classes)
+                            b, t = (loss[:, places] + flat[:, two]).mean(1).tolist()
+                            if target:
+                                t = float(own.loss(w, two, seen[places]).mean())
                         found.append((i, len(w), t, b, t - b))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*found, strict=True), out, strict=True)], schema=out)
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*found, strict=True), out, strict=True)], schema=out)
 
-    return dealt.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return deal(ahead.unionByName(behind)).mapInArrow(run, schema).withColumnRenamed("id", id_col)

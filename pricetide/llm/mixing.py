@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricetide.llm.common import cut, fresh, whole
+from pricetide.llm.common import cut, fresh, stored, whole
 
 #: Weights by the order of the sources, share of all words that the mix takes, most repeats of a source.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
@@ -18,10 +18,10 @@ def words(text: Column) -> Column:
     return F.regexp_count(whole(text), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def uniform(seed: str, key: Column) -> Column:
-    """A number in [0, 1) that depends on the seed and the key alone."""
-    text = F.concat_ws(":", F.lit(seed), F.coalesce(key.cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
+def uniform(seed: str, key: Column, text: Column) -> Column:
+    """A number in [0, 1) that depends on the seed, the key and the text alone; null counts as empty."""
+    joined = F.concat_ws(":", F.lit(seed), F.coalesce(key.cast("string"), F.lit("")), F.md5(whole(text).cast("binary")))
+    return F.conv(F.substring(F.md5(joined.cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
 
 
 def ranked(sources: DataFrame) -> DataFrame:
@@ -61,6 +61,28 @@ def water_level(sources: DataFrame, total: float, most: float) -> float:
         full, level = row["full"], max(0.0, total - (row["caps"] or 0.0)) / row["weights"]
 
 
+def targets(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, text_col: str = "text", source_col: str = "source", rows: DataFrame | None = None) -> DataFrame:
+    """source, source_size, target, rate of every source, written so that Spark knows the table's size.
+
+    `rows` may give source and size of every document where they are known.
+    """
+    rows = docs.select(F.col(source_col).alias("source"), words(F.col(text_col)).alias("size")) if rows is None else rows
+    sums = ranked(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    turns = F.array(*(F.lit(float(w)) for w in weights))
+    sums = cut(sums.withColumn("weight", F.element_at(turns, (F.col("place") % len(weights) + 1).cast("int"))))
+    total = share * float(sums.agg(F.sum("source_size")).first()[0] or 0)
+    level = water_level(sums, total, most)
+    cap = F.col("source_size") * F.lit(most)
+    target = F.when(cap <= F.col("weight") * F.lit(level), cap).otherwise(F.col("weight") * F.lit(level)).cast("double")
+    rate = F.when(F.col("source_size") > 0, F.least(target / F.col("source_size"), F.lit(most))).otherwise(0.0)
+    return stored(sums.select("source", "source_size", target.alias("target"), rate.alias("rate")))
+
+
+def copies(rate: Column, draw: Column) -> Column:
+    """floor(rate), and one more where the draw falls under the fraction."""
+    return F.floor(rate).cast("long") + (draw < rate - F.floor(rate)).cast("long")
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -78,34 +100,39 @@ def mix(
     weights in turn and share `share` of all words by them; a source that would
     pass `most` times its size stops there and the rest is shared again. The
     rate of a source is target / size. A document is taken floor(rate) times,
-    and once more if a hash of seed and id falls under the fraction.
+    and once more if a hash of seed, id and text falls under the fraction.
 
-    The same table gives the same mix. Result: id, _key (hash of the text, for
-    rows that repeat an id), source, size, source_size, target, rate, copies,
-    one row for each input row. Null texts count as empty, a null source as a
-    source of its own; a source without words has rate 0. Rows that repeat an id
-    are taken alike. An empty table gives an empty result.
+    The same table gives the same mix. Result: id, source, size, source_size,
+    target, rate, copies, one row for each input row. Null texts count as empty,
+    a null source as a source of its own; a source without words has rate 0.
+    Rows that repeat an id draw by their texts too; rows that repeat both are
+    taken alike. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("_key"))
-    rows = cut(rows)
-    sums = ranked(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
-    turns = F.array(*(F.lit(float(w)) for w in weights))
-    sums = cut(sums.withColumn("weight", F.element_at(turns, (F.col("place") % len(weights) + 1).cast("int"))))
-    total = share * float(sums.agg(F.sum("source_size")).first()[0] or 0)
-    level = water_level(sums, total, most)
-    cap = F.col("source_size") * F.lit(most)
-    target = F.when(cap <= F.col("weight") * F.lit(level), cap).otherwise(F.col("weight") * F.lit(level))
-    targets = sums.select(F.col("source").alias("_source"), "source_size", target.cast("double").alias("target"))
-    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(0.0)
-    joined = rows.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source").withColumn("rate", rate)
-    extra = (uniform(seed, F.col("id")) < F.col("rate") - F.floor("rate")).cast("long")
-    return joined.withColumn("copies", F.floor("rate").cast("long") + extra)
-
-
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each as often as `mix` takes it, with all their columns."""
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    own, text, copies, turn = fresh(docs, "_id", "_text", "_copies", "_copy")
-    taken = mix(docs, **options).where("copies > 0").select(F.col("id").alias(own), F.col("_key").alias(text), F.col("copies").alias(copies)).distinct()
-    found = docs.join(taken, F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(text_col) == F.col(text)))
-    return found.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(docs.columns)
+    text = F.col(text_col)
+    rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(text).alias("size"), uniform(seed, F.col(id_col), text).alias("_draw")))
+    found = targets(docs, weights, share, most, rows=rows).withColumnRenamed("source", "_source")
+    joined = rows.join(found, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("copies", copies(F.col("rate"), F.col("_draw")))
+    return joined.select("id", "source", "size", "source_size", "target", "rate", "copies")
+
+
+def mixed(
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    share: float = SHARE,
+    most: float = MOST,
+    seed: str = "mix",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The documents themselves, each as often as `mix` takes it, with all their columns.
+
+    Copies follow from a document and its source's rate, so texts meet the table
+    of sources and nothing else; where that is under Spark's limit for a
+    broadcast, no text moves. Nulls, ties and repeats as in `mix`.
+    """
+    own, rate, turn = fresh(docs, "_source", "_rate", "_copy")
+    found = targets(docs, weights, share, most, text_col, source_col).select(F.col("source").alias(own), F.col("rate").alias(rate))
+    taken = copies(F.col(rate), uniform(seed, F.col(id_col), F.col(text_col))).cast("int")
+    joined = docs.join(found, F.col(source_col).eqNullSafe(F.col(own)))
+    return joined.withColumn(turn, F.explode(F.array_repeat(F.lit(1), taken))).select(docs.columns)

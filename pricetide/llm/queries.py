@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricetide.llm import ann, bpe, exact_dedup, licenses, line_dedup, lm_score, mixing, secrets, simhash, toxicity
 from pricetide.llm.common import cut, table
 
-VOCABULARY = os.environ.get("BPE_VOCABULARY", "/opt/tokenizers/word_bpe_49k.json")
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.toxicity(docs, model).withColumn("held_out", toxicity.split(F.col("doc_id")))
+    return toxicity.toxicity(docs, model).select("doc_id", toxicity.split(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "op5_mix": r"""
         WITH RECURSIVE docs AS (
-            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+            SELECT doc_id, source, md5(coalesce(text, '')) AS digest, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
         ), sources AS (
             SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM docs GROUP BY source
         ), weighed AS (
@@ -86,11 +86,11 @@ SQL = {
         ), targets AS (
             SELECT source, source_size, CASE WHEN 2.0 * source_size <= weight * level THEN 2.0::DOUBLE * source_size ELSE weight * level END AS target FROM weighed, last
         ), rated AS (
-            SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN least(target / source_size, 2.0::DOUBLE) ELSE 0 END AS rate
+            SELECT doc_id, digest, size, source_size, target, CASE WHEN source_size > 0 THEN least(target / source_size, 2.0::DOUBLE) ELSE 0 END AS rate
             FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
         )
         SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-            CAST(size * (floor(rate) + CASE WHEN CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+            CAST(size * (floor(rate) + CASE WHEN CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || digest), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
         FROM rated
     """,
     "op8_exact_dedup": r"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -26,11 +27,22 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}")
 CLASSES = (re.compile(r"[a-z]"), re.compile(r"[A-Z]"), re.compile(r"[0-9]"))
 HEX_ONLY = re.compile(r"(?:[0-9A-F-]+|[0-9a-f-]+)\Z")
 
-#: Candidates that are no secrets though they look random: identifiers, samples, runs in order, paths of words.
+
+
+def run_of(letters: str, least: int = 8) -> str:
+    """A pattern of the first `least` letters in order, and of those that follow as far as they do."""
+    rest = ""
+    for c in reversed(letters[least:]):
+        rest = f"(?:{c}{rest})?"
+    return letters[:least] + rest
+
+
+#: Parts of a candidate that are no secret: samples and runs in order. What lies on either side is looked at by itself.
+RUNS = "|".join(map(run_of, (string.ascii_lowercase, string.ascii_uppercase, string.digits, string.digits[1:])))
+SAMPLES = re.compile(r"(?i:example|sample|dummy|placeholder|changeme|xxxx+)|" + RUNS)
+#: Whole pieces that are no secrets though they look random: identifiers, paths of words.
 ALLOWED = (
     re.compile(r"\A[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}\Z"),
-    re.compile(r"example|sample|dummy|placeholder|changeme|xxxx", re.IGNORECASE),
-    re.compile(r"abcdefgh|ABCDEFGH|01234567|12345678"),
     re.compile(r"\A[/_=-]*(?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,4})(?:[/_=-]+(?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,4}))+[/_=-]*\Z"),
 )
 
@@ -76,18 +88,47 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
 
+def outside(start: int, end: int, cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of start..end that no cut covers; cuts are sorted and don't overlap."""
+    out = []
+    for a, b in cuts:
+        if start < a:
+            out.append((start, a))
+        start = b
+    return [*out, (start, end)] if start < end else out
+
+
 def scan(text: str, window: int = WINDOW) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Pattern spans and entropy spans of a whole text, each sorted; the latter overlap none of the former."""
+    """Pattern spans and entropy spans of a whole text, each sorted; the latter overlap none of the former.
+
+    Pattern spans and then samples are cut out of a candidate, and the pieces
+    left are looked at by themselves. Both lists rise, so one pass over each does.
+    """
     base = sorted(base_spans(text))
-    added = []
+    covered: list[tuple[int, int]] = []
+    for start, _, end in base:
+        if covered and start <= covered[-1][1]:
+            covered[-1] = covered[-1][0], max(end, covered[-1][1])
+        else:
+            covered.append((start, end))
+    added, at = [], 0
     for m in CANDIDATE.finditer(text):
-        start, end, s = m.start(), m.end(), m.group()
-        if sum(1 for c in CLASSES if c.search(s)) < 2 or any(a.search(s) for a in ALLOWED):
-            continue
-        if any(b[0] < end and start < b[2] for b in base):
-            continue
-        kind = "hex" if HEX_ONLY.match(s) else "base64"
-        added += [(start + a, 3, start + b) for a, b in entropy_spans(s, window, LEAST_BITS[kind])]
+        start, end = m.span()
+        while at < len(covered) and covered[at][1] <= start:
+            at += 1
+        cuts, k = [], at
+        while k < len(covered) and covered[k][0] < end:
+            cuts.append(covered[k])
+            k += 1
+        for a, b in outside(start, end, cuts):
+            if any(p.match(text[a:b]) for p in ALLOWED):
+                continue
+            for c, d in outside(a, b, [x.span() for x in SAMPLES.finditer(text, a, b)]):
+                s = text[c:d]
+                if d - c < window or sum(1 for x in CLASSES if x.search(s)) < 2 or any(p.match(s) for p in ALLOWED):
+                    continue
+                kind = "hex" if HEX_ONLY.match(s) else "base64"
+                added += [(c + x, 3, c + y) for x, y in entropy_spans(s, window, LEAST_BITS[kind])]
     return base, added
 
 
@@ -104,12 +145,15 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     of letters and digits get a sliding window, whose Shannon entropy follows
     from counts that change by one character in and one out. Windows above the
     limit of the candidate's class (hexadecimal or wider) are joined to spans.
-    An allow-list suppresses identifiers, samples, ordered runs and word paths.
+    An allow-list suppresses identifiers and word paths as a whole, and samples
+    and ordered runs where they stand: they and pattern spans cut a candidate,
+    and what is left on either side is looked at by itself.
 
     Result: id_col, n_assign, n_access, n_hex, n_entropy (long), base and spans
     (strings of kind:start:end by start, then kind; code points, end exclusive;
     base without entropy spans). One row for each input row, whatever its id;
-    null and empty texts have no spans. Other columns are not read.
+    null and empty texts have no spans. Other columns are not read. An empty
+    table gives an empty result.
     """
 
     def make() -> Callable:

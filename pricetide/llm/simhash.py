@@ -74,7 +74,10 @@ def classes(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
     largest component. Such members, few where copies crowd, are compared with
     all members of the bucket, dealt in blocks of `block`; of the links found
     between two components one is kept. No pair of a bucket is left unchecked
-    unless its two sides are known to be one component already.
+    unless its two sides are known to be one component already. Where a bucket
+    holds many fingerprints that link to none of each other, nearly all of its
+    members are outside the largest component, and its comparisons grow with the
+    square of its size: exact, spread over tasks by blocks, but slow.
     """
     tables = F.array(*(F.struct(F.lit(k).alias("t"), F.lit(_signed(m)).alias("m")) for k, m in enumerate(masks(radius))))
     rows = prints.select("fp", "n", F.explode(tables).alias("x")).select("fp", "n", F.col("x.t").alias("t"), F.col("fp").bitwiseAND(F.col("x.m")).alias("key"))
@@ -103,7 +106,7 @@ def classes(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
     second = components(more)
     linked = first.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("label")))
     linked = linked.groupBy("node").agg(F.min("label").alias("label"))
-    final = linked.join(second.select(F.col("node").alias("label"), F.col("label").alias("last")), "label", "left")
+    final = spread(linked, "label", F.pmod(F.xxhash64("node"), F.lit(SALTS)), second.select(F.col("node").alias("label"), F.col("label").alias("last")))
     return cut(final.select(F.col("node").alias("fp"), F.coalesce("last", "label").alias("label")))
 
 
@@ -146,4 +149,4 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: i
     linked = classes(prints, radius)
     named = prints.join(linked, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     tops = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    return rows, named.join(tops, "label").select("fp", "label", "component_id")
+    return rows, spread(named, "label", F.pmod(F.xxhash64("fp"), F.lit(SALTS)), tops).select("fp", "label", "component_id")

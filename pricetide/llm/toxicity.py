@@ -163,7 +163,11 @@ def split(label_id: Column) -> Column:
 
 
 def lexicon(sample: DataFrame, most: int = TERMS) -> list[str]:
-    """Words, and starts of words (with *), that mark toxic texts of a labelled sample."""
+    """Words, and starts of words (with *), that mark toxic texts of a labelled sample, at most `most`.
+
+    The sample is bounded, and so are its candidate terms; they come to the
+    driver a partition at a time, the most telling first, until `most` are chosen.
+    """
     words = F.array_distinct(F.split(F.regexp_replace(F.lower(F.col("text")), r"[^\p{L}\p{N}'’]+", " "), " "))
     starts = F.flatten(F.transform(F.filter("w", lambda w: F.length(w) >= STARTS[0]), lambda w: F.array(*(F.concat(F.substring(w, 1, k), F.lit("*")) for k in range(STARTS[0], STARTS[1] + 1)))))
     terms = sample.select("toxic", words.alias("w")).select("toxic", F.explode(F.array_distinct(F.concat("w", starts))).alias("term")).where(F.length("term") >= 3)
@@ -178,13 +182,15 @@ def lexicon(sample: DataFrame, most: int = TERMS) -> list[str]:
     rows = found.withColumn("g", 2 * (part(x, a) + part(y, b))).where(F.col("g") >= SIGNIFICANT)
     order = [F.desc("g"), F.col("term").endswith("*"), F.desc(F.length("term")), F.col("term")]
     chosen: list[tuple[str, int]] = []
-    for r in rows.orderBy(*order).limit(8 * most).collect():
+    for r in rows.orderBy(*order).toLocalIterator():
+        if len(chosen) == most:
+            break
         t, bare = r["term"], r["term"].rstrip("*")
         covered = any(c.endswith("*") and bare.startswith(c[:-1]) or bare == c for c, _ in chosen)
         wider = t.endswith("*") and any(c.rstrip("*").startswith(bare) and r["x"] < 1.5 * n for c, n in chosen)
         if not covered and not wider:
             chosen.append((t, r["x"]))
-    return [t for t, _ in chosen[:most]]
+    return [t for t, _ in chosen]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> list[float]:
@@ -205,14 +211,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     The rest of the labels isn't needed for ten weights; the bound keeps what
     reaches the driver (ids, terms, features) at one size. Labels of null, or of
-    an id that repeats with different labels, are left out.
+    an id that repeats with different labels, are left out. Of rows that repeat
+    an id the text with the smallest hash is taken. Without documents, labels or
+    one of the classes the model knows no terms or no weights, and scores 0.5.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)").where(~split(F.col("id")))
     one = known.groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").select("id", "toxic")
     picked = [one.where(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(fit_rows) for k in (0, 1)]
     chosen = cut(picked[0].unionByName(picked[1]))
-    sample = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text")).join(F.broadcast(chosen), "id").select("text", "toxic")
-    sample = cut(sample)
+    found = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text")).join(F.broadcast(chosen), "id")
+    sample = cut(found.groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic"))
     terms = lexicon(sample)
 
     def features(batches):
@@ -251,12 +259,18 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     regression weighs the counts. Neither ids nor other columns are read.
 
     Result: id_col, score (0 to 1), predicted (1 from 0.5 on), one row for each
-    input row. Null and empty texts score as texts without hits.
+    input row. Null and empty texts score as texts without hits. Rows that
+    repeat score alike, null ids too. An empty table gives an empty result.
     """
     score = scored(F.col(text_col), model, docs.sparkSession)
     return docs.select(F.col(id_col), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """`docs` without the rows that score 0.5 or more; all columns stay."""
-    return docs.where(scored(F.col(text_col), model, docs.sparkSession) < 0.5)
+    """`docs` without the rows that score 0.5 or more; all columns stay.
+
+    A model that knows no weights rejects nothing. Null and empty texts count as
+    texts without hits, null ids and repeated rows are like any others, and an
+    empty table stays empty.
+    """
+    return docs.where(scored(F.col(text_col), model, docs.sparkSession) < 0.5) if any(model.weights) else docs
