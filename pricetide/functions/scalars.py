@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -47,6 +48,15 @@ def without_fragment(url: Column) -> Column:
     return F.regexp_replace(url, "#.*$", "")
 
 
+def norm_url(url: Column) -> Column:
+    """Without the fragment and a default port, scheme and host in small letters, and with at least / as the path."""
+    bare = without_fragment(url)
+    head = F.lower(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
+    root = F.regexp_replace(F.regexp_replace(head, r"^(http://.*):80$", "$1"), r"^(https://.*):443$", "$1")
+    rest = F.regexp_replace(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
+    return F.when(head == "", bare).otherwise(F.concat(root, F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))))
+
+
 def digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
@@ -110,11 +120,31 @@ def normalize_currency(s: Column) -> Column:
     return F.coalesce(detect_currency(s), F.when(code != "", code))
 
 
+def _plain_letters() -> tuple[str, str, str]:
+    """Characters whose compatibility form is one plain letter or digit, their forms, and those of them that leave a mark behind."""
+    forms, marked = {}, []
+    for c in map(chr, (*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2070, 0x2150), *range(0xFF10, 0xFF5B))):
+        form = unicodedata.normalize("NFKD", c)
+        if form != c and form[0].isascii() and form[0].isalnum() and not any(x.isascii() and x.isalnum() for x in form[1:]):
+            forms[c] = form[0].lower()
+            if len(form) > 1:
+                marked.append(c)
+    return "".join(forms), "".join(forms.values()), "".join(marked)
+
+
+_LETTERS, _FORMS, _MARKED = _plain_letters()
+
+
+def plain_words(text: Column) -> Column:
+    """Runs of a-z and 0-9 of a text in small letters and decomposed, one space between; a letter's mark ends a run."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.regexp_replace(F.translate(F.regexp_replace(low, f"([{_MARKED}])", "$1 "), _LETTERS, _FORMS), "[^a-z0-9]+", " ")
+
+
 def name_score(expected: Column, candidate: Column) -> Column:
     """Share of the longer-than-one tokens of a name that a candidate contains; 0 without tokens."""
-    plain = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " ")
-    tokens = F.filter(F.split(plain(expected), " "), lambda t: F.length(t) > 1)
-    hits = F.filter(tokens, lambda t: plain(candidate).contains(t))
+    tokens = F.filter(F.split(plain_words(expected), " "), lambda t: F.length(t) > 1)
+    hits = F.filter(tokens, lambda t: plain_words(candidate).contains(t))
     return ratio(F.size(hits), F.size(tokens))
 
 
@@ -162,19 +192,33 @@ def csv_cell(s: Column) -> Column:
     return F.when(s.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), s)).otherwise(F.coalesce(s, F.lit("")))
 
 
-def is_public_host(name: Column) -> Column:
-    """Neither local names nor private or reserved IPv4 ranges."""
+def _private_address(p: Column) -> Column:
+    """Private and reserved ranges of IPv4, and what is no address."""
+    a, b, c = (F.get(p, k).try_cast("int") for k in range(3))
+    ranges = (
+        a.isin(0, 10, 127), a >= 224, (a == 100) & b.between(64, 127), (a == 169) & (b == 254), (a == 172) & b.between(16, 31), (a == 192) & (b == 168), (a == 192) & (b == 0) & c.isin(0, 2),
+        (a == 198) & b.isin(18, 19), (a == 198) & (b == 51) & (c == 100), (a == 203) & (b == 0) & (c == 113),
+    )
+    out = F.exists(p, lambda v: v.try_cast("int") > 255)
+    for r in ranges:
+        out = out | r
+    return F.coalesce(out, F.lit(False))
 
-    def address(p: Column) -> Column:
-        a, b = F.get(p, 0).try_cast("int"), F.get(p, 1).try_cast("int")
-        return a.isin(0, 10, 127) | (a >= 224) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127)) | ((a == 198) & b.isin(18, 19))
+
+def is_public_host(name: Column) -> Column:
+    """Neither local names nor private or reserved ranges of IPv4 and IPv6 (without brackets)."""
+    half = lambda h, k: F.conv(F.regexp_extract(h, "^::(?:ffff:)?([0-9a-f]{1,4}):([0-9a-f]{1,4})$", k), 16, 10).try_cast("int")
+    inside = lambda h: F.array(*(F.floor(half(h, k) / d).cast("int") % 256 for k in (1, 2) for d in (256, 1)))
 
     def rule(h: Column) -> Column:
-        local = (h == "") | ~h.contains(".") | h.rlike(r"(^|\.)(localhost|local|internal)$")
-        private = F.when(h.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), once(F.split(h, r"\."), address)).otherwise(False)
+        wide = h.contains(":")
+        local = (h == "") | (~wide & ~h.contains(".")) | h.rlike(r"(^|\.)(localhost|local|internal)$")
+        mapped = half(h, 1).isNotNull() & once(inside(h), _private_address)
+        wide_private = h.rlike("^(::1?$|f[cd][0-9a-f]{2}:|fe[89a-f][0-9a-f]:|ff[0-9a-f]{2}:|2001:db8:)") | mapped
+        private = F.when(wide, wide_private).when(h.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), once(F.split(h, r"\."), _private_address)).otherwise(False)
         return F.coalesce(~local & ~private, F.lit(False))
 
-    return once(name, rule)
+    return once(F.lower(name), rule)
 
 
 def profile_health(signature: Column, ean: Column, price: Column, challenge: Column, suggestions: Column) -> Column:
@@ -203,3 +247,82 @@ def fnv1a(s: Column) -> Column:
 
 def min_cadence_minutes(checks: Column) -> Column:
     return F.ceil(F.lit(1440.0) / checks).cast("int")
+
+
+# Marks of a shop's software, in the order in which they are tried.
+PLATFORMS = (
+    ("shopify", r"cdn\.shopify\.com|Shopify\.(?:theme|routes)|myshopify\.com"),
+    ("woocommerce", r"woocommerce|wp-content/plugins/woocommerce"),
+    ("magento", r"Magento_[A-Za-z]+|mage/cookies|/static/version\d+"),
+    ("prestashop", r"prestashop"),
+    ("bigcommerce", r"bigcommerce\.com|stencilUtils"),
+    ("shopware", r"shopware|data-shopware"),
+    ("vtex", r"vtexassets|__RUNTIME__"),
+    ("wix-stores", r"wixstores|static\.wixstatic\.com"),
+)
+
+
+def commerce_platform(html: Column) -> Column:
+    """The software that a shop's page names, null where none is known."""
+    out = F.lit(None).cast("string")
+    for name, pattern in reversed(PLATFORMS):
+        out = F.when(html.rlike(f"(?i){pattern}"), name).otherwise(out)
+    return out
+
+
+# Characters of a page that suggestions read, most suggestions, and what an attribute must speak of.
+SUGGESTED_FROM, MOST_SUGGESTIONS = 250_000, 6
+
+
+def selector_suggestions(html: Column) -> Column:
+    """The first six different selectors of elements that speak of prices, products or codes: by itemprop, test id, id or class, in that order."""
+    tags = F.regexp_extract_all(F.substring(html, 1, SUGGESTED_FROM), F.lit(r"(?is)<[a-z][\w:-]*\b[^>]*(?:price|product|gtin|ean|sku)[^>]*>"), 0)
+    value = lambda t, name, of: F.regexp_extract(t, rf"""(?is)<[a-z][\w:-]*\b.*?\b{name}=["']({of})["']""", 1)
+
+    def suggest(t: Column) -> Column:
+        name = F.lower(F.regexp_extract(t, r"(?i)^<([a-z][\w:-]*)", 1))
+        prop, test, own = value(t, "itemprop", "[^\"']+"), value(t, "data-testid", "[^\"']+"), value(t, "id", r"[\w-]+")
+        word = F.get(F.filter(F.split(value(t, "class", "[^\"']+"), r"\s+"), lambda w: w.rlike("(?i)price|product|ean|gtin")), 0)
+        return (
+            F.when(prop.rlike(r"(?i)^(?:price|gtin\d*|sku)$"), F.concat(name, F.lit("[itemprop="), prop, F.lit("]")))
+            .when(test.rlike(r"^[\w.-]+$"), F.concat(name, F.lit("[data-testid="), test, F.lit("]")))
+            .when(own != "", F.concat(F.lit("#"), own))
+            .when(word.rlike(r"^[\w-]+$"), F.concat(F.lit("."), word))
+        )
+
+    return F.slice(F.array_distinct(F.array_compact(F.transform(tags, suggest))), 1, MOST_SUGGESTIONS)
+
+
+def reason_for_status(status: Column) -> Column:
+    """The reason that a status alone stands for."""
+    return F.when(status.isin("found", "not_found", "blocked"), status).when(status == "unavailable", "network_error").otherwise("low_confidence")
+
+
+def reason_for_fetch(kind: Column) -> Column:
+    """The reason of a failed fetch by its kind."""
+    return F.when(kind == "challenge", "bot_wall").when(kind == "queue_busy", "request_queue_busy").when(kind.isin("timeout", "blocked", "rate_limited", "response_too_large", "http_client_error"), kind).otherwise("http_server_error")
+
+
+def reason_for_result(status: Column, http_status: Column, exact_ean: Column, price_cents: Column) -> Column:
+    """The reason of a result without one: by status and answer, else by what its evidence lacks."""
+    lost = F.when(http_status >= 500, "http_server_error").otherwise("network_error")
+    unsure = F.when(~F.coalesce(exact_ean, F.lit(False)), "wrong_product").when(F.coalesce(price_cents, F.lit(0)) == 0, "price_missing").otherwise("low_confidence")
+    return F.when(status.isin("found", "not_found", "blocked"), status).when(status == "unavailable", lost).otherwise(unsure)
+
+
+def is_cooldown_reason(reason: Column) -> Column:
+    """Reasons that make a whole host wait."""
+    return F.coalesce(reason.isin("blocked", "captcha", "bot_wall", "js_challenge", "rate_limited", "timeout", "response_too_large", "http_server_error", "network_error"), F.lit(False))
+
+
+def is_verified(match: Column) -> Column:
+    """Whether a match (struct) is a find: it has a price, and its evidence is strong enough for where it came from.
+
+    A sitemap's address is a hint only, and needs the code; by code the overall
+    confidence must be 68, by name 52 with 0.93 of the name and a source of 70.
+    """
+    overall = match["overall_confidence"]
+    coded = match["structured_ean"] | (match["ean_match"] & (match["name_score"] >= 0.85))
+    named = (match["name_score"] >= 0.93) & (overall >= 52) & (match["source_confidence"] >= 70)
+    by_page = F.when(match["ean_match"], overall >= 68).otherwise(named)
+    return F.coalesce(match["price_cents"].isNotNull() & F.when(match["profile_id"] == "sitemap", coded & (overall >= 68)).otherwise(by_page), F.lit(False))

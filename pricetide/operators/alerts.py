@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pricetide.functions.scalars import half_up
 from pricetide.operators.history import with_previous
+from pricetide.operators.policy import live_rules, meet_all
 
 
 def customer(snaps: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -40,17 +41,16 @@ def outbox(events: DataFrame) -> DataFrame:
     return events.select("product_id", "alert_type", F.lit("open").alias("state"), key.alias("dedupe_key")).dropDuplicates(["dedupe_key"])
 
 
-def match_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Hosts with the enabled rules for them or for all: two equi-joins, so that neither side need be small."""
-    live = rules.where("enabled").withColumnRenamed("host", "rule_host")
+def match_rules(hosts: DataFrame, rules: DataFrame, now: str) -> DataFrame:
+    """Hosts with the live rules for them or for all."""
+    live = live_rules(rules, now).withColumnRenamed("host", "rule_host")
     own = hosts.join(live, F.col("host") == F.col("rule_host"))
-    star = hosts.withColumn("_any", F.lit("*")).join(live, F.col("_any") == F.col("rule_host")).drop("_any")
-    return own.unionByName(star)
+    return own.unionByName(meet_all(hosts, "host", live.where("rule_host = '*'")))
 
 
-def health(state: DataFrame, rules: DataFrame) -> DataFrame:
+def health(state: DataFrame, rules: DataFrame, now: str) -> DataFrame:
     """open or resolved for each host and rule with enough checks; state has host, total, operational and streak."""
-    rows = match_rules(state, rules)
+    rows = match_rules(state, rules, now)
     bps = F.when(F.col("total_checks") > 0, half_up(F.col("operational") / F.col("total_checks") * 10_000)).otherwise(10_000).cast("long")
     fine = (F.col("success_bps") >= F.col("minimum_success_rate_bps")) & (F.col("consecutive_failures") < F.col("maximum_consecutive_failures"))
     judged = rows.withColumn("success_bps", bps).where(F.col("total_checks") >= F.col("minimum_checks"))

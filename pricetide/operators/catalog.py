@@ -26,8 +26,13 @@ def expand_searches(products: DataFrame, websites: DataFrame) -> DataFrame:
     return codes.join(stores, "owner")
 
 
+#: What rows of one code must agree in.
+DETAILS = ("name", "sku", "notes", "own_price_cents", "alert_on_price_drop", "alert_on_restock", "alert_target_price_cents", "alert_drop_percent_bps")
+
+
 def conflicts(products: DataFrame) -> DataFrame:
-    details = F.to_json(F.struct("name", "own_price_cents", "alert_target_price_cents"))
+    """Codes that rows bear with different details, and the number of their variants; null is a value like any other."""
+    details = F.to_json(F.struct(*DETAILS))
     return products.groupBy("ean").agg(F.count_distinct(details).alias("variants")).where("variants > 1")
 
 
@@ -35,6 +40,17 @@ def new_pairs(expanded: DataFrame, existing: DataFrame) -> DataFrame:
     return expanded.join(existing.select("ean", "host").distinct(), ["ean", "host"], "left_anti")
 
 
+def backfill_hostname(rows: DataFrame, url: str = "website_url") -> DataFrame:
+    """Rows with `hostname` from their address where it is missing or empty."""
+    return rows.withColumn("hostname", F.coalesce(F.nullif("hostname", F.lit("")), host(F.col(url))))
+
+
+def duplicate_profiles(profiles: DataFrame) -> DataFrame:
+    """Hosts and signatures, in small letters, that more than one profile bears, with how many and the first id."""
+    key = [F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in ("host", "signature")]
+    return profiles.select("id", *key).groupBy("host", "signature").agg(F.count("*").alias("profiles"), F.min("id").alias("first_id")).where("profiles > 1")
+
+
 def website_usage(websites: DataFrame, products: DataFrame) -> DataFrame:
     used = products.groupBy("owner", "host").agg(F.count("*").alias("products"))
     return websites.withColumn("host", host(F.col("url"))).join(used, ["owner", "host"], "left").select("id", "owner", "host", F.coalesce("products", F.lit(0)).alias("products"), F.col("products").isNull().alias("deletable"))

@@ -45,15 +45,16 @@ def group_key() -> Column:
 
 
 def group_status(products: DataFrame) -> DataFrame:
-    """Found on n, k of n found, Queued, Searching, or the first other status by id."""
+    """Found on n sites, k of n found, Searching or Queued where all wait, else the first status by id that isn't waiting."""
     rows = products.withColumn("group_key", group_key()).groupBy("group_key")
-    n, found = F.count("*"), F.count_if(F.col("status") == "found")
+    waits = F.col("status").isin("queued", "searching")
+    n, found, waiting = F.count("*"), F.count_if(F.col("status") == "found"), F.count_if(waits)
+    other = F.min_by("status", F.when(~waits, F.col("id")))
     label = (
-        F.when(found == n, F.concat(F.lit("Found on "), n.cast("string")))
+        F.when(found == n, F.concat(F.lit("Found on "), n.cast("string"), F.when(found == 1, " site").otherwise(" sites")))
         .when(found > 0, F.concat(found.cast("string"), F.lit(" of "), n.cast("string"), F.lit(" found")))
-        .when(F.count_if(F.col("status") == "searching") > 0, "Searching")
-        .when(F.count_if(F.col("status") == "queued") > 0, "Queued")
-        .otherwise(F.min_by("status", "id"))
+        .when(waiting == n, F.when(F.count_if(F.col("status") == "searching") > 0, "Searching").otherwise("Queued"))
+        .otherwise(F.when(other == "not_found", "Not found").otherwise(F.replace(other, F.lit("_"), F.lit(" "))))
     )
     return rows.agg(label.alias("label"), F.max("last_checked_at").alias("last_checked_at"))
 
@@ -79,6 +80,16 @@ def reasons(products: DataFrame, most: int = 6) -> DataFrame:
     return failing.groupBy("ean").agg(F.array_join(F.slice(F.array_sort(F.collect_set("status")), 1, most), ",").alias("reasons"))
 
 
+def price_dropped(products: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Products below their own price, or with a currency in which the price fell since the first observation.
+
+    summaries has product_id and change_cents, a row for each product and currency.
+    """
+    fell = summaries.where("change_cents < 0").select("product_id").distinct().withColumn("_fell", F.lit(True))
+    rows = products.join(fell, "product_id", "left")
+    return rows.where((F.col("price_cents") < F.col("own_price_cents")) | F.col("_fell")).select("id", "ean", "price_cents", "own_price_cents")
+
+
 def rank_offers(products: DataFrame) -> DataFrame:
     """In stock before unknown before the rest, then the lower price, then the later check."""
     stock = F.when((F.col("status") == "found") & F.col("in_stock"), 2).when((F.col("status") == "found") & F.col("in_stock").isNull(), 1).otherwise(0)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricetide.functions.scalars import digits, host, is_public_host, without_fragment
-from pricetide.operators.policy import drop_non_store
+from pricetide.functions.scalars import commerce_platform, digits, host, is_public_host, selector_suggestions, without_fragment
+from pricetide.operators.policy import drop_non_store, meet_all, suffix_join
 
 # Budgets by type of site (timeout in ms, bytes of a page, retries), their clamps, and hosts of a known type.
 BUDGETS = {"standard": (8_000, 2_097_152, 2), "slow": (16_000, 3_145_728, 2), "large": (12_000, 5_242_880, 1), "javascript": (10_000, 3_145_728, 1), "marketplace": (14_000, 4_194_304, 1)}
@@ -121,11 +121,26 @@ def sitemap_match(locations: DataFrame, targets: DataFrame) -> DataFrame:
     return first.where("equal = 1").select("id", "url", "score")
 
 
-def discovered_stores(urls: DataFrame) -> DataFrame:
-    """host, url (the store's root), product_url: the first address of each public store; urls has place and url."""
+def sitemap_documents(docs: DataFrame, most: int = 3) -> DataFrame:
+    """host, sitemap, priority, turn: the `most` sitemap documents of each host to read first.
+
+    An address whose path speaks of products counts 100, of a product 20, of an
+    index 5; of equals the first stays. docs has host, place and sitemap.
+    """
+    path = F.lower(F.regexp_extract("sitemap", r"^[^:]+://[^/?#]*([^?#]*)", 1))
+    score = sum((F.when(F.contains(path, F.lit(word)), n).otherwise(0) for word, n in (("products", 100), ("product", 20), ("index", 5))), F.lit(0))
+    one = docs.groupBy("host", "sitemap").agg(F.min("place").alias("place")).withColumn("priority", score)
+    w = Window.partitionBy("host").orderBy(F.desc("priority"), "place", "sitemap")
+    return one.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= most).select("host", "sitemap", "priority", "turn")
+
+
+def discovered_stores(urls: DataFrame, most: int | None = None) -> DataFrame:
+    """host, url (the store's root), product_url: the first address of each public store, of the first `most` stores if given; urls has place and url."""
     named = urls.where(F.col("url").rlike("(?i)^https?://[^/@?#]+([/?#]|$)")).withColumn("host", host(F.col("url")))
     ok = drop_non_store(named.where(is_public_host(F.col("host"))))
-    first = ok.groupBy("host").agg(F.min_by("url", F.struct("place", "url")).alias("u"))
+    first = ok.groupBy("host").agg(F.min_by("url", F.struct("place", "url")).alias("u"), F.min("place").alias("place"))
+    if most is not None:
+        first = first.orderBy("place", "host").limit(most)
     return first.select("host", F.concat(F.lower(F.regexp_extract("u", "(?i)^(https?://[^/?#]+)", 1)), F.lit("/")).alias("url"), without_fragment(F.col("u")).alias("product_url"))
 
 
@@ -150,18 +165,43 @@ def profile_health_update(profiles: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def profile_drift(pages: DataFrame, profiles: DataFrame) -> DataFrame:
-    """page_id, profile_id, drifted: pages of a profile's host that lack the signature it expects, in either case of letters."""
-    rows = pages.withColumn("host", host(F.col("url"))).join(profiles.select(F.col("id").alias("profile_id"), "host", "signature"), "host")
-    return rows.select("page_id", "profile_id", (~F.contains(F.lower("html"), F.lower("signature"))).alias("drifted"))
-
-
-def resolve_profile(pages: DataFrame, profiles: DataFrame) -> DataFrame:
-    """page_id, profile_id: the first profile by id that fits a page, by host (if it names one) and signature (if it names one)."""
-    rows = pages.withColumn("host", host(F.col("url")))
-    own = rows.join(profiles.where("host IS NOT NULL").select(F.col("id").alias("profile_id"), "host", "signature"), "host")
-    any_ = profiles.where("host IS NULL").agg(F.array_sort(F.collect_list(F.struct("id", "signature"))).alias("_any"))
-    low = F.lower("html")
-    fits = lambda signature: F.coalesce(F.contains(low, F.lower(signature)), F.lit(True))
-    by_host = own.where(fits(F.col("signature"))).select("page_id", "profile_id")
-    general = rows.join(F.broadcast(any_)).select("page_id", F.explode(F.transform(F.filter("_any", lambda p: fits(p["signature"])), lambda p: p["id"])).alias("profile_id"))
-    return by_host.unionByName(general).groupBy("page_id").agg(F.min("profile_id").alias("profile_id"))
+    """page_id, profile_id, drifted, platform, suggestions of pages of a profile's host.
+
+    A page drifted if it lacks the signature that the profile expects, in either
+    case of letters. Suggestions are selectors of the page that the profile lacks.
+    profiles has id, host, signature and, nullable, the three selectors.
+    """
+    own = [F.col(c) if c in profiles.columns else F.lit(None).cast("string").alias(c) for c in ("product_selector", "ean_selector", "price_selector")]
+    rules = profiles.select(F.col("id").alias("profile_id"), "host", "signature", F.array(*own).alias("_own"))
+    rows = pages.withColumn("host", host(F.col("url"))).join(rules, "host")
+    lacks = ~F.coalesce(F.contains(F.lower("html"), F.lower("signature")), F.lit(True))
+    return rows.select("page_id", "profile_id", lacks.alias("drifted"), commerce_platform(F.col("html")).alias("platform"), F.array_join(F.array_except(selector_suggestions(F.col("html")), "_own"), ",").alias("suggestions"))
+
+
+def resolve_profile(pages: DataFrame, profiles: DataFrame, built_in: DataFrame) -> DataFrame:
+    """page_id, profile_id, price_selector, block_patterns: what a page is read with; pages that nothing fits are left out.
+
+    A custom profile fits by host (its store family) and signature, where it
+    names them; the first by place counts. A built-in one fits by its host
+    pattern or its html pattern. The custom one's fields come before the
+    built-in's, and both lists of block patterns are joined. profiles has id,
+    place, host, signature, price_selector, block_patterns (array); built_in id,
+    place, host_pattern, html_pattern, price_selector, block_patterns. Profiles
+    without a host and built-in ones are few, and meet every page (`meet_all`).
+    """
+    rows = pages.select("page_id", host(F.col("url")).alias("host"), F.lower("html").alias("low"), "html")
+    fields = lambda: F.struct("place", F.col("rule.id").alias("id"), F.col("rule.price_selector").alias("price_selector"), F.col("rule.block_patterns").alias("block_patterns"))
+    rule = lambda df: df.withColumn("rule", F.struct("id", "price_selector", "block_patterns"))
+    custom = rule(profiles).select("place", F.col("host").alias("_host"), F.lower("signature").alias("_signature"), "rule")
+    met = suffix_join(rows.select("page_id", "host"), custom.where("_host IS NOT NULL").select("_host").distinct(), "host", "_host").select("page_id", "_host")
+    hosted = rows.join(met.join(custom, "_host"), "page_id").select("page_id", "low", "place", "_signature", "rule")
+    anywhere = meet_all(rows.select("page_id", "low"), "page_id", custom.where("_host IS NULL").select("place", "_signature", "rule")).select("page_id", "low", "place", "_signature", "rule")
+    fits = hosted.unionByName(anywhere).where(F.coalesce(F.contains("low", "_signature"), F.lit(True)))
+    own = fits.groupBy("page_id").agg(F.min_by(fields(), "place").alias("c"))
+    known = meet_all(rows.select("page_id", "host", "html"), "page_id", rule(built_in).select("place", "host_pattern", "html_pattern", "rule"))
+    known = known.where(F.coalesce(F.regexp_like("host", "host_pattern"), F.lit(False)) | F.coalesce(F.regexp_like("html", "html_pattern"), F.lit(False)))
+    base = known.groupBy("page_id").agg(F.min_by(fields(), "place").alias("b"))
+    none = F.array().cast("array<string>")
+    blocks = F.array_union(F.coalesce("b.block_patterns", none), F.coalesce("c.block_patterns", none))
+    both = own.join(base, "page_id", "full")
+    return both.select("page_id", F.coalesce(F.concat(F.lit("custom-"), "c.id"), "b.id").alias("profile_id"), F.coalesce("c.price_selector", "b.price_selector").alias("price_selector"), F.array_join(blocks, ",").alias("block_patterns"))

@@ -162,5 +162,5 @@ def match_pages(pairs: DataFrame, profiles: DataFrame, depth: int = JSON_DEPTH)
     return rows.select(
         "page_id", "canonical_url", F.coalesce("s.title", "page_title").alias("title"), "ean_match", "name_score", "best.price_cents", "best.currency", F.coalesce("s.in_stock", "page_stock").alias("in_stock"),
         F.col("best.source").alias("price_source"), structured.alias("structured"), F.coalesce("structured_ean", F.lit(False)).alias("structured_ean"), confidence_label(F.col("c")).alias("confidence"),
-        F.col("c.overall").alias("overall_confidence"), (F.col("c.overall") * 3 + F.when(structured, 12).otherwise(0)).alias("score"),
+        F.col("c.overall").alias("overall_confidence"), F.col("c.source").alias("source_confidence"), (F.col("c.overall") * 3 + F.when(structured, 12).otherwise(0)).alias("score"),
     )

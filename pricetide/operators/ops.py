@@ -20,10 +20,15 @@ def _is(*status: str) -> Column:
 
 
 def summary(runs: DataFrame, now: str, days: int = DAYS) -> DataFrame:
-    """One row of rates, throughput and response times over the window."""
-    n, done = F.count("*"), lambda c: F.count_if(c).cast("double")
+    """One row of rates, throughput and response times over the window.
+
+    Runs are counted by what the figures read before they meet in one row, so
+    that the exact percentiles hold a number for each different duration alone.
+    """
+    like = recent(runs, now, days).groupBy("status", "challenge_type", "reason_code", "duration_ms").agg(F.count("*").alias("n"))
+    n, done = F.coalesce(F.sum("n"), F.lit(0)), lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("double")
     rate = lambda c, name: ratio(done(c), n).alias(name)
-    return recent(runs, now, days).agg(
+    return like.agg(
         n.alias("runs"),
         rate(_is("found", "not_found"), "operational_success_rate"),
         rate(_is("found"), "match_rate"),
@@ -33,8 +38,8 @@ def summary(runs: DataFrame, now: str, days: int = DAYS) -> DataFrame:
         rate(F.col("challenge_type") == "captcha", "captcha_rate"),
         rate(F.col("reason_code") == "rate_limited", "rate_limited_rate"),
         (n / F.lit(days * 24.0)).alias("throughput_per_hour"),
-        half_up(F.percentile("duration_ms", 0.5)).cast("long").alias("median_response_ms"),
-        half_up(F.percentile("duration_ms", 0.95)).cast("long").alias("p95_response_ms"),
+        half_up(F.percentile("duration_ms", 0.5, F.col("n"))).cast("long").alias("median_response_ms"),
+        half_up(F.percentile("duration_ms", 0.95, F.col("n"))).cast("long").alias("p95_response_ms"),
     )
 
 
@@ -132,6 +137,11 @@ def needs_review(runs: DataFrame, limit: int = 100) -> DataFrame:
     return audit_view(runs.where(_is("needs_review")), limit)
 
 
+def recent_runs(runs: DataFrame, limit: int = 100) -> DataFrame:
+    """The latest runs of any status."""
+    return audit_view(runs, limit)
+
+
 def last_failure(runs: DataFrame) -> DataFrame:
     return audit_view(runs.where(_is(*FAILED)), 1)
 

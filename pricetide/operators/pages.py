@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricetide.functions.scalars import detect_currency, digits, host, name_score, normalize_currency, price_cents, without_fragment
-
-# Fixed values, in the order in which they are tried.
-CHALLENGES = (
-    ("captcha", r"captcha-delivery|verify you are human|g-recaptcha-response|complete the captcha"),
-    ("bot_wall", r"access denied|bot detection|unusual traffic|request blocked"),
-    ("login_wall", r"(?:sign|log) in to continue|login required"),
-    ("js_challenge", r"checking your browser|enable javascript and cookies|just a moment\.\.\."),
-)
+from pricetide.functions.scalars import commerce_platform, detect_currency, digits, host, normalize_currency, once, price_cents, without_fragment
+
+# Texts of walls before a page, and characters of a page that are read for them.
+CAPTCHA_TEXT = r"(?:complete|solve|enter)\s+(?:the\s+)?captcha|captcha\s+(?:is\s+)?required|verify\s+(?:that\s+)?you(?:'re| are)\s+human"
+CAPTCHA_WIDGET, CAPTCHA_WORDS, CAPTCHA_CHARS = r"g-recaptcha|hcaptcha|turnstile-wrapper|captcha-container", r"captcha|human|verification", 1_500
+BOT_MARKS = ("verify you are human", "are you a robot", "unusual traffic", "automated access", "attention required", "potrebno je varnostno preverjanje")
+LOGIN_TEXT, LOGIN_TITLE, LOGIN_CHARS = r"(?:sign in|log in)\s+(?:to|before you can)\s+(?:continue|view|see)|authentication required", r"<title>\s*(?:sign in|log in|authentication required)", 2_500
+SCRIPT_MARKS = ("enable javascript and cookies to continue", "javascript is required to continue", "checking your browser before accessing", "<title>just a moment", "js challenge")
 OUT_OF_STOCK = r"(?i)\b(out of stock|sold out|not available|unavailable|ni na zalogi|razprodano)\b"
 IN_STOCK = r"(?i)\b(in stock|available|na zalogi|dobavljivo)\b"
 PREFIX = 180_000
@@ -27,11 +26,24 @@ def visible(html: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
-def challenge(html: Column) -> Column:
-    text, out = F.lower(F.substring(html, 1, PREFIX)), F.lit(None).cast("string")
-    for kind, pattern in reversed(CHALLENGES):
-        out = F.when(text.rlike(pattern), kind).otherwise(out)
-    return out
+def challenge(html: Column, patterns: Column | None = None) -> Column:
+    """The wall that a page is, or null: captcha, bot_wall, login_wall, js_challenge, in that order; a profile's own marks (an array) mean bot_wall.
+
+    Only the first characters are read. A captcha or a login box on an ordinary page is no wall.
+    """
+
+    def rule(page: Column) -> Column:
+        silent = F.regexp_replace(F.regexp_replace(page, r"(?s)<script\b.*?</script>", " "), r"(?s)<style\b.*?</style>", " ")
+        return once(F.trim(F.regexp_replace(F.regexp_replace(silent, "<[^>]+>", " "), r"\s+", " ")), lambda text: kind(page, text))
+
+    def kind(page: Column, text: Column) -> Column:
+        any_of = lambda marks: F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(page, m))
+        widget = page.rlike(CAPTCHA_WIDGET) & (F.length(text) < CAPTCHA_CHARS) & text.rlike(CAPTCHA_WORDS)
+        login = text.rlike(LOGIN_TEXT) | ((F.length(text) < LOGIN_CHARS) & page.rlike(LOGIN_TITLE))
+        own = F.lit(False) if patterns is None else F.coalesce(F.exists(patterns, lambda p: (p != "") & F.contains(page, F.lower(p))), F.lit(False))
+        return F.when(text.rlike(CAPTCHA_TEXT) | widget, "captcha").when(any_of(BOT_MARKS), "bot_wall").when(login, "login_wall").when(any_of(SCRIPT_MARKS), "js_challenge").when(own, "bot_wall")
+
+    return once(F.lower(F.substring(html, 1, PREFIX)), rule)
 
 
 def stock(text: Column) -> Column:
@@ -51,7 +63,7 @@ def signals(pages: DataFrame) -> DataFrame:
     text = visible(html)
     return pages.select(
         "page_id", host(F.col("url")).alias("host"), F.coalesce(canonical, without_fragment(F.col("url"))).alias("canonical_url"), title(html).alias("title"), F.length(html).alias("chars"),
-        F.length(text).alias("visible_chars"), challenge(html).alias("challenge"), stock(text).alias("in_stock"), F.xxhash64(html).alias("fingerprint"),
+        F.length(text).alias("visible_chars"), F.octet_length(html).alias("bytes"), challenge(html).alias("challenge"), stock(text).alias("in_stock"), commerce_platform(html).alias("platform"), F.md5(html).alias("fingerprint"),
     )
 
 
@@ -61,20 +73,6 @@ def links(pages: DataFrame) -> DataFrame:
     return found.select("page_id", "place", F.regexp_extract("a", r"""(?is)href=["']([^"'#]+)""", 1).alias("href"), F.trim(F.regexp_extract("a", r"(?is)>([^<]*)</a>", 1)).alias("label"))
 
 
-def link_frontier(pages: DataFrame, terms: list[str], most: int = 8) -> DataFrame:
-    """The likeliest links of each page: 10 for each term in address or label, 4 for a product route, 2 for any other; the first of equals."""
-    base = pages.select("page_id", F.regexp_extract("url", r"^(https?://[^/?#]+)", 1).alias("root"), host(F.col("url")).alias("page_host"))
-    rows = links(pages).join(base, "page_id").withColumn("link", F.when(F.col("href").startswith("/"), F.concat("root", "href")).otherwise(F.col("href")))
-    same = rows.where(F.col("link").rlike("^https?://") & (host(F.col("link")) == F.col("page_host")))
-    text = F.lower(F.concat_ws(" ", "link", "label"))
-    score = F.when(F.col("link").rlike("(?i)/(p|product|products|item|izdelek)/"), 4).otherwise(2)
-    for t in terms:
-        score = score + F.when(text.contains(t.lower()), 10).otherwise(0)
-    one = same.withColumn("score", score).groupBy("page_id", "link").agg(F.max("score").alias("score"), F.min("place").alias("place"))
-    w = Window.partitionBy("page_id").orderBy(F.desc("score"), "place", "link")
-    return one.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("page_id", "link", "score", "n")
-
-
 def meta_prices(pages: DataFrame) -> DataFrame:
     """Prices that a page's meta and itemprop elements state, with a base score."""
     tags = F.regexp_extract_all("html", F.lit(r"""(?is)<[a-z]+\s[^>]*(?:product:price:amount|og:price:amount|itemprop=["']price["']|data-price=)[^>]*>"""), 0)
@@ -106,16 +104,6 @@ def best_price(pages: DataFrame) -> DataFrame:
     return top.select("page_id", "t.price_cents", "t.currency", "t.b.score", "t.b.source")
 
 
-def incremental(pages: DataFrame, cache: DataFrame) -> DataFrame:
-    """Pages whose address and fingerprint the cache lacks."""
-    return pages.join(cache.select("url", "fingerprint"), ["url", "fingerprint"], "left_anti")
-
-
-def carry_forward(pages: DataFrame, previous: DataFrame) -> DataFrame:
-    """Verified offers of unchanged pages, repeated as new observations."""
-    return pages.join(previous.where("verified"), ["url", "fingerprint"]).select("page_id", "url", "price_cents", "currency")
-
-
 #: A price with a label before or behind it, and words near a price that make it another price.
 LABELLED = (
     r"(?:current\s+price|sale\s+price|our\s+price|now|price)\s*[:\-]?\s*(?:€|EUR|\$|USD|£|GBP|CHF|PLN|SEK)?\s*\d{1,8}(?:(?:[ .,'’]\d{3})+)?(?:[.,]\d{1,2})?\s*(?:€|EUR|USD|GBP|CHF|PLN|SEK)?",
@@ -242,41 +230,54 @@ def search_forms(pages: DataFrame, most: int = 2) -> DataFrame:
     return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("page_id", "place", "action", F.col("best.name").alias("field"), "hidden")
 
 
+def selected_text(html: Column, selector: Column) -> Column:
+    """The text of the first element that a selector names (a tag, #id, .class or [attr=value]), empty where none is."""
+    quote = lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))
+    attribute, value = (F.regexp_extract(selector, r"^\[([\w-]+)=[\"']?([^\"'\]]*)", k) for k in (1, 2))
+    inside = (
+        F.when(selector.startswith("#"), F.concat(F.lit("[a-z]\\w*\\b[^>]*\\sid=[\"']"), quote(F.substr(selector, F.lit(2))), F.lit("[\"']")))
+        .when(selector.startswith("."), F.concat(F.lit("[a-z]\\w*\\b[^>]*\\sclass=[\"'](?:[^\"']*\\s)?"), quote(F.substr(selector, F.lit(2))), F.lit("(?:\\s[^\"']*)?[\"']")))
+        .when(selector.startswith("["), F.concat(F.lit("[a-z]\\w*\\b[^>]*\\s"), quote(attribute), F.lit("=[\"']"), quote(value), F.lit("[\"']")))
+        .otherwise(F.concat(quote(selector), F.lit("\\b")))
+    )
+    return F.call_function("regexp_extract", html, F.concat(F.lit("(?is)<"), inside, F.lit("[^>]*>([^<]{1,200})<")), F.lit(1))
+
+
+def profile_fields(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """page_id, product_text, ean_match: what a host's selectors for the product and its code name, and whether the code is the wanted one.
+
+    pairs has page_id, url, html, ean; profiles host, product_selector and ean_selector (nullable), one row a host.
+    """
+    rows = pairs.withColumn("host", host(F.col("url"))).join(profiles.select("host", "product_selector", "ean_selector"), "host")
+    take = lambda c: F.when(F.col(c).isNotNull(), F.nullif(F.trim(selected_text(F.col("html"), F.col(c))), F.lit("")))
+    code = F.regexp_replace(take("ean_selector"), "[^0-9]", "")
+    return rows.select("page_id", take("product_selector").alias("product_text"), F.coalesce(code == digits(F.col("ean")), F.lit(False)).alias("ean_match"))
+
+
 def profile_prices(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     """page_id, price_cents, currency, score, source: the price in the first element that a host's selector names.
 
-    A selector is a tag, #id, .class or [attr=value]. Scores are 210 and 80 for a
-    met code, else 40 times the name's score. pairs has page_id, url, html,
-    exact_ean, name_score; profiles host and price_selector, one row a host.
+    Scores are 210 and 80 for a met code, else 40 times the name's score. pairs
+    has page_id, url, html, exact_ean, name_score; profiles host and
+    price_selector, one row a host.
     """
-    quote = lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))
-    sel = F.col("price_selector")
-    attribute, value = F.regexp_extract(sel, r"^\[([\w-]+)=[\"']?([^\"'\]]*)", 1), F.regexp_extract(sel, r"^\[([\w-]+)=[\"']?([^\"'\]]*)", 2)
-    inside = (
-        F.when(sel.startswith("#"), F.concat(F.lit("[a-z]\\w*\\b[^>]*\\sid=[\"']"), quote(F.substr(sel, F.lit(2))), F.lit("[\"']")))
-        .when(sel.startswith("."), F.concat(F.lit("[a-z]\\w*\\b[^>]*\\sclass=[\"'](?:[^\"']*\\s)?"), quote(F.substr(sel, F.lit(2))), F.lit("(?:\\s[^\"']*)?[\"']")))
-        .when(sel.startswith("["), F.concat(F.lit("[a-z]\\w*\\b[^>]*\\s"), quote(attribute), F.lit("=[\"']"), quote(value), F.lit("[\"']")))
-        .otherwise(F.concat(quote(sel), F.lit("\\b")))
-    )
-    rules = profiles.where("price_selector IS NOT NULL").select("host", F.concat(F.lit("(?is)<"), inside, F.lit("[^>]*>([^<]{1,80})<")).alias("pattern"))
+    rules = profiles.where("price_selector IS NOT NULL").select("host", "price_selector")
     rows = pairs.withColumn("host", host(F.col("url"))).join(rules, "host")
-    text = F.call_function("regexp_extract", F.col("html"), F.col("pattern"), F.lit(1))
+    text = selected_text(F.col("html"), F.col("price_selector"))
     score = 210 + F.when(F.col("exact_ean"), F.lit(80.0)).otherwise(F.col("name_score") * 40)
     out = rows.select("page_id", price_cents(text).alias("price_cents"), normalize_currency(detect_currency(text)).alias("currency"), score.alias("score"), F.lit("profile-selector").alias("source"))
     return out.where("price_cents IS NOT NULL")
 
 
-def classify_results(targets: DataFrame, offers: DataFrame, seen: DataFrame) -> DataFrame:
-    """id, status, reason_code of each wanted product after its pages were read.
-
-    found with a priced offer; needs_review with an offer without a price
-    (price_missing); blocked where every page seen was a challenge, by the first
-    kind; not_found otherwise. offers has id and price_cents, seen id and challenge.
-    """
-    priced = offers.groupBy("id").agg(F.count("price_cents").alias("priced"))
-    pages = seen.groupBy("id").agg(F.count("*").alias("seen"), F.count("challenge").alias("walls"), F.min("challenge").alias("wall"))
-    rows = targets.select("id").join(priced, "id", "left").join(pages, "id", "left")
-    walled = F.coalesce((F.col("seen") > 0) & (F.col("seen") == F.col("walls")), F.lit(False))
-    status = F.when(F.col("priced") > 0, "found").when(F.col("priced") == 0, "needs_review").when(walled, "blocked").otherwise("not_found")
-    reason = F.when(F.col("priced") > 0, "found").when(F.col("priced") == 0, "price_missing").when(walled, F.col("wall")).otherwise("not_found")
-    return rows.select("id", status.alias("status"), reason.alias("reason_code"))
+def json_path_values(rows: DataFrame, path: str, node: str = "node") -> DataFrame:
+    """The columns of `rows` but for the node, and value: the plain values at a dotted path of at most five parts, lists opened on the way and at the end."""
+    parts = [p.strip() for p in path.split(".") if p.strip()]
+    keep = [c for c in rows.columns if c != node]
+    named = ", ".join(f"`{c}`" for c in keep)
+    now = rows.select(*keep, F.col(node).alias("_v")).limit(0) if not parts or len(parts) > 5 else rows.select(*keep, F.col(node).alias("_v"))
+    opened = f"SELECT {named}{',' if keep else ''} coalesce(c.value, _v) AS _v FROM {{now}}, LATERAL variant_explode_outer(CASE WHEN startswith(schema_of_variant(_v), 'ARRAY') THEN _v END) AS c"
+    for part in parts:
+        now = now.sparkSession.sql(opened, now=now).withColumn("_v", F.try_variant_get("_v", "$['" + part.replace("'", "\\'") + "']", "variant")).where("_v IS NOT NULL")
+    now = now.sparkSession.sql(opened, now=now)
+    kind = F.schema_of_variant("_v")
+    return now.where(~kind.rlike("^(OBJECT|ARRAY|VOID)")).select(*keep, F.try_variant_get("_v", "$", "string").alias("value"))

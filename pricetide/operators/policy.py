@@ -92,10 +92,29 @@ def wildcard(pattern: Column) -> Column:
     return F.concat(F.lit("(?is)"), F.regexp_replace(F.regexp_replace(pattern, r"([.+?^${}()|\[\]\\])", r"\\$1"), r"\*", ".*"))
 
 
+def live_rules(rules: DataFrame, now: str) -> DataFrame:
+    """Rules that are on and haven't run out."""
+    return rules.where(F.col("enabled") & (F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now).cast("timestamp_ntz"))))
+
+
+#: Parts that rows are dealt over where they all meet the same few rules.
+PARTS = 64
+
+
+def meet_all(rows: DataFrame, by: str, rules: DataFrame, parts: int = PARTS) -> DataFrame:
+    """Every row beside every rule that holds for all hosts; such rules are few.
+
+    Spark broadcasts the rules if their size is under its limit; else rows are
+    dealt over `parts` by a hash of `by`, and each part gets a copy of the rules.
+    """
+    copies = rules.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")).join(copies, "_part").drop("_part")
+
+
 def known_bad(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """page_id, rule_id: the first live rule by id whose host, address and content patterns a page meets; missing ones meet all."""
+    """page_id, rule_id: the first rule by id whose host, address and content patterns a page meets; missing ones meet all. Give it `live_rules`."""
     own = suffix_join(pages, rules.withColumnRenamed("host", "rule_host"), "host", "rule_host", False)
-    star = pages.withColumn("_any", F.lit("*")).join(rules.withColumnRenamed("host", "rule_host"), F.col("_any") == F.col("rule_host")).drop("_any")
+    star = meet_all(pages, "page_id", rules.where("host = '*'").withColumnRenamed("host", "rule_host"))
     meets = lambda text, pattern: F.col(pattern).isNull() | F.regexp_like(F.col(text), wildcard(F.col(pattern)))
     both = own.unionByName(star).where(meets("url", "url_pattern") & meets("html", "content_pattern"))
     return both.groupBy("page_id").agg(F.min("id").alias("rule_id"))

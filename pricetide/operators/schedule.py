@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pricetide.functions.scalars import min_cadence_minutes
+
 MOST_TARGETS, MOST_DUE = 500, 8
 
 
@@ -29,11 +35,11 @@ def public_view(schedules: DataFrame) -> DataFrame:
 
 def cycle_products(products: DataFrame, schedules: DataFrame) -> DataFrame:
     """Monitored products of each schedule that its cycle hasn't checked: all of the owner's, or the listed ones."""
-    on = products.where("monitoring_enabled").select("id", "owner", "host", "last_checked_at")
+    on = products.where("monitoring_enabled").select("id", "owner", "host", "last_checked_at", "created_at")
     everything = schedules.where(F.col("target_mode") == "all").select(F.col("id").alias("schedule_id"), "owner", "next_run_at").join(on, "owner")
     listed = explode_targets(schedules).join(schedules.select(F.col("id").alias("schedule_id"), "next_run_at"), "schedule_id").join(on, ["owner", "id"])
     rows = everything.unionByName(listed)
-    return rows.where(F.col("last_checked_at").isNull() | (F.col("last_checked_at") < F.col("next_run_at"))).select("schedule_id", "id", "host", "last_checked_at")
+    return rows.where(F.col("last_checked_at").isNull() | (F.col("last_checked_at") < F.col("next_run_at"))).select("schedule_id", "id", "host", "last_checked_at", "created_at")
 
 
 def fair_order(df: DataFrame, within: list[str], host: str, order: str) -> DataFrame:
@@ -45,9 +51,9 @@ def fair_order(df: DataFrame, within: list[str], host: str, order: str) -> DataF
 
 
 def tick_pick(products: DataFrame, schedules: DataFrame, k: int = 4) -> DataFrame:
-    """One product of each of k hosts behind the schedule's cursor: the one whose check is longest ago, never checked last."""
+    """One product of each of k hosts behind the schedule's cursor: the one whose check is longest ago, never checked last, then the oldest."""
     rows = cycle_products(products, schedules)
-    w = Window.partitionBy("schedule_id", "host").orderBy(F.asc_nulls_last("last_checked_at"), "id")
+    w = Window.partitionBy("schedule_id", "host").orderBy(F.asc_nulls_last("last_checked_at"), "created_at", "id")
     one = rows.withColumn("n", F.row_number().over(w)).where("n = 1").join(schedules.select(F.col("id").alias("schedule_id"), "cursor_index"), "schedule_id")
     by = Window.partitionBy("schedule_id")
     ranked = one.withColumn("at", F.row_number().over(by.orderBy("host")) - 1).withColumn("hosts", F.count("*").over(by))
@@ -55,8 +61,23 @@ def tick_pick(products: DataFrame, schedules: DataFrame, k: int = 4) -> DataFram
     return ranked.withColumn("turn", turn).where(F.col("turn") < k).select("schedule_id", "id", "host", "turn")
 
 
-def retest_eligible(products: DataFrame, processed: DataFrame, statuses: list[str]) -> DataFrame:
-    return products.where(F.col("monitoring_enabled") & F.col("status").isin(*statuses)).join(processed.select("id"), "id", "left_anti").select("id", "host")
+def retest_eligible(products: DataFrame, processed: DataFrame, statuses: list[str], hosts: list[str] | None = None, reasons: list[str] | None = None) -> DataFrame:
+    """Products of the statuses, hosts and reasons asked for (none: any) that haven't been processed."""
+    rows = products
+    for column, wanted in (("status", statuses), ("host", hosts), ("reason_code", reasons)):
+        if wanted:
+            rows = rows.where(F.coalesce(column, F.lit("")).isin(*wanted))
+    return rows.join(processed.select("id"), "id", "left_anti").select("id", "host")
+
+
+def retest_next(eligible: DataFrame, last_host: str | None) -> DataFrame:
+    """The next product to test again: the first by id of the host that follows `last_host`, the first host where none does.
+
+    Hosts stand in the order in which they first come by id. One row, none if nothing is eligible.
+    """
+    hosts = eligible.groupBy("host").agg(F.min("id").alias("id"))
+    last = hosts.where(F.col("host") == (last_host or "")).agg(F.min("id").alias("_last"))
+    return hosts.join(last).orderBy(F.coalesce(F.col("id") <= F.col("_last"), F.lit(False)), "id").limit(1).select("id", "host")
 
 
 def outcomes(runs: DataFrame) -> DataFrame:
@@ -75,31 +96,46 @@ def advance(schedules: DataFrame, left: DataFrame, now: str) -> DataFrame:
     return rows.select("id", F.when(open_, F.col("next_run_at")).otherwise(later).alias("next_run_at"), F.when(open_, F.col("cursor_index") + 4).otherwise(0).cast("long").alias("cursor_index"), F.coalesce("remaining", F.lit(0)).cast("long").alias("remaining"))
 
 
-def ensure_default(owners: DataFrame, schedules: DataFrame) -> DataFrame:
+#: Checks a day by plan.
+CHECKS = {"starter": 1, "business": 4, "pro": 24}
+
+
+def ensure_default(owners: DataFrame, schedules: DataFrame, now: str) -> DataFrame:
+    """A schedule of all products for each owner without one, as often as the owner's plan allows; owners has owner and plan (null: business)."""
     have = schedules.where(F.col("target_mode") == "all").select("owner").distinct()
-    return owners.join(have, "owner", "left_anti").select("owner", F.lit("all").alias("target_mode"), F.lit(1440).alias("cadence_minutes"))
+    checks = F.lit(CHECKS["business"])
+    for plan, n in CHECKS.items():
+        checks = F.when(F.col("plan") == plan, n).otherwise(checks)
+    rows = owners.join(have, "owner", "left_anti").select("owner", F.lit("all").alias("target_mode"), min_cadence_minutes(checks).alias("cadence_minutes"))
+    return rows.withColumn("next_run_at", F.timestamp_add("MINUTE", F.col("cadence_minutes"), F.lit(now).cast("timestamp_ntz")))
+
+
+def _starts(within: list[str], host: str, k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(hosts: pd.DataFrame) -> pd.DataFrame:
+        hosts = hosts.sort_values("_first")
+        free, at = [0] * k, []
+        for n in hosts["_n"]:
+            at.append(heapq.heappop(free))
+            heapq.heappush(free, at[-1] + int(n))
+        return hosts.assign(_start=at)[[*within, host, "_start"]]
+
+    return run
 
 
-def fair_batches(df: DataFrame, host: str, order: str, k: int) -> DataFrame:
-    """batch of every row: each batch takes a row of the first k hosts that have rows left.
+def fair_batches(df: DataFrame, within: list[str], host: str, order: str, k: int) -> DataFrame:
+    """batch of every row of its list: each batch takes a row of the first k hosts that have rows left.
 
-    Hosts take up free slots in the order in which they first come: a host
-    starts in the batch in which the earliest of k slots is free. The hosts'
-    lengths, one number each, are folded into starts; rows then find their own.
+    A list is what `within` names, such as an owner's products. Hosts take up
+    free slots in the order in which they first come: a host starts in the batch
+    in which the earliest of k slots is free. A list's hosts, one number each,
+    are folded into starts in a task of the list; its rows never meet there.
     """
-    hosts = df.groupBy(host).agg(F.min(order).alias("_first"), F.count("*").alias("_n"))
-    ordered = hosts.agg(F.array_sort(F.collect_list(F.struct("_first", host, "_n"))).alias("h"))
-    start = F.struct(F.array_repeat(F.lit(0).cast("long"), k).alias("free"), F.array().cast("array<struct<host:string,start:long>>").alias("out"))
-
-    def step(acc: Column, h: Column) -> Column:
-        at = F.array_min(acc["free"])
-        slot = F.array_position(acc["free"], at)
-        free = F.transform(acc["free"], lambda v, i: F.when(i + 1 == slot, at + h["_n"]).otherwise(v))
-        return F.struct(free.alias("free"), F.concat(acc["out"], F.array(F.struct(h[host].alias("host"), at.alias("start")))).alias("out"))
-
-    starts = ordered.select(F.explode(F.aggregate("h", start, step)["out"]).alias("s")).select(F.col("s.host").alias(host), F.col("s.start").alias("_start"))
-    n = F.row_number().over(Window.partitionBy(host).orderBy(order))
-    return df.join(starts, host).withColumn("batch", F.col("_start") + n - 1).drop("_start")
+    hosts = df.groupBy(*within, host).agg(F.min(order).alias("_first"), F.count("*").alias("_n"))
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*within, host]) + ", _start long"
+    starts = hosts.groupBy(*within).applyInPandas(_starts(within, host, k), schema)
+    n = F.row_number().over(Window.partitionBy(*within, host).orderBy(order))
+    return df.join(starts, [*within, host]).withColumn("batch", F.col("_start") + n - 1).drop("_start")
 
 
 def apply_edit(schedules: DataFrame, edits: DataFrame, now: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _EAN = "lpad('' || p_partkey, 12, '0')"
 _DIGIT = "(" + " + ".join(f"CAST(substr({_EAN}, {i + 1}, 1) AS INT) * {3 if i % 2 else 1}" for i in range(12)) + ")"
@@ -15,7 +16,7 @@ SNAPSHOTS = """SELECT l_partkey AS product_id, l_suppkey AS store_id, 'shop-' ||
     CASE l_returnflag WHEN 'N' THEN true WHEN 'R' THEN false END AS in_stock, l_linenumber % 4 <> 0 AS exact_ean,
     CAST(floor(l_discount * 100000 + 0.5) AS BIGINT) AS name_similarity_bps, l_shipdate AS captured_at FROM lineitem"""
 
-PRODUCTS = f"""SELECT p_partkey || '-' || store_id AS id, 'owner-' || (p_partkey % 20) AS owner, 'https://www.' || host || '/' AS website_url, host, p_name AS name,
+_PRODUCTS = f"""SELECT p_partkey || '-' || store_id AS id, 'owner-' || (p_partkey % 20) AS owner, 'https://www.' || host || '/' AS website_url, host, p_name AS name,
     {_EAN} || ((10 - {_DIGIT} % 10) % 10) AS ean, CAST(floor(p_retailprice * 100 + 0.5) AS BIGINT) AS own_price_cents,
     CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS alert_on_price_drop, CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS alert_on_restock,
     CASE WHEN p_partkey % 2 = 0 THEN CAST(floor(p_retailprice * 110 + 0.5) AS BIGINT) END AS alert_target_price_cents,
@@ -23,9 +24,11 @@ PRODUCTS = f"""SELECT p_partkey || '-' || store_id AS id, 'owner-' || (p_partkey
     CASE (p_partkey + store_id) % 11 WHEN 0 THEN 'queued' WHEN 1 THEN 'searching' WHEN 2 THEN 'not_found' WHEN 3 THEN 'needs_review' WHEN 4 THEN 'blocked' ELSE 'found' END AS status,
     CASE WHEN (p_partkey + store_id) % 11 > 4 THEN price_cents END AS price_cents, CASE WHEN (p_partkey + store_id) % 11 > 4 THEN currency END AS currency,
     CASE WHEN (p_partkey + store_id) % 11 > 4 THEN in_stock END AS in_stock, CASE WHEN (p_partkey + store_id) % 11 > 1 THEN captured_at END AS last_checked_at,
-    created_at, p_partkey AS product_id, store_id
-FROM (SELECT *, row_number() OVER (PARTITION BY product_id, store_id ORDER BY captured_at DESC, id DESC) AS n,
-    min(captured_at) OVER (PARTITION BY product_id, store_id) AS created_at FROM ({SNAPSHOTS}) s0) s JOIN part ON p_partkey = product_id WHERE n = 1"""
+    created_at, p_partkey AS product_id, store_id FROM ({{latest}}) s JOIN part ON p_partkey = product_id"""
+PRODUCTS = _PRODUCTS.format(
+    latest=f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id, store_id ORDER BY captured_at DESC, id DESC) AS n,
+    min(captured_at) OVER (PARTITION BY product_id, store_id) AS created_at FROM ({SNAPSHOTS}) s0) s1 WHERE n = 1"""
+)
 
 RUNS = """SELECT id, host, product_id, status, CASE status WHEN 'found' THEN 'found' WHEN 'not_found' THEN 'not_found'
         WHEN 'needs_review' THEN CASE k % 3 WHEN 0 THEN 'low_confidence' WHEN 1 THEN 'profile_drift' ELSE 'price_missing' END
@@ -54,7 +57,13 @@ BASE = ("lineitem", "part", "events", "supplier", "customer", "nation", "orders"
 
 
 def domain(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A domain table over the tables of a folder."""
+    """A domain table over the tables of a folder; a product's latest snapshot comes from one aggregate."""
+    if name == "products":
+        snaps = domain(spark, sf_dir, "snapshots")
+        rest = F.struct("host", "price_cents", "currency", "in_stock", "captured_at")
+        latest = snaps.groupBy("product_id", "store_id").agg(F.max_by(rest, F.struct("captured_at", "id")).alias("r"), F.min("captured_at").alias("created_at"))
+        made = _PRODUCTS.format(latest="SELECT * FROM {latest}").replace(" JOIN part ", " JOIN {part} ")
+        return spark.sql(made, latest=latest.select("product_id", "store_id", "r.*", "created_at"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
     sql = DOMAIN[name]
     used = [t for t in BASE if re.search(rf"\b{t}\b", sql)]
     for t in used:

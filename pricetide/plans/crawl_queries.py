@@ -102,15 +102,22 @@ def _profiles(pages_: DataFrame) -> DataFrame:
 _HOSTED = f"SELECT page_id, {_URL_HOST.format('url')} AS host, contains(lower(html), '<article>') AS has FROM pages"
 
 
-@pages_query("crawl_resolve_profile", f"SELECT page_id, CASE WHEN length(host) % 2 = 0 AND has THEN 'p-' || host ELSE 'z-any' END AS profile_id FROM ({_HOSTED})")
+@pages_query(
+    "crawl_resolve_profile",
+    f"""SELECT page_id, CASE WHEN own THEN 'custom-p-' || host WHEN any_ THEN 'custom-z-any' ELSE 'b-html' END AS profile_id, CASE WHEN own THEN '#own' WHEN any_ THEN '#any' ELSE '.built' END AS price_selector,
+        concat_ws(',', CASE WHEN lists THEN 'wall' END, CASE WHEN own THEN 'gate' WHEN any_ THEN 'stop' END) AS block_patterns
+    FROM (SELECT *, length(host) % 2 = 0 AND has AS own, contains(lower(html), '<b>') AS any_, regexp_matches(html, '<(ul|li)>') AS lists FROM ({_HOSTED.replace('SELECT page_id', 'SELECT html, page_id')})) WHERE own OR any_ OR lists""",
+)
 def _(pages_: DataFrame) -> DataFrame:
-    any_ = pages_.agg(F.count("*")).selectExpr("'z-any' AS id", "CAST(NULL AS STRING) AS host", "CAST(NULL AS STRING) AS signature")
-    return crawl.resolve_profile(pages_, _profiles(pages_).unionByName(any_))
+    own = _profiles(pages_).selectExpr("id", "1 AS place", "host", "signature", "'#own' AS price_selector", "array('gate') AS block_patterns")
+    any_ = pages_.agg(F.count("*")).selectExpr("'z-any' AS id", "2 AS place", "CAST(NULL AS STRING) AS host", "'<B>' AS signature", "'#any' AS price_selector", "array('stop') AS block_patterns")
+    built_in = pages_.agg(F.count("*")).selectExpr("'b-html' AS id", "1 AS place", "'^never$' AS host_pattern", "'<(ul|li)>' AS html_pattern", "'.built' AS price_selector", "array('wall') AS block_patterns")
+    return crawl.resolve_profile(pages_, own.unionByName(any_), built_in)
 
 
 @pages_query("crawl_profile_drift", f"SELECT page_id, 'p-' || host AS profile_id, length(host) % 2 <> 0 OR NOT has AS drifted FROM ({_HOSTED})")
 def _(pages_: DataFrame) -> DataFrame:
-    return crawl.profile_drift(pages_, _profiles(pages_))
+    return crawl.profile_drift(pages_, _profiles(pages_)).select("page_id", "profile_id", "drifted")
 
 
 @query(
@@ -193,17 +200,6 @@ def _(products: DataFrame, websites: DataFrame) -> DataFrame:
     return pages.profile_prices(pairs, rules)
 
 
-@query(
-    "pages_classify_results",
-    "products",
-    "SELECT id, CASE WHEN product_id % 5 = 0 THEN 'found' WHEN product_id % 5 = 1 THEN 'needs_review' WHEN product_id % 5 = 2 THEN 'blocked' ELSE 'not_found' END AS status, CASE WHEN product_id % 5 = 0 THEN 'found' WHEN product_id % 5 = 1 THEN 'price_missing' WHEN product_id % 5 = 2 THEN 'captcha' ELSE 'not_found' END AS reason_code FROM products",
-)
-def _(products: DataFrame) -> DataFrame:
-    offers = products.where("product_id % 5 < 2").selectExpr("id", "CASE WHEN product_id % 5 = 0 THEN own_price_cents END AS price_cents")
-    seen = products.where("product_id % 5 > 1 AND product_id % 5 < 4").selectExpr("id", "explode(CASE WHEN product_id % 5 = 2 THEN array('captcha', 'login_wall') ELSE array('captcha', NULL) END) AS challenge")
-    return pages.classify_results(products, offers, seen)
-
-
 def _match_pages(products: DataFrame) -> DataFrame:
     """Pages of products in four kinds: linked data, a price element beside the code, a bare element that a selector names, and neither."""
     data = """'<script type="application/ld+json">{"@type":"Product","name":"' || name || '","gtin13":"' || ean || '","offers":{"price":"' || price || '","priceCurrency":"EUR","availability":"OutOfStock"}}</script>'"""

@@ -139,8 +139,8 @@ def _(products: DataFrame) -> DataFrame:
 @query(
     "compare_group_status",
     "products",
-    """SELECT ean AS group_key, CASE WHEN f = n THEN 'Found on ' || n WHEN f > 0 THEN f || ' of ' || n || ' found' WHEN s > 0 THEN 'Searching' WHEN q > 0 THEN 'Queued' ELSE other END AS label, last_checked_at
-    FROM (SELECT ean, count(*) AS n, count(*) FILTER (status = 'found') AS f, count(*) FILTER (status = 'searching') AS s, count(*) FILTER (status = 'queued') AS q, arg_min(status, id) AS other, max(last_checked_at) AS last_checked_at FROM products GROUP BY ean)""",
+    """SELECT ean AS group_key, CASE WHEN f = n THEN 'Found on ' || n || CASE WHEN f = 1 THEN ' site' ELSE ' sites' END WHEN f > 0 THEN f || ' of ' || n || ' found' WHEN s + q = n THEN CASE WHEN s > 0 THEN 'Searching' ELSE 'Queued' END WHEN other = 'not_found' THEN 'Not found' ELSE replace(other, '_', ' ') END AS label, last_checked_at
+    FROM (SELECT ean, count(*) AS n, count(*) FILTER (status = 'found') AS f, count(*) FILTER (status = 'searching') AS s, count(*) FILTER (status = 'queued') AS q, arg_min(status, id) FILTER (status NOT IN ('queued', 'searching')) AS other, max(last_checked_at) AS last_checked_at FROM products GROUP BY ean)""",
 )
 def _(products: DataFrame) -> DataFrame:
     return compare.group_status(products)
@@ -334,19 +334,19 @@ def _state(runs: DataFrame) -> DataFrame:
 
 
 _HEALTH = f"""SELECT r.id AS rule_id, s.host, s.started_at, success_bps, consecutive_failures, cooldown_minutes, CASE WHEN success_bps >= minimum_success_rate_bps AND consecutive_failures < maximum_consecutive_failures THEN 'resolved' ELSE 'open' END AS state
-    FROM (SELECT *, CAST(floor(operational / total_checks * 10000 + 0.5) AS BIGINT) AS success_bps FROM ({_STATE})) s JOIN rules r ON (r.host = s.host OR r.host = '*') AND r.enabled AND total_checks >= minimum_checks"""
+    FROM (SELECT *, CAST(floor(operational / total_checks * 10000 + 0.5) AS BIGINT) AS success_bps FROM ({_STATE})) s JOIN rules r ON (r.host = s.host OR r.host = '*') AND r.enabled AND (r.expires_at IS NULL OR r.expires_at > TIMESTAMP '{NOW}') AND total_checks >= minimum_checks"""
 
 
 @query("alerts_health", "runs rules", f"SELECT rule_id, host, success_bps, consecutive_failures, cooldown_minutes, state FROM ({_HEALTH}) QUALIFY row_number() OVER (PARTITION BY rule_id, host ORDER BY started_at DESC) = 1")
 def _(runs: DataFrame, rules: DataFrame) -> DataFrame:
     last = _state(runs).groupBy("host").agg(F.max_by(F.struct("total_checks", "operational", "consecutive_failures"), F.struct("started_at", "run_id")).alias("s")).select("host", "s.*")
-    return alerts.health(last, rules)
+    return alerts.health(last, rules, NOW)
 
 
 @query("alerts_dedupe_buckets", "runs rules", f"SELECT rule_id, host, CAST(floor(epoch(started_at) / (cooldown_minutes * 60)) AS BIGINT) AS bucket, min(started_at) AS first_detected_at, count(*) AS raised FROM ({_HEALTH}) WHERE state = 'open' GROUP BY ALL")
 def _(runs: DataFrame, rules: DataFrame) -> DataFrame:
     state = _state(runs)
-    judged = alerts.match_rules(state, rules).withColumn("success_bps", S.half_up(F.col("operational") / F.col("total_checks") * 10_000))
+    judged = alerts.match_rules(state, rules, NOW).withColumn("success_bps", S.half_up(F.col("operational") / F.col("total_checks") * 10_000))
     fine = (F.col("success_bps") >= F.col("minimum_success_rate_bps")) & (F.col("consecutive_failures") < F.col("maximum_consecutive_failures"))
     events = judged.where((F.col("total_checks") >= F.col("minimum_checks")) & ~fine).select(F.col("id").alias("rule_id"), "host", "cooldown_minutes", F.col("started_at").alias("detected_at"))
     return alerts.dedupe_buckets(events)
@@ -354,7 +354,7 @@ def _(runs: DataFrame, rules: DataFrame) -> DataFrame:
 
 @query("alerts_live_rules", "rules", f"SELECT id, host FROM rules WHERE enabled AND (expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}')")
 def _(rules: DataFrame) -> DataFrame:
-    return rules.where(F.col("enabled") & (F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(NOW).cast("timestamp")))).select("id", "host")
+    return policy.live_rules(rules, NOW).select("id", "host")
 
 
 _VALID = "length(ean) = 13 AND (10 - (" + " + ".join(f"CAST(substr(ean, {i + 1}, 1) AS INT) * {3 if i % 2 else 1}" for i in range(12)) + ") % 10) % 10 = CAST(substr(ean, 13, 1) AS INT)"
@@ -371,10 +371,12 @@ def _(products: DataFrame, websites: DataFrame) -> DataFrame:
     return catalog.new_pairs(catalog.expand_searches(products, websites), products).distinct()
 
 
-@query("catalog_conflicts", "snapshots", "SELECT product_id AS ean, count(DISTINCT (host, in_stock)) AS variants FROM snapshots GROUP BY ALL HAVING count(DISTINCT (host, in_stock)) > 1")
-def _(snaps: DataFrame) -> DataFrame:
-    rows = snaps.select(F.col("product_id").alias("ean"), F.col("host").alias("name"), F.col("in_stock").alias("own_price_cents"), F.lit(None).cast("int").alias("alert_target_price_cents"))
-    return catalog.conflicts(rows)
+_VARIANT = "(name, sku, notes, own_price_cents, alert_on_price_drop, alert_on_restock, alert_target_price_cents, alert_drop_percent_bps)"
+
+
+@query("catalog_conflicts", "products", f"SELECT ean, count(DISTINCT {_VARIANT}) AS variants FROM (SELECT *, CASE WHEN product_id % 3 = 0 THEN 'S' || store_id END AS sku, CASE WHEN product_id % 4 = 0 AND store_id % 2 = 0 THEN 'note' END AS notes FROM products) GROUP BY ean HAVING count(DISTINCT {_VARIANT}) > 1")
+def _(products: DataFrame) -> DataFrame:
+    return catalog.conflicts(products.selectExpr("*", "CASE WHEN product_id % 3 = 0 THEN 'S' || store_id END AS sku", "CASE WHEN product_id % 4 = 0 AND store_id % 2 = 0 THEN 'note' END AS notes"))
 
 
 @query("catalog_website_usage", "websites products", f"SELECT w.id, w.owner, w.host, coalesce(n, 0) AS products, n IS NULL AS deletable FROM (SELECT *, {_HOST.format('url')} AS host FROM websites) w LEFT JOIN (SELECT owner, host, count(*) AS n FROM products GROUP BY ALL) p ON p.owner = w.owner AND p.host = w.host")
@@ -511,29 +513,29 @@ def _(schedules: DataFrame) -> DataFrame:
     return schedule.public_view(schedules)
 
 
-_CYCLE = f"""SELECT schedule_id, p.id, host, last_checked_at FROM (SELECT s.id AS schedule_id, owner, next_run_at, NULL AS want FROM schedules s WHERE target_mode = 'all'
+_CYCLE = f"""SELECT schedule_id, p.id, host, last_checked_at, created_at FROM (SELECT s.id AS schedule_id, owner, next_run_at, NULL AS want FROM schedules s WHERE target_mode = 'all'
     UNION ALL SELECT l.schedule_id, l.owner, s.next_run_at, l.id FROM ({_LISTED}) l JOIN schedules s ON s.id = l.schedule_id) c JOIN products p ON p.owner = c.owner AND monitoring_enabled AND (want IS NULL OR want = p.id) AND (last_checked_at IS NULL OR last_checked_at < next_run_at)"""
 
 
 def _few(schedules: DataFrame) -> DataFrame:
-    """The schedules that are due, as their products are what a tick reads."""
-    return schedule.due(schedules, NOW, 40).join(schedules.drop("next_run_at"), "id")
+    """The schedules that one tick takes: the first eight that are due, as many as the scheduler allows itself."""
+    return schedule.due(schedules, NOW).join(schedules.drop("next_run_at"), "id")
 
 
-_DUE40 = f"id IN (SELECT id FROM schedules WHERE enabled AND next_run_at <= TIMESTAMP '{NOW}' AND (lease_until IS NULL OR lease_until <= TIMESTAMP '{NOW}') ORDER BY next_run_at, id LIMIT 40)"
-_CYCLE40 = _CYCLE.replace("FROM schedules", f"FROM (SELECT * FROM schedules WHERE {_DUE40})").replace("JOIN schedules s", f"JOIN (SELECT * FROM schedules WHERE {_DUE40}) s")
+_TICK = f"id IN (SELECT id FROM schedules WHERE enabled AND next_run_at <= TIMESTAMP '{NOW}' AND (lease_until IS NULL OR lease_until <= TIMESTAMP '{NOW}') ORDER BY next_run_at, id LIMIT 8)"
+_CYCLE_TICK = _CYCLE.replace("FROM schedules", f"FROM (SELECT * FROM schedules WHERE {_TICK})").replace("JOIN schedules s", f"JOIN (SELECT * FROM schedules WHERE {_TICK}) s")
 
 
-@query("schedule_cycle_products", "products schedules", f"SELECT schedule_id, id, host, last_checked_at FROM ({_CYCLE40})")
+@query("schedule_cycle_products", "products schedules", f"SELECT schedule_id, id, host, last_checked_at FROM ({_CYCLE_TICK})")
 def _(products: DataFrame, schedules: DataFrame) -> DataFrame:
-    return schedule.cycle_products(products, _few(schedules))
+    return schedule.cycle_products(products, _few(schedules)).drop("created_at")
 
 
 @query(
     "schedule_tick_pick",
     "products schedules",
     f"""SELECT schedule_id, id, host, turn FROM (SELECT *, ((pos - cursor_index) % hosts + hosts) % hosts AS turn FROM (SELECT o.*, row_number() OVER (PARTITION BY schedule_id ORDER BY o.host) - 1 AS pos, count(*) OVER (PARTITION BY schedule_id) AS hosts, s.cursor_index
-    FROM (SELECT * FROM ({_CYCLE40}) QUALIFY row_number() OVER (PARTITION BY schedule_id, host ORDER BY last_checked_at ASC NULLS LAST, id) = 1) o JOIN schedules s ON s.id = o.schedule_id)) WHERE turn < 4""",
+    FROM (SELECT * FROM ({_CYCLE_TICK}) QUALIFY row_number() OVER (PARTITION BY schedule_id, host ORDER BY last_checked_at ASC NULLS LAST, created_at, id) = 1) o JOIN schedules s ON s.id = o.schedule_id)) WHERE turn < 4""",
 )
 def _(products: DataFrame, schedules: DataFrame) -> DataFrame:
     return schedule.tick_pick(products, _few(schedules))
@@ -550,12 +552,13 @@ def _(products: DataFrame) -> DataFrame:
 
 @query("schedule_fair_batches", "products")
 def _(products: DataFrame) -> DataFrame:
-    return schedule.fair_batches(products, "host", "id", 4).select("id", "host", "batch")
+    return schedule.fair_batches(products, ["owner"], "host", "id", 4).select("owner", "id", "host", "batch")
 
 
-@query("schedule_retest_eligible", "products", "SELECT id, host FROM products WHERE monitoring_enabled AND status IN ('blocked', 'needs_review') AND store_id % 4 <> 0")
+@query("schedule_retest_eligible", "products", "SELECT id, host FROM products WHERE status IN ('blocked', 'needs_review') AND store_id % 4 <> 0 AND host IN ('shop-1.example', 'shop-2.example', 'shop-3.example') AND product_id % 3 = 0")
 def _(products: DataFrame) -> DataFrame:
-    return schedule.retest_eligible(products, products.where("store_id % 4 = 0"), ["blocked", "needs_review"])
+    rows = products.selectExpr("*", "CASE product_id % 3 WHEN 0 THEN 'captcha' WHEN 1 THEN 'timeout' END AS reason_code")
+    return schedule.retest_eligible(rows, products.where("store_id % 4 = 0"), ["blocked", "needs_review"], [f"shop-{k}.example" for k in (1, 2, 3)], ["captcha"])
 
 
 _OUT = "SELECT host, string_agg(status || '=' || n, ',' ORDER BY status || '=' || n) AS outcomes, CAST(sum(n) AS BIGINT) AS runs FROM (SELECT host, status, count(*) AS n FROM runs GROUP BY ALL) GROUP BY host"
@@ -566,7 +569,7 @@ def _(runs: DataFrame) -> DataFrame:
     return schedule.outcomes(runs)
 
 
-@query("schedule_advance", "products schedules", f"SELECT s.id, CASE WHEN coalesce(n, 0) > 0 THEN next_run_at ELSE TIMESTAMP '{NOW}' + to_minutes(cadence_minutes) END AS next_run_at, CASE WHEN coalesce(n, 0) > 0 THEN cursor_index + 4 ELSE 0 END AS cursor_index, coalesce(n, 0) AS remaining FROM (SELECT * FROM schedules WHERE {_DUE40}) s LEFT JOIN (SELECT schedule_id, count(*) AS n FROM ({_CYCLE40}) GROUP BY ALL) c ON c.schedule_id = s.id")
+@query("schedule_advance", "products schedules", f"SELECT s.id, CASE WHEN coalesce(n, 0) > 0 THEN next_run_at ELSE TIMESTAMP '{NOW}' + to_minutes(cadence_minutes) END AS next_run_at, CASE WHEN coalesce(n, 0) > 0 THEN cursor_index + 4 ELSE 0 END AS cursor_index, coalesce(n, 0) AS remaining FROM (SELECT * FROM schedules WHERE {_TICK}) s LEFT JOIN (SELECT schedule_id, count(*) AS n FROM ({_CYCLE_TICK}) GROUP BY ALL) c ON c.schedule_id = s.id")
 def _(products: DataFrame, schedules: DataFrame) -> DataFrame:
     few = _few(schedules)
     left = schedule.cycle_products(products, few).groupBy("schedule_id").agg(F.count("*").alias("remaining"))
@@ -585,14 +588,14 @@ _CYCLE_DUE = _CYCLE.replace("FROM schedules", f"FROM ({_DUE})").replace("JOIN sc
 
 @query("schedule_all_cycle_products", "products schedules", f"SELECT schedule_id, id, host, last_checked_at FROM ({_CYCLE_DUE})")
 def _(products: DataFrame, schedules: DataFrame) -> DataFrame:
-    return schedule.cycle_products(products, _all_due(schedules))
+    return schedule.cycle_products(products, _all_due(schedules)).drop("created_at")
 
 
 @query(
     "schedule_all_tick_pick",
     "products schedules",
     f"""SELECT schedule_id, id, host, turn FROM (SELECT *, ((pos - cursor_index) % hosts + hosts) % hosts AS turn FROM (SELECT o.*, row_number() OVER (PARTITION BY schedule_id ORDER BY o.host) - 1 AS pos, count(*) OVER (PARTITION BY schedule_id) AS hosts, s.cursor_index
-    FROM (SELECT * FROM ({_CYCLE_DUE}) QUALIFY row_number() OVER (PARTITION BY schedule_id, host ORDER BY last_checked_at ASC NULLS LAST, id) = 1) o JOIN schedules s ON s.id = o.schedule_id)) WHERE turn < 4""",
+    FROM (SELECT * FROM ({_CYCLE_DUE}) QUALIFY row_number() OVER (PARTITION BY schedule_id, host ORDER BY last_checked_at ASC NULLS LAST, created_at, id) = 1) o JOIN schedules s ON s.id = o.schedule_id)) WHERE turn < 4""",
 )
 def _(products: DataFrame, schedules: DataFrame) -> DataFrame:
     return schedule.tick_pick(products, _all_due(schedules))
@@ -605,11 +608,15 @@ def _(products: DataFrame, schedules: DataFrame) -> DataFrame:
     return schedule.advance(every, left, NOW)
 
 
-@query("schedule_ensure_default", "websites schedules", "SELECT DISTINCT owner, 'all' AS target_mode, 1440 AS cadence_minutes FROM websites WHERE owner NOT IN (SELECT owner FROM schedules WHERE target_mode = 'all' AND id % 20 < 12)")
+@query(
+    "schedule_ensure_default",
+    "websites schedules",
+    f"""SELECT DISTINCT owner, 'all' AS target_mode, c AS cadence_minutes, TIMESTAMP '{NOW}' + to_minutes(c) AS next_run_at FROM (SELECT owner, CASE id % 20 % 4 WHEN 0 THEN 1440 WHEN 1 THEN 60 ELSE 360 END AS c FROM websites)
+    WHERE owner NOT IN (SELECT owner FROM schedules WHERE target_mode = 'all' AND id % 20 < 12)""",
+)
 def _(websites: DataFrame, schedules: DataFrame) -> DataFrame:
-    return schedule.ensure_default(websites.select("owner").distinct(), schedules.where("id % 20 < 12"))
-
-
+    owners = websites.selectExpr("owner", "CASE id % 20 % 4 WHEN 0 THEN 'starter' WHEN 1 THEN 'pro' WHEN 2 THEN 'business' END AS plan").distinct()
+    return schedule.ensure_default(owners, schedules.where("id % 20 < 12"), NOW)
 
 
 @query(
@@ -633,9 +640,18 @@ def _(products: DataFrame) -> DataFrame:
     return products.select("id", S.profile_health(F.col("in_stock"), F.col("monitoring_enabled"), F.col("price_cents").isNotNull(), F.col("status") == "blocked", F.col("store_id") % 2).alias("score"))
 
 
-@query("scalars_confidence", "snapshots")
+_SCORES = """SELECT product_id, id, CASE WHEN in_stock THEN 100 WHEN exact_ean THEN 88 ELSE 0 END AS ean, CAST(floor(greatest(0, least(1, name_similarity_bps / 10000)) * 100 + 0.5) AS INT) AS name,
+    greatest(35, least(100, CAST(floor((id % 300 - 45) / 2 + 0.5) AS INT))) AS price, CASE WHEN in_stock THEN 98 ELSE 82 END AS source FROM snapshots"""
+
+
+@query(
+    "scalars_confidence",
+    "snapshots",
+    f"""SELECT *, CASE WHEN overall >= 86 AND ean >= 88 AND price >= 70 AND source >= 95 THEN 'high' WHEN overall >= 68 AND price >= 45 THEN 'medium' ELSE 'low' END AS label
+    FROM (SELECT *, CAST(floor(ean * 0.42::DOUBLE + name * 0.22::DOUBLE + price * 0.22::DOUBLE + source * 0.14::DOUBLE + 0.5) AS INT) AS overall FROM ({_SCORES}))""",
+)
 def _(snaps: DataFrame) -> DataFrame:
-    scores = S.confidence(F.col("in_stock"), F.col("exact_ean"), F.col("name_similarity_bps") / 10_000, F.col("id") % 300, F.when(F.col("in_stock"), "structured").otherwise("product-meta"), F.lit(False), F.lit(False))
+    scores = S.confidence(F.coalesce("in_stock", F.lit(False)), F.col("exact_ean"), F.col("name_similarity_bps") / 10_000, F.col("id") % 300, F.when(F.col("in_stock"), "structured").otherwise("product-meta"), F.lit(False), F.lit(False))
     return snaps.select("product_id", "id", scores.alias("s")).select("product_id", "id", "s.*", S.confidence_label(F.col("s")).alias("label"))
 
 
@@ -652,16 +668,29 @@ def pages_query(name: str, sql: str | None = None):
     return keep
 
 
+_SILENT = "regexp_replace(regexp_replace({}, '(?s)<script\\b.*?</script>', ' ', 'g'), '(?s)<style\\b.*?</style>', ' ', 'g')"
+#: The rules of walls, over `page` (the first characters in small letters) and `seen` (its text).
+WALLS = r"""CASE WHEN regexp_matches(seen, '(complete|solve|enter)\s+(the\s+)?captcha|captcha\s+(is\s+)?required|verify\s+(that\s+)?you(''re| are)\s+human')
+        OR (regexp_matches(page, 'g-recaptcha|hcaptcha|turnstile-wrapper|captcha-container') AND length(seen) < 1500 AND regexp_matches(seen, 'captcha|human|verification')) THEN 'captcha'
+    WHEN regexp_matches(page, 'verify you are human|are you a robot|unusual traffic|automated access|attention required|potrebno je varnostno preverjanje') THEN 'bot_wall'
+    WHEN regexp_matches(seen, '(sign in|log in)\s+(to|before you can)\s+(continue|view|see)') OR contains(seen, 'authentication required') OR (length(seen) < 2500 AND regexp_matches(page, '<title>\s*(sign in|log in|authentication required)')) THEN 'login_wall'
+    WHEN regexp_matches(page, 'enable javascript and cookies to continue|javascript is required to continue|checking your browser before accessing|<title>just a moment|js challenge') THEN 'js_challenge' END"""
+_SEEN = f"""SELECT *, trim(regexp_replace(regexp_replace({_SILENT.format('page')}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS seen FROM (SELECT *, lower(substr(html, 1, 180000)) AS page FROM ({{}}))"""
+_BARE = "html"
+for _tag in ("script", "style", "noscript"):
+    _BARE = f"regexp_replace({_BARE}, '(?is)<{_tag}\\b.*?</{_tag}>', ' ', 'g')"
+_BARE = f"regexp_replace({_BARE}, '(?s)<!--.*?-->|<[^>]*>', ' ', 'g')"
+for _name, _char in (("nbsp", " "), ("quot", '"'), ("apos", "''"), ("#39", "''"), ("lt", "<"), ("gt", ">"), ("euro", "€"), ("amp", "&")):
+    _BARE = f"replace({_BARE}, '&{_name};', '{_char}')"
+_TEXT = f"trim(regexp_replace({_BARE}, '\\s+', ' ', 'g'))"
+_STOCK = r"CASE WHEN regexp_matches(text, '(?i)\b(out of stock|sold out|not available|unavailable|ni na zalogi|razprodano)\b') THEN false WHEN regexp_matches(text, '(?i)\b(in stock|available|na zalogi|dobavljivo)\b') THEN true END"
+
+
 @pages_query(
     "pages_signals",
     f"""SELECT page_id, {_URL_HOST.format('url')} AS host, regexp_replace(url, '#.*$', '') AS canonical_url, coalesce(nullif(trim(regexp_extract(html, '(?is)<h1[^>]*>([^<]*)', 1)), ''), nullif(trim(regexp_extract(html, '(?is)<title[^>]*>([^<]*)', 1)), '')) AS title,
-    length(html) AS chars FROM pages""",
+    length(html) AS chars, length(text) AS visible_chars, strlen(html) AS bytes, {WALLS} AS challenge, {_STOCK} AS in_stock, CAST(NULL AS VARCHAR) AS platform, md5(html) AS fingerprint FROM ({_SEEN.format(f'SELECT *, {_TEXT} AS text FROM pages')})""",
 )
-def _(pages_: DataFrame) -> DataFrame:
-    return pages.signals(pages_).select("page_id", "host", "canonical_url", "title", "chars")
-
-
-@pages_query("pages_all_signals")
 def _(pages_: DataFrame) -> DataFrame:
     return pages.signals(pages_)
 
@@ -671,24 +700,6 @@ def _(pages_: DataFrame) -> DataFrame:
     return pages.links(pages_)
 
 
-@pages_query("pages_link_frontier")
-def _(pages_: DataFrame) -> DataFrame:
-    return pages.link_frontier(pages_, ["the", "der"])
-
-
-@pages_query("pages_incremental", "SELECT page_id, url FROM pages WHERE page_id % 3 <> 0")
-def _(pages_: DataFrame) -> DataFrame:
-    rows = pages_.withColumn("fingerprint", F.xxhash64("html"))
-    return pages.incremental(rows, rows.where("page_id % 3 = 0")).select("page_id", "url")
-
-
-@pages_query("pages_carry_forward", "SELECT page_id, url, page_id * 100 AS price_cents, 'EUR' AS currency FROM pages WHERE page_id % 2 = 0")
-def _(pages_: DataFrame) -> DataFrame:
-    rows = pages_.withColumn("fingerprint", F.xxhash64("html"))
-    before = rows.select("url", "fingerprint", (F.col("page_id") * 100).alias("price_cents"), F.lit("EUR").alias("currency"), (F.col("page_id") % 2 == 0).alias("verified"))
-    return pages.carry_forward(rows, before)
-
-
 @query("pages_best_price", "products", "SELECT id AS page_id, own_price_cents AS price_cents, 'EUR' AS currency, 98 AS score, 'product-element' AS source FROM products")
 def _(products: DataFrame) -> DataFrame:
     price = F.expr("format_number(own_price_cents / 100, '#,##0.00')")

@@ -90,16 +90,18 @@ def test_fair_order_and_batches(spark):
     df = spark.createDataFrame([("o", 1, "a"), ("o", 2, "a"), ("o", 3, "b"), ("o", 4, "c")], "owner string, id int, host string")
     assert [r["id"] for r in schedule.fair_order(df, ["owner"], "host", "id").orderBy("place").collect()] == [1, 3, 4, 2]
     rng = random.Random(3)
-    items = [(i, rng.choice("abcdefg")) for i in range(60)]
-    left = {}
-    for i, h in items:
-        left.setdefault(h, []).append(i)
-    want, n = {}, 0
-    while any(left.values()):
-        for h in [h for h in left if left[h]][:3]:
-            want[left[h].pop(0)] = n
-        n += 1
-    got = schedule.fair_batches(spark.createDataFrame(items, "id int, host string"), "host", "id", 3)
+    items = [(i, rng.choice("abcdefg"), rng.choice("xy")) for i in range(120)]
+    want = {}
+    for owner in "xy":
+        left, n = {}, 0
+        for i, h, o in items:
+            if o == owner:
+                left.setdefault(h, []).append(i)
+        while any(left.values()):
+            for h in [h for h in left if left[h]][:3]:
+                want[left[h].pop(0)] = n
+            n += 1
+    got = schedule.fair_batches(spark.createDataFrame(items, "id int, host string, owner string"), ["owner"], "host", "id", 3)
     assert {r["id"]: r["batch"] for r in got.collect()} == want
 
 
@@ -130,7 +132,7 @@ def test_sheet_and_sinks(spark, tmp_path):
 
 def test_page_rules(spark):
     html = "<html><head><title>t</title><meta property='og:title' content='Ring'></head><script>sold out</script><p>Na zalogi &amp; more</p></html>"
-    r = pages.signals(spark.createDataFrame([(1, "https://www.a.b/x#y", html), (2, "https://a.b/", "Checking your browser"), (3, None, None)], "page_id int, url string, html string")).orderBy("page_id").collect()
+    r = pages.signals(spark.createDataFrame([(1, "https://www.a.b/x#y", html), (2, "https://a.b/", "Checking your browser before accessing a.b"), (3, None, None)], "page_id int, url string, html string")).orderBy("page_id").collect()
     assert (r[0]["title"], r[0]["in_stock"], r[0]["host"], r[0]["canonical_url"]) == ("Ring", True, "a.b", "https://www.a.b/x") and r[1]["challenge"] == "js_challenge" and r[2]["title"] is None
     bad = policy.validate_rules(spark.createDataFrame([("a", "*" * 9, None), ("b", None, None), ("c", "x", None)], "id string, url_pattern string, content_pattern string"))
     assert {x["id"]: x["errors"] for x in bad.collect()} == {"a": "stars", "b": "pattern", "c": ""}
