@@ -130,6 +130,11 @@ def _(schedules: DataFrame) -> DataFrame:
     return schedule.apply_edit(schedules, schedules.selectExpr("id", "CASE WHEN id % 2 = 0 THEN (id % 50) * 10 END AS cadence_minutes", "CASE WHEN id % 4 = 0 THEN true END AS enabled", "CASE WHEN id % 5 = 0 THEN 'all' END AS target_mode"), NOW)
 
 
+def _spread(products: DataFrame) -> DataFrame:
+    """The rows over all cores: small as they are, the pages made from them take long to read."""
+    return products.repartition(products.sparkSession.sparkContext.defaultParallelism)
+
+
 def _shop_pages(products: DataFrame) -> DataFrame:
     """A page of each product: linked data, without a price in a third of them and with another code in half, and a labelled price."""
     offer = "CASE WHEN product_id % 3 = 0 THEN '' ELSE '\"price\":\"' || format_string('%.2f', own_price_cents / 100) || '\",' END"
@@ -137,7 +142,7 @@ def _shop_pages(products: DataFrame) -> DataFrame:
         || '","offers":[{{' || {offer} || '"priceCurrency":"EUR","availability":"https://schema.org/InStock"}}]}}]}}'"""
     text = "'<p>EAN ' || ean || '</p><p>Our price: 9.99 EUR</p><p>Sold by the shop itself, with a two-year warranty.</p><p>Shipping price 4.90 EUR</p>'"
     api = """'<div data-product-api="/api/item/' || ean || '"></div><i data-json-url="/x.json?token=1"></i><i data-api-url="https://' || host || '/login/x"></i>'"""
-    return products.selectExpr("id AS page_id", "ean", "name", "website_url AS url", f"'<script type=\"application/ld+json\">' || {data} || '</script>' || {text} || {api} AS html")
+    return _spread(products).selectExpr("id AS page_id", "ean", "name", "website_url AS url", f"'<script type=\"application/ld+json\">' || {data} || '</script>' || {text} || {api} AS html")
 
 
 @query("pages_json_nodes", "products", "SELECT id AS page_id, unnest(['0', '0/@graph/0', '0/@graph/1', '0/@graph/1/offers/0']) AS path FROM products")
@@ -159,7 +164,7 @@ def _deep_pages(products: DataFrame) -> DataFrame:
     outer = ("props", "pageProps", "state", "initial", "cache", "catalog", "data", "list")
     head, tail = "".join(f'{{"{k}":' for k in outer), "}" * len(outer)
     data = f"""'{head}{{"products":[{{"@type":"Product","name":"' || name || '","gtin13":"' || ean || '","offers":[{{"price":"' || format_string('%.2f', own_price_cents / 100) || '","priceCurrency":"EUR","availability":"InStock"}}]}}]}}{tail}'"""
-    return products.selectExpr("id AS page_id", "ean", "name", "website_url AS url", f"'<script id=\"__NEXT_DATA__\" type=\"application/json\">' || {data} || '</script>' AS html")
+    return _spread(products).selectExpr("id AS page_id", "ean", "name", "website_url AS url", f"'<script id=\"__NEXT_DATA__\" type=\"application/json\">' || {data} || '</script>' AS html")
 
 
 @query("pages_deep_candidates", "products", "SELECT id AS page_id, '0/props/pageProps/state/initial/cache/catalog/data/list/products/0' AS path, ean, own_price_cents AS price_cents, 'EUR' AS currency, true AS in_stock, true AS exact_ean FROM products")
@@ -203,7 +208,7 @@ def _(products: DataFrame, websites: DataFrame) -> DataFrame:
 def _match_pages(products: DataFrame) -> DataFrame:
     """Pages of products in four kinds: linked data, a price element beside the code, a bare element that a selector names, and neither."""
     data = """'<script type="application/ld+json">{"@type":"Product","name":"' || name || '","gtin13":"' || ean || '","offers":{"price":"' || price || '","priceCurrency":"EUR","availability":"OutOfStock"}}</script>'"""
-    made = products.withColumn("price", F.expr("format_string('%.2f', own_price_cents / 100)"))
+    made = _spread(products).withColumn("price", F.expr("format_string('%.2f', own_price_cents / 100)"))
     html = f"""CASE product_id % 4 WHEN 0 THEN {data} WHEN 1 THEN '<h1>' || name || '</h1><p>EAN ' || ean || '</p><span class="price-now">' || price || ' EUR</span><p>in stock</p>' WHEN 2 THEN '<h1>' || name || '</h1><em id="cost">' || price || ' EUR</em>' ELSE '<p>-</p>' END"""
     return made.selectExpr("id AS page_id", "website_url AS url", f"{html} AS html", "ean", "name")
 
