@@ -50,9 +50,8 @@ def elements(page: str) -> list[list]:
         if tag["end"]:
             depth = next((d for d in reversed(range(len(open_))) if found[open_[d]][0] == name), None)
             if depth is not None:
-                for k in open_[depth + 1 :]:
-                    found[k][3] = tag.start()
-                found[open_[depth]][3] = tag.end()
+                for k in open_[depth:]:
+                    found[k][3] = tag.end()
                 del open_[depth:]
             continue
         found.append([name, tag["rest"], tag.start(), len(page)])

@@ -7,8 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from pricetide.functions import labels
 from pricetide.functions import scalars as S
-from pricetide.operators import alerts, catalog, history, ops, pages, policy, schedule, tables
+from pricetide.operators import alerts, catalog, compare, history, ops, pages, policy, results, schedule, tables
 from pricetide.plans import registry
 from pricetide.plans.adapters import domain
 from pricetide.plans.reference_queries import NOW
@@ -168,6 +169,23 @@ def test_stream_metrics_as_batch(spark, sf_dir, tmp_path):
     assert got["runs"].tolist() == want["runs"].tolist() and got["blocked"].tolist() == want["blocked"].tolist()
 
 
+def test_stream_cooldowns_as_batch(spark, sf_dir, tmp_path):
+    runs = domain(spark, sf_dir, "runs")
+    got = streamed(spark, runs, jobs.cooldowns, tmp_path).toPandas().set_index("id").sort_index()
+    want = ops.cooldowns(runs).withColumn("until", F.timestamp_add("MILLISECOND", "backoff_ms", "started_at")).toPandas().set_index("id").sort_index()
+    assert got.index.tolist() == want.index.tolist() and got["failures"].tolist() == want["failures"].tolist() and got["reason_code"].tolist() == want["reason_code"].tolist()
+    assert got["cooldown_until"].tolist() == want["until"].tolist()
+
+
+def test_stream_customer_alerts_as_batch(spark, sf_dir, tmp_path):
+    settings = domain(spark, sf_dir, "products").dropDuplicates(["product_id"]).select("product_id", "own_price_cents", "alert_on_price_drop", "alert_on_restock", "alert_target_price_cents", "alert_drop_percent_bps")
+    snaps = domain(spark, sf_dir, "snapshots")
+    got = streamed(spark, snaps.join(settings, "product_id"), jobs.customer_alerts, tmp_path)
+    want = alerts.customer(snaps, settings)
+    shape = lambda df: sorted(map(tuple, df.select(F.col("product_id").cast("long"), F.col("id").cast("long"), "alert_type").collect()))
+    assert shape(got) == shape(want) and want.count() > 100
+
+
 def test_stream_once(spark, sf_dir, tmp_path):
     runs = domain(spark, sf_dir, "runs").select("host", "started_at")
     assert streamed(spark, runs, lambda s: jobs.insert_once(s, "host", "started_at"), tmp_path).count() == runs.select("host").distinct().count()
@@ -180,7 +198,7 @@ def test_schema_drift(spark, sf_dir):
 
 
 def test_all_due_schedules(spark, sf_dir):
-    """The whole-table queries hold every due schedule, not the first 40."""
+    """The whole-table queries hold every due schedule, not the first few of a tick."""
     s = domain(spark, sf_dir, "schedules")
     due = {r["id"] for r in s.where(F.expr(f"enabled AND next_run_at <= TIMESTAMP_NTZ '{NOW}' AND (lease_until IS NULL OR lease_until <= TIMESTAMP_NTZ '{NOW}')")).select("id").collect()}
     assert len(due) > 40 and {r["id"] for r in registry.queries()["schedule_all_advance"](spark, sf_dir).select("id").collect()} == due
@@ -199,3 +217,37 @@ def test_offer_needs_identity(spark):
     prices = spark.createDataFrame([(i, 200, "EUR", 170.0, "ean-context") for i in (1, 2, 3, 4)], "page_id int, price_cents long, currency string, score double, source string")
     got = {r["page_id"]: (r["price_cents"], r["source"]) for r in pages.select_offer(structured, prices).collect()}
     assert got == {2: (200, "ean-context"), 3: (100, "structured"), 4: (200, "ean-context")}
+
+
+def test_group_status(spark):
+    rows = [("a", 1, "searching"), ("a", 2, "not_found"), ("b", 3, "searching"), ("b", 4, "queued"), ("c", 5, "found"), ("d", 6, "found"), ("d", 7, "blocked"), ("e", 8, "queued"), ("e", 9, "needs_review"), ("f", 10, "found"), ("f", 11, "found")]
+    df = spark.createDataFrame(rows, "name string, id int, status string").withColumns({"ean": F.lit(None).cast("string"), "last_checked_at": F.lit(None).cast("timestamp_ntz")})
+    got = {r["group_key"]: r["label"] for r in compare.group_status(df).collect()}
+    assert got == {"a": "Not found", "b": "Searching", "c": "Found on 1 site", "d": "1 of 2 found", "e": "needs review", "f": "Found on 2 sites"}
+
+
+def test_verdicts(spark):
+    """A price alone is no find; a sitemap's page needs the code."""
+    kind = "id string, place int, score double, ean_match boolean, structured_ean boolean, structured boolean, name_score double, price_cents long, profile_id string, overall_confidence int, source_confidence int"
+    rows = [
+        ("found", 1, 9.0, True, True, True, 1.0, 100, None, 90, 98), ("named", 1, 9.0, False, False, True, 0.95, 100, None, 55, 72), ("wrong", 1, 9.0, False, False, True, 0.8, 100, None, 55, 72),
+        ("weak", 1, 9.0, True, False, False, 0.2, 100, None, 60, 62), ("bare", 1, 9.0, True, True, True, 1.0, None, None, 70, 40), ("map", 1, 9.0, True, False, False, 0.5, 100, "sitemap", 80, 72), ("far", 1, 9.0, False, False, False, 0.1, 100, None, 30, 48),
+        ("tie", 1, 9.0, True, True, True, 1.0, 100, None, 90, 98), ("tie", 2, 9.0, False, False, False, 0.0, 100, None, 90, 98),
+    ]
+    seen = [("gone", "unavailable"), ("wall", "blocked"), ("drift", "profile_drift"), ("wrong", "profile_drift"), ("robots", "robots_disallowed"), ("bad", "known_bad_pattern"), ("big", "response_too_large"), ("read", "read"), ("read", "blocked")]
+    names = sorted({r[0] for r in rows} | {s[0] for s in seen} | {"none"})
+    got = results.classify_results(spark.createDataFrame([(n,) for n in names], "id string"), spark.createDataFrame(rows, kind), spark.createDataFrame(seen, "id string, outcome string"))
+    want = {
+        "found": "found", "named": "found", "tie": "found", "wrong": "profile_drift", "weak": "low_confidence", "bare": "price_missing", "map": "low_confidence", "far": "not_found", "gone": "network_error", "wall": "blocked",
+        "drift": "profile_drift", "robots": "robots_disallowed", "bad": "known_bad_pattern", "big": "response_too_large", "read": "not_found", "none": "not_found",
+    }
+    assert {r["id"]: r["reason_code"] for r in got.collect()} == want
+
+
+def test_labels(spark):
+    assert values(spark, [123456, -50, 0], lambda v: labels.money_text(v, F.lit("eur")), "long") == ["€1,234.56", "-€0.50", "€0.00"]
+    assert values(spark, ["120", "1e9", "-3", "", None, "Wed, 31 Jan 2024 00:01:00 GMT", "Wed, 31 Jan 2024 09:00:00 GMT", "Tue, 30 Jan 2024 09:00:00 GMT"], lambda v: labels.retry_after_ms(v, F.lit(NOW).cast("timestamp_ntz")).cast("string")) == ["120000", None, None, None, None, "60000", "21600000", "0"]
+    assert values(spark, [0.1234, 0.5, 1.0, -0.02], labels.percent_text, "double") == ["12.3%", "50%", "100%", "-2%"]
+    assert values(spark, ["Lastna cena (€)", "EAN_koda", " Šifra / Naziv "], labels.norm_header) == ["lastna cena €", "ean koda", "sifra naziv"]
+    assert len(labels.country_codes(spark)) > 240
+    assert values(spark, ["Kavč Čuk", "kavc uk", None], lambda v: S.name_score(F.lit("Kavč m²"), v), "string") == [0.5, 0.5, 0.0]
