@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pricetide.functions import labels as L
 from pricetide.functions import scalars as S
-from pricetide.operators import alerts, catalog, compare, crawl, history, links, offers, ops, pages, policy, results, schedule  # noqa: F401
+from pricetide.operators import catalog, compare, crawl, history, links, offers, ops, pages, results, schedule
 from pricetide.plans.reference_queries import _SEEN, _SUMMARY, _URL_HOST, NOW, WALLS, pages_query, query
 
 _MONEY = """CASE WHEN length(c) <> 3 THEN format('{:.2f}', x / 100) || ' ' || c ELSE CASE WHEN x < 0 THEN '-' ELSE '' END || CASE c WHEN 'EUR' THEN '€' WHEN 'USD' THEN '$' WHEN 'GBP' THEN '£' WHEN 'JPY' THEN '¥' ELSE c || chr(160) END
