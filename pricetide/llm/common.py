@@ -91,10 +91,11 @@ def per_row(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFra
 def spread(rows: DataFrame, key: str, salt: Column, facts: DataFrame) -> DataFrame:
     """`rows` left-joined to `facts` (one row a key) without a hot key in one task.
 
-    The facts first meet the distinct (salt, key) pairs, a few for each key;
-    the rows then meet those pairs, so that a key's rows are dealt by salt too.
+    The facts first meet the sets of salts that the keys' rows bear, one for each
+    key; the rows then meet those (salt, key) pairs, so that a key's rows are
+    dealt by salt too. `salt` takes few values.
     Keys without facts keep nulls. A null key finds none.
     """
     salted = rows.withColumn("_salt", salt)
-    pairs = salted.select("_salt", key).distinct().join(facts, key)
+    pairs = salted.groupBy(key).agg(F.collect_set("_salt").alias("_salt")).join(facts, key).withColumn("_salt", F.explode("_salt"))
     return salted.join(pairs, ["_salt", key], "left").drop("_salt")
