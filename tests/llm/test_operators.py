@@ -306,6 +306,12 @@ def test_quotation():
     assert features.of("") == [0.0] * toxicity.FEATURES
 
 
+def test_toxicity_candidates_in_order(spark):
+    rows = spark.range(50).orderBy("id")
+    assert [[r["id"] for r in toxicity._in_order(rows, first)] for first in (3, 50, 64)] == [list(range(50))] * 3
+    assert list(toxicity._in_order(rows.where("id < 0"), 3)) == []
+
+
 def test_toxicity_held_out(spark, sf_dir):
     directory = sf_dir.replace("sf0.001", "sf0.1")
     got = queries.op4_toxicity(spark, directory).where("held_out").join(spark.read.parquet(f"{directory}/labels.parquet"), "doc_id").toPandas()
