@@ -74,10 +74,11 @@ def kpis(products: DataFrame) -> DataFrame:
     )
 
 
-def reasons(products: DataFrame, most: int = 6) -> DataFrame:
-    """The first distinct statuses of a code's offers that are neither found nor waiting."""
-    failing = products.where(~F.col("status").isin("found", "queued", "searching"))
-    return failing.groupBy("ean").agg(F.array_join(F.slice(F.array_sort(F.collect_set("status")), 1, most), ",").alias("reasons"))
+def reasons(products: DataFrame, within: str = "owner", most: int = 6) -> DataFrame:
+    """The first distinct reasons, by the smallest id that bears them, of the products of each `within` that weren't found."""
+    failing = products.where(F.col("reason_code") != "found").groupBy(within, "reason_code").agg(F.min("id").alias("first"))
+    ranked = F.array_sort(F.collect_list(F.struct("first", "reason_code")))
+    return failing.groupBy(within).agg(F.array_join(F.transform(F.slice(ranked, 1, most), lambda r: r["reason_code"]), ",").alias("reasons"))
 
 
 def price_dropped(products: DataFrame, summaries: DataFrame) -> DataFrame:

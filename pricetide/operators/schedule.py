@@ -87,13 +87,49 @@ def outcomes(runs: DataFrame) -> DataFrame:
     return counts.groupBy("host").agg(F.array_join(pairs, ",").alias("outcomes"), F.sum("n").alias("runs"))
 
 
-def advance(schedules: DataFrame, left: DataFrame, now: str) -> DataFrame:
-    """After a tick: a schedule with products left goes on from its next cursor; a complete one waits for its next cycle."""
+def outcome_counts(runs: DataFrame) -> DataFrame:
+    """schedule_id and counts: a map from status to the number of the schedule's runs."""
+    counts = runs.groupBy("schedule_id", "status").agg(F.count("*").alias("n"))
+    return counts.groupBy("schedule_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("counts"))
+
+
+def advance(schedules: DataFrame, outcomes: DataFrame, left: DataFrame, now: str) -> DataFrame:
+    """Schedules after a tick: a complete cycle waits for its next run, an open one goes on at once from its next cursor.
+
+    outcomes has schedule_id, turn and status, a row for each product of the
+    tick; left has schedule_id and remaining, the products that the cycle has
+    yet to check. A cycle is complete when nothing remains or the tick had no
+    product. Its counts by status go on from pending_outcome_json, statuses in
+    the order in which they came, and start anew after a complete cycle; a
+    pending text that is no map of numbers counts as empty, as does that of a
+    schedule whose list names no product.
+    """
     t = F.lit(now).cast("timestamp_ntz")
-    rows = schedules.join(left, schedules["id"] == left["schedule_id"], "left")
-    open_ = F.coalesce("remaining", F.lit(0)) > 0
-    later = F.timestamp_add("MINUTE", F.col("cadence_minutes").cast("int"), t)
-    return rows.select("id", F.when(open_, F.col("next_run_at")).otherwise(later).alias("next_run_at"), F.when(open_, F.col("cursor_index") + 4).otherwise(0).cast("long").alias("cursor_index"), F.coalesce("remaining", F.lit(0)).cast("long").alias("remaining"))
+    was = schedules.select(F.col("id").alias("schedule_id"), F.posexplode(F.from_json("pending_outcome_json", "map<string,string>")).alias("place", "status", "n"))
+    was = was.withColumn("n", F.expr("try_cast(n AS BIGINT)")).where("n >= 0").select("schedule_id", "status", "n", F.struct(F.lit(0).alias("new"), F.col("place").cast("long").alias("at")).alias("place"))
+    came = outcomes.groupBy("schedule_id", "status").agg(F.count("*").alias("n"), F.struct(F.lit(1).alias("new"), F.min("turn").cast("long").alias("at")).alias("place"))
+    counts = was.unionByName(came).groupBy("schedule_id", "status").agg(F.sum("n").alias("n"), F.min("place").alias("place"))
+    counts = counts.groupBy("schedule_id").agg(F.array_sort(F.collect_list(F.struct("place", "status", "n"))).alias("counts"))
+    picked = outcomes.groupBy("schedule_id").agg(F.count("*").alias("picked"))
+
+    rows = schedules.withColumnRenamed("id", "schedule_id")
+    for facts in (counts, picked, left.select("schedule_id", "remaining")):
+        rows = rows.join(facts, "schedule_id", "left")
+    took, remaining = F.coalesce("picked", F.lit(0)), F.coalesce("remaining", F.lit(0))
+    complete, cursor = (took == 0) | (remaining == 0), F.col("cursor_index") + took
+    aimless = (F.col("target_mode") == "selected") & (F.size(target_ids()) == 0)
+    known = F.when(aimless | F.col("counts").isNull(), F.array().cast("array<struct<place:struct<new:int,at:bigint>,status:string,n:bigint>>")).otherwise(F.col("counts"))
+    summary = F.array_join(F.transform(known, lambda c: F.concat(c["n"].cast("string"), F.lit(" "), c["status"])), ", ")
+    open_text = F.concat(F.lit("Processing "), cursor.cast("string"), F.lit(" of "), (cursor + remaining).cast("string"), F.lit(": "), summary)
+    return rows.select(
+        F.col("schedule_id").alias("id"),
+        F.when(complete, t).otherwise(F.col("last_run_at")).alias("last_run_at"),
+        F.when(~complete, open_text).when(summary == "", "No products selected").otherwise(summary).alias("last_outcome"),
+        F.when(complete, F.timestamp_add("MINUTE", F.col("cadence_minutes").cast("int"), t)).otherwise(t).alias("next_run_at"),
+        F.when(complete, 0).otherwise(cursor).cast("long").alias("cursor_index"),
+        F.when(complete, "{}").otherwise(F.to_json(F.map_from_entries(F.transform(known, lambda c: F.struct(c["status"], c["n"]))))).alias("pending_outcome_json"),
+        remaining.cast("long").alias("remaining"),
+    )
 
 
 #: Checks a day by plan.

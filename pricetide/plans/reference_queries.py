@@ -156,9 +156,15 @@ def _(products: DataFrame) -> DataFrame:
     return compare.kpis(products)
 
 
-@query("compare_reasons", "products", "SELECT ean, array_to_string(list_sort(list(DISTINCT status))[1:6], ',') AS reasons FROM products WHERE status NOT IN ('found', 'queued', 'searching') GROUP BY ean")
-def _(products: DataFrame) -> DataFrame:
-    return compare.reasons(products)
+@query(
+    "compare_reasons",
+    "products runs",
+    """SELECT owner, array_to_string(list(reason_code ORDER BY first)[1:6], ',') AS reasons FROM (SELECT owner, reason_code, min(id) AS first FROM products JOIN
+    (SELECT product_id, arg_max(reason_code, (started_at, id)) AS reason_code FROM runs GROUP BY 1) r USING (product_id) WHERE reason_code <> 'found' GROUP BY ALL) GROUP BY owner""",
+)
+def _(products: DataFrame, runs: DataFrame) -> DataFrame:
+    latest = runs.groupBy("product_id").agg(F.max_by("reason_code", F.struct("started_at", "id")).alias("reason_code"))
+    return compare.reasons(products.join(latest, "product_id"))
 
 
 @query(
@@ -526,6 +532,10 @@ _TICK = f"id IN (SELECT id FROM schedules WHERE enabled AND next_run_at <= TIMES
 _CYCLE_TICK = _CYCLE.replace("FROM schedules", f"FROM (SELECT * FROM schedules WHERE {_TICK})").replace("JOIN schedules s", f"JOIN (SELECT * FROM schedules WHERE {_TICK}) s")
 
 
+_PICK = """SELECT schedule_id, id, host, turn FROM (SELECT *, ((pos - cursor_index) % hosts + hosts) % hosts AS turn FROM (SELECT o.*, row_number() OVER (PARTITION BY schedule_id ORDER BY o.host) - 1 AS pos, count(*) OVER (PARTITION BY schedule_id) AS hosts, s.cursor_index
+    FROM (SELECT * FROM ({}) QUALIFY row_number() OVER (PARTITION BY schedule_id, host ORDER BY last_checked_at ASC NULLS LAST, created_at, id) = 1) o JOIN schedules s ON s.id = o.schedule_id)) WHERE turn < 4"""
+
+
 @query("schedule_cycle_products", "products schedules", f"SELECT schedule_id, id, host, last_checked_at FROM ({_CYCLE_TICK})")
 def _(products: DataFrame, schedules: DataFrame) -> DataFrame:
     return schedule.cycle_products(products, _few(schedules)).drop("created_at")
@@ -534,8 +544,7 @@ def _(products: DataFrame, schedules: DataFrame) -> DataFrame:
 @query(
     "schedule_tick_pick",
     "products schedules",
-    f"""SELECT schedule_id, id, host, turn FROM (SELECT *, ((pos - cursor_index) % hosts + hosts) % hosts AS turn FROM (SELECT o.*, row_number() OVER (PARTITION BY schedule_id ORDER BY o.host) - 1 AS pos, count(*) OVER (PARTITION BY schedule_id) AS hosts, s.cursor_index
-    FROM (SELECT * FROM ({_CYCLE_TICK}) QUALIFY row_number() OVER (PARTITION BY schedule_id, host ORDER BY last_checked_at ASC NULLS LAST, created_at, id) = 1) o JOIN schedules s ON s.id = o.schedule_id)) WHERE turn < 4""",
+    _PICK.format(_CYCLE_TICK),
 )
 def _(products: DataFrame, schedules: DataFrame) -> DataFrame:
     return schedule.tick_pick(products, _few(schedules))
@@ -569,11 +578,41 @@ def _(runs: DataFrame) -> DataFrame:
     return schedule.outcomes(runs)
 
 
-@query("schedule_advance", "products schedules", f"SELECT s.id, CASE WHEN coalesce(n, 0) > 0 THEN next_run_at ELSE TIMESTAMP '{NOW}' + to_minutes(cadence_minutes) END AS next_run_at, CASE WHEN coalesce(n, 0) > 0 THEN cursor_index + 4 ELSE 0 END AS cursor_index, coalesce(n, 0) AS remaining FROM (SELECT * FROM schedules WHERE {_TICK}) s LEFT JOIN (SELECT schedule_id, count(*) AS n FROM ({_CYCLE_TICK}) GROUP BY ALL) c ON c.schedule_id = s.id")
+_PENDING = "CASE id % 3 WHEN 0 THEN '{\"found\":2,\"error\":1}' WHEN 1 THEN '{}' END AS pending_outcome_json"
+
+
+def _ticked(products: DataFrame, schedules: DataFrame) -> DataFrame:
+    """Each schedule's picked products, with their own status as the outcome."""
+    return schedule.tick_pick(products, schedules).join(products.select("id", "status"), "id").select("schedule_id", "turn", "status")
+
+
+def _advanced(products: DataFrame, schedules: DataFrame) -> DataFrame:
+    made = schedules.selectExpr("*", _PENDING, "next_run_at - INTERVAL '1' DAY AS last_run_at")
+    outcomes = _ticked(products, schedules)
+    cycle = schedule.cycle_products(products, schedules).groupBy("schedule_id").agg(F.count("*").alias("n"))
+    left = cycle.join(outcomes.groupBy("schedule_id").agg(F.count("*").alias("took")), "schedule_id").selectExpr("schedule_id", "n - took AS remaining")
+    return schedule.advance(made, outcomes, left, NOW)
+
+
+def _advance_sql(due: str, cycle: str, pick: str) -> str:
+    return f"""SELECT id, CASE WHEN done THEN TIMESTAMP '{NOW}' ELSE next_run_at - INTERVAL 1 DAY END AS last_run_at,
+        CASE WHEN NOT done THEN 'Processing ' || (cursor_index + took) || ' of ' || (cursor_index + took + remaining) || ': ' || summary WHEN summary = '' THEN 'No products selected' ELSE summary END AS last_outcome,
+        CASE WHEN done THEN TIMESTAMP '{NOW}' + to_minutes(cadence_minutes) ELSE TIMESTAMP '{NOW}' END AS next_run_at, CASE WHEN done THEN 0 ELSE cursor_index + took END AS cursor_index,
+        CASE WHEN done THEN '{{}}' ELSE pending END AS pending_outcome_json, remaining
+    FROM (WITH picked AS (SELECT schedule_id, status, turn FROM ({pick}) JOIN products USING (id)),
+        said AS (SELECT schedule_id, status, count(*) AS n, 10 + min(turn) AS place FROM picked GROUP BY ALL
+            UNION ALL SELECT id, unnest(['found', 'error']), unnest([2, 1]), unnest([0, 1]) FROM ({due}) WHERE id % 3 = 0),
+        counts AS (SELECT schedule_id, status, sum(n)::BIGINT AS n, min(place) AS place FROM said GROUP BY ALL),
+        texts AS (SELECT schedule_id, string_agg(n || ' ' || status, ', ' ORDER BY place) AS summary, '{{' || string_agg('"' || status || '":' || n, ',' ORDER BY place) || '}}' AS pending FROM counts GROUP BY 1),
+        sizes AS (SELECT schedule_id, count(*) AS n, any_value(coalesce(took, 0)) AS took FROM ({cycle}) LEFT JOIN (SELECT schedule_id, count(*) AS took FROM picked GROUP BY 1) USING (schedule_id) GROUP BY 1)
+        SELECT s.*, coalesce(took, 0) AS took, coalesce(n - took, 0) AS remaining, coalesce(n - took, 0) = 0 AS done, pending,
+            CASE WHEN target_mode = 'selected' AND product_ids_json NOT LIKE '[%' THEN '' ELSE coalesce(summary, '') END AS summary
+        FROM ({due}) s LEFT JOIN texts x ON x.schedule_id = s.id LEFT JOIN sizes z ON z.schedule_id = s.id)"""
+
+
+@query("schedule_advance", "products schedules", _advance_sql(f"SELECT * FROM schedules WHERE {_TICK}", _CYCLE_TICK, _PICK.format(_CYCLE_TICK)))
 def _(products: DataFrame, schedules: DataFrame) -> DataFrame:
-    few = _few(schedules)
-    left = schedule.cycle_products(products, few).groupBy("schedule_id").agg(F.count("*").alias("remaining"))
-    return schedule.advance(few, left, NOW)
+    return _advanced(products, _few(schedules))
 
 
 def _all_due(schedules: DataFrame) -> DataFrame:
@@ -594,18 +633,20 @@ def _(products: DataFrame, schedules: DataFrame) -> DataFrame:
 @query(
     "schedule_all_tick_pick",
     "products schedules",
-    f"""SELECT schedule_id, id, host, turn FROM (SELECT *, ((pos - cursor_index) % hosts + hosts) % hosts AS turn FROM (SELECT o.*, row_number() OVER (PARTITION BY schedule_id ORDER BY o.host) - 1 AS pos, count(*) OVER (PARTITION BY schedule_id) AS hosts, s.cursor_index
-    FROM (SELECT * FROM ({_CYCLE_DUE}) QUALIFY row_number() OVER (PARTITION BY schedule_id, host ORDER BY last_checked_at ASC NULLS LAST, created_at, id) = 1) o JOIN schedules s ON s.id = o.schedule_id)) WHERE turn < 4""",
+    _PICK.format(_CYCLE_DUE),
 )
 def _(products: DataFrame, schedules: DataFrame) -> DataFrame:
     return schedule.tick_pick(products, _all_due(schedules))
 
 
-@query("schedule_all_advance", "products schedules", f"SELECT s.id, CASE WHEN coalesce(n, 0) > 0 THEN next_run_at ELSE TIMESTAMP '{NOW}' + to_minutes(cadence_minutes) END AS next_run_at, CASE WHEN coalesce(n, 0) > 0 THEN cursor_index + 4 ELSE 0 END AS cursor_index, coalesce(n, 0) AS remaining FROM ({_DUE}) s LEFT JOIN (SELECT schedule_id, count(*) AS n FROM ({_CYCLE_DUE}) GROUP BY ALL) c ON c.schedule_id = s.id")
+@query("schedule_all_advance", "products schedules", _advance_sql(_DUE, _CYCLE_DUE, _PICK.format(_CYCLE_DUE)))
+def _(products: DataFrame, schedules: DataFrame) -> DataFrame:
+    return _advanced(products, _all_due(schedules))
+
+
+@query("schedule_outcome_counts", "products schedules", f"SELECT schedule_id, '{{' || string_agg('\"' || status || '\":' || n, ',' ORDER BY status) || '}}' AS counts FROM (SELECT schedule_id, status, count(*) AS n FROM ({_PICK.format(_CYCLE_DUE)}) JOIN products USING (id) GROUP BY ALL) GROUP BY 1")
 def _(products: DataFrame, schedules: DataFrame) -> DataFrame:
-    every = _all_due(schedules)
-    left = schedule.cycle_products(products, every).groupBy("schedule_id").agg(F.count("*").alias("remaining"))
-    return schedule.advance(every, left, NOW)
+    return schedule.outcome_counts(_ticked(products, _all_due(schedules))).select("schedule_id", F.to_json("counts").alias("counts"))
 
 
 @query(

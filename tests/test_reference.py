@@ -204,6 +204,25 @@ def test_all_due_schedules(spark, sf_dir):
     assert len(due) > 40 and {r["id"] for r in registry.queries()["schedule_all_advance"](spark, sf_dir).select("id").collect()} == due
 
 
+def test_advance_cases(spark):
+    """Open, complete, empty and aimless cycles, and pending texts that are no map of numbers."""
+    made = "id int, target_mode string, product_ids_json string, cadence_minutes int, cursor_index int, pending_outcome_json string, last_run_at timestamp_ntz"
+    rows = [(1, "all", "[]", 60, 3, '{"found":2,"error":1}'), (2, "all", "[]", 60, 3, '{"found":2}'), (3, "all", "[]", 60, 3, None), (4, "selected", "junk", 60, 3, '{"found":2}'), (5, "all", "[]", 60, 0, '{"found":"x","error":-1}'), (6, "all", "[]", 60, 0, "[1]")]
+    s = spark.createDataFrame([(*r, None) for r in rows], made)
+    outcomes = spark.createDataFrame([(1, 1, "blocked"), (1, 0, "found"), (2, 0, "error"), (5, 0, "found"), (6, 0, "found")], "schedule_id int, turn int, status string")
+    left = spark.createDataFrame([(1, 7), (2, 0), (5, 1), (6, 1)], "schedule_id int, remaining long")
+    got = {r["id"]: r for r in schedule.advance(s, outcomes, left, NOW).collect()}
+    assert {k: (r["last_outcome"], r["cursor_index"], r["pending_outcome_json"]) for k, r in got.items()} == {
+        1: ("Processing 5 of 12: 3 found, 1 error, 1 blocked", 5, '{"found":3,"error":1,"blocked":1}'),
+        2: ("2 found, 1 error", 0, "{}"),
+        3: ("No products selected", 0, "{}"),
+        4: ("No products selected", 0, "{}"),
+        5: ("Processing 1 of 2: 1 found", 1, '{"found":1}'),
+        6: ("Processing 1 of 2: 1 found", 1, '{"found":1}'),
+    }
+    assert [str(got[k]["next_run_at"]) for k in (1, 2)] == [NOW, "2024-01-31 01:00:00"] and got[1]["last_run_at"] is None
+
+
 def test_json_nodes_odd(spark):
     ld = '<script type="application/ld+json">{}</script>'
     rows = [(1, None), (2, ""), (3, ld.format("{bad")), (4, ld.format('[{"a":{"b":[{"c":null}]}},3]')), (5, ld.format('"text"'))]
