@@ -14,16 +14,23 @@ CLAMPS = {"timeout_ms": (3_000, 30_000), "max_page_bytes": (256_000, 8_388_608),
 LARGE = r"(?i)(^|\.)(amazon\.|ebay\.|walmart\.|aliexpress\.)"
 SLOW = r"(?i)(^|\.)(amazon\.|ebay\.|etsy\.com$|aliexpress\.|temu\.)"
 # Search routes of known hosts and platforms, and those that are tried where nothing is known.
-HOST_ROUTES = ((r"(?i)(^|\.)amazon\.[a-z.]+$", "/s?k={query}"), (r"(?i)(^|\.)ebay\.[a-z.]+$", "/sch/i.html?_nkw={query}"), (r"(?i)(^|\.)etsy\.com$", "/search?q={query}"))
+HOST_ROUTES = ((r"(?i)(^|\.)trgovinejager\.com$", "/iskalnik/?isci={query}"), (r"(?i)(^|\.)amazon\.[a-z.]+$", "/s?k={query}"), (r"(?i)(^|\.)ebay\.[a-z.]+$", "/sch/i.html?_nkw={query}"), (r"(?i)(^|\.)etsy\.com$", "/search?q={query}"))
 PLATFORM_ROUTES = (
     ("shopify", "/search?type=product&q={query}"),
+    ("shopify", "/search?q={query}"),
     ("magento", "/catalogsearch/result/?q={query}"),
     ("woocommerce", "/?s={query}&post_type=product"),
     ("prestashop", "/search?controller=search&s={query}"),
     ("bigcommerce", "/search.php?search_query={query}"),
     ("shopware", "/search?search={query}"),
     ("opencart", "/index.php?route=product/search&search={query}"),
+    ("vtex", "/{query}?_q={query}&map=ft"),
+    ("vtex", "/busca?ft={query}"),
+    ("wix-stores", "/search-results?q={query}"),
+    ("squarespace-commerce", "/search?query={query}"),
 )
+#: Hosts whose own route leaves none to be guessed.
+OWN_ROUTE_ONLY = r"(?i)(^|\.)trgovinejager\.com$"
 GENERIC_ROUTES = ("/search?q={query}", "/search?query={query}", "/search?search={query}", "/?s={query}")
 
 
@@ -47,12 +54,32 @@ def budgets(hosts: DataFrame, settings: DataFrame) -> DataFrame:
     return rows.select("host", "site_type", *(figure(k, name) for k, name in enumerate(CLAMPS)))
 
 
-def search_candidates(sites: DataFrame, queries: DataFrame) -> DataFrame:
+def _form_urls(forms: DataFrame, queries: DataFrame) -> DataFrame:
+    """site, url, order, profile of forms sent with each query of their site.
+
+    The action's own parameters come first, then hidden fields that it doesn't
+    name, then the query, in whose place the action's own value goes.
+    """
+    name = lambda pair: F.regexp_extract(pair, "^([^=]*)", 1)
+    own = F.filter(F.split(F.regexp_extract("action", r"\?([^#]*)", 1), "&"), lambda p: (p != "") & (name(p) != F.col("field")))
+    fixed = F.filter(F.split("hidden", ",(?=[^,=]+=)"), lambda p: p.rlike("^[^=]+=."))
+    encoded = lambda p: F.concat(F.url_encode(name(p)), F.lit("="), F.url_encode(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)))
+    more = lambda p: ~F.exists(own, lambda o: name(o) == name(p))
+    rank = F.row_number().over(Window.partitionBy("site").orderBy("place"))
+    rows = forms.select("site", F.regexp_extract("action", "^([^?#]*)", 1).alias("base"), "field", F.concat(own, F.transform(F.filter(fixed, more), encoded)).alias("params"), rank.alias("rank"))
+    asked = F.concat(F.url_encode("field"), F.lit("="), F.url_encode("query"))
+    url = F.concat("base", F.lit("?"), F.array_join(F.concat("params", F.array(asked)), "&"))
+    return rows.join(queries.select("site", "query"), "site").select("site", url.alias("url"), (F.col("rank") + 50).alias("order"), F.concat(F.lit("form-"), F.col("rank").cast("string")).alias("profile"))
+
+
+def search_candidates(sites: DataFrame, queries: DataFrame, forms: DataFrame | None = None) -> DataFrame:
     """site, url, profile: search addresses of every site for its own queries, each once, under the first profile that gives it.
 
     sites has site, host, root and, nullable, template (its owner's own route,
     tried first, in whose place none is guessed) and platform; queries has site
     and query. Routes are an array beside the row, so the only join is on site.
+    forms, if given, has site and what `pages.search_forms` finds on the site's
+    page; their addresses come before guessed ones.
     """
 
     def route(order: int, profile: str, template, when: Column) -> Column:
@@ -62,10 +89,12 @@ def search_candidates(sites: DataFrame, queries: DataFrame) -> DataFrame:
     routes = [route(0, "custom", F.col("template"), F.col("template").isNotNull())]
     routes += [route(1 + k, "host", t, F.col("host").rlike(p)) for k, (p, t) in enumerate(HOST_ROUTES)]
     routes += [route(10 + k, p, t, F.coalesce(F.col("platform") == p, F.lit(False))) for k, (p, t) in enumerate(PLATFORM_ROUTES)]
-    routes += [route(100 + k, "generic", t, F.col("template").isNull()) for k, t in enumerate(GENERIC_ROUTES)]
+    routes += [route(100 + k, "generic", t, F.col("template").isNull() & ~F.col("host").rlike(OWN_ROUTE_ONLY)) for k, t in enumerate(GENERIC_ROUTES)]
     rows = sites.select("site", "root", F.explode(F.array_compact(F.array(*routes))).alias("r")).join(queries.select("site", "query"), "site")
     text = F.replace(F.url_encode("query"), F.lit("+"), F.lit("%20"))
     rows = rows.select("site", F.concat(F.regexp_replace("root", "/$", ""), F.replace("r.template", F.lit("{query}"), text)).alias("url"), "r.order", "r.profile")
+    if forms is not None:
+        rows = rows.unionByName(_form_urls(forms, queries))
     return rows.groupBy("site", "url").agg(F.min_by("profile", "order").alias("profile"))
 
 

@@ -43,6 +43,20 @@ def _(websites: DataFrame, products: DataFrame) -> DataFrame:
     return crawl.search_candidates(sites, products.selectExpr("store_id AS site", "name AS query").distinct())
 
 
+@query(
+    "crawl_form_candidates",
+    "websites products",
+    f"""SELECT id AS site, 'https://shop-' || id || '.example' || path || CASE WHEN profile = 'generic' THEN q ELSE replace(q, '%20', '+') END AS url, profile FROM (SELECT DISTINCT store_id, {_ASK} AS q FROM products) JOIN (
+        SELECT id, '/find?shop=x&lang=en&term=' AS path, 'form-1' AS profile FROM websites WHERE id % 2 = 0
+        UNION ALL SELECT id, unnest(['/search?q=', '/search?query=', '/search?search=', '/?s=']), 'generic' FROM websites) ON id = store_id""",
+)
+def _(websites: DataFrame, products: DataFrame) -> DataFrame:
+    sites = websites.selectExpr("id AS site", "'shop-' || id || '.example' AS host").selectExpr("*", "'https://' || host || '/' AS root", "CAST(NULL AS STRING) AS template", "CAST(NULL AS STRING) AS platform")
+    form = '<form action="/find?shop=x&term=old"><input type="hidden" name="lang" value="en"><input type="hidden" name="csrf" value="1"><input type="hidden" name="shop" value="y"><input type="search" name="term"></form>'
+    forms = pages.search_forms(sites.selectExpr("site AS page_id", "root AS url", f"CASE WHEN site % 2 = 0 THEN '{form}' ELSE '' END AS html")).withColumnRenamed("page_id", "site")
+    return crawl.search_candidates(sites, products.selectExpr("store_id AS site", "name AS query").distinct(), forms)
+
+
 @query(
     "crawl_plan",
     "products websites",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pricetide.functions import labels
 from pricetide.functions import scalars as S
-from pricetide.operators import alerts, catalog, compare, history, ops, pages, policy, results, schedule, tables
+from pricetide.operators import alerts, catalog, compare, crawl, history, ops, pages, policy, results, schedule, tables
 from pricetide.plans import registry
 from pricetide.plans.adapters import domain
 from pricetide.plans.reference_queries import NOW
@@ -223,6 +223,14 @@ def test_advance_cases(spark):
     assert [str(got[k]["next_run_at"]) for k in (1, 2)] == [NOW, "2024-01-31 01:00:00"] and got[1]["last_run_at"] is None
 
 
+def test_form_candidates(spark):
+    """Hidden values are encoded, commas in them stay, and hosts with a route of their own get no guessed one."""
+    sites = spark.createDataFrame([(1, "trgovinejager.com", "https://trgovinejager.com/", None, None)], "site int, host string, root string, template string, platform string")
+    forms = spark.createDataFrame([(1, 0, "https://trgovinejager.com/f#x", "q", "a=1,2 3,b=é,empty=")], "site int, place int, action string, field string, hidden string")
+    got = crawl.search_candidates(sites, spark.createDataFrame([(1, "č d")], "site int, query string"), forms).collect()
+    assert {r["url"]: r["profile"] for r in got} == {"https://trgovinejager.com/iskalnik/?isci=%C4%8D%20d": "host", "https://trgovinejager.com/f?a=1%2C2+3&b=%C3%A9&q=%C4%8D+d": "form-1"}
+
+
 def test_json_nodes_odd(spark):
     ld = '<script type="application/ld+json">{}</script>'
     rows = [(1, None), (2, ""), (3, ld.format("{bad")), (4, ld.format('[{"a":{"b":[{"c":null}]}},3]')), (5, ld.format('"text"'))]
