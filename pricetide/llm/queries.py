@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import ann, bpe, exact_dedup, licenses, line_dedup, lm_score, mixing, secrets, simhash, toxicity
+from pricetide.llm import ann, bpe, exact_dedup, language_id, licenses, line_dedup, lm_score, mixing, repair, secrets, simhash, toxicity, vector_codes
 from pricetide.llm.common import cut, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -62,6 +62,27 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.language_id(docs, language_id.fit(docs))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), F.col("lang").alias("lang_pred"), "score", "rejected")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations that lose all rows to the damage count zeros and the digest of nothing."""
+    rows = table(spark, sf_dir, "conversations")
+    found = repair.repair(repair.damaged(rows)).withColumnRenamed("conv_id", "found_id")
+    every = rows.select("conv_id").distinct()
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("found_id")), "left").select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    books = vector_codes.codebooks(vectors)
+    return vector_codes.vector_codes(vectors, books).withColumn("codebooks_sha256", F.lit(vector_codes.digest(books)))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,8 +122,41 @@ SQL = {
 }
 
 
+def _codes_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """DuckDB SQL of the vector codes, one step for each round."""
+    nearest = """
+        near{k} AS (
+            SELECT v.vec_id, v.label, v.p, v.part, arg_min(b.e, (d, b.e)) AS e, min(d) AS d
+            FROM parts v JOIN books{k} b ON b.p = v.p,
+                LATERAL (SELECT CAST(list_sum(list_transform(list_zip(v.part, b.entry), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d) GROUP BY ALL
+        ),"""
+    averaged = """
+        means{k} AS (
+            SELECT p, e, list(m ORDER BY place) AS entry
+            FROM (SELECT p, e, place, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS m FROM (SELECT p, e, unnest(part) AS x, unnest(range(len(part))) AS place FROM near{k}) GROUP BY p, e, place)
+            GROUP BY p, e
+        ), books{n} AS (SELECT b.p, b.e, coalesce(m.entry, b.entry) AS entry FROM books{k} b LEFT JOIN means{k} m ON m.p = b.p AND m.e = b.e),"""
+    steps = "".join(nearest.format(k=k) + averaged.format(k=k, n=k + 1) for k in range(rounds)) + nearest.format(k=rounds)
+    return f"""
+        WITH kept AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v, row_number() OVER (ORDER BY vec_id) - 1 AS place
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), parts AS MATERIALIZED (
+            SELECT vec_id, label, place, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS part FROM kept, range(16) t(p)
+        ), books0 AS (SELECT p, place AS e, part AS entry FROM parts WHERE place < 64),
+        {steps}
+        coded AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id, label)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+            (SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY p, e)) FROM books{rounds}) AS codebooks_sha256
+        FROM coded
+    """
+
+
+SQL["op13_vector_codes"] = _codes_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_secrets, op3_lm_score, op4_toxicity, op5_mix, op6_line_dedup, op7_bpe, op8_exact_dedup, op9_licenses, op10_simhash, pipeline)}
+    return {f.__name__: f for f in (op1_ann, op2_secrets, op3_lm_score, op4_toxicity, op5_mix, op6_line_dedup, op7_bpe, op8_exact_dedup, op9_licenses, op10_simhash, op11_language_id, op12_repair, op13_vector_codes, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
