@@ -135,20 +135,45 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-
-    def entropies(self, text: str) -> tuple[np.ndarray, int]:
-        """Bits a character by language, and characters read; a text without letters has none."""
-        bits, n = np.zeros(len(self.model.names)), 0
-        for piece in pieces(text):
-            grams = np.lib.stride_tricks.sliding_window_view(piece, ORDER)
-            at, there = found_at(self.model.known, hashed([piece[k : len(piece) - ORDER + 1 + k] for k in range(ORDER)]))
-            bits -= self.model.scores[at[there]].sum(0, dtype=np.float64) if there.any() else 0.0
-            if not there.all():
-                new, often = np.unique(grams[~there], axis=0, return_counts=True)
-                for k, levels in enumerate(self.model.levels):
-                    bits[k] -= logarithms(levels, self.model.vocabulary, new) @ often
-            n += len(grams)
-        return bits / max(n, 1), n
+        # where the hashes with each value of their first bits begin, so that a search starts at its place
+        self.shift = np.uint64(64 - max(1, int(len(model.known)).bit_length()))
+        self.first = np.searchsorted(model.known >> self.shift, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64))
+        self.keys = np.append(model.known, np.uint64(2**64 - 1))
+
+    def place(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As found_at in the known n-grams' hashes."""
+        at = self.first[wanted >> self.shift]
+        behind = np.flatnonzero(self.keys[at] < wanted)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[self.keys[at[behind]] < wanted[behind]]
+        return at, (self.keys[at] == wanted) & (at < len(self.model.known))
+
+    def entropies(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
+        """For each text bits a character by language, and characters read; a text without letters has none of them."""
+        bits, n = np.zeros((len(texts), len(self.model.names))), [0] * len(texts)
+        new, new_n = [], 0
+        for k, text in enumerate(texts):
+            for piece in pieces(text):
+                at, there = self.place(hashed([piece[c : len(piece) - ORDER + 1 + c] for c in range(ORDER)]))
+                bits[k] -= self.model.scores[at[there]].sum(0, dtype=np.float64)
+                n[k] += len(at)
+                if not there.all():
+                    grams = np.lib.stride_tricks.sliding_window_view(piece, ORDER)[~there]
+                    new.append((k, grams))
+                    new_n += len(grams)
+                    if new_n > PIECE:
+                        self._add(bits, new)
+                        new, new_n = [], 0
+        self._add(bits, new)
+        return [(b / max(m, 1), m) for b, m in zip(bits, n, strict=True)]
+
+    def _add(self, bits: np.ndarray, new: list[tuple[int, np.ndarray]]) -> None:
+        """Adds the bits of n-grams that are in no table of whole scores, of several texts at once."""
+        if new:
+            grams, row = np.concatenate([g for _, g in new]), np.repeat([k for k, _ in new], [len(g) for _, g in new])
+            for k, levels in enumerate(self.model.levels):
+                bits[:, k] -= np.bincount(row, logarithms(levels, self.model.vocabulary, grams), len(bits))
 
     def facts(self, entropies: np.ndarray, n: int) -> tuple[int, list[float]]:
         """The language of the lowest entropy, the first of equal ones, and what tells how sure that is."""
@@ -157,12 +182,12 @@ class Scorer:
         margin = min(float(others.min() - entropies[best]), 8.0) if len(others) else 8.0
         return best, [float(entropies[best]) - self.model.usual[best], margin, 1.0 / np.sqrt(n)]
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and the probability that it is right."""
-        if not text or not self.model.names:
-            return UNDETERMINED, 0.0
-        entropies, n = self.entropies(text)
-        if not n:
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """For each text the language and the probability that it is right."""
+        return [self._chosen(*found) for found in self.entropies([t or "" for t in texts])]
+
+    def _chosen(self, entropies: np.ndarray, n: int) -> tuple[str, float]:
+        if not n or not self.model.names:
             return UNDETERMINED, 0.0
         best, facts = self.facts(entropies, n)
         if self.model.weights is None:
@@ -261,8 +286,7 @@ def calibrated(model: Model, sample: DataFrame) -> Model:
                 if lang not in names:
                     continue
                 middle = text[len(text) // 2 :][:SHORT]
-                for t in {text, middle}:
-                    entropies, n = scorer.entropies(t)
+                for entropies, n in scorer.entropies([text] if text == middle else [text, middle]):
                     if n:
                         out.append((names.index(lang), n, entropies.tolist()))
             return out
@@ -310,7 +334,7 @@ def language_id(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     def make():
         scorer = Scorer(shared.value)
-        return lambda rows: [(doc_id, *scorer.predict(text)) for doc_id, text in rows]
+        return lambda rows: [(r[0], *found) for r, found in zip(rows, scorer.predict([r[1] for r in rows]), strict=True)]
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = per_row(rows, make, f"id {dict(docs.dtypes)[id_col]}, lang string, score double")
