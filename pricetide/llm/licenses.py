@@ -7,7 +7,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricetide.llm.common import per_row
@@ -45,6 +45,8 @@ TEMPLATES: dict[str, str] = {
 
 #: Least share of a template's words that align in order; most words in a stretch, as a multiple of the template.
 COVERAGE, STRETCH = 0.8, 1.5
+#: Most license texts, in MB, that a folder of templates may hold.
+TEMPLATE_MB = 16
 WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 #: Words too common to point to a notice.
 COMMON = frozenset("a an and any are as at be by for from in is it its no not of on or such that the this to under use was with you".split())
@@ -152,13 +154,15 @@ class Scanner:
                     hits.append((share, len(template), s, e, name))
                     todo += [(lo, s), (e, hi)]
         taken: list[tuple[int, int, str, float]] = []
+        held = bytearray(len(only))  # one mark a word
         for share, _, s, e, name in sorted(hits, key=lambda h: (-h[1] * h[0], h[2], h[4])):
-            if all(e <= t[0] or s >= t[1] for t in taken):
+            if not any(held[s:e]):
+                held[s:e] = b"\1" * (e - s)
                 taken.append((s, e, name, share))
         return [(found[s][1], found[e - 1][2], name, share) for s, e, name, share in sorted(taken)]
 
     def _best(self, only: list[str], lo: int, hi: int, name: str) -> tuple[int, int, float] | None:
-        """The first stretch in lo..hi that covers enough of the template."""
+        """The first stretch in lo..hi that covers enough of the template, with what follows if that covers more."""
         template, counts = self.templates[name], self.counts[name]
         n, need = len(template), self.coverage * len(template)
         size = int(n * STRETCH) + 1
@@ -176,10 +180,25 @@ class Scanner:
                 first = max(lo, i - size + 1)
                 pairs = align(only[first : i + 1], template)
                 if len(pairs) >= need:
-                    return first + pairs[0][0], first + pairs[-1][0] + 1, len(pairs) / n
+                    first += pairs[0][0]
+                    more = align(only[first : min(hi, first + size)], template)
+                    if len(more) > len(pairs):
+                        return first + more[0][0], first + more[-1][0] + 1, len(more) / n
+                    return first, first + pairs[-1][0] - pairs[0][0] + 1, len(pairs) / n
         return None
 
 
+def read_templates(spark: SparkSession, path: str) -> dict[str, str]:
+    """Templates from a folder of text files, full license texts say, named by the files; they travel with the tasks, so the folder is to be small.
+
+    At most TEMPLATE_MB of texts are taken; a larger folder is an error.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.txt)?$", 1).alias("name"), "value")
+    if (files.agg(F.sum(F.length("value"))).first()[0] or 0) > TEMPLATE_MB << 20:
+        raise ValueError(f"more than {TEMPLATE_MB} MB of license texts in {path}")
+    return {r["name"]: r["value"] for r in files.collect()}
+
+
 def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """License notices in every whole text.
 
@@ -188,7 +207,8 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
     once in both anchor the alignment on a longest rising run, the gaps between
     anchors align the same way, and the share of the template's words in the
     alignment is the coverage. Of overlapping notices the one that aligns most
-    words stays. The templates, a fixed set, travel with the tasks.
+    words stays. The templates, a fixed set or those of `read_templates`, travel with the
+    tasks. Work grows with the text's length, however many notices it holds.
 
     Result: id_col, n_licenses (long), licenses (distinct names by name, comma-
     joined), best_coverage (double, 0 without a notice), spans
