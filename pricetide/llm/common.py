@@ -99,3 +99,19 @@ def spread(rows: DataFrame, key: str, salt: Column, facts: DataFrame) -> DataFra
     salted = rows.withColumn("_salt", salt)
     pairs = salted.groupBy(key).agg(F.collect_set("_salt").alias("_salt")).join(facts, key).withColumn("_salt", F.explode("_salt"))
     return salted.join(pairs, ["_salt", key], "left").drop("_salt")
+
+
+#: A key is hot if it has more than this part of all rows; there are never more hot keys than this.
+HOT = 1024
+
+
+def meet(rows: DataFrame, key: str, facts: DataFrame, count: str, total: int) -> DataFrame:
+    """Inner join of `rows` to `facts` (one row a key; `count` is how many rows the key has or more, of `total`), without a hot key in one task.
+
+    Rows of hot keys meet their facts where they are: keys with more than
+    total / HOT rows are HOT at most, so these facts are broadcast. All others
+    are moved to their facts. Reads `rows` twice. A null key finds none.
+    """
+    hot = F.broadcast(facts.where(F.col(count) * HOT > total))
+    cold = rows.join(hot.select(key), key, "left_anti").join(facts.where(F.col(count) * HOT <= total).hint("merge"), key)
+    return rows.join(hot, key).unionByName(cold)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricetide.llm.common import cut, fresh, spread, stored, whole
+from pricetide.llm.common import fresh, meet, stored, whole
 
 #: Least tokens of a line that may recur; least different documents; tokens of a line without variable fields for which two documents suffice.
 TOKENS, DOCUMENTS, LONG_TOKENS = 2, 3, 50
@@ -13,8 +13,8 @@ TOKENS, DOCUMENTS, LONG_TOKENS = 2, 3, 50
 ONE_VARIES, TWO_VARY, STRETCHES = 6, 12, 8
 #: Leading tokens that stay where a whole half of the others varies.
 LEADING = 2
-#: The mark of a long line in its hash; values that a hot line's or template's rows are dealt over.
-LONG, SALTS = 1, 64
+#: The mark of a long line in its hash; runs of stretches of a line by which it meets others, at most.
+LONG, RUNS = 1, 3
 
 
 def templates(docs: DataFrame, id_col: str, text_col: str, tokens: int, long_tokens: int) -> DataFrame:
@@ -27,7 +27,7 @@ def templates(docs: DataFrame, id_col: str, text_col: str, tokens: int, long_tok
     # anchored and possessive, so that a token without digits is read once whatever its length
     masked = lambda line: F.split(F.btrim(F.regexp_replace(line, r"(?<![^ \t\r])[^ \t\r0-9]*+[0-9][^ \t\r]*+", "<*>"), F.lit(" \t\r")), r"[ \t\r]+")
 
-    def leaf(t: Column) -> Column:
+    def leaf(t: Column) -> Column:  # the tokens' hashes
         n = F.size(t)
         line = F.when(n >= tokens, F.xxhash64(t).bitwiseAND(F.lit(-2)).bitwiseOR(F.when(n >= long_tokens, LONG).otherwise(0).cast("long")))
         stretches = F.when(n < TWO_VARY, n).otherwise(STRETCHES)
@@ -37,7 +37,7 @@ def templates(docs: DataFrame, id_col: str, text_col: str, tokens: int, long_tok
         halves = F.array(*(F.xxhash64(F.lit(mark), n, F.slice(t, 1, LEADING), F.slice(t, start, length)) for mark, start, length in (("first", F.lit(LEADING + 1), half), ("second", half + LEADING + 1, n - LEADING - half))))
         return F.struct(line.alias("e"), F.when(n >= max(ONE_VARIES, tokens), parts).alias("b"), (n >= TWO_VARY).alias("two"), F.when(n >= TWO_VARY, halves).otherwise(F.array().cast("array<bigint>")).alias("halves"))
 
-    rows = docs.select(F.xxhash64(id_col, text_col).alias("k"), F.col(id_col).alias("id"), F.xxhash64(whole(F.col(text_col))).alias("h"), F.transform(F.split(whole(F.col(text_col)), "\n"), masked).alias("t"))
+    rows = docs.select(F.xxhash64(id_col, text_col).alias("k"), F.col(id_col).alias("id"), F.xxhash64(whole(F.col(text_col))).alias("h"), F.transform(F.split(whole(F.col(text_col)), "\n"), lambda line: F.transform(masked(line), lambda w: F.xxhash64(w))).alias("t"))
     return rows.select("k", "id", "h", F.transform("t", leaf).alias("x"))
 
 
@@ -57,24 +57,23 @@ def _leaves(b: Column, two: Column) -> Column:
     return F.transform(F.when(two, pairs).otherwise(single), starred)
 
 
-def _whole_lines(doc: DataFrame, documents: int) -> DataFrame:
+def _whole_lines(doc: DataFrame, documents: int, all_lines: int) -> DataFrame:
     """e and first (smallest id) of the lines that recur as they are, but for tokens with digits."""
-    keys = F.array_distinct(F.array_compact(F.transform("x", lambda s: s["e"])))
+    keys = F.array_distinct(F.array_compact(F.col("x.e")))
     lines = doc.select("k", F.explode(keys).alias("e"))
     common = stored(lines.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    salt = F.pmod("k", F.lit(SALTS))
-    held = spread(lines, "e", salt, common).where("n IS NOT NULL").groupBy("k").agg(F.collect_set(F.struct("n", "e")).alias("held"))
+    held = meet(lines, "e", common, "n", all_lines).groupBy("k").agg(F.collect_set(F.struct("n", "e")).alias("held"))
     facts = doc.select("k", "id", "h", F.size(keys).alias("own")).groupBy("k").agg(F.min("id").alias("id"), F.min("h").alias("h"), F.max("own").alias("own"))
     # a line that no other document holds is as good as any other of its kind: the document's hash stands for it
     rarest = F.when(F.size("held") < F.col("own"), F.struct(F.lit(1).cast("long").alias("n"), F.col("k").alias("e"))).otherwise(F.array_min("held"))
     contexts = held.join(facts.hint("merge"), "k").select("id", "h", rarest.alias("r"), F.explode("held").alias("t"))
     sketch = F.when(F.col("r.n") < F.col("t.n"), F.col("r.e")).otherwise(F.col("h"))
-    by_sketch = contexts.select("id", "t.e", sketch.alias("sketch")).groupBy("e", "sketch").agg(F.min("id").alias("first"))
-    counts = by_sketch.groupBy("e").agg(F.count(F.lit(1)).alias("sketches"), F.min("first").alias("first"))
-    return counts.where(F.col("sketches") >= F.when(F.col("e").bitwiseAND(F.lit(LONG)) > 0, min(2, documents)).otherwise(documents)).select("e", "first")
+    by_sketch = contexts.select("id", "t.e", "t.n", sketch.alias("sketch")).groupBy("e", "sketch").agg(F.min("id").alias("first"), F.max("n").alias("n"))
+    counts = by_sketch.groupBy("e").agg(F.count(F.lit(1)).alias("sketches"), F.min("first").alias("first"), F.max("n").alias("n"))
+    return counts.where(F.col("sketches") >= F.when(F.col("e").bitwiseAND(F.lit(LONG)) > 0, min(2, documents)).otherwise(documents)).select("e", "first", "n")
 
 
-def _with_fields(doc: DataFrame, documents: int) -> DataFrame:
+def _with_fields(doc: DataFrame, documents: int, all_lines: int) -> DataFrame:
     """e and first of the lines of recurring templates with variable fields, one row for each such template of a line.
 
     Different lines meet by a run of stretches that both hold as it is; only
@@ -82,21 +81,22 @@ def _with_fields(doc: DataFrame, documents: int) -> DataFrame:
     texts, of which each line brings at most as many as are needed.
     """
     rows = doc.select("id", "h", F.explode("x").alias("s")).where("s.b IS NOT NULL AND s.e IS NOT NULL").select("id", "h", "s.e", "s.b", "s.two", "s.halves")
-    units = stored(rows.groupBy("e").agg(F.first("b").alias("b"), F.first("two").alias("two"), F.first("halves").alias("halves"), F.min("id").alias("first")))
-    texts = rows.select("e", "h").distinct()
-    runs = units.select("e", F.explode(F.concat(_intact(F.col("b"), F.col("two")), "halves")).alias("run"))
-    shared = stored(runs.groupBy("run").agg(F.min("e").alias("low"), F.max("e").alias("high")).where("low < high").select("run", F.lit(True).alias("meets")))
-    met = spread(runs, "run", F.pmod("e", F.lit(SALTS)), shared).where("meets").select("e").distinct()
-    leaves = stored(units.join(met.hint("merge"), "e").select("e", "first", F.explode(F.concat(_leaves(F.col("b"), F.col("two")), "halves")).alias("leaf")))
-    salt = F.pmod(F.shiftright("e", 8), F.lit(SALTS))
-    merged = stored(leaves.groupBy("leaf").agg(F.min("e").alias("low"), F.max("e").alias("high"), F.min("first").alias("found")).where("low < high").select("leaf", "found"))
-    forms = stored(spread(leaves, "leaf", salt, merged.withColumn("live", F.lit(True))).where("live").select("e", "leaf", "found"))
+    units = stored(rows.groupBy("e").agg(F.first("b").alias("b"), F.first("two").alias("two"), F.first("halves").alias("halves"), F.min("id").alias("first"), F.count(F.lit(1)).alias("n")))
+    runs = units.select("e", F.explode(_intact(F.col("b"), F.col("two"))).alias("run"))
+    shared = stored(runs.groupBy("run").agg(F.min("e").alias("low"), F.max("e").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("run", "n"))
+    runs_in_all = RUNS * units.count()
+    met = meet(runs, "run", shared, "n", runs_in_all).select("e").distinct()
+    leaves = stored(units.join(met.hint("merge"), "e").select("e", "n", "first", F.explode(F.concat(_leaves(F.col("b"), F.col("two")), "halves")).alias("leaf")))
+    all_leaves = leaves.count()
+    merged = leaves.groupBy("leaf").agg(F.min("e").alias("low"), F.max("e").alias("high"), F.min("first").alias("found"), F.count(F.lit(1)).alias("lines")).where("low < high")
+    forms = stored(meet(leaves, "leaf", stored(merged.select("leaf", "found", "lines")), "lines", all_leaves).select("e", "n", "leaf", "found", "lines"))
     # as many texts of each line as can matter: the first ones by hash
     order = Window.partitionBy("e").orderBy("h")
-    few = texts.withColumn("at", F.row_number().over(order)).where(F.col("at") <= documents).select("e", "h")
-    counts = forms.join(few.hint("merge"), "e").groupBy("leaf", "h").count().groupBy("leaf").agg(F.count(F.lit(1)).alias("texts"))
-    recurring = stored(counts.where(F.col("texts") >= documents).select("leaf", F.lit(True).alias("recurs")))
-    return spread(forms, "leaf", salt, recurring).where("recurs").select("e", F.col("found").alias("first"))
+    wanted = stored(forms.select("e", "n").distinct())
+    few = meet(rows.select("e", "h"), "e", wanted, "n", all_lines).select("e", "h").distinct().withColumn("at", F.row_number().over(order)).where(F.col("at") <= documents)
+    counts = forms.join(few.select("e", "h").hint("merge"), "e").groupBy("leaf", "h").agg(F.max("lines").alias("lines")).groupBy("leaf").agg(F.count(F.lit(1)).alias("texts"), F.max("lines").alias("size"))
+    recurring = stored(counts.where(F.col("texts") >= documents).select("leaf", "size"))
+    return meet(forms, "leaf", recurring, "size", all_leaves).select("e", F.col("found").alias("first"), "n")
 
 
 def line_dedup(
@@ -129,8 +129,8 @@ def line_dedup(
     Blank lines and lines of one word never recur: they are layout and headings. Lines from
     `tokens` words on follow the rule above, however short.
 
-    Counts are added up in map tasks before they move. A line or template in a third of
-    all documents is dealt by a salt where it meets what is known of it. Templates with
+    Counts are added up in map tasks before they move. A line or template in more than a share of
+    all documents doesn't move where it meets what is known of it: such lines are few by the rule of `meet`. Templates with
     further fields are made of different lines, once each, and only where another
     line shares half or a third of the line. The lines to drop meet the texts in a merge join at every size.
 
@@ -139,13 +139,14 @@ def line_dedup(
     text. Null ids come last in the choice of the first document. Repeated rows
     are treated alike. An empty table gives an empty result.
     """
-    doc = cut(templates(docs, id_col, text_col, tokens, long_tokens))
-    firsts = _whole_lines(doc, documents).unionByName(_with_fields(doc, documents)).select("e", F.struct("first").alias("first"))
-    recurring = stored(firsts.groupBy("e").agg(F.min("first").alias("low"), F.max("first").alias("high")))
+    doc = stored(templates(docs, id_col, text_col, tokens, long_tokens))
+    all_lines = doc.agg(F.sum(F.size("x"))).first()[0] or 0
+    firsts = _whole_lines(doc, documents, all_lines).unionByName(_with_fields(doc, documents, all_lines)).select("e", F.struct("first").alias("first"), "n")
+    recurring = stored(firsts.groupBy("e").agg(F.min("first").alias("low"), F.max("first").alias("high"), F.max("n").alias("n")))
 
     k, gone = fresh(docs, "_k", "_dropped")
-    places = doc.select("k", "id", F.posexplode("x").alias("at", "s")).select("k", "id", "at", "s.e").where("e IS NOT NULL")
-    places = spread(places, "e", F.pmod("k", F.lit(SALTS)), recurring).where("low IS NOT NULL")
+    places = doc.select("k", "id", F.posexplode("x.e").alias("at", "e"))
+    places = meet(places, "e", recurring, "n", all_lines)
     dropped = places.where(~(F.col("low.first").eqNullSafe(F.col("id")) & F.col("high.first").eqNullSafe(F.col("id")))).groupBy("k").agg(F.collect_set("at").alias(gone))
     dropped = stored(dropped)
 
