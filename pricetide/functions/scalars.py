@@ -57,6 +57,48 @@ def norm_url(url: Column) -> Column:
     return F.when(head == "", bare).otherwise(F.concat(root, F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))))
 
 
+def same_store(a: Column, b: Column) -> Column:
+    """Whether two hosts (of `host`) are equal, or as whole labels one the end of the other."""
+    return (a == b) | a.endswith(F.concat(F.lit("."), b)) | b.endswith(F.concat(F.lit("."), a))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without . and .. segments."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    step = lambda out, p: F.when(p == ".", out).when(p == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(1)))).otherwise(F.array_append(out, p))
+    kept = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(F.get(parts, 0)), step)
+    return F.array_join(F.when(last.isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept), "/")
+
+
+def resolve_url(reference: Column, base: Column) -> Column:
+    """The address that a page at `base` means by a reference, without the fragment; null for other schemes than http and https.
+
+    Scheme and host come in small letters, without a default port; . and ..
+    segments are gone, blanks are %20, and a missing path is /.
+    """
+
+    def rule(ref: Column) -> Column:
+        scheme, root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+        path = F.regexp_replace(F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "^$", "/")
+        query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
+        full = (
+            F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
+            .when(ref.startswith("//"), F.concat(scheme, ref))
+            .when(ref == "", F.concat(root, path, query))
+            .when(ref.startswith("?"), F.concat(root, path, ref))
+            .when(ref.startswith("/"), F.concat(root, ref))
+            .otherwise(F.concat(root, F.regexp_extract(path, "^(.*/)", 1), ref))
+        )
+        return once(norm_url(F.replace(full, F.lit(" "), F.lit("%20"))), tidy)
+
+    def tidy(url: Column) -> Column:
+        part = lambda k: F.regexp_extract(url, r"^(https?://[^/?#]+)([^?]*)(\?.*)?$", k)
+        return F.when(url.rlike("^https?://[^/?#:]"), F.concat(part(1), _without_dots(part(2)), part(3)))
+
+    return once(F.trim(without_fragment(reference)), rule)
+
+
 def digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricetide.functions.scalars import host, without_fragment
+from pricetide.functions.scalars import host, resolve_url, same_store, without_fragment
+from pricetide.operators.elements import decoded
 from pricetide.operators.pages import visible
 
 # Elements without an end tag, and class names that hide.
@@ -109,7 +110,7 @@ def hidden_links(pages: DataFrame) -> DataFrame:
 
 
 def likely_links(pairs: DataFrame, most: int = 8) -> DataFrame:
-    """page_id, link, score, n: the shown links of a page's own host that likely lead to the wanted product.
+    """page_id, link, score, n: the shown links of a page's store, its family of hosts, that likely lead to the wanted product.
 
     A canonical address scores 30. An anchor scores 20 for the product's code in
     its path or label, one for each word of the name of three or more letters,
@@ -122,10 +123,8 @@ def likely_links(pairs: DataFrame, most: int = 8) -> DataFrame:
     canonical = F.filter(head, lambda t: t.rlike(r"""(?is)\srel=["'][^"']*canonical"""))
     tags = page.select("page_id", "ean", "name", "url", F.posexplode(F.concat(F.slice(canonical, 1, 1), block)).alias("place", "tag"))
     href = F.regexp_extract("tag", r"""(?is)(?:href|data-product-url)=["']([^"']+)""", 1)
-    root, base = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1), F.regexp_extract("url", r"^(https?://[^/?#]+(?:/[^?#]*/)?)", 1)
-    absolute = F.when(href.rlike("(?i)^https?://"), href).when(href.startswith("//"), F.concat(F.regexp_extract("url", "^(https?:)", 1), href)).when(href.startswith("/"), F.concat(root, href)).when(~href.rlike("(?i)^[a-z][a-z0-9+.-]*:|^#"), F.concat(F.regexp_replace(base, "([^/])$", "$1/"), href))
-    rows = tags.select("page_id", "ean", "name", "place", "url", "tag", F.replace(absolute, F.lit("&amp;"), F.lit("&")).alias("link"))
-    rows = rows.where(host(F.col("link")) == host(F.col("url")))
+    rows = tags.select("page_id", "ean", "name", "place", "url", "tag", resolve_url(decoded(href), F.col("url")).alias("link"))
+    rows = rows.where(same_store(host(F.col("link")), host(F.col("url"))))
     path = F.lower(F.regexp_extract("link", r"^https?://[^/?#]+([^?#]*)", 1))
     text = F.concat(path, F.lit(" "), F.lower(visible(F.col("tag"))))
     words = F.filter(F.split(F.lower("name"), r"\s+"), lambda w: F.length(w) > 2)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.functions.scalars import confidence, confidence_label, contains_barcode, digits, name_score, normalize_currency, price_cents
-from pricetide.operators.pages import JSON_DEPTH, context_prices, element_prices, json_nodes, meta_prices, profile_prices, signals, title, visible
+from pricetide.operators.pages import JSON_DEPTH, context_prices, html_prices, json_nodes, profile_prices, signals, title, visible
 
 # Keys (in lower case, without marks) that hold identifiers, names and addresses; containers of prices.
 CODES = ("gtin", "gtin8", "gtin12", "gtin13", "gtin14", "ean", "ean8", "ean13", "ean14", "barcode", "productid", "sku", "mpn")
@@ -120,9 +120,9 @@ def structured_candidates(pairs: DataFrame, depth: int = JSON_DEPTH) -> DataFram
 
 def price_candidates(pairs: DataFrame) -> DataFrame:
     """page_id, price_cents, currency, score, source: prices of meta, elements and labels near the product, the best of each amount and currency."""
-    kinds = [meta_prices(pairs).withColumn("source", F.lit("product-meta")), element_prices(pairs).withColumn("source", F.lit("product-element")), context_prices(pairs)]
+    kinds = [html_prices(pairs), context_prices(pairs)]
     columns = ["page_id", "price_cents", "currency", F.col("score").cast("double").alias("score"), "source"]
-    every = kinds[0].select(columns).unionByName(kinds[1].select(columns)).unionByName(kinds[2].select(columns))
+    every = kinds[0].select(columns).unionByName(kinds[1].select(columns))
     best = every.groupBy("page_id", "price_cents", "currency").agg(F.max(F.struct("score", "source")).alias("b"))
     return best.select("page_id", "price_cents", "currency", "b.score", "b.source")
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricetide.functions.scalars import commerce_platform, detect_currency, digits, host, normalize_currency, once, price_cents, without_fragment
+from pricetide.functions.scalars import commerce_platform, detect_currency, digits, host, normalize_currency, once, price_cents, price_values, resolve_url, same_store, without_fragment
+from pricetide.operators.elements import STATING, between, decoded, selected_text, spans, stated, text_of
 
 # Texts of walls before a page, and characters of a page that are read for them.
 CAPTCHA_TEXT = r"(?:complete|solve|enter)\s+(?:the\s+)?captcha|captcha\s+(?:is\s+)?required|verify\s+(?:that\s+)?you(?:'re| are)\s+human"
@@ -73,33 +74,71 @@ def links(pages: DataFrame) -> DataFrame:
     return found.select("page_id", "place", F.regexp_extract("a", r"""(?is)href=["']([^"'#]+)""", 1).alias("href"), F.trim(F.regexp_extract("a", r"(?is)>([^<]*)</a>", 1)).alias("label"))
 
 
+# Meta elements that state a price or the page's currency, with the price's base score, and the words that mark price elements.
+META_PRICES = (("product:price:amount", 115), ("og:price:amount", 115), ("twitter:data1", 82), ("price", 82), ("sale_price", 142), ("product:sale_price:amount", 142))
+META_CURRENCIES = ("product:price:currency", "og:price:currency")
+PRICE_TAG = r"""(?i)itemprop=["']price["']|data-(?:product-)?price\b|property=["'](?:product|og):price:amount["']"""
+PRICE_ELEMENT = r"""(?is)(?:class|id|itemprop|data-testid)=["'][^"']*(?:price|cost)[^"']*["']"""
+NOW, FORMER = "current|sale|special|final|now|our", "old|was|original|regular|compare|strike|list|rrp|msrp"
+#: Most characters of a price element's content.
+PRICE_CONTENT = 900
+
+
+def _beside_price(words: str) -> str:
+    return rf"(?i)(?:{words})[-_\s]*(?:price|cost)|(?:price|cost)[-_\s]*(?:{words})"
+
+
+def html_prices(pages: DataFrame) -> DataFrame:
+    """page_id, place, price_cents, currency, score, source: all amounts that a page's meta and price elements state, with a base score.
+
+    Meta elements are looked up by name. Elements of any kind count whose class, id,
+    itemprop or test id speaks of a price or cost, with all that they hold up to the first
+    end tag of their kind; one inside another is part of it. A current or sale price
+    scores more, a former or struck one less, from 20 down none. The currency is
+    that of the element, else that of the page.
+    """
+    found = pages.select("page_id", "html", spans(F.col("html"), r"^(?:meta|link|input)\b|price|cost").alias("e"))
+    metas = F.filter("e", lambda e: e["name"] == "meta")
+    named = lambda name: F.get(F.filter(metas, lambda e: ((F.lower(e["attributes"]["property"]) == name) | (F.lower(e["attributes"]["name"]) == name)) & (F.coalesce(e["attributes"]["content"], F.lit("")) != "")), 0)
+    content = lambda name: F.trim(decoded(named(name)["attributes"]["content"]))
+    candidate = lambda raw, score, context, source: F.struct(raw.alias("raw"), score.cast("int").alias("score"), context.alias("context"), F.lit(source).alias("source"))
+    by_name = F.array(*(candidate(content(name), F.lit(score), F.lit(name), "product-meta") for name, score in META_PRICES))
+    own = lambda e, name: F.nullif(F.trim(decoded(e["attributes"][name])), F.lit(""))
+    tags = F.transform(
+        F.filter("e", lambda e: e["name"].isin(*STATING) & e["head"].rlike(PRICE_TAG)),
+        lambda e: candidate(F.coalesce(stated(e), own(e, "data-product-price"), own(e, "data-price")), F.when(e["head"].rlike("(?i)itemprop"), 110).otherwise(100), e["head"], "product-meta"),
+    )
+    closed = F.filter("e", lambda e: e["head"].rlike(PRICE_ELEMENT) & (e["close"] >= 0) & (e["close"] - e["inner"] <= PRICE_CONTENT))
+    start = F.struct(F.lit(-1).alias("last"), F.slice(closed, 1, 0).alias("out"))
+    outer = F.aggregate(closed, start, lambda a, e: F.when(e["start"] >= a["last"], F.struct(e["end"].alias("last"), F.array_append(a["out"], e).alias("out"))).otherwise(a), lambda a: a["out"])
+
+    def element(e: Column) -> Column:
+        inside = between(F.col("html"), e["inner"], e["close"])
+        when = lambda c, points: F.when(c, points).otherwise(0)
+        head = e["head"]
+        score = 62 + when(head.rlike("""(?i)itemprop=["']price["']"""), 42) + when(head.rlike(_beside_price(NOW)), 38) - when(head.rlike(_beside_price(FORMER)), 85) - when(inside.rlike(r"(?i)<(?:s|del)\b"), 65)
+        return candidate(F.when(score > 20, text_of(inside)), score, head, "product-element")
+
+    every = F.filter(F.concat(by_name, tags, F.transform(outer, element)), lambda c: F.coalesce(c["raw"], F.lit("")) != "")
+    currency = F.coalesce(*(F.nullif(content(name), F.lit("")) for name in META_CURRENCIES), once(text_of(F.col("html")), detect_currency))
+    rows = found.select("page_id", once(currency, normalize_currency).alias("page_currency"), F.posexplode(every).alias("place", "c"))
+    said = F.coalesce(once(F.concat("c.raw", F.lit(" "), "c.context"), detect_currency), F.col("page_currency"))
+    return rows.select("page_id", "place", F.explode(price_values(F.col("c.raw"))).alias("price_cents"), once(said, normalize_currency).alias("currency"), "c.score", "c.source")
+
+
 def meta_prices(pages: DataFrame) -> DataFrame:
-    """Prices that a page's meta and itemprop elements state, with a base score."""
-    tags = F.regexp_extract_all("html", F.lit(r"""(?is)<[a-z]+\s[^>]*(?:product:price:amount|og:price:amount|itemprop=["']price["']|data-price=)[^>]*>"""), 0)
-    rows = pages.select("page_id", F.posexplode(tags).alias("place", "tag"))
-    raw = F.coalesce(F.nullif(F.regexp_extract("tag", r"""(?i)\bcontent=["']([^"']+)""", 1), F.lit("")), F.nullif(F.regexp_extract("tag", r"""(?i)data-price=["']([^"']+)""", 1), F.lit("")))
-    score = F.when(F.col("tag").contains("product:price"), 110).when(F.col("tag").contains("og:price"), 105).otherwise(95)
-    return rows.select("page_id", "place", price_cents(raw).alias("price_cents"), detect_currency(raw).alias("currency"), score.alias("score")).where("price_cents IS NOT NULL")
+    """The prices of `html_prices` that meta, link and input elements state."""
+    return html_prices(pages).where("source = 'product-meta'").drop("source")
 
 
 def element_prices(pages: DataFrame) -> DataFrame:
-    """Prices of elements whose class, id or test id speaks of a price; old and struck ones score less."""
-    tags = F.regexp_extract_all("html", F.lit(r"""(?is)<(span|div|p|strong|b|ins|del|s)\b([^>]*(?:class|id|data-testid)=["'][^"']*price[^"']*["'][^>]*)>([^<]{1,80})</\1>"""), 0)
-    rows = pages.select("page_id", F.posexplode(tags).alias("place", "tag"))
-    head, text = F.lower(F.regexp_extract("tag", "(?s)^<([^>]*)>", 1)), F.regexp_extract("tag", "(?s)>([^<]*)<", 1)
-    score = (
-        F.lit(60)
-        + F.when(head.rlike("current|sale|now|final"), 38).otherwise(0)
-        - F.when(head.rlike("old|regular|list|was|shipping"), 85).otherwise(0)
-        - F.when(head.rlike("^(del|s)\\b"), 65).otherwise(0)
-    )
-    return rows.select("page_id", "place", price_cents(text).alias("price_cents"), detect_currency(text).alias("currency"), score.alias("score")).where("price_cents IS NOT NULL AND score > 20")
+    """The prices of `html_prices` of elements that speak of a price."""
+    return html_prices(pages).where("source = 'product-element'").drop("source")
 
 
 def best_price(pages: DataFrame) -> DataFrame:
     """The highest-scoring candidate of each page, the first of equals."""
-    both = meta_prices(pages).withColumn("source", F.lit("product-meta")).unionByName(element_prices(pages).withColumn("source", F.lit("product-element")))
-    one = both.groupBy("page_id", "price_cents", "currency").agg(F.max_by(F.struct("score", "source", "place"), F.struct("score", -F.col("place"))).alias("b"))
+    one = html_prices(pages).groupBy("page_id", "price_cents", "currency").agg(F.max_by(F.struct("score", "source", "place"), F.struct("score", -F.col("place"))).alias("b"))
     top = one.groupBy("page_id").agg(F.max_by(F.struct("price_cents", "currency", "b"), F.struct("b.score", -F.col("b.place"), -F.col("price_cents"))).alias("t"))
     return top.select("page_id", "t.price_cents", "t.currency", "t.b.score", "t.b.source")
 
@@ -183,64 +222,70 @@ def select_offer(structured: DataFrame, candidates: DataFrame) -> DataFrame:
     return rows.select("page_id", pick("price_cents"), pick("currency"), F.when(html, F.col("h.source")).when(own, "structured").alias("source")).where("source IS NOT NULL")
 
 
+# Attributes that name a page's data, with their scores, and query keys that keep an address from use.
+DATA_ATTRIBUTES = {"data-product-api": 11, "data-product-json": 11, "data-json-url": 9, "data-api-url": 8}
+DATA_ALTERNATE = 12
+PRIVATE_PATH, PRIVATE_KEY = r"(?i)^https?://[^/]*/(?:.*/)?(account|admin|auth|checkout|login|oauth|session)(/|$|\?)", r"(?i)[?&][^=&]*(token|secret|auth|signature|session|password|passcode|api[_-]?key|access[_-]?key|jwt)[^=&]*(=|&|$)"
+
+
 def public_data_urls(pages: DataFrame, most: int = 3) -> DataFrame:
-    """page_id, link, score: the likeliest data addresses of a page on its own host, JSON alternates first; account paths and token-bearing ones don't count. pages has ean; give it shown html (`links.shown`) to leave out hidden elements."""
-    named = F.regexp_extract_all("html", F.lit(r"""(?is)<[a-z][^>]*?\sdata-(?:product-api|product-json|json-url|api-url)=["'][^"']+["'][^>]*>"""), 0)
-    tag = lambda t, name: F.struct(F.lit(name).alias("kind"), F.regexp_extract(t, rf"""(?is)\s{name}=["']([^"']+)""", 1).alias("href"))
-    own = F.flatten(F.transform(named, lambda t: F.array(*(tag(t, n) for n in ("data-product-api", "data-product-json", "data-json-url", "data-api-url")))))
-    heads = F.filter(F.regexp_extract_all("html", F.lit(r"(?is)<link\b[^>]*>"), 0), lambda t: t.rlike(r"""(?is)\srel=["'](?:[^"']*\s)?alternate[\s"']""") & t.rlike(r"""(?is)\stype=["'][^"']*(?:application|text)/(?:[a-z0-9.+-]*\+)?json"""))
-    found = F.filter(F.concat(own, F.transform(heads, lambda t: tag(t, "href"))), lambda x: x["href"] != "")
-    rows = pages.select("page_id", "ean", host(F.col("url")).alias("page_host"), F.regexp_extract("url", r"^(https?://[^/?#]+)", 1).alias("root"), F.explode(found).alias("t"))
-    kind, href = F.col("t.kind"), F.replace(F.col("t.href"), F.lit("&amp;"), F.lit("&"))
-    rows = rows.withColumn("link", without_fragment(F.when(href.startswith("/"), F.concat("root", href)).otherwise(href)))
-    open_ = ~F.col("link").rlike(r"(?i)/(account|admin|auth|checkout|login|oauth|session)(/|$|\?)") & ~F.col("link").rlike(r"(?i)[?&][^=&]*(token|secret|auth|signature|session|password|passcode|api[_-]?key|access[_-]?key|jwt)[^=&]*=")
-    base = F.when(kind == "href", 12).when(kind.contains("product"), 11).when(kind.contains("json"), 9).otherwise(8)
-    score = base + F.when(F.col("link").rlike(r"(?i)/api/|\.json(/|$)|product|catalog|item|search"), 3).otherwise(0) + F.when(F.contains("link", "ean"), 8).otherwise(0)
-    ok = rows.where((host(F.col("link")) == F.col("page_host")) & open_).groupBy("page_id", "link").agg(F.max(score).alias("score"))
-    w = Window.partitionBy("page_id").orderBy(F.desc("score"), "link")
+    """page_id, link, score: the likeliest data addresses of a page in its own store's family of hosts, JSON alternates first; account paths, credentials and token-bearing addresses don't count.
+
+    Of equal scores the first on the page stays. pages has ean; give it shown
+    html (`links.shown`) to leave out hidden elements.
+    """
+    found = pages.select("page_id", "url", "ean", spans(F.col("html"), r"^link\b|\sdata-(?:product-api|product-json|json-url|api-url)\b").alias("e"))
+    entry = lambda href, score: F.struct(href.alias("href"), F.lit(score).alias("base"))
+    alternate = F.filter("e", lambda e: (e["name"] == "link") & e["attributes"]["rel"].rlike(r"(?i)(^|\s)alternate(\s|$)") & e["attributes"]["type"].rlike(r"(?i)(?:application|text)/(?:[a-z0-9.+-]*\+)?json"))
+    own = F.flatten(F.transform("e", lambda e: F.array(*(entry(e["attributes"][name], score) for name, score in DATA_ATTRIBUTES.items()))))
+    named = F.filter(F.concat(F.transform(alternate, lambda e: entry(e["attributes"]["href"], DATA_ALTERNATE)), own), lambda x: F.coalesce(x["href"], F.lit("")) != "")
+    rows = found.select("page_id", "ean", "url", F.posexplode(named).alias("place", "x")).withColumn("link", resolve_url(decoded(F.col("x.href")), F.col("url")))
+    open_ = ~F.col("link").rlike("^https?://[^/?#]*@") & ~F.col("link").rlike(PRIVATE_PATH) & ~F.col("link").rlike(PRIVATE_KEY)
+    after = F.regexp_extract("link", r"^https?://[^/?#]*(.*)$", 1)
+    score = F.col("x.base") + F.when(after.rlike(r"(?i)/api/|\.json(/|$)|product|catalog|item|search"), 3).otherwise(0) + F.when(F.contains(after, "ean"), 8).otherwise(0)
+    ok = rows.where(same_store(host(F.col("link")), host(F.col("url"))) & open_).groupBy("page_id", "link").agg(F.max(score).alias("score"), F.min("place").alias("place"))
+    w = Window.partitionBy("page_id").orderBy(F.desc("score"), "place", "link")
     return ok.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("page_id", "link", "score")
 
 
+# Controls that take no query, names of controls that do, and words that speak of searching.
+NO_QUERY = ("hidden", "submit", "button", "checkbox", "radio")
+QUERY_NAMES, QUERY_WORDS, SEARCH_FORM, TOKENS = "^(q|s|query|search|search_query|searchquery|keyword|keywords|term|text)$", "search|find|keyword|product", "(?i)search|find", "(?i)csrf|token|nonce|session"
+FORM_LEAST = 8
+
+
 def search_forms(pages: DataFrame, most: int = 2) -> DataFrame:
     """page_id, place, action, field, hidden: the likeliest search forms of each page.
 
-    A form is sent by GET to the page's own host. Its best text control scores
-    10 for the type search, 8 for a name such as q, query or search, and 4 for a
-    label that speaks of searching; under 8 it is no search form. Hidden fields
-    come as name=value, comma-joined, but for tokens.
+    A form is sent by GET to the page's own store's family of hosts. A control scores
+    20 for the type search, 14 for a name such as q, query or search, and 8 if its name, id,
+    placeholder or label speaks of searching; the first of the best is taken, and under 8 it is
+    no search form. A form's own role, class or id that speaks of searching adds
+    8 to its place among the page's forms. Hidden fields come as name=value, comma-joined, but for tokens.
     """
-    forms = F.regexp_extract_all("html", F.lit(r"(?is)<form\b[^>]*>.*?</form>"), 0)
-    attr = lambda c, name: F.regexp_extract(c, rf"(?is)\s{name}\s*=\s*[\"']([^\"']*)", 1)
-    rows = pages.select("page_id", host(F.col("url")).alias("page_host"), F.regexp_extract("url", r"^(https?://[^/?#]+)", 1).alias("root"), F.posexplode(forms).alias("place", "form"))
-    head = F.regexp_extract("form", "(?is)^<form[^>]*>", 0)
-    rows = rows.withColumn("method", F.lower(attr(head, "method"))).withColumn("action", attr(head, "action")).where("method IN ('', 'get')")
-    rows = rows.withColumn("action", F.when(F.col("action").rlike("(?i)^https?://"), F.col("action")).when(F.col("action").startswith("/"), F.concat("root", "action")).otherwise(F.concat("root", F.lit("/"), "action")))
-    rows = rows.where(host(F.col("action")) == F.col("page_host")).withColumn("inputs", F.regexp_extract_all("form", F.lit(r"(?is)<input\b[^>]*>"), 0))
-
-    def control(tag: Column) -> Column:
-        name, kind, label = F.lower(attr(tag, "name")), F.lower(attr(tag, "type")), F.lower(F.concat(attr(tag, "placeholder"), F.lit(" "), attr(tag, "aria-label")))
-        score = F.when(kind == "search", 10).otherwise(0) + F.when(name.rlike("^(q|s|query|search|keyword|keywords|term|isci)$"), 8).otherwise(0) + F.when(label.rlike("search|iskanje|suche|buscar|recherche"), 4).otherwise(0)
-        return F.when((name != "") & kind.isin("", "text", "search"), F.struct(score.alias("score"), attr(tag, "name").alias("name")))
-
-    best = F.aggregate(F.transform("inputs", control), F.lit(None).cast("struct<score:int,name:string>"), lambda a, c: F.when(c.isNotNull() & (a.isNull() | (c["score"] > a["score"])), c).otherwise(a))
-    kept = F.filter("inputs", lambda t: (F.lower(attr(t, "type")) == "hidden") & (attr(t, "name") != "") & ~F.lower(attr(t, "name")).rlike("csrf|token|nonce|session"))
-    hidden = F.array_join(F.transform(kept, lambda t: F.concat(attr(t, "name"), F.lit("="), attr(t, "value"))), ",")
-    found = rows.select("page_id", "place", "action", best.alias("best"), hidden.alias("hidden")).where("best.score >= 8")
-    w = Window.partitionBy("page_id").orderBy(F.desc("best.score"), "place")
-    return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("page_id", "place", "action", F.col("best.name").alias("field"), "hidden")
-
-
-def selected_text(html: Column, selector: Column) -> Column:
-    """The text of the first element that a selector names (a tag, #id, .class or [attr=value]), empty where none is."""
-    quote = lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))
-    attribute, value = (F.regexp_extract(selector, r"^\[([\w-]+)=[\"']?([^\"'\]]*)", k) for k in (1, 2))
-    inside = (
-        F.when(selector.startswith("#"), F.concat(F.lit("[a-z]\\w*\\b[^>]*\\sid=[\"']"), quote(F.substr(selector, F.lit(2))), F.lit("[\"']")))
-        .when(selector.startswith("."), F.concat(F.lit("[a-z]\\w*\\b[^>]*\\sclass=[\"'](?:[^\"']*\\s)?"), quote(F.substr(selector, F.lit(2))), F.lit("(?:\\s[^\"']*)?[\"']")))
-        .when(selector.startswith("["), F.concat(F.lit("[a-z]\\w*\\b[^>]*\\s"), quote(attribute), F.lit("=[\"']"), quote(value), F.lit("[\"']")))
-        .otherwise(F.concat(quote(selector), F.lit("\\b")))
-    )
-    return F.call_function("regexp_extract", html, F.concat(F.lit("(?is)<"), inside, F.lit("[^>]*>([^<]{1,200})<")), F.lit(1))
+    found = pages.select("page_id", "url", spans(F.col("html"), r"^(?:form|input)\b").alias("e"))
+    closed = F.filter("e", lambda e: (e["name"] == "form") & (e["close"] >= 0))
+    outer = F.filter(closed, lambda e: ~F.exists(closed, lambda o: (o["start"] < e["start"]) & (e["start"] < o["end"])))
+    attr = lambda e, name: F.coalesce(e["attributes"][name], F.lit(""))
+    rows = found.select("page_id", "url", "e", F.posexplode(outer).alias("place", "form")).where(F.lower(attr(F.col("form"), "method")).isin("", "get"))
+    path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    rows = rows.withColumn("action", resolve_url(F.coalesce(F.nullif(decoded(attr(F.col("form"), "action")), F.lit("")), F.nullif(path, F.lit("")), F.lit("/")), F.col("url")))
+    rows = rows.where(same_store(host(F.col("action")), host(F.col("url"))))
+    inputs = F.filter("e", lambda e: (e["name"] == "input") & (e["start"] >= F.col("form.inner")) & (e["start"] < F.col("form.close")))
+
+    def control(e: Column) -> Column:
+        kind, name = F.lower(attr(e, "type")), F.lower(attr(e, "name"))
+        says = F.lower(F.concat_ws(" ", attr(e, "name"), attr(e, "id"), attr(e, "placeholder"), attr(e, "aria-label")))
+        score = F.when(kind == "search", 20).otherwise(0) + F.when(name.rlike(QUERY_NAMES), 14).otherwise(0) + F.when(says.rlike(QUERY_WORDS), 8).otherwise(0)
+        return F.when((name != "") & ~kind.isin(*NO_QUERY), F.struct(score.alias("score"), decoded(attr(e, "name")).alias("name")))
+
+    best = F.aggregate(F.transform(inputs, control), F.lit(None).cast("struct<score:int,name:string>"), lambda a, c: F.when(c.isNotNull() & (a.isNull() | (c["score"] > a["score"])), c).otherwise(a))
+    kept = F.filter(inputs, lambda e: (F.lower(attr(e, "type")) == "hidden") & (attr(e, "name") != "") & (attr(e, "value") != "") & ~attr(e, "name").rlike(TOKENS))
+    hidden = F.array_join(F.transform(kept, lambda e: F.concat(decoded(attr(e, "name")), F.lit("="), decoded(attr(e, "value")))), ",")
+    says = F.concat_ws(" ", *(attr(F.col("form"), name) for name in ("role", "class", "id")))
+    made = rows.select("page_id", "place", "action", best.alias("best"), hidden.alias("hidden"), F.when(says.rlike(SEARCH_FORM), 8).otherwise(0).alias("bonus")).where(F.col("best.score") >= FORM_LEAST)
+    w = Window.partitionBy("page_id").orderBy(F.desc(F.col("best.score") + F.col("bonus")), "place")
+    return made.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("page_id", "place", "action", F.col("best.name").alias("field"), "hidden")
 
 
 def profile_fields(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -263,9 +308,10 @@ def profile_prices(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     """
     rules = profiles.where("price_selector IS NOT NULL").select("host", "price_selector")
     rows = pairs.withColumn("host", host(F.col("url"))).join(rules, "host")
-    text = selected_text(F.col("html"), F.col("price_selector"))
+    rows = rows.withColumn("text", selected_text(F.col("html"), F.col("price_selector"))).select("page_id", "exact_ean", "name_score", "text")
+    text = F.col("text")
     score = 210 + F.when(F.col("exact_ean"), F.lit(80.0)).otherwise(F.col("name_score") * 40)
-    out = rows.select("page_id", price_cents(text).alias("price_cents"), normalize_currency(detect_currency(text)).alias("currency"), score.alias("score"), F.lit("profile-selector").alias("source"))
+    out = rows.select("page_id", price_cents(text).alias("price_cents"), once(text, lambda t: normalize_currency(detect_currency(t))).alias("currency"), score.alias("score"), F.lit("profile-selector").alias("source"))
     return out.where("price_cents IS NOT NULL")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.functions import scalars as S
@@ -250,3 +250,114 @@ def _(products: DataFrame) -> DataFrame:
 def _(products: DataFrame) -> DataFrame:
     html = f"""'<link rel="canonical" href="/canonical"><a href="/p/' || ean || '">buy</a><a href="/about">us</a>' || {_NESTED.format('ean')}"""
     return links.likely_links(products.selectExpr("id AS page_id", "website_url AS url", f"{html} AS html", "ean", "'Zz' AS name")).drop("n")
+
+
+# One price in twelve markups: (html, cents or none for the product's own price, currency, base score, source). P is the price.
+_MARKUPS = (
+    ('<span class="wasabi-price">P EUR</span>', None, "EUR", 62, "product-element"),
+    ('<meta property="product:price:currency" content="EUR"><p itemprop="price">P</p>', None, "EUR", 104, "product-element"),
+    ('<li class="product-price">P EUR</li>', None, "EUR", 62, "product-element"),
+    ('<span class="price"><b>9</b>.99 €</span>', 900, "EUR", 62, "product-element"),
+    ('<meta property="product:price:amount" content="P"><meta property="og:price:currency" content="chf">', None, "CHF", 115, "product-meta"),
+    ('<meta content="P" name="sale_price"><b class="cost">1.00 EUR</b>', None, "EUR", 142, "product-meta"),
+    ('<meta name="twitter:data1" content="P EUR"><div class="was-price">3.00 EUR</div>', None, "EUR", 82, "product-meta"),
+    ('<input data-product-price="P" name="x"> EUR', None, "EUR", 100, "product-meta"),
+    ("<link value='P' itemprop='price'> £", None, "GBP", 110, "product-meta"),
+    ('<div class="old price">1.00 EUR</div><td id="total-cost">P EUR</td><b class="price">2.00 EUR <del>x</del></b>', None, "EUR", 62, "product-element"),
+    ('<div class="price-box"><i></i><span class="price-now">P EUR</span></div>', None, "EUR", 62, "product-element"),
+    ('<strong data-testid="price_current">&#80;rice: P&nbsp;&#8364;</strong>', None, "EUR", 100, "product-element"),
+)
+
+
+def _by_kind(values, key: str = "product_id") -> str:
+    said = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {k} THEN {said(v)}" for k, v in enumerate(values)) + " END"
+
+
+def _with_price(htmls) -> Column:
+    kind = F.get(F.array(*map(F.lit, htmls)), (F.col("product_id") % len(htmls)).cast("int"))
+    return F.replace(kind, F.lit("P"), F.expr("format_string('%.2f', own_price_cents / 100)"))
+
+
+@query(
+    "pages_price_markups",
+    "products",
+    f"SELECT id AS page_id, coalesce({_by_kind([m[1] for m in _MARKUPS])}, own_price_cents) AS price_cents, {_by_kind([m[2] for m in _MARKUPS])} AS currency, {_by_kind([m[3] for m in _MARKUPS])} AS score, {_by_kind([m[4] for m in _MARKUPS])} AS source FROM products",
+)
+def _(products: DataFrame) -> DataFrame:
+    return pages.best_price(_spread(products).select(F.col("id").alias("page_id"), _with_price([m[0] for m in _MARKUPS]).alias("html")))
+
+
+# (selector of a host's profile, html, whether it names a price)
+_SELECTED = (
+    ("b.now-price", '<i class="now-price">1.00</i><b class="x now-price">P EUR</b>', True),
+    ("span[itemprop=price]", '<span itemprop="name">2</span><span itemprop="price"><b>P</b> <i>EUR</i></span>', True),
+    ("div[data-testid=buy-price]", "<div data-testid='old'>3 EUR</div><div data-testid='buy-price'>P EUR</div>", True),
+    ('meta[itemprop="price"]', '<meta itemprop="price" content="P EUR">', True),
+    ("#deal", '<u id=deal>P EUR</u><u id="deal">4 EUR</u>', True),
+    ("[data-price]", "<td data-price>P&nbsp;EUR</td>", True),
+    ("p > b", "<p><b>5.00 EUR</b></p>", False),
+    ("[href=x]", '<a href="x">6.00 EUR</a>', False),
+)
+
+
+@query("pages_selector_markups", "products", f"SELECT id AS page_id, own_price_cents AS price_cents, 'EUR' AS currency, 230.0 AS score, 'profile-selector' AS source FROM products WHERE {_by_kind([int(s[2]) for s in _SELECTED])} = 1")
+def _(products: DataFrame) -> DataFrame:
+    url = F.concat(F.lit("https://kind-"), (F.col("product_id") % len(_SELECTED)).cast("string"), F.lit(".example/"))
+    made = _spread(products).select(F.col("id").alias("page_id"), url.alias("url"), _with_price([s[1] for s in _SELECTED]).alias("html"), F.lit(False).alias("exact_ean"), F.lit(0.5).alias("name_score"))
+    rules = F.get(F.array(*(F.lit(s[0]) for s in _SELECTED)), F.col("kind"))
+    profiles = products.select((F.col("product_id") % len(_SELECTED)).cast("int").alias("kind")).distinct().select(F.expr("'kind-' || kind || '.example'").alias("host"), rules.alias("price_selector"))
+    return pages.profile_prices(made, profiles)
+
+
+# (html of a page in the folder /shop/, place, action behind the host's name, field, hidden); a null place: no search form.
+_FORMS = (
+    ("<form action=/find><input type=text name=search_query></form>", 0, "/find", "search_query", ""),
+    ('<form><input name=k placeholder="Search products"></form>', 0, "/shop/", "k", ""),
+    ('<form action="?x=1"><input type=tel name=q><input type=hidden name=a value=b><input type="hidden" name="nonce" value="c"></form>', 0, "/shop/?x=1", "q", "a=b"),
+    ('<form action="//search.HOST/go/./to"><input type="search" name="find"></form>', 0, None, "find", ""),
+    ('<form action="/a"><input name="isci"></form><form method=POST><input name=q></form>', None, None, None, None),
+    ('<form action="/news"><input name="text"></form><form class="site-search" action="../s"><input name=term></form>', 1, "/s", "term", ""),
+    ('<form action="https://other.example/"><input name=q></form><form action="mailto:x@HOST"><input name=q></form>', None, None, None, None),
+)
+
+
+@query(
+    "pages_form_markups",
+    "products",
+    f"""SELECT id AS page_id, {_by_kind([f[1] for f in _FORMS])} AS place, CASE WHEN product_id % 7 = 3 THEN 'https://search.' || host || '/go/to' ELSE 'https://' || host || {_by_kind([f[2] for f in _FORMS])} END AS action, {_by_kind([f[3] for f in _FORMS])} AS field, {_by_kind([f[4] for f in _FORMS])} AS hidden
+    FROM products WHERE {_by_kind([f[1] for f in _FORMS])} IS NOT NULL""",
+)
+def _(products: DataFrame) -> DataFrame:
+    kind = F.get(F.array(*(F.lit(f[0]) for f in _FORMS)), (F.col("product_id") % len(_FORMS)).cast("int"))
+    made = _spread(products).select(F.col("id").alias("page_id"), F.expr("'https://' || host || '/shop/#top'").alias("url"), F.replace(kind, F.lit("HOST"), F.col("host")).alias("html"))
+    return pages.search_forms(made, 1)
+
+
+# (reference, address behind the host's name) on a page https://HOST/a/b/?q=1; null: no address of the web.
+_REFERENCES = (("c", "/a/b/c"), ("../c", "/a/c"), ("./../../../c/.", "/c/"), ("/d?e#f", "/d?e"), ("?e", "/a/b/?e"), ("", "/a/b/?q=1"), ("#f", "/a/b/?q=1"), ("c d", "/a/b/c%20d"), ("mailto:x", None), ("//:0", None), ("HTTPS://HOST:443", "/"), ("..", "/a/"), ("/g/./h/../i", "/g/i"))
+
+
+@query("pages_url_resolution", "products", f"SELECT id, 'https://' || host || {_by_kind([r[1] for r in _REFERENCES])} AS link FROM products")
+def _(products: DataFrame) -> DataFrame:
+    kind = F.get(F.array(*(F.lit(r[0]) for r in _REFERENCES)), (F.col("product_id") % len(_REFERENCES)).cast("int"))
+    return products.select("id", S.resolve_url(F.replace(kind, F.lit("HOST"), F.col("host")), F.expr("'https://' || host || '/a/b/?q=1'")).alias("link"))
+
+
+# Addresses of data and links: in the family of the store's hosts, relative, with credentials, tokens or account paths. The page is https://HOST/a/b.
+_FAMILY_HTML = """'<link rel="canonical" href="https://m.' || host || '/item/' || ean || '"><link rel=alternate type="application/ld+json" href="item.json"><div data-product-api="https://api.' || host || '/v1/' || ean || '?x=1&amp;y=2#z" data-json-url="/account/data.json"></div>
+    <b data-api-url=list data-product-json="https://u:p@' || host || '/x"></b><i data-api-url="/q?access_token=1"></i><a href="c/' || ean || '">buy</a><a href="https://www.' || host || '/p/' || ean || '">buy</a><a href="https://other.example/' || ean || '">x</a><a href="mailto:' || ean || '">m</a>'"""
+
+
+def _family(products: DataFrame) -> DataFrame:
+    return _spread(products).selectExpr("id AS page_id", "'https://' || host || '/a/b' AS url", f"{_FAMILY_HTML} AS html", "ean", "'Zz' AS name")
+
+
+@query("pages_family_data_urls", "products", "SELECT id AS page_id, unnest(['https://' || host || '/a/item.json', 'https://api.' || host || '/v1/' || ean || '?x=1&y=2', 'https://' || host || '/a/list']) AS link, unnest([15, 19, 8]) AS score FROM products")
+def _(products: DataFrame) -> DataFrame:
+    return pages.public_data_urls(_family(products))
+
+
+@query("pages_family_links", "products", "SELECT id AS page_id, unnest(['https://m.' || host || '/item/' || ean, 'https://www.' || host || '/p/' || ean, 'https://' || host || '/a/c/' || ean]) AS link, unnest([30, 24, 20]) AS score, unnest([1, 2, 3]) AS n FROM products")
+def _(products: DataFrame) -> DataFrame:
+    return links.likely_links(_family(products))

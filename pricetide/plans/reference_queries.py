@@ -741,7 +741,7 @@ def _(pages_: DataFrame) -> DataFrame:
     return pages.links(pages_)
 
 
-@query("pages_best_price", "products", "SELECT id AS page_id, own_price_cents AS price_cents, 'EUR' AS currency, 98 AS score, 'product-element' AS source FROM products")
+@query("pages_best_price", "products", "SELECT id AS page_id, own_price_cents AS price_cents, 'EUR' AS currency, 100 AS score, 'product-element' AS source FROM products")
 def _(products: DataFrame) -> DataFrame:
     price = F.expr("format_number(own_price_cents / 100, '#,##0.00')")
     parts = [F.lit('<div class="shipping price">4.99 EUR</div><span class="old-price">99,999.00 EUR</span><span class="price price-current">'), price, F.lit(" EUR</span><del class='price'>77,777.00 EUR</del>")]

@@ -169,11 +169,11 @@ def _planted(pages_: DataFrame) -> DataFrame:
     data = f"""CASE WHEN page_id % 2 = 0 THEN '<script type="application/ld+json">{{"@type":"Product","name":"Zyxring Model ' || page_id || '","gtin13":"' || {_CODE} || '","offers":{{"price":"' || page_id || '.50","priceCurrency":"EUR","availability":"InStock"}}}}</script>' ELSE '' END"""
     form = """'<form action="/find"><input type="hidden" name="lang" value="en"><input type="search" name="q"></form>'"""
     rest = f"""'<p>Here ends the text of the page, and what follows is a planted offer.</p><p>EAN ' || {_CODE} || '</p><p>Our price: ' || (page_id + 3) || ',75 EUR</p><span class="price-now">' || (page_id + 1) || '.25 EUR</span><i id="cost">' || (page_id + 2) || '.00 EUR</i><div data-product-api="/api/' || page_id || '"></div><a href="/p/' || {_CODE} || '">buy</a><div style="opacity:0"><a href="/trap/' || page_id || '">x</a></div>'"""
-    html = f"replace(html, '</body>', {data} || {form} || {rest} || '</body>')"
-    return pages_.where("html LIKE '%</body>%'").selectExpr("page_id", "url", f"{html} AS html", f"{_CODE} AS ean", "'Zyxring Model ' || page_id AS name")
+    html = f"CASE WHEN html LIKE '%</body>%' THEN replace(html, '</body>', {data} || {form} || {rest} || '</body>') ELSE html || {data} || {form} || {rest} END"
+    return pages_.selectExpr("page_id", "url", f"{html} AS html", f"{_CODE} AS ean", "'Zyxring Model ' || page_id AS name")
 
 
-_WHOLE = "FROM pages WHERE html LIKE '%</body>%'"
+_WHOLE = "FROM pages WHERE page_id IS NOT NULL"
 _ROOT = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
 
 
@@ -187,7 +187,7 @@ def _(pages_: DataFrame) -> DataFrame:
     return offers.structured_candidates(_planted(pages_).where("page_id > 0")).select("page_id", "ean", "price_cents", "currency", "in_stock", "exact_ean", "name_score", "score")
 
 
-@pages_query("real_best_price", f"SELECT page_id, (page_id + 1) * 100 + 25 AS price_cents, 'EUR' AS currency, 98 AS score, 'product-element' AS source {_WHOLE}")
+@pages_query("real_best_price", f"SELECT page_id, (page_id + 1) * 100 + 25 AS price_cents, 'EUR' AS currency, 100 AS score, 'product-element' AS source {_WHOLE}")
 def _(pages_: DataFrame) -> DataFrame:
     return pages.best_price(_planted(pages_))
 
@@ -203,10 +203,10 @@ def _(pages_: DataFrame) -> DataFrame:
     return pages.profile_prices(_planted(pages_).selectExpr("page_id", "url", "html", "true AS exact_ean", "0.0D AS name_score"), rules)
 
 
-@pages_query("real_profile_fields", f"SELECT page_id, 'buy' AS product_text, true AS ean_match {_WHOLE}")
+@pages_query("real_profile_fields", f"SELECT page_id, 'bu y' AS product_text, true AS ean_match {_WHOLE}")
 def _(pages_: DataFrame) -> DataFrame:
-    rules = pages_.select(S.host(F.col("url")).alias("host")).distinct().selectExpr("host", "'[href=\"/p/x\"]' AS product_selector", "'[data-code=\"x\"]' AS ean_selector")
-    made = _planted(pages_).selectExpr("page_id", "url", f"replace(html, '</body>', '<a href=\"/p/x\">buy</a><b data-code=\"x\">GTIN ' || {_CODE} || '</b></body>') AS html", "ean")
+    rules = pages_.select(S.host(F.col("url")).alias("host")).distinct().selectExpr("host", "'a[data-testid=buy]' AS product_selector", "'[data-code=\"x\"]' AS ean_selector")
+    made = _planted(pages_).selectExpr("page_id", "url", f"html || '<a data-testid=\"buy\"><i>bu</i>y</a><b data-code=\"x\">GTIN ' || {_CODE} || '</b>' AS html", "ean")
     return pages.profile_fields(made, rules)
 
 
@@ -400,7 +400,7 @@ def _(pages_: DataFrame) -> DataFrame:
 
 @pages_query("crawl_profile_repairs", f"SELECT page_id, NOT contains(lower(html), '<article>') AS drifted, 'shopware' AS platform, '#price-' || page_id || ',.ean' AS suggestions {_WHOLE}")
 def _(pages_: DataFrame) -> DataFrame:
-    made = pages_.where("html LIKE '%</body>%'").selectExpr("page_id", "url", """replace(html, '</body>', '<b id="price-' || page_id || '">1</b><b class="ean">2</b><b class="old-price">3</b><i data-shopware="1"></i></body>') AS html""")
+    made = pages_.selectExpr("page_id", "url", """html || '<b id="price-' || page_id || '">1</b><b class="ean">2</b><b class="old-price">3</b><i data-shopware="1"></i>' AS html""")
     rules = pages_.select(S.host(F.col("url")).alias("host")).distinct().selectExpr("'p-' || host AS id", "host", "'<ARTICLE>' AS signature", "CAST(NULL AS STRING) AS product_selector", "CAST(NULL AS STRING) AS ean_selector", "'.old-price' AS price_selector")
     return crawl.profile_drift(made, rules).drop("profile_id")
 
