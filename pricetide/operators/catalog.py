@@ -61,15 +61,31 @@ def inventory(websites: DataFrame, products: DataFrame) -> DataFrame:
     return urls.select(host(F.col("url")).alias("host")).where(is_public_host(F.col("host"))).distinct()
 
 
+# Bounds of a product's fields.
+NAME_CHARS, SKU_CHARS, NOTES_CHARS, MOST_CENTS, MOST_BPS = (2, 180), 80, 500, 1_000_000_000, 10_000
+
+
 def validate(products: DataFrame) -> DataFrame:
-    """Each product with its errors, comma-joined; valid ones have none."""
+    """Each product with its errors, comma-joined; valid ones have none. sku, notes and alert_target_price_cents may be absent.
+
+    A website's address is http or https, without credentials, on a standard
+    port, and of a public host.
+    """
+    has = lambda c: F.col(c) if c in products.columns else F.lit(None)
+    wrong = lambda c, fits: F.coalesce(~fits, F.lit(False)) & c.isNotNull()
+    amount = lambda c: wrong(has(c), has(c).between(0, MOST_CENTS))
+    url = F.trim("website_url")
+    open_ = url.rlike(r"(?i)^https?://[^/?#@]+([/?#]|$)") & ~url.rlike(r"^[^/]*//[^/?#]*:(?!(80|443)([/?#]|$))[^/?#]*([/?#]|$)")
     errors = F.array_compact(
         F.array(
-            F.when(F.coalesce(F.length(F.trim("name")), F.lit(0)) < 2, "name"),
-            F.when(~valid_gtin(digits(F.col("ean"))), "ean"),
-            F.when(F.col("own_price_cents") < 0, "own_price"),
-            F.when(~F.coalesce(F.col("alert_drop_percent_bps").between(1, 10_000), F.lit(True)), "alert_drop_percent"),
-            F.when(~is_public_host(host(F.col("website_url"))), "website"),
+            F.when(~F.coalesce(F.length(F.trim("name")).between(*NAME_CHARS), F.lit(False)), "name"),
+            F.when(~F.coalesce(valid_gtin(digits(F.col("ean"))), F.lit(False)), "ean"),
+            F.when(wrong(has("sku"), F.length(F.trim(has("sku"))) <= SKU_CHARS), "sku"),
+            F.when(wrong(has("notes"), F.length(F.trim(has("notes"))) <= NOTES_CHARS), "notes"),
+            F.when(amount("own_price_cents"), "own_price"),
+            F.when(amount("alert_target_price_cents"), "alert_target_price"),
+            F.when(~F.coalesce(F.col("alert_drop_percent_bps").between(1, MOST_BPS), F.lit(True)), "alert_drop_percent"),
+            F.when(~F.coalesce(open_ & is_public_host(host(url)), F.lit(False)), "website"),
         )
     )
     return products.select("id", F.array_join(errors, ",").alias("errors"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricetide.functions.scalars import host, without_fragment
+from pricetide.functions.scalars import host, resolve_url, without_fragment
+from pricetide.operators.elements import decoded
 
 # Sites that sell nothing themselves.
 NON_STORES = r"(^|\.)(google|bing|yahoo|duckduckgo|facebook|instagram|youtube|tiktok|pinterest|twitter|x|linkedin|reddit|wikipedia|wikidata)\.[a-z.]+$"
@@ -70,10 +71,16 @@ def robots_sitemaps(docs: DataFrame) -> DataFrame:
 
 
 def sitemap_locations(docs: DataFrame) -> DataFrame:
-    """host, url, lastmod of sitemap documents: same host, no query, fragment or port, the first of equals. docs has host and xml."""
-    blocks = docs.select("host", F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?is)<url>(.*?)</url>"), 1)).alias("at", "b"))
-    rows = blocks.select("host", "at", F.trim(F.regexp_extract("b", r"(?is)<loc>\s*(.*?)\s*</loc>", 1)).alias("url"), F.nullif(F.regexp_extract("b", r"(?is)<lastmod>\s*(.*?)\s*</lastmod>", 1), F.lit("")).alias("lastmod"))
-    fit = (host(F.col("url")) == F.col("host")) & ~F.col("url").rlike(r"[?#]|://[^/]*:[0-9]")
+    """host, url, lastmod of sitemap documents and indexes, the first of equals. docs has host and xml.
+
+    Entries are url or sitemap tags, with attributes or not. Addresses are decoded and
+    resolved against the host; they stay on it (www. aside), without credentials, port, query and fragment.
+    """
+    blocks = docs.select("host", F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?is)<(?:url|sitemap)\b[^>]*>(.*?)</(?:url|sitemap)>"), 1)).alias("at", "b"))
+    inside = lambda tag: F.nullif(F.trim(F.regexp_replace(F.regexp_extract("b", rf"(?is)<{tag}\b[^>]*>\s*(.*?)\s*</{tag}>", 1), r"(?s)^<!\[CDATA\[\s*(.*?)\s*\]\]>$", "$1")), F.lit(""))
+    rows = blocks.select("host", "at", decoded(inside("loc")).alias("loc"), inside("lastmod").alias("lastmod"))
+    rows = rows.withColumn("url", resolve_url(F.col("loc"), F.concat(F.lit("https://"), "host", F.lit("/"))))
+    fit = (host(F.col("url")) == F.col("host")) & ~F.col("loc").rlike("[?#]") & ~F.col("url").rlike(r"^[a-z]+://([^/]*@|[^/]*:[0-9])")
     return rows.where(fit).groupBy("host", "url").agg(F.min_by("lastmod", "at").alias("lastmod"))
 
 

@@ -96,9 +96,9 @@ def best_match(matches: DataFrame) -> DataFrame:
 def classify_results(targets: DataFrame, matches: DataFrame, seen: DataFrame) -> DataFrame:
     """id, status, reason_code of each wanted product after its pages were read.
 
-    found by the best match if that is verified. Else, in this order: unavailable
-    or blocked where nothing was read and something was out of reach; under
-    review where the best match bears the code, 0.65 of the name or a product
+    found by the best match if that is verified. Else, in this order: blocked
+    where any page was; under review where nothing was read for known bad pages;
+    unavailable where nothing was read and something was out of reach; under review where the best match bears the code, 0.65 of the name or a product
     node (drift, then what the evidence lacks); under review for a drifted
     profile; blocked by robots rules; under review for known bad pages or ones
     that were too large; not found. matches has id, place, score, ean_match,
@@ -117,8 +117,9 @@ def classify_results(targets: DataFrame, matches: DataFrame, seen: DataFrame) ->
     verdict = lambda status, reason: F.struct(F.lit(status).alias("status"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason_code"))
     said = (
         F.when(F.coalesce("verified", F.lit(False)), verdict("found", "found"))
+        .when(had["blocked"], verdict("blocked", "blocked"))
+        .when(had["known_bad_pattern"] & ~had["read"], verdict("needs_review", "known_bad_pattern"))
         .when(had["unavailable"] & ~had["read"], verdict("unavailable", "network_error"))
-        .when(had["blocked"] & ~had["read"], verdict("blocked", "blocked"))
         .when(likely, verdict("needs_review", lacks))
         .when(had["profile_drift"], verdict("needs_review", "profile_drift"))
         .when(had["robots_disallowed"], verdict("blocked", "robots_disallowed"))
@@ -127,3 +128,65 @@ def classify_results(targets: DataFrame, matches: DataFrame, seen: DataFrame) ->
         .otherwise(verdict("not_found", "not_found"))
     )
     return rows.select("id", said.alias("v")).select("id", "v.*")
+
+
+# Kinds of failures that end a scan of a host, that mean an access challenge, and that put a host out of reach.
+TERMINAL, CHALLENGED, OUT_OF_REACH = ("blocked", "challenge", "rate_limited", "queue_busy"), ("blocked", "challenge"), ("unavailable", "rate_limited")
+#: Kinds of attempts that are no failures of a request.
+NO_FAILURE = ("read", "known_bad_pattern", "robots_disallowed", "profile_drift")
+
+
+def classify_attempts(targets: DataFrame, attempts: DataFrame, matches: DataFrame) -> DataFrame:
+    """id, status, reason_code of each wanted product by its attempts in order and what they found.
+
+    attempts has id, place, profile_id (custom-... for a configured route,
+    sitemap), kind and reason_code. Kinds are read, the skips known_bad_pattern and robots_disallowed, profile_drift, and failures:
+    blocked, challenge, rate_limited, queue_busy, unavailable, timeout,
+    http_client_error, response_too_large, refused (an answer that isn't told apart).
+    A configured route that failed isn't tried again, and a host's
+    terminal failure ends the scan: what comes after them doesn't count.
+
+    The first that holds: a find that is verified; the terminal failure; known
+    bad pages and nothing read; a sitemap's page that failed; an answer that
+    refuses; a configured route that failed and never loaded; a host out of reach
+    and nothing read; a likely page under review; a drifted profile; robots rules; known bad pages; a last
+    failure that was too large; not found. matches are those of `classify_results`.
+    """
+    tried = attempts.withColumn("profile_id", F.coalesce("profile_id", F.lit(""))).withColumn("configured", F.col("profile_id").startswith("custom-")).withColumn("failure", ~F.col("kind").isin(*NO_FAILURE))
+    lost = tried.where(F.col("configured") & F.col("failure") & (F.col("kind") != "http_client_error")).groupBy("id", "profile_id").agg(F.min("place").alias("lost"))
+    tried = tried.join(lost, ["id", "profile_id"], "left").where(F.col("lost").isNull() | (F.col("place") <= F.col("lost")))
+    stops = tried.where((F.col("profile_id") != "sitemap") & F.col("kind").isin(*TERMINAL)).groupBy("id").agg(F.min("place").alias("stop"))
+    tried = tried.join(stops, "id", "left").where(F.col("stop").isNull() | (F.col("place") <= F.col("stop")))
+    told = F.struct("kind", "reason_code")
+    first = lambda which: F.min_by(F.when(which, told), F.when(which, F.col("place")))
+    any_ = lambda which: F.coalesce(F.bool_or(which), F.lit(False))
+    kind = F.col("kind")
+    state = tried.groupBy("id").agg(
+        any_(kind == "read").alias("read"), any_((kind == "known_bad_pattern")).alias("bad"), any_(kind == "robots_disallowed").alias("robots"), any_(kind == "profile_drift").alias("drift"), any_(kind == "refused").alias("refused"),
+        any_(kind.isin(*OUT_OF_REACH)).alias("away"), any_(F.col("configured") & (kind == "read")).alias("loaded"), first(F.col("place") == F.col("stop")).alias("terminal"), first(F.col("failure") & (F.col("profile_id") == "sitemap")).alias("map"),
+        first(F.col("configured") & F.col("failure") & (kind != "http_client_error")).alias("route"), F.max_by(F.when(F.col("failure"), kind), F.when(F.col("failure"), F.col("place"))).alias("last"),
+    )
+    best = best_match(matches).withColumn("verified", is_verified(F.struct("*")))
+    rows = targets.select("id").join(best.drop("profile_id"), "id", "left").join(state, "id", "left")
+    is_ = lambda c: F.coalesce(F.col(c), F.lit(False))
+    verdict = lambda status, reason: F.struct((F.lit(status) if isinstance(status, str) else status).alias("status"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason_code"))
+    by_access = lambda c: verdict(F.when(F.col(f"{c}.kind").isin(*CHALLENGED), "blocked").otherwise("unavailable"), F.col(f"{c}.reason_code"))
+    route = F.col("route.kind")
+    likely = F.coalesce(F.col("ean_match") | (F.col("name_score") >= 0.65) | F.col("structured"), F.lit(False))
+    lacks = F.when(is_("drift"), "profile_drift").when(~F.col("ean_match"), "wrong_product").when(F.col("price_cents").isNull(), "price_missing").otherwise("low_confidence")
+    said = (
+        F.when(is_("verified"), verdict("found", "found"))
+        .when(F.col("terminal").isNotNull(), by_access("terminal"))
+        .when(is_("bad") & ~is_("read"), verdict("needs_review", "known_bad_pattern"))
+        .when(F.col("map").isNotNull(), by_access("map"))
+        .when(is_("refused"), verdict("blocked", "blocked"))
+        .when(F.col("route").isNotNull() & ~is_("loaded"), verdict(F.when(route.isin("timeout", *OUT_OF_REACH), "unavailable").when(route == "response_too_large", "needs_review").otherwise("blocked"), F.when(route.isin("timeout", "response_too_large"), route).otherwise(F.col("route.reason_code"))))
+        .when(is_("away") & ~is_("read"), verdict("unavailable", "network_error"))
+        .when(likely, verdict("needs_review", lacks))
+        .when(is_("drift"), verdict("needs_review", "profile_drift"))
+        .when(is_("robots"), verdict("blocked", "robots_disallowed"))
+        .when(is_("bad"), verdict("needs_review", "known_bad_pattern"))
+        .when(F.col("last") == "response_too_large", verdict("needs_review", "response_too_large"))
+        .otherwise(verdict("not_found", "not_found"))
+    )
+    return rows.select("id", said.alias("v")).select("id", "v.*")

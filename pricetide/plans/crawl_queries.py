@@ -361,3 +361,26 @@ def _(products: DataFrame) -> DataFrame:
 @query("pages_family_links", "products", "SELECT id AS page_id, unnest(['https://m.' || host || '/item/' || ean, 'https://www.' || host || '/p/' || ean, 'https://' || host || '/a/c/' || ean]) AS link, unnest([30, 24, 20]) AS score, unnest([1, 2, 3]) AS n FROM products")
 def _(products: DataFrame) -> DataFrame:
     return links.likely_links(_family(products))
+
+
+# Entries of a sitemap document or index of HOST: (entry, address behind the host's name, lastmod); a null address: none.
+_ENTRIES = (
+    ("<sitemap>\n<loc> https://HOST/products-1.xml </loc><lastmod>2024-02-03</lastmod></sitemap>", "/products-1.xml", "2024-02-03"),
+    ('<url xmlns="x"><loc type="a">/p/a&amp;b</loc></url>', "/p/a&b", None),
+    ("<url><loc><![CDATA[https://www.HOST/p/1]]></loc></url>", "/p/1", None),
+    ("<url><loc>https://m.HOST/p/1</loc></url>", None, None),
+    ("<url><loc>https://HOST/p?q=1</loc></url><url><loc>https://HOST:8080/p</loc></url><url><loc>https://u@HOST/p</loc></url><url><loc>https://HOST/p#x</loc></url><url><loc>ftp://HOST/p</loc></url>", None, None),
+    ("<URL><LOC>HTTPS://HOST:443/a/../b</LOC><lastmod></lastmod></URL><url><loc>https://HOST/b</loc><lastmod>x</lastmod></url>", "/b", None),
+)
+
+
+@query(
+    "policy_sitemap_entries",
+    "products",
+    f"""SELECT host, 'https://' || CASE WHEN k = 2 THEN 'www.' ELSE '' END || host || {_by_kind([e[1] for e in _ENTRIES], 'k')} AS url, {_by_kind([e[2] for e in _ENTRIES], 'k')} AS lastmod
+    FROM (SELECT host, min(product_id) % {len(_ENTRIES)} AS k FROM products GROUP BY host) WHERE {_by_kind([e[1] for e in _ENTRIES], 'k')} IS NOT NULL""",
+)
+def _(products: DataFrame) -> DataFrame:
+    docs = products.groupBy("host").agg(F.min("product_id").alias("k"))
+    xml = F.replace(F.get(F.array(*(F.lit(e[0]) for e in _ENTRIES)), (F.col("k") % len(_ENTRIES)).cast("int")), F.lit("HOST"), F.col("host"))
+    return policy.sitemap_locations(docs.select("host", F.concat(F.lit("<urlset><urlx><loc>/no</loc></urlx>"), xml, F.lit("</urlset>")).alias("xml")))

@@ -308,7 +308,7 @@ _SAW = "CASE store_id % 8 " + " ".join(f"WHEN {k} THEN '{o}'" for k, o in enumer
 @query(
     "pages_classify_results",
     "products",
-    f"""SELECT id, split_part(v, ':', 1) AS status, split_part(v, ':', 2) AS reason_code FROM (SELECT p.id, CASE WHEN {_OK.replace('price_cents', 'm.price_cents')} THEN 'found:found' WHEN saw = 'unavailable' AND NOT read THEN 'unavailable:network_error' WHEN saw = 'blocked' AND NOT read THEN 'blocked:blocked'
+    f"""SELECT id, split_part(v, ':', 1) AS status, split_part(v, ':', 2) AS reason_code FROM (SELECT p.id, CASE WHEN {_OK.replace('price_cents', 'm.price_cents')} THEN 'found:found' WHEN saw = 'blocked' THEN 'blocked:blocked' WHEN saw = 'known_bad_pattern' AND NOT read THEN 'needs_review:known_bad_pattern' WHEN saw = 'unavailable' AND NOT read THEN 'unavailable:network_error'
         WHEN ean_match OR name_score >= 0.65 OR structured THEN 'needs_review:' || CASE WHEN saw = 'profile_drift' THEN 'profile_drift' WHEN NOT ean_match THEN 'wrong_product' WHEN m.price_cents IS NULL THEN 'price_missing' ELSE 'low_confidence' END
         WHEN saw = 'profile_drift' THEN 'needs_review:profile_drift' WHEN saw = 'robots_disallowed' THEN 'blocked:robots_disallowed' WHEN saw IN ('known_bad_pattern', 'response_too_large') THEN 'needs_review:' || saw ELSE 'not_found:not_found' END AS v
     FROM (SELECT id, {_SAW} AS saw, product_id % 2 = 0 OR store_id % 8 = 0 AS read FROM products) p LEFT JOIN ({_BEST}) m ON m.id = p.id)""",
@@ -412,3 +412,39 @@ def _(pages_: DataFrame) -> DataFrame:
 )
 def _(products: DataFrame, snaps: DataFrame) -> DataFrame:
     return compare.price_dropped(products, history.summary_by_currency(snaps))
+
+
+# Scans of products: (attempts in order as profile/kind/reason, what the best match is, status, reason); one for each way out.
+_SCANS = (
+    (("generic/read/", "generic/challenge/captcha", "generic/read/"), "verified", "found", "found"),
+    (("generic/read/", "generic/challenge/captcha", "generic/response_too_large/x"), "likely", "blocked", "captcha"),
+    (("generic/rate_limited/rate_limited", "generic/read/"), "none", "unavailable", "rate_limited"),
+    (("generic/known_bad_pattern/x", "custom-1/timeout/timeout"), "none", "needs_review", "known_bad_pattern"),
+    (("generic/read/", "sitemap/challenge/bot_wall"), "likely", "blocked", "bot_wall"),
+    (("generic/read/", "sitemap/timeout/timeout"), "none", "unavailable", "timeout"),
+    (("generic/refused/x", "generic/read/"), "likely", "blocked", "blocked"),
+    (("custom-1/timeout/timeout", "custom-1/read/", "generic/read/"), "likely", "unavailable", "timeout"),
+    (("custom-1/read/", "custom-2/unavailable/http_server_error"), "likely", "needs_review", "wrong_product"),
+    (("custom-1/unavailable/http_server_error", "generic/read/"), "none", "unavailable", "http_server_error"),
+    (("custom-1/response_too_large/y", "generic/read/"), "none", "needs_review", "response_too_large"),
+    (("custom-1/http_client_error/http_client_error", "generic/read/"), "none", "not_found", "not_found"),
+    (("generic/unavailable/network_error",), "none", "unavailable", "network_error"),
+    (("generic/read/", "generic/profile_drift/x"), "likely", "needs_review", "profile_drift"),
+    (("generic/profile_drift/x", "generic/robots_disallowed/x"), "none", "needs_review", "profile_drift"),
+    (("generic/robots_disallowed/x", "generic/read/", "generic/known_bad_pattern/x"), "none", "blocked", "robots_disallowed"),
+    (("generic/read/", "generic/known_bad_pattern/x", "generic/response_too_large/x"), "none", "needs_review", "known_bad_pattern"),
+    (("generic/read/", "generic/response_too_large/x"), "none", "needs_review", "response_too_large"),
+    (("generic/response_too_large/x", "generic/timeout/timeout"), "none", "not_found", "not_found"),
+    ((), "none", "not_found", "not_found"),
+)
+_EXIT = "CASE product_id % {n} {whens} END"
+
+
+@query("results_classify_attempts", "products", f"SELECT id, split_part(v, ':', 1) AS status, split_part(v, ':', 2) AS reason_code FROM (SELECT id, {_EXIT.format(n=len(_SCANS), whens=' '.join(f"WHEN {k} THEN '{s[2]}:{s[3]}'" for k, s in enumerate(_SCANS)))} AS v FROM products)")
+def _(products: DataFrame) -> DataFrame:
+    kind = (F.col("product_id") % len(_SCANS)).cast("int")
+    scan = F.get(F.array(*(F.array(*map(F.lit, s[0])).cast("array<string>") for s in _SCANS)), kind)
+    attempts = products.select("id", F.posexplode(scan).alias("place", "a")).select("id", "place", *(F.split("a", "/")[k].alias(c) for k, c in enumerate(("profile_id", "kind", "reason_code"))))
+    found = products.select("id", F.get(F.array(*(F.lit(s[1]) for s in _SCANS)), kind).alias("m")).where("m <> 'none'")
+    facts = "id, 1 AS place, 5.0D AS score, m = 'verified' AS ean_match, m = 'verified' AS structured_ean, true AS structured, 0.7D AS name_score, 100L AS price_cents, CAST(NULL AS STRING) AS profile_id, 80 AS overall_confidence, 80 AS source_confidence"
+    return results.classify_attempts(products, attempts, found.selectExpr(*[f.strip() for f in facts.split(",")]))

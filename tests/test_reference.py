@@ -266,7 +266,7 @@ def test_verdicts(spark):
     got = results.classify_results(spark.createDataFrame([(n,) for n in names], "id string"), spark.createDataFrame(rows, kind), spark.createDataFrame(seen, "id string, outcome string"))
     want = {
         "found": "found", "named": "found", "tie": "found", "wrong": "profile_drift", "weak": "low_confidence", "bare": "price_missing", "map": "low_confidence", "far": "not_found", "gone": "network_error", "wall": "blocked",
-        "drift": "profile_drift", "robots": "robots_disallowed", "bad": "known_bad_pattern", "big": "response_too_large", "read": "not_found", "none": "not_found",
+        "drift": "profile_drift", "robots": "robots_disallowed", "bad": "known_bad_pattern", "big": "response_too_large", "read": "blocked", "none": "not_found",
     }
     assert {r["id"]: r["reason_code"] for r in got.collect()} == want
 
