@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from pricetide.plans import crawl_queries, reference_queries, result_queries  # noqa: F401  register on import
+    from pricetide.plans import crawl_queries, profile_queries, reference_queries, result_queries  # noqa: F401  register on import
 
 
 def queries() -> dict[str, Query]:
