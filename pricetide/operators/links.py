@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricetide.functions.scalars import host, resolve_url, same_store, without_fragment
+from pricetide.functions.scalars import host, norm_url, resolve_url, same_store, without_fragment
 from pricetide.operators.elements import decoded
-from pricetide.operators.pages import visible
+from pricetide.operators.pages import ranked_data_urls, visible
+from pricetide.sources.sinks import cut
 
 # Elements without an end tag, and class names that hide.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -117,7 +118,11 @@ def likely_links(pairs: DataFrame, most: int = 8) -> DataFrame:
     and 4 for a product's route or 2 for an offer's; those without a score go.
     Of equal addresses the best score stays. pairs has page_id, url, html, ean, name.
     """
-    page = pairs.select("page_id", "ean", "name", "url", shown(F.col("html")).alias("html"))
+    return _likely(pairs.select("page_id", "ean", "name", "url", shown(F.col("html")).alias("html")), most)
+
+
+def _likely(page: DataFrame, most: int) -> DataFrame:
+    """`likely_links` of pages whose html is what readers see."""
     block = F.regexp_extract_all("html", F.lit(r"""(?is)<(a|article)\b[^>]*?(?:href|data-product-url)=["'][^"']+["'][^>]*>.*?</\1>"""), 0)
     head = F.regexp_extract_all("html", F.lit(r"(?is)<link\b[^>]*>"), 0)
     canonical = F.filter(head, lambda t: t.rlike(r"""(?is)\srel=["'][^"']*canonical"""))
@@ -146,3 +151,56 @@ def link_frontier(pairs: DataFrame, per_page: int = 8, per_target: int = 24) ->
     first = found.groupBy("id", "link").agg(F.min(F.struct("page_id", "n", "score")).alias("f")).select("id", "link", "f.*")
     order = Window.partitionBy("id").orderBy("page_id", "n", "link")
     return first.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= per_target).select("id", "link", "score", "turn")
+
+
+# Pages that a scan reads of a store, addresses that its queue takes, and links and data addresses of one page.
+MOST_PAGES, MOST_QUEUED, PER_PAGE, DATA_PER_PAGE = 8, 24, 8, 3
+
+
+def walk(targets: DataFrame, pages: DataFrame, starts: DataFrame | None = None, most_pages: int = MOST_PAGES, most_queued: int = MOST_QUEUED) -> DataFrame:
+    """id, url, turn: the pages that each wanted product's scan reads of its store, in order, until its queue ends or `most_pages` are read.
+
+    The queue begins with the product's own address, then its `starts` (id,
+    place, url). A page that is read adds its data addresses, then its likely
+    links, unless they were visited before or the queue is full; an address
+    without a page is visited and adds nothing. An address that waits already
+    may be added again and takes its place in the queue, but is read once.
+
+    A round takes all that waits since the one before, for all products at
+    once: a queue's order is that of its levels, so there are at most
+    `most_pages` rounds. Only the html of pages that are read moves, once.
+    targets has id (one row each), url, ean, name; pages url and html, one row
+    an address. Null addresses are no pages; empty tables give none.
+    """
+    page = pages.select(norm_url(F.col("url")).alias("url"), "html")
+    wanted = targets.select("id", "ean", "name")
+    first = targets.select("id", F.lit(0).alias("place"), F.lit(0).alias("later"), norm_url(F.col("url")).alias("url"))
+    if starts is not None:
+        first = first.unionByName(starts.select("id", "place", F.lit(1).alias("later"), norm_url(F.col("url")).alias("url")))
+    own = Window.partitionBy("id")
+    queue = first.withColumn("pos", F.row_number().over(own.orderBy("later", "place", "url")) - 1).withColumn("queued", F.count("*").over(own))
+    queue = cut(queue.select("id", "url", "pos", "queued", F.lit(0).alias("done")))
+    visited, out = None, []
+    for _ in range(most_pages):
+        level = queue.where("url IS NOT NULL").groupBy("id", "url").agg(F.min("pos").alias("pos"), F.max("queued").alias("queued"), F.max("done").alias("done"))
+        level = cut(level if visited is None else level.join(visited, ["id", "url"], "left_anti"))
+        readable = level.join(page.select("url"), "url", "left_semi")
+        read = cut(readable.withColumn("turn", F.col("done") + F.row_number().over(own.orderBy("pos"))).where(F.col("turn") <= most_pages))
+        out.append(read.select("id", "url", "turn"))
+        if read.isEmpty():
+            break
+        now = level.select("id", "url", "pos")
+        visited = now if visited is None else visited.unionByName(now)
+        seen = read.select("id", "url", "pos").join(page, "url").join(wanted, "id").select(F.struct("id", "pos").alias("page_id"), "url", "ean", "name", shown(F.col("html")).alias("html")).persist()
+        kinds = (ranked_data_urls(seen, DATA_PER_PAGE), _likely(seen, PER_PAGE))
+        data, links_ = (found.select("page_id.id", F.col("page_id.pos").alias("at"), F.lit(k).alias("kind"), "n", F.col("link").alias("url")) for k, found in enumerate(kinds))
+        before = visited.select(F.col("id").alias("_id"), F.col("url").alias("_url"), F.col("pos").alias("_pos"))
+        fresh = data.unionByName(links_).join(before, (F.col("id") == F.col("_id")) & (F.col("url") == F.col("_url")) & (F.col("_pos") <= F.col("at")), "left_anti")
+        totals = read.groupBy("id").agg(F.max("queued").alias("before"), F.max("turn").alias("done"))
+        added = fresh.join(totals, "id").withColumn("k", F.row_number().over(own.orderBy("at", "kind", "n"))).where(F.col("before") + F.col("k") <= most_queued)
+        queue = cut(added.select("id", "url", (F.col("before") + F.col("k") - 1).alias("pos"), (F.col("before") + F.count("*").over(own)).alias("queued"), "done"))
+        seen.unpersist()
+    result = out[0]
+    for more in out[1:]:
+        result = result.unionByName(more)
+    return result

@@ -229,7 +229,12 @@ PRIVATE_PATH, PRIVATE_KEY = r"(?i)^https?://[^/]*/(?:.*/)?(account|admin|auth|ch
 
 
 def public_data_urls(pages: DataFrame, most: int = 3) -> DataFrame:
-    """page_id, link, score: the likeliest data addresses of a page in its own store's family of hosts, JSON alternates first; account paths, credentials and token-bearing addresses don't count.
+    """`ranked_data_urls` without the rank."""
+    return ranked_data_urls(pages, most).drop("n")
+
+
+def ranked_data_urls(pages: DataFrame, most: int = 3) -> DataFrame:
+    """page_id, link, score, n: the likeliest data addresses of a page in its own store's family of hosts, JSON alternates first; account paths, credentials and token-bearing addresses don't count.
 
     Of equal scores the first on the page stays. pages has ean; give it shown
     html (`links.shown`) to leave out hidden elements.
@@ -245,7 +250,7 @@ def public_data_urls(pages: DataFrame, most: int = 3) -> DataFrame:
     score = F.col("x.base") + F.when(after.rlike(r"(?i)/api/|\.json(/|$)|product|catalog|item|search"), 3).otherwise(0) + F.when(F.contains(after, "ean"), 8).otherwise(0)
     ok = rows.where(same_store(host(F.col("link")), host(F.col("url"))) & open_).groupBy("page_id", "link").agg(F.max(score).alias("score"), F.min("place").alias("place"))
     w = Window.partitionBy("page_id").orderBy(F.desc("score"), "place", "link")
-    return ok.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("page_id", "link", "score")
+    return ok.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("page_id", "link", "score", "n")
 
 
 # Controls that take no query, names of controls that do, and words that speak of searching.

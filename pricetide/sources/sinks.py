@@ -1,7 +1,9 @@
-"""Writers of exports."""
+"""Writers of exports, and rows kept in the shared checkpoint folder."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,3 +23,18 @@ def export_json(df: DataFrame, resource: str, path: str) -> None:
     df.write.json(f"{path}/rows", mode="overwrite")
     manifest = df.sparkSession.range(1).select(F.lit(1).alias("schemaVersion"), F.lit(resource).alias("resource"), F.current_timestamp().alias("exportedAt"))
     manifest.write.json(f"{path}/manifest", mode="overwrite")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, kept in the folder that spark.checkpoint.dir names: lineage ends here, and a lost executor loses nothing.
+
+    Where none is set, Spark on this machine alone, as in tests, gets a temporary folder; a cluster must name one.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint(eager=True)
