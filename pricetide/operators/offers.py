@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.functions.scalars import confidence, confidence_label, contains_barcode, digits, name_score, normalize_currency, price_cents
+from pricetide.functions.scalars import confidence, confidence_label, contains_barcode, digits, host, name_score, normalize_currency, price_cents
 from pricetide.operators.pages import JSON_DEPTH, context_prices, html_prices, json_nodes, profile_prices, signals, title, visible
+from pricetide.operators.profiles import PATHS, paths
 
 # Keys (in lower case, without marks) that hold identifiers, names and addresses; containers of prices.
 CODES = ("gtin", "gtin8", "gtin12", "gtin13", "gtin14", "ean", "ean8", "ean13", "ean14", "barcode", "productid", "sku", "mpn")
@@ -21,7 +22,9 @@ CURRENT = "current|sale|final|selling"
 #: The last price that counts as one, in cents; entries of an array that are looked at.
 MOST_CENTS, ENTRIES = 100_000_000, 50
 
-_OFFER = "struct<score:int,price_cents:bigint,currency:string,availability:string,url:string,id:string>"
+#: Parts of a path that a profile names.
+MOST_PARTS = 5
+_OFFER = "struct<score:int,price_cents:bigint,currency:string,availability:string,url:string,id:string,said_prices:array<array<string>>,said_currencies:array<array<string>>>"
 _FIELD = "struct<parent:string,key:string,letters:string,raw:string>"
 
 
@@ -40,13 +43,33 @@ def _many(v: Column) -> Column:
     return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
 
 
-def _offer(o: Column) -> Column:
-    """A node's offer fields; a sale or current price counts before the price."""
+def values_at(node: Column, path: Column) -> Column:
+    """The plain values at a dotted path in a variant, in order, lists opened on the way and at the end; a path of no part or more than `MOST_PARTS` has none."""
+    parts = F.filter(F.transform(F.split(path, r"\."), F.trim), lambda p: p != "")
+    inside = lambda v, part: F.filter(F.transform(_many(v), lambda x: F.try_variant_get(x, "$", "map<string,variant>")[part]), lambda x: x.isNotNull())
+    found = F.aggregate(parts, F.array(node), lambda at, part: F.flatten(F.transform(at, lambda v: F.flatten(F.transform(inside(v, part), _many)))))
+    plain = F.filter(F.transform(F.flatten(F.transform(found, _many)), lambda v: _text(v)), lambda t: t.isNotNull())
+    return F.when(F.size(parts).between(1, MOST_PARTS), plain).otherwise(F.array().cast("array<string>"))
+
+
+def _said(node: Column, named: Column | None) -> Column:
+    """The values at each of some paths, an array a path; without paths null."""
+    return F.lit(None).cast("array<array<string>>") if named is None else F.transform(named, lambda p: values_at(node, p))
+
+
+def _first(own: Column, offers: Column, rule) -> Column:
+    """The first value, by path and then the product's before its offer's, of which a rule makes something."""
+    every = F.flatten(F.transform(own, lambda v, k: F.concat(v, F.coalesce(F.get(offers, k), F.array().cast("array<string>")))))
+    return F.get(F.filter(F.transform(every, rule), lambda x: x.isNotNull()), 0)
+
+
+def _offer(o: Column, prices: Column | None = None, currencies: Column | None = None) -> Column:
+    """A node's offer fields; a sale or current price counts before the price. Besides, what stands at a profile's paths."""
     raw = F.coalesce(*(_text(o, f"$.{k}") for k in ("salePrice", "currentPrice", "price", "priceSpecification.price", "lowPrice")))
     cents, stock = price_cents(raw), _text(o, "$.availability")
     score = F.when(cents.isNotNull(), 20).otherwise(0) + F.when(stock.rlike("(?i)instock|preorder|limitedavailability"), 6).otherwise(0) + F.when(_text(o, "$.price").isNotNull(), 4).otherwise(0)
     currency = F.coalesce(_text(o, "$.priceCurrency"), _text(o, "$.priceSpecification.priceCurrency"))
-    return F.struct(score.cast("int").alias("score"), cents.alias("price_cents"), currency.alias("currency"), stock.alias("availability"), _text(o, "$.url").alias("url"), _text(o, "$['@id']").alias("id")).cast(_OFFER)
+    return F.struct(score.cast("int").alias("score"), cents.alias("price_cents"), currency.alias("currency"), stock.alias("availability"), _text(o, "$.url").alias("url"), _text(o, "$['@id']").alias("id"), _said(o, prices), _said(o, currencies)).cast(_OFFER)
 
 
 def _fields(level: Column) -> Column:
@@ -72,7 +95,7 @@ def _generic_price(fields: Column) -> Column:
     return F.array_max(F.filter(made, lambda c: (c["cents"] > 0) & (c["cents"] < MOST_CENTS)))["cents"]
 
 
-def structured_candidates(pairs: DataFrame, depth: int = JSON_DEPTH) -> DataFrame:
+def structured_candidates(pairs: DataFrame, depth: int = JSON_DEPTH, profiles: DataFrame | None = None) -> DataFrame:
     """page_id, path, ean, title, link, price_cents, currency, in_stock, exact_ean, name_score, score: a page's product nodes.
 
     Nodes of a product's type score 260 for the wanted code, 90 times the share
@@ -82,38 +105,54 @@ def structured_candidates(pairs: DataFrame, depth: int = JSON_DEPTH) -> DataFram
     nodes count if they hold the code, or are shaped like a product, and bear
     0.65 of the name: 250, 86 and 22, with the price found down to three
     containers. pairs has one row a page_id: page_id, html, ean, name.
+
+    profiles name fields of typed nodes by host (json_ld_ean_fields,
+    json_ld_price_fields, json_ld_currency_fields: paths by commas or lines, one
+    row a host); pairs then has url. Codes there count besides the ones by known
+    keys; the first value that is a price, of the product or its best offer, or a
+    currency, goes before the offer's own.
     """
-    met = pairs.select("page_id", "ean", "name", "html", contains_barcode(visible(F.col("html")), F.col("ean")).alias("page_ean"))
-    nodes = json_nodes(met, depth, ("ean", "name", "page_ean"))
+    kept = ("ean", "name", "page_ean")
+    met = pairs.select("page_id", *(["url"] if profiles is not None else []), "ean", "name", "html", contains_barcode(visible(F.col("html")), F.col("ean")).alias("page_ean"))
+    if profiles is not None:
+        named_paths = profiles.select("host", *(F.nullif(paths(F.col(c)), F.array().cast("array<string>")).alias(c) for c in PATHS)).where(F.coalesce(*PATHS).isNotNull())
+        none = F.array().cast("array<string>")
+        met = met.withColumn("host", host(F.col("url"))).join(named_paths, "host", "left").withColumns({c: F.coalesce(c, none) for c in PATHS}).drop("host", "url")
+        kept += PATHS
+    said_ean, said_price, said_currency = (F.col(c) if profiles is not None else None for c in PATHS)
+    nodes = json_nodes(met, depth, kept)
     typed = F.coalesce(F.try_variant_get("node", "$['@type']", "string").rlike(r'(?i)(^|")(product|productgroup)("|$)'), F.lit(False))
     rows = nodes.withColumn("typed", typed).withColumn("l0", F.array(F.struct(F.lit("").alias("path"), F.col("node").alias("node")))).withColumn("f0", _fields(F.col("l0")))
     named = lambda keys, fields="f0": F.coalesce(*(F.get(F.filter(fields, lambda f: (f["key"] == k) & f["raw"].isNotNull()), 0)["raw"] for k in keys))
     codes = F.flatten(F.transform(F.filter(_entries(F.col("node")), lambda e: F.lower(F.regexp_replace(e["key"], "[^A-Za-z0-9]", "")).isin(*CODES)), lambda e: F.transform(_many(e["value"]), lambda v: digits(_text(v)))))
     shaped = F.exists("f0", lambda f: f["key"].isin("product", "productdata", "item", "variant"))
-    rows = rows.withColumn("exact", F.coalesce(F.array_contains(codes, F.col("ean")), F.lit(False))).withColumn("title", named(NAMES)).withColumn("id", _text(F.col("node"), "$['@id']"))
+    by_path = F.lit(False) if profiles is None else F.col("typed") & F.array_contains(F.transform(F.flatten(_said(F.col("node"), said_ean)), digits), F.col("ean"))
+    rows = rows.withColumn("exact", F.coalesce(F.array_contains(codes, F.col("ean")) | by_path, by_path, F.lit(False))).withColumn("title", named(NAMES)).withColumn("id", _text(F.col("node"), "$['@id']"))
     loose = ~F.col("typed") & F.col("title").isNotNull() & (F.col("exact") | shaped) & (F.col("exact") | (name_score(F.col("name"), F.col("title")) >= 0.65))
     rows = rows.withColumn("loose", F.coalesce(loose, F.lit(False))).where(F.col("typed") | F.col("loose") | F.col("id").isNotNull())
     rows = rows.withColumn("l1", F.when(F.col("loose"), _deeper(F.col("l0")))).withColumn("l2", F.when(F.col("loose"), _deeper(F.col("l1")))).withColumn("l3", F.when(F.col("loose"), _deeper(F.col("l2"))))
     rows = rows.withColumn("fields", F.when(F.col("loose"), F.concat("f0", _fields(F.col("l1")), _fields(F.col("l2")), _fields(F.col("l3")))))
     flag = F.lower(named(("instock", "isinstock")))
     stock = F.coalesce(named(STOCKS, "fields"), F.when(flag == "true", "InStock").when(flag == "false", "OutOfStock"))
-    bare = F.struct(F.lit(0).alias("score"), _generic_price(F.col("fields")).alias("price_cents"), named(CURRENCIES, "fields").alias("currency"), stock.alias("availability"), named(ADDRESSES).alias("url"), F.lit(None).cast("string").alias("id")).cast(_OFFER)
-    offers = F.when(F.col("typed"), F.transform(_many(F.try_variant_get("node", "$.offers", "variant")), _offer)).when(F.col("loose"), F.array(bare))
+    bare = F.struct(F.lit(0).alias("score"), _generic_price(F.col("fields")).alias("price_cents"), named(CURRENCIES, "fields").alias("currency"), stock.alias("availability"), named(ADDRESSES).alias("url"), F.lit(None).cast("string").alias("id"), _said(F.lit(None), None), _said(F.lit(None), None)).cast(_OFFER)
+    offers = F.when(F.col("typed"), F.transform(_many(F.try_variant_get("node", "$.offers", "variant")), lambda o: _offer(o, said_price, said_currency))).when(F.col("loose"), F.array(bare))
     called = F.when(F.col("typed") & F.col("title").isNull(), F.substring(F.to_json("node"), 1, 10_000)).otherwise(F.col("title"))
     scored = name_score(F.col("name"), called)
-    found = F.when(F.col("typed") | F.col("loose"), F.struct("path", "typed", F.col("exact").alias("exact_ean"), scored.alias("name_score"), "title", named(ADDRESSES).alias("link"), offers.alias("offers")))
-    own = F.when(F.col("id").isNotNull(), _offer(F.col("node")))
+    found = F.when(F.col("typed") | F.col("loose"), F.struct("path", "typed", F.col("exact").alias("exact_ean"), scored.alias("name_score"), "title", named(ADDRESSES).alias("link"), offers.alias("offers"), *(F.when(F.col("typed"), _said(F.col("node"), p)).alias(n) for n, p in (("prices", said_price), ("currencies", said_currency)))))
+    own = F.when(F.col("id").isNotNull(), _offer(F.col("node"), said_price, said_currency))
     both = rows.select("page_id", "ean", "page_ean", found.alias("found"), own.alias("own")).groupBy("page_id", "ean", "page_ean").agg(F.collect_list("found").alias("found"), F.collect_list("own").alias("owns"))
     each = both.select("page_id", "ean", "page_ean", F.filter("owns", lambda o: o["score"] > 0).alias("owns"), F.explode("found").alias("c")).select("page_id", "ean", "page_ean", "owns", "c.*")
     resolved = F.transform("offers", lambda o: F.when(o["price_cents"].isNull() & o["id"].isNotNull(), F.coalesce(F.array_max(F.filter("owns", lambda n: n["id"] == o["id"])), o)).otherwise(o))
     best = F.aggregate(resolved, F.lit(None).cast(_OFFER), lambda a, o: F.when(a.isNull() | (o["score"] > a["score"]), o).otherwise(a))
-    out = each.withColumn("o", best)
+    first = lambda what, rule: _first(F.col(what), F.col(f"b.said_{what}"), rule)
+    fields = {"price_cents": F.coalesce(first("prices", price_cents), "b.price_cents"), "currency": F.coalesce(first("currencies", normalize_currency), normalize_currency(F.col("b.currency")))}
+    out = each.withColumn("b", best).withColumn("o", F.struct(*(c.alias(n) for n, c in fields.items()), "b.availability", "b.url"))
     says = F.col("o.availability")
     in_stock = F.when(says.rlike(r"(?i)out\s*of\s*stock|sold\s*out|not\s+available|unavailable|discontinued|ni\s+na\s+zalogi|razprodano"), False).when(says.rlike(r"(?i)in\s*stock|available|preorder|limitedavailability|na\s+zalogi|dobavljivo"), True)
     part = lambda a, b: F.when(F.col("typed"), a).otherwise(b)
     score = F.when(F.col("exact_ean"), part(260, 250)).otherwise(0) + F.col("name_score") * part(90, 86) + F.when(F.col("o.price_cents").isNotNull(), part(24, 22)).otherwise(0) + F.when(F.col("typed") & F.col("page_ean"), 8).otherwise(0)
     return out.select(
-        "page_id", "path", "ean", "title", F.coalesce("o.url", "link").alias("link"), F.col("o.price_cents").alias("price_cents"), normalize_currency(F.col("o.currency")).alias("currency"),
+        "page_id", "path", "ean", "title", F.coalesce("o.url", "link").alias("link"), F.col("o.price_cents").alias("price_cents"), F.col("o.currency").alias("currency"),
         in_stock.alias("in_stock"), "exact_ean", "name_score", score.alias("score"),
     )
 
@@ -136,12 +175,12 @@ def match_pages(pairs: DataFrame, profiles: DataFrame, depth: int = JSON_DEPTH)
     a price of the page if there is none, or if it scores higher and the code is
     met. Prices of the page gain 70 by the code, else 35 times the name's share.
     pairs has page_id (one row each), url, html, ean, name; profiles host and
-    price_selector. Pages without any evidence keep a row without a price.
+    price_selector, and the fields of linked data if it names any. Pages without any evidence keep a row without a price.
     """
     page = signals(pairs).select("page_id", "canonical_url", F.col("title").alias("page_title"), F.col("in_stock").alias("page_stock"))
     text = visible(F.col("html"))
     seen = pairs.select("page_id", contains_barcode(text, F.col("ean")).alias("page_ean"), name_score(F.col("name"), F.concat_ws(" ", title(F.col("html")), text)).alias("page_name"))
-    nodes = structured_candidates(pairs, depth).groupBy("page_id").agg(F.max_by(F.struct("title", "price_cents", "currency", "in_stock", "exact_ean", "name_score", "score"), F.struct("score", "path")).alias("s"), F.max("exact_ean").alias("structured_ean"))
+    nodes = structured_candidates(pairs, depth, profiles if set(PATHS) <= set(profiles.columns) else None).groupBy("page_id").agg(F.max_by(F.struct("title", "price_cents", "currency", "in_stock", "exact_ean", "name_score", "score"), F.struct("score", "path")).alias("s"), F.max("exact_ean").alias("structured_ean"))
     base = page.join(seen, "page_id").join(nodes, "page_id", "left")
     base = base.withColumn("ean_match", F.coalesce("s.exact_ean", F.lit(False)) | F.col("page_ean")).withColumn("name_score", F.greatest("page_name", F.coalesce("s.name_score", F.lit(0.0))))
     top = price_candidates(pairs).groupBy("page_id").agg(F.max_by(F.struct("price_cents", "currency", "score", "source"), F.struct("score", -F.col("price_cents"))).alias("h"))
