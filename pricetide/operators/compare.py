@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricetide.functions.scalars import digits
+from pricetide.functions.scalars import digits, host
 
 
 def eligible() -> Column:
@@ -98,13 +98,28 @@ def rank_offers(products: DataFrame) -> DataFrame:
     return products.withColumn("stock_rank", stock).select("ean", "id", "stock_rank", F.row_number().over(w).alias("place"))
 
 
-def filter_groups(products: DataFrame, text: str | None = None, in_stock: bool | None = None, status: str | None = None, least: int | None = None, most: int | None = None, drops: bool = False, attention: bool = False) -> DataFrame:
-    """Offers of groups in which, for each condition, some member meets it; different members may meet different ones."""
+def filter_groups(products: DataFrame, text: str | None = None, in_stock: bool | None = None, status: str | None = None, least: int | None = None, most: int | None = None, drops: bool = False, attention: bool = False, site: str | None = None, stock_unknown: bool = False, summaries: DataFrame | None = None) -> DataFrame:
+    """Offers of groups in which, for each condition, some member meets it; different members may meet different ones.
+
+    A text is looked for in name, code, address and sku (which may be absent). A drop is a
+    price below the own one, or, with `summaries` (product_id, change_cents; a row
+    for each product and currency), one below the first of its currency; it needs attention too.
+    """
     tests: list[Column] = []
-    if text:
-        tests.append(F.lower(F.concat_ws(" ", "name", "ean", "website_url")).contains(text.lower()))
+    dropped = F.coalesce(F.col("price_cents") < F.col("own_price_cents"), F.lit(False))
+    if summaries is not None and (drops or attention):
+        fell = summaries.where("change_cents < 0").select(F.col("product_id").alias("_product")).distinct().withColumn("_fell", F.lit(True))
+        columns = products.columns
+        products = products.join(fell, F.col("product_id") == F.col("_product"), "left").select(*columns, "_fell")
+        dropped = dropped | F.col("_fell").isNotNull()
+    if text and text.strip():
+        tests.append(F.lower(F.concat_ws(" ", "name", "ean", "website_url", *(["sku"] if "sku" in products.columns else []))).contains(text.strip().lower()))
+    if site:
+        tests.append(host(F.col("website_url")) == site.lower().removeprefix("www."))
     if in_stock is not None:
         tests.append(F.col("in_stock") == in_stock)
+    if stock_unknown:
+        tests.append(F.col("in_stock").isNull())
     if status:
         tests.append(F.col("status") == status)
     if least is not None:
@@ -112,12 +127,12 @@ def filter_groups(products: DataFrame, text: str | None = None, in_stock: bool |
     if most is not None:
         tests.append(F.col("price_cents") <= most)
     if drops:
-        tests.append(F.col("price_cents") < F.col("own_price_cents"))
+        tests.append(dropped)
     if attention:
-        tests.append(F.col("status").isin("needs_review", "blocked", "unavailable", "error"))
+        tests.append(F.coalesce(F.col("status").isin("needs_review", "blocked", "unavailable", "error"), F.lit(False)) | dropped)
     keyed = products.withColumn("group_key", group_key())
     if not tests:
         return keyed
     flags = keyed.groupBy("group_key").agg(*(F.bool_or(F.coalesce(t, F.lit(False))).alias(f"t{k}") for k, t in enumerate(tests)))
     met = flags.where(" AND ".join(f"t{k}" for k in range(len(tests)))).select("group_key")
-    return keyed.join(met, "group_key", "left_semi")
+    return keyed.drop("_fell").join(met, "group_key", "left_semi")

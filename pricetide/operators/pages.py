@@ -20,11 +20,10 @@ PREFIX = 180_000
 
 
 def visible(html: Column) -> Column:
-    """Text without scripts, styles and tags, named entities decoded, white space folded."""
+    """Text without scripts, styles and tags, named and numbered entities decoded, white space folded."""
     bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1>", " "), r"(?s)<!--.*?-->|<[^>]*>", " ")
-    for name, char in (("nbsp", " "), ("quot", '"'), ("apos", "'"), ("#39", "'"), ("lt", "<"), ("gt", ">"), ("euro", "€"), ("amp", "&")):
-        bare = F.replace(bare, F.lit(f"&{name};"), F.lit(char))
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    plain = once(bare, lambda text: F.when(text.contains("&"), decoded(F.replace(text, F.lit("&euro;"), F.lit("€")))).otherwise(text))
+    return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
 def challenge(html: Column, patterns: Column | None = None) -> Column:
@@ -164,13 +163,15 @@ def _labelled(text: Column, pattern: str, around: int = 45) -> Column:
 def context_prices(pairs: DataFrame, around: int = 1800, around_name: int = 1400) -> DataFrame:
     """page_id, price_cents, currency, score, source: labelled prices near the wanted code (54) or, if pairs has a name, near that (35).
 
-    A current or sale label adds 18; a price with shipping, instalments or former
+    A code may have blanks or dashes between its digits where it stands nowhere without. A current or sale label adds 18; a price with shipping, instalments or former
     prices within 45 characters of it doesn't count. Of equal prices the best score
     stays, the code's before the name's. pairs has page_id, html, ean.
     """
     named = F.col("name") if "name" in pairs.columns else F.lit(None).cast("string")
     text = pairs.select("page_id", "ean", F.trim(F.regexp_replace(F.lower(named), r"\s+", " ")).alias("name"), visible(F.col("html")).alias("text"))
-    near = lambda what, n: F.when(F.expr(f"{what} != '' AND locate({what}, lower(text)) > 0"), F.expr(f"substr(text, greatest(1, locate({what}, lower(text)) - {n}), least(locate({what}, lower(text)) - 1, {n}) + length({what}) + {n})"))
+    spaced = F.when(F.col("ean").rlike("^[0-9]+$"), F.array_join(F.split("ean", "(?<=.)(?=.)"), r"[\s-]*"))
+    text = text.withColumn("ean_at", F.coalesce(F.nullif(F.expr("locate(ean, lower(text))"), F.lit(0)), F.regexp_instr("text", spaced))).withColumn("name_at", F.expr("locate(name, lower(text))"))
+    near = lambda what, n: F.when(F.expr(f"{what} != '' AND {what}_at > 0"), F.expr(f"substr(text, greatest(1, {what}_at - {n}), least({what}_at - 1, {n}) + length({what}) + {n})"))
     windows = F.array(F.struct(near("ean", around).alias("w"), F.lit(54).alias("base"), F.lit("ean-context").alias("source")), F.struct(near("name", around_name).alias("w"), F.lit(35).alias("base"), F.lit("name-context").alias("source")))
     rows = text.select("page_id", F.explode(windows).alias("x")).select("page_id", "x.*").where("w IS NOT NULL")
     found = rows.select("page_id", "base", "source", F.explode(F.concat(*(_labelled(F.col("w"), p) for p in LABELLED))).alias("m"))
