@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pricetide.functions.scalars import backoff_ms, failure_class, half_up, ratio, redact_url
@@ -84,36 +84,76 @@ def domain_health(runs: DataFrame, now: str, days: int = DAYS) -> DataFrame:
     )
 
 
+def _segments(runs: DataFrame) -> DataFrame:
+    """Runs with their segment, a day of a host: rows are put in order within segments, so that no task takes a whole host. Null hosts are one host, null times its first day."""
+    return runs.withColumn("_seg", F.struct("host", F.coalesce(F.to_date("started_at"), F.lit("0001-01-01").cast("date")).alias("day")))
+
+
+def _up_to() -> WindowSpec:
+    """The rows of a segment up to one's own."""
+    return Window.partitionBy("_seg").orderBy("started_at", "id").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _days(last: int | None = None) -> WindowSpec:
+    """A host's segments, of which there is one row each; up to one's own (0) or the one before (-1)."""
+    w = Window.partitionBy("_seg.host").orderBy("_seg.day")
+    return w if last is None else w.rowsBetween(Window.unboundedPreceding, last)
+
+
 def failure_streaks(runs: DataFrame) -> DataFrame:
-    """Failures in a row of each host after each run; found and not_found reset."""
-    w = Window.partitionBy("host").orderBy("started_at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    islands = runs.withColumn("island", F.sum(F.when(_is(*FAILED), 0).otherwise(1)).over(w))
-    inside = Window.partitionBy("host", "island").orderBy("started_at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return islands.select("host", "id", "started_at", "status", F.sum(F.when(_is(*FAILED), 1).otherwise(0)).over(inside).alias("consecutive_failures"))
+    """Failures in a row of each host after each run; found and not_found reset.
+
+    A day's runs count among themselves; those before its first reset add what the days before left open.
+    """
+    failed = F.when(_is(*FAILED), 1).otherwise(0)
+    islands = _segments(runs).withColumn("_island", F.sum(1 - failed).over(_up_to()))
+    inside = Window.partitionBy("_seg", "_island").orderBy("started_at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = islands.withColumn("_own", F.sum(failed).over(inside))
+    last = rows.groupBy("_seg").agg(F.max("_island").alias("resets"), F.max_by("_own", F.struct("started_at", "id")).alias("open"))
+    chained = last.withColumn("chain", F.sum(F.when(F.col("resets") > 0, 1).otherwise(0)).over(_days(0)))
+    left_open = F.sum("open").over(Window.partitionBy("_seg.host", "chain").orderBy("_seg.day").rowsBetween(Window.unboundedPreceding, 0))
+    carried = chained.withColumn("left_open", left_open).select("_seg", F.coalesce(F.lag("left_open").over(_days()), F.lit(0)).alias("_carry"))
+    total = F.col("_own") + F.when(F.col("_island") == 0, F.col("_carry")).otherwise(0)
+    return rows.join(carried, "_seg").select("host", "id", "started_at", "status", total.alias("consecutive_failures"))
 
 
 def domain_state_history(runs: DataFrame) -> DataFrame:
-    """Counters of a host after each of its runs."""
-    w = Window.partitionBy("host").orderBy("started_at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return runs.select(
-        "host",
-        "id",
-        F.count("*").over(w).alias("total_checks"),
-        F.sum(F.when(_is("found"), 1).otherwise(0)).over(w).alias("successful_checks"),
-        F.sum(F.when(_is("blocked"), 1).otherwise(0)).over(w).alias("blocked_checks"),
-        F.sum(F.coalesce("duration_ms", F.lit(0))).over(w).alias("total_response_ms"),
-        F.last("challenge_type", True).over(w).alias("last_challenge_type"),
-        F.max(F.when(_is("found"), F.col("started_at"))).over(w).alias("last_success_at"),
-    )
+    """Counters of a host after each of its runs: those of the day so far, and those of the days before."""
+    sums = {
+        "total_checks": F.lit(1), "successful_checks": F.when(_is("found"), 1).otherwise(0), "blocked_checks": F.when(_is("blocked"), 1).otherwise(0), "total_response_ms": F.coalesce("duration_ms", F.lit(0)),
+    }
+    found_at, challenged = F.when(_is("found"), F.col("started_at")), F.col("challenge_type").isNotNull()
+    rows = _segments(runs)
+    ends = [F.sum(c).alias(n) for n, c in sums.items()] + [F.max_by(F.when(challenged, F.col("challenge_type")), F.when(challenged, F.struct("started_at", "id"))).alias("challenge"), F.max(found_at).alias("found_at")]
+    days = rows.groupBy("_seg").agg(*ends)
+    before = [F.coalesce(F.sum(n).over(_days(-1)), F.lit(0)).alias(f"_{n}") for n in sums] + [F.last("challenge", True).over(_days(-1)).alias("_challenge"), F.max("found_at").over(_days(-1)).alias("_found_at")]
+    own = [F.sum(c).over(_up_to()).alias(n) for n, c in sums.items()] + [F.last("challenge_type", True).over(_up_to()).alias("challenge"), F.max(found_at).over(_up_to()).alias("found_at")]
+    both = rows.select("_seg", "host", "id", *own).join(days.select("_seg", *before), "_seg")
+    return both.select("host", "id", *((F.col(n) + F.col(f"_{n}")).alias(n) for n in sums), F.coalesce("challenge", "_challenge").alias("last_challenge_type"), F.coalesce("found_at", "_found_at").alias("last_success_at"))
 
 
 def cooldowns(runs: DataFrame) -> DataFrame:
-    """Host and reason of each temporary failure run: how many since the host's last find, and the wait that follows."""
-    w = Window.partitionBy("host").orderBy("started_at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    marked = runs.withColumn("island", F.sum(F.when(_is("found"), 1).otherwise(0)).over(w)).where(failure_class(F.col("reason_code")) == "temporary")
-    inside = Window.partitionBy("host", "reason_code", "island").orderBy("started_at", "id")
-    n = F.row_number().over(inside)
-    return marked.select("host", "reason_code", "id", "started_at", n.alias("failures")).withColumn("backoff_ms", backoff_ms(F.col("failures"), F.col("reason_code"), F.lit(None).cast("long")))
+    """Host and reason of each temporary failure run: how many since the host's last find, and the wait that follows.
+
+    A day's failures count among themselves; those before its first find add what
+    the days since the last find left open, one count a reason.
+    """
+    marked = _segments(runs).withColumn("_island", F.sum(F.when(_is("found"), 1).otherwise(0)).over(_up_to()))
+    temporary = F.coalesce(failure_class(F.col("reason_code")) == "temporary", F.lit(False))
+    ends = marked.groupBy("_seg").agg(F.max("_island").alias("finds"))
+    spans = ends.withColumn("chain", F.sum(F.when(F.col("finds") > 0, 1).otherwise(0)).over(_days(0)))
+    counts = marked.where(temporary).groupBy("_seg", "reason_code", "_island").agg(F.count("*").alias("n"))
+    # what precedes a day's first find goes with the find before, what follows its last find with that one; the rest ends within the day
+    edges = counts.join(spans, "_seg").where((F.col("_island") == 0) | (F.col("_island") == F.col("finds")))
+    edges = edges.select("_seg", "reason_code", "n", (F.col("chain") - F.when((F.col("_island") == 0) & (F.col("finds") > 0), 1).otherwise(0)).alias("chain"), (F.col("_island") == 0).alias("head"))
+    same = Window.partitionBy("_seg.host", "reason_code", "chain").orderBy("_seg.day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = edges.withColumn("carry", F.coalesce(F.sum("n").over(same), F.lit(0))).where("head AND carry > 0")
+    by_reason = carried.groupBy("_seg").agg(F.collect_list(F.struct("reason_code", "carry")).alias("_carry"))
+    own = F.row_number().over(Window.partitionBy("_seg", "reason_code", "_island").orderBy("started_at", "id"))
+    rows = marked.where(temporary).withColumn("_own", own).join(by_reason, "_seg", "left")
+    open_ = F.coalesce(F.get(F.filter("_carry", lambda c: c["reason_code"].eqNullSafe(F.col("reason_code"))), 0)["carry"], F.lit(0))
+    n = (F.col("_own") + F.when(F.col("_island") == 0, open_).otherwise(0)).cast("int")
+    return rows.select("host", "reason_code", "id", "started_at", n.alias("failures")).withColumn("backoff_ms", backoff_ms(F.col("failures"), F.col("reason_code"), F.lit(None).cast("long")))
 
 
 def availability(runs: DataFrame, now: str) -> DataFrame:
