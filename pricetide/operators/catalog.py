@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pricetide.functions.labels import norm_header
 from pricetide.functions.scalars import digits, host, import_price, is_public_host, valid_gtin
 
 # Products a plan may monitor, and headings that a sheet may bear.
 PLAN_LIMITS = {"starter": 50, "business": 350, "pro": 1000}
-HEADINGS = {"name": ("product", "product name", "name", "izdelek", "naziv"), "ean": ("ean", "gtin", "barcode", "ean koda"), "own_price": ("own price", "price", "cena"), "sku": ("sku", "sifra")}
+HEADINGS = {
+    "name": ("product", "product name", "name", "izdelek", "naziv", "naziv izdelka"), "ean": ("ean", "gtin", "barcode", "ean gtin"), "own_price": ("your price", "own price", "price", "lastna cena", "vasa cena", "cena"),
+    "sku": ("sku", "sifra"), "notes": ("notes", "opombe"),
+}
+EXAMPLE = "(?i)example product"
 
 
 def unique_products(products: DataFrame) -> DataFrame:
@@ -146,15 +151,21 @@ def stuck_claims(products: DataFrame, now: str, minutes: int = 15) -> DataFrame:
 def import_sheet(raw: DataFrame) -> DataFrame:
     """Products of a sheet read without a heading: columns row_id and cells (array).
 
-    The first row with headings for name and code is the heading; rows above and
-    empty rows go. A find of the heading row's place is one aggregate.
+    The first row with headings for name and code is the heading; a heading may
+    go on after its name ("EAN koda"), and the first column that fits counts.
+    Rows above it, rows without a name or code, and the example's row go. A find
+    of the heading row's place is one aggregate.
     """
-    norm = F.transform("cells", lambda c: F.trim(F.regexp_replace(F.translate(F.lower(c), "čšžćđ", "cszcd"), "[^a-z0-9]+", " ")))
-    rows = raw.withColumn("_norm", norm)
-    place = {k: F.coalesce(*(F.nullif(F.array_position("_norm", n), F.lit(0)) for n in names)) for k, names in HEADINGS.items()}
+    rows = raw.withColumn("_norm", F.transform("cells", norm_header))
+
+    def position(names: tuple[str, ...]) -> Column:
+        fits = lambda h: F.exists(F.array(*map(F.lit, names)), lambda n: (h == n) | h.startswith(F.concat(n, F.lit(" "))))
+        return F.nullif(F.array_position(F.transform("_norm", fits), True), F.lit(0))
+
+    place = {k: position(names) for k, names in HEADINGS.items()}
     heads = rows.where(place["name"].isNotNull() & place["ean"].isNotNull())
     head = heads.agg(F.min_by(F.struct(*(p.alias(k) for k, p in place.items())), "row_id").alias("h"), F.min("row_id").alias("at"))
     body = raw.join(F.broadcast(head), F.col("row_id") > F.col("at"))
     cell = lambda k: F.get("cells", (F.col(f"h.{k}") - 1).cast("int"))
-    out = body.select("row_id", F.trim(cell("name")).alias("name"), digits(cell("ean")).alias("ean"), import_price(cell("own_price")).alias("own_price_cents"), F.trim(cell("sku")).alias("sku"))
-    return out.where((F.coalesce("name", F.lit("")) != "") | (F.coalesce("ean", F.lit("")) != ""))
+    named = body.select("row_id", F.trim(cell("name")).alias("name"), digits(cell("ean")).alias("ean"), import_price(cell("own_price")).alias("own_price_cents"), F.trim(cell("sku")).alias("sku"), F.trim(cell("notes")).alias("notes"))
+    return named.where((F.col("name") != "") & (F.col("ean") != "") & ~F.col("name").rlike(EXAMPLE))

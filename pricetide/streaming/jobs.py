@@ -52,10 +52,19 @@ def domain_state(runs: DataFrame) -> DataFrame:
     return cols.groupBy("host").applyInPandasWithState(fold, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def health_buckets(events: DataFrame, minutes: int, late: str = "1 hour") -> DataFrame:
-    """One alert for each host and stretch of `minutes`, as a keyed tumbling window."""
-    timed = events.withColumn("at", F.col("detected_at").cast("timestamp")).withWatermark("at", late)
-    return timed.groupBy("host", F.window("at", f"{minutes} minutes").alias("w")).agg(F.min("at").alias("first_detected_at"), F.count("*").alias("raised")).select("host", F.col("w.start").alias("bucket_start"), "first_detected_at", "raised")
+def health_buckets(events: DataFrame, longest: int = 24 * 60, late: str = "1 hour") -> DataFrame:
+    """One alert for each rule, host and stretch of the rule's cooldown, as `alerts.dedupe_buckets` gives it.
+
+    Each rule has its own width, cooldown_minutes, of a static join; none is wider than
+    `longest` minutes, so that no stretch is closed before all its events within `late` are in.
+    events has rule_id, host, detected_at and cooldown_minutes.
+    """
+    seconds = F.col("cooldown_minutes").cast("long") * 60
+    bucket = F.floor(F.unix_seconds(F.col("detected_at").cast("timestamp")) / seconds).cast("long")
+    dealt = events.withColumns({"at": F.col("detected_at").cast("timestamp"), "bucket": bucket, "starts": F.timestamp_seconds(bucket * seconds)})
+    timed = dealt.withWatermark("starts", f"{longest * 60 + int(pd.Timedelta(late).total_seconds())} seconds")
+    out = timed.groupBy("rule_id", "host", "bucket", "starts").agg(F.min("at").alias("first_detected_at"), F.count("*").alias("raised"))
+    return out.select("rule_id", "host", "bucket", "first_detected_at", "raised")
 
 
 _COOLDOWN_OUT = "host string, id long, reason_code string, failures int, cooldown_until timestamp"
