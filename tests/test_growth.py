@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pricetide.operators import schedule
+from pricetide.operators import catalog, schedule
 
 
 @pytest.fixture()
@@ -61,3 +61,16 @@ def test_schedules_move_no_pairs(spark, moved):
     _, _, p, s = _lists(spark, 1, 600, 600, 2, 600)
     for rows, n in (moved(schedule.tick_pick(p, s)), moved(schedule.cycle_sizes(p, s))):
         assert rows and n < 20_000
+
+
+def test_new_pairs_move_no_pairs(spark, moved):
+    """One owner's 400 codes at 400 stores, but for the pairs that are known: 160,000 pairs, none of which moves."""
+    code = "lpad('' || id, 12, '0')"
+    check = "(" + " + ".join(f"int(substr(c, {i + 1}, 1)) * {3 if i % 2 else 1}" for i in range(12)) + ")"
+    products = spark.range(400).selectExpr(f"{code} AS c", "id").selectExpr("'o' AS owner", f"c || ((10 - {check} % 10) % 10) AS ean", "'s' || (id % 7) || '.example' AS host")
+    websites = spark.range(400).selectExpr("'o' AS owner", "'https://www.s' || id || '.example/' AS url")
+    rows, n = moved(catalog.new_pairs(products, websites, products))
+    known = {(r["ean"], r["host"]) for r in products.collect()}
+    got = [(r["ean"], r["host"]) for r in rows]
+    assert len(got) == len(set(got)) == 400 * 400 - 400 and not known & set(got)
+    assert n < 60_000
