@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Vocabularies and base delays of the crawl log.
@@ -29,6 +29,11 @@ def once(value: Column, rule: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), rule), 0)
 
 
+def narrowed(rows: DataFrame, made: Column, fits: Callable[[Column], Column]) -> DataFrame:
+    """rows with the fields of the struct `made`, where `fits` holds of it; a row's struct is computed once, while a filter would be pushed below it and compute its columns anew for each use."""
+    return rows.select("*", F.inline(F.filter(F.array(made), fits)))
+
+
 def half_up(x: Column) -> Column:
     """Rounds halves towards positive infinity."""
     return F.floor(x + F.lit(0.5))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.functions.scalars import confidence, confidence_label, contains_barcode, digits, host, name_score, normalize_currency, price_cents
+from pricetide.functions.scalars import confidence, confidence_label, contains_barcode, digits, host, name_score, narrowed, normalize_currency, price_cents
 from pricetide.operators.pages import JSON_DEPTH, context_prices, html_prices, json_nodes, profile_prices, signals, title, visible
 from pricetide.operators.profiles import PATHS, paths
 
@@ -122,14 +122,16 @@ def structured_candidates(pairs: DataFrame, depth: int = JSON_DEPTH, profiles: D
     said_ean, said_price, said_currency = (F.col(c) if profiles is not None else None for c in PATHS)
     nodes = json_nodes(met, depth, kept)
     typed = F.coalesce(F.try_variant_get("node", "$['@type']", "string").rlike(r'(?i)(^|")(product|productgroup)("|$)'), F.lit(False))
-    rows = nodes.withColumn("typed", typed).withColumn("l0", F.array(F.struct(F.lit("").alias("path"), F.col("node").alias("node")))).withColumn("f0", _fields(F.col("l0")))
+    l0 = F.array(F.struct(F.lit("").alias("path"), F.col("node").alias("node")))
     named = lambda keys, fields="f0": F.coalesce(*(F.get(F.filter(fields, lambda f: (f["key"] == k) & f["raw"].isNotNull()), 0)["raw"] for k in keys))
     codes = F.flatten(F.transform(F.filter(_entries(F.col("node")), lambda e: F.lower(F.regexp_replace(e["key"], "[^A-Za-z0-9]", "")).isin(*CODES)), lambda e: F.transform(_many(e["value"]), lambda v: digits(_text(v)))))
-    shaped = F.exists("f0", lambda f: f["key"].isin("product", "productdata", "item", "variant"))
-    by_path = F.lit(False) if profiles is None else F.col("typed") & F.array_contains(F.transform(F.flatten(_said(F.col("node"), said_ean)), digits), F.col("ean"))
-    rows = rows.withColumn("exact", F.coalesce(F.array_contains(codes, F.col("ean")) | by_path, by_path, F.lit(False))).withColumn("title", named(NAMES)).withColumn("id", _text(F.col("node"), "$['@id']"))
-    loose = ~F.col("typed") & F.col("title").isNotNull() & (F.col("exact") | shaped) & (F.col("exact") | (name_score(F.col("name"), F.col("title")) >= 0.65))
-    rows = rows.withColumn("loose", F.coalesce(loose, F.lit(False))).where(F.col("typed") | F.col("loose") | F.col("id").isNotNull())
+    by_path = F.lit(False) if profiles is None else typed & F.array_contains(F.transform(F.flatten(_said(F.col("node"), said_ean)), digits), F.col("ean"))
+    exact = F.coalesce(F.array_contains(codes, F.col("ean")) | by_path, by_path, F.lit(False))
+    every = lambda x: F.lit(True)
+    rows = narrowed(nodes, F.struct(typed.alias("typed"), _fields(l0).alias("f0"), exact.alias("exact"), _text(F.col("node"), "$['@id']").alias("id")), every)
+    rows = narrowed(rows, F.struct(named(NAMES).alias("title"), F.exists("f0", lambda f: f["key"].isin("product", "productdata", "item", "variant")).alias("_shaped")), every)
+    loose = ~F.col("typed") & F.col("title").isNotNull() & (F.col("exact") | F.col("_shaped")) & (F.col("exact") | (name_score(F.col("name"), F.col("title")) >= 0.65))
+    rows = narrowed(rows, F.struct(F.coalesce(loose, F.lit(False)).alias("loose")), lambda x: F.col("typed") | x["loose"] | F.col("id").isNotNull()).withColumn("l0", l0)
     rows = rows.withColumn("l1", F.when(F.col("loose"), _deeper(F.col("l0")))).withColumn("l2", F.when(F.col("loose"), _deeper(F.col("l1")))).withColumn("l3", F.when(F.col("loose"), _deeper(F.col("l2"))))
     rows = rows.withColumn("fields", F.when(F.col("loose"), F.concat("f0", _fields(F.col("l1")), _fields(F.col("l2")), _fields(F.col("l3")))))
     flag = F.lower(named(("instock", "isinstock")))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pricetide.operators import catalog, schedule
+from pricetide.operators import catalog, offers, schedule
 from pricetide.plans.adapters import domain
 
 
@@ -81,3 +81,10 @@ def test_products_are_sorted_by_parts(spark, sf_dir):
     """Rows of a product meet before they are aggregated, so that no task sorts a whole split of the file."""
     plan = domain(spark, sf_dir, "products")._jdf.queryExecution().sparkPlan().toString()
     assert "REPARTITION_BY_COL" in plan or "hashpartitioning(product_id" in plan
+
+
+def test_node_facts_are_made_before_the_filter(spark):
+    """The fields of a page's nodes are made once: no filter holds them anew."""
+    pairs = spark.createDataFrame([("a", "<p>x</p>", "4006381333931", "x")], "page_id string, html string, ean string, name string")
+    plan = offers.structured_candidates(pairs, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("map_entries" in line or "try_variant_get" in line.lower() and "offers" in line for line in plan.splitlines() if "Filter (" in line.split("higherorder")[0][:60])
