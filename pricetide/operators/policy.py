@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricetide.functions.scalars import host, resolve_url, without_fragment
+from pricetide.functions.scalars import host, narrowed, resolve_url, without_fragment
 from pricetide.operators.elements import decoded
 
 # Sites that sell nothing themselves.
@@ -79,7 +79,7 @@ def sitemap_locations(docs: DataFrame) -> DataFrame:
     blocks = docs.select("host", F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?is)<(?:url|sitemap)\b[^>]*>(.*?)</(?:url|sitemap)>"), 1)).alias("at", "b"))
     inside = lambda tag: F.nullif(F.trim(F.regexp_replace(F.regexp_extract("b", rf"(?is)<{tag}\b[^>]*>\s*(.*?)\s*</{tag}>", 1), r"(?s)^<!\[CDATA\[\s*(.*?)\s*\]\]>$", "$1")), F.lit(""))
     rows = blocks.select("host", "at", decoded(inside("loc")).alias("loc"), inside("lastmod").alias("lastmod"))
-    rows = rows.withColumn("url", resolve_url(F.col("loc"), F.concat(F.lit("https://"), "host", F.lit("/"))))
+    rows = narrowed(rows, F.struct(resolve_url(F.col("loc"), F.concat(F.lit("https://"), "host", F.lit("/"))).alias("url")), lambda x: x["url"].isNotNull())
     fit = (host(F.col("url")) == F.col("host")) & ~F.col("loc").rlike("[?#]") & ~F.col("url").rlike(r"^[a-z]+://([^/]*@|[^/]*:[0-9])")
     return rows.where(fit).groupBy("host", "url").agg(F.min_by("lastmod", "at").alias("lastmod"))
 
