@@ -31,6 +31,8 @@ PLATFORM_ROUTES = (
 )
 #: Hosts whose own route leaves none to be guessed.
 OWN_ROUTE_ONLY = r"(?i)(^|\.)trgovinejager\.com$"
+#: Lengths of the codes that a sitemap's addresses are searched for.
+CODE_LENGTHS = (8, 12, 13, 14)
 GENERIC_ROUTES = ("/search?q={query}", "/search?query={query}", "/search?search={query}", "/?s={query}")
 
 
@@ -127,27 +129,34 @@ def sitemap_match(locations: DataFrame, targets: DataFrame) -> DataFrame:
     A location whose path holds the product's code scores 1000; one that holds
     all model words of its name (letters and digits, six or more characters)
     900 and one for each. Equal scores go to the later lastmod. Codes meet the
-    digit windows of a path, model words the words of a path, both in equi-joins
-    with the host, so that a host's products never meet all its locations.
+    digit windows of a path, model words the words of a path, both as tokens of
+    one equi-join with the host, so that a host's products never meet all its
+    locations. Only what can be met is a token: windows as long as some product's
+    code, words with letters and digits. What was met moves once, by product.
     locations has host, url, lastmod; targets id, host, ean, name.
     """
     path = F.lower(F.regexp_extract("url", r"^[^:]+://[^/?#]*([^?#]*)", 1))
-    places = locations.select("host", "url", F.try_to_timestamp("lastmod").alias("at"), path.alias("path"))
-    runs = F.regexp_extract_all(F.regexp_replace("path", "[^a-z0-9]+", ""), F.lit("[0-9]{8,}"), 0)
-    cut = lambda run, n: F.when(F.length(run) >= n, F.transform(F.sequence(F.lit(1), F.length(run) - n + 1), lambda k: F.substr(run, k, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    windows = F.array_distinct(F.flatten(F.transform(runs, lambda run: F.concat(*(cut(run, n) for n in (8, 12, 13, 14))))))
-    coded = places.select("host", "url", "at", F.explode(windows).alias("ean")).join(targets.select("id", "host", digits(F.col("ean")).alias("ean")), ["host", "ean"]).select("id", "url", "at", F.lit(1000).alias("score"))
-
-    model = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", " "), " "), lambda w: (F.length(w) >= 6) & w.rlike("[a-z]") & w.rlike("[0-9]")))
-    wanted = targets.select("id", "host", model.alias("model")).select("id", "host", F.size("model").alias("n"), F.explode("model").alias("word"))
-    words = F.array_distinct(F.split(F.regexp_replace("path", "[^a-z0-9]+", " "), " "))
-    named = places.select("host", "url", "at", F.explode(words).alias("word")).join(wanted, ["host", "word"])
-    named = named.groupBy("id", "url", "at", "n").agg(F.count_distinct("word").alias("met")).where("met = n").select("id", "url", "at", (900 + F.col("n")).alias("score"))
-
-    one = coded.unionByName(named).groupBy("id", "url").agg(F.max(F.struct("score", F.coalesce(F.unix_seconds("at"), F.lit(0)).alias("at"))).alias("s"))
-    best = one.groupBy("id").agg(F.max("s").alias("top"))
-    first = one.join(best, "id").where("s = top").groupBy("id").agg(F.count("*").alias("equal"), F.min("url").alias("url"), F.first("s.score").alias("score"))
-    return first.where("equal = 1").select("id", "url", "score")
+    model = lambda words: F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 6) & w.rlike("[a-z]") & w.rlike("[0-9]")))
+    words = lambda text: model(F.split(F.regexp_replace(text, "[^a-z0-9]+", " "), " "))
+    code = digits(F.col("ean"))
+    lengths = targets.select(F.length(code).alias("n")).agg(F.collect_set(F.when(F.col("n").isin(*CODE_LENGTHS), F.col("n"))).alias("lengths"))
+
+    places = locations.select("host", "url", F.coalesce(F.unix_seconds(F.try_to_timestamp("lastmod")), F.lit(0)).alias("at")).crossJoin(F.broadcast(lengths))
+    runs = F.regexp_extract_all(F.regexp_replace(path, "[^a-z0-9]+", ""), F.lit("[0-9]{8,}"), 0)
+    fits = lambda run: F.filter("lengths", lambda n: n <= F.length(run))
+    windows = F.flatten(F.transform(runs, lambda run: F.flatten(F.transform(fits(run), lambda n: F.transform(F.sequence(F.lit(1), F.length(run) - n + 1), lambda k: F.substr(run, k, n))))))
+    # outer, as an inner explode would compute the tokens once more for the filter that Spark infers; null meets nothing
+    offered = places.select("host", "url", "at", F.explode_outer(F.array_distinct(F.concat(windows, words(path)))).alias("token"))
+    wanted = targets.where("id IS NOT NULL").select("id", "host", words(F.lower("name")).alias("model"), F.array_compact(F.array(F.when(F.length(code).isin(*CODE_LENGTHS), code))).alias("code"))
+    wanted = wanted.select("id", "host", F.greatest(F.size("model"), F.lit(0)).alias("n"), F.explode_outer(F.concat(F.coalesce("code", F.array().cast("array<string>")), F.coalesce("model", F.array().cast("array<string>")))).alias("token"))
+
+    met = offered.join(wanted, ["host", "token"]).select("id", "url", "at", "n", "token").repartition("id").distinct()
+    worded = F.count_if(F.col("token").rlike("[a-z]"))
+    score = F.greatest(F.when(F.count("*") > worded, 1000).otherwise(0), F.when(worded == F.col("n"), 900 + F.col("n")).otherwise(0))
+    one = met.groupBy("id", "url", "at", "n").agg(score.alias("score")).where("score > 0").select("id", "url", "score", "at").distinct()
+    equal = one.groupBy("id", "score", "at").agg(F.count("*").alias("equal"), F.min("url").alias("url"))
+    best = equal.groupBy("id").agg(F.max(F.struct("score", "at", "equal", "url")).alias("b"))
+    return best.where("b.equal = 1").select("id", "b.url", "b.score")
 
 
 def sitemap_documents(docs: DataFrame, most: int = 3) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pricetide.operators import catalog, offers, schedule
+from pricetide.operators import catalog, crawl, offers, schedule
 from pricetide.plans.adapters import domain
 
 
@@ -88,3 +88,26 @@ def test_node_facts_are_made_before_the_filter(spark):
     pairs = spark.createDataFrame([("a", "<p>x</p>", "4006381333931", "x")], "page_id string, html string, ean string, name string")
     plan = offers.structured_candidates(pairs, 2)._jdf.queryExecution().optimizedPlan().toString()
     assert not any("map_entries" in line or "try_variant_get" in line.lower() and "offers" in line for line in plan.splitlines() if "Filter (" in line.split("higherorder")[0][:60])
+
+
+def test_sitemaps_move_what_can_be_met(spark, moved):
+    """2,000 addresses with a code of 13 digits hold nine stretches as long as some code; only those as long as a wanted one move."""
+    spelled = spark.range(2000).selectExpr("id", "'h' || id % 3 AS host", "lpad(id * 7919 + 1000000, 13, '0') AS ean", "'Big ab' || lpad(id, 6, '0') AS name")
+    places = spelled.selectExpr("host", "'https://' || host || '/p/' || CASE WHEN id % 2 = 0 THEN ean ELSE 'ab' || lpad(id, 6, '0') || '-x' END AS url", "CAST(NULL AS STRING) AS lastmod")
+    rows, n = moved(crawl.sitemap_match(places, spelled))
+    assert {(r["id"], r["score"]) for r in rows} == {(i, 1000 if i % 2 == 0 else 901) for i in range(2000)}
+    assert n < 10_000
+
+
+def test_sitemap_ties_and_lengths(spark):
+    """Codes of two lengths in one run, a code and words of the same address, equal addresses, later dates, and rows without a host or id."""
+    targets = [(1, "h", "12345678", None), (2, "h", "1234567890123", "x Ab1234 cd5678"), (3, "h", "40063813", ""), (4, "h", "123", "ab1234"), (None, "h", "12345678", None), (5, None, "12345678", None)]
+    places = [("h", "https://h/a/1234567890123", None), ("h", "https://h/a/1234567890123", "2024-01-01"), ("h", "https://h/ab1234/CD5678/x", "bad"), ("h", "https://h/40063813", "2024-01-01"), ("h", "https://h/b/40063813", "2024-02-01"), (None, "https://h/12345678", None), ("h", None, None), ("h", "https://h/ab1234", None)]
+    got = crawl.sitemap_match(spark.createDataFrame(places, "host string, url string, lastmod string"), spark.createDataFrame(targets, "id int, host string, ean string, name string"))
+    assert {tuple(r) for r in got.collect()} == {(1, "https://h/a/1234567890123", 1000), (2, "https://h/a/1234567890123", 1000), (3, "https://h/b/40063813", 1000)}
+
+
+def test_products_alone_sort_no_snapshots(spark, sf_dir):
+    """What a store's number tells needs no latest snapshot."""
+    plan = domain(spark, sf_dir, "products").select("id", "host")._jdf.queryExecution().sparkPlan().toString()
+    assert "max_by" not in plan
