@@ -334,17 +334,15 @@ def selector_suggestions(html: Column) -> Column:
     value = lambda t, name, of: F.regexp_extract(t, rf"""(?is)<[a-z][\w:-]*\b.*?\b{name}=["']({of})["']""", 1)
 
     def suggest(t: Column) -> Column:
+        """Each attribute is looked for once, and only where those before it say nothing."""
         name = F.lower(F.regexp_extract(t, r"(?i)^<([a-z][\w:-]*)", 1))
-        prop, test, own = value(t, "itemprop", "[^\"']+"), value(t, "data-testid", "[^\"']+"), value(t, "id", r"[\w-]+")
         word = F.get(F.filter(F.split(value(t, "class", "[^\"']+"), r"\s+"), lambda w: w.rlike("(?i)price|product|ean|gtin")), 0)
-        return (
-            F.when(prop.rlike(r"(?i)^(?:price|gtin\d*|sku)$"), F.concat(name, F.lit("[itemprop="), prop, F.lit("]")))
-            .when(test.rlike(r"^[\w.-]+$"), F.concat(name, F.lit("[data-testid="), test, F.lit("]")))
-            .when(own != "", F.concat(F.lit("#"), own))
-            .when(word.rlike(r"^[\w-]+$"), F.concat(F.lit("."), word))
-        )
+        by_class = once(word, lambda w: F.when(w.rlike(r"^[\w-]+$"), F.concat(F.lit("."), w)))
+        by_id = once(value(t, "id", r"[\w-]+"), lambda own: F.when(own != "", F.concat(F.lit("#"), own)).otherwise(by_class))
+        by_test = once(value(t, "data-testid", "[^\"']+"), lambda test: F.when(test.rlike(r"^[\w.-]+$"), F.concat(name, F.lit("[data-testid="), test, F.lit("]"))).otherwise(by_id))
+        return once(value(t, "itemprop", "[^\"']+"), lambda prop: F.when(prop.rlike(r"(?i)^(?:price|gtin\d*|sku)$"), F.concat(name, F.lit("[itemprop="), prop, F.lit("]"))).otherwise(by_test))
 
-    return F.slice(F.array_distinct(F.array_compact(F.transform(tags, suggest))), 1, MOST_SUGGESTIONS)
+    return F.slice(F.array_distinct(F.array_compact(F.transform(F.array_distinct(tags), suggest))), 1, MOST_SUGGESTIONS)
 
 
 def reason_for_status(status: Column) -> Column:

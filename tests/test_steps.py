@@ -1,10 +1,11 @@
 """Costly steps of page jobs are in a plan once, whatever filters read them; and what they give stays the same."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pricetide.functions import scalars as S
-from pricetide.operators import links, pages
+from pricetide.operators import links, pages, results
 
 FRAGMENT = "#.*$"
 
@@ -40,3 +41,60 @@ def test_odd_addresses(spark):
     given = {"a/.b": "http://h/x/a/.b", "a?b/./c": "http://h/x/a?b/./c", "a\n": "http://h/x/a\n", "HTTP://H:80/#": "http://h/", "https://h:443": "https://h/", "http://h:443/a": "http://h:443/a", "http://:80": None, "//.h/a": "http://.h/a", "http://İ.example/A": "http://i̇.example/A"}
     rows = spark.createDataFrame(list(given.items()), "r string, want string").select("want", S.resolve_url(F.col("r"), F.lit("http://h/x/y#z")).alias("got")).collect()
     assert [r["got"] for r in rows] == [r["want"] for r in rows]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hidden_links_read_anchors_once(pairs):
+    """A page's anchors, and those of what is shown of it, are in the plan once."""
+    assert plan_of(links.hidden_links(pairs)).count("data-product-url") == 2
+
+
+def test_shown_in_parts():
+    """A batch of any size is never whole as texts of Python; what is made of it keeps its order and nulls."""
+    pages_ = [None if k % 7 == 0 else f"<p>{k}</p><b hidden>x</b>" for k in range(300)]
+    parts = list(links.shown_parts(iter([pa.array(pages_), pa.array([], pa.string()), pa.array(["a"])])))
+    assert max(map(len, parts)) <= links.AT_A_TIME
+    assert [t for part in parts for t in part.to_pylist()] == [None if p is None else p.replace("<b hidden>x</b>", "") for p in pages_] + ["a"]
+
+
+def test_suggestions_read_attributes_once(spark, pairs):
+    assert plan_of(pairs.select(S.selector_suggestions(F.col("html")).alias("s"))).count(r"\bitemprop=") == 1
+    html = '<b class="price x">1</b><b class="price x">1</b><i itemprop="Price" id="a">2</i><u itemprop="no" data-testid="a b" id="sku-1">3</u><em data-testid="ean.1">4</em><s class="- gtin!">5</s>'
+    assert spark.createDataFrame([(html,)], "html string").select(S.selector_suggestions(F.col("html"))).first()[0] == [".price", "i[itemprop=Price]", "#sku-1", "em[data-testid=ean.1]"]
+
+
+def test_paths_and_nodes_open_levels_in_place(spark, pairs):
+    """However many levels a document has, its rows pass one step that opens arrays; odd documents give what they gave."""
+    given = ['{"a":[{"b":[1,[2],null,{"c":3}]},{"b":[]},{"b":"x"},null,4]}', '{"a":{"b":true}}', "[]", '{"a":[]}', '[{"a":{"b":1.50}}]', "7"]
+    rows = spark.createDataFrame(list(enumerate(given)), "id int, text string").select("id", F.parse_json("text").alias("node"))
+    found = pages.json_path_values(rows, "a.b")
+    assert plan_of(found).count("Generate") == 1
+    assert sorted(map(tuple, found.collect())) == [(0, "1"), (0, "x"), (1, "true"), (4, "1.5")]
+    assert pages.json_path_values(rows, "a.b.c.d.e.f").count() == pages.json_path_values(rows, " . ").count() == 0
+    nodes = pages.json_nodes(pairs)
+    assert plan_of(nodes).count("Generate") == 2
+    html = [(0, '<SCRIPT type="application/json">{"a":[null,{},[[{"b":1}]],"x"],"c/d":{"e":null}}</SCRIPT><script>{"no":1}</script><script id=__NEXT_DATA__>[1,{"f":2}]</script><script type="application/ld+json">{bad</script>'), (1, ' [{"g":[]}] '), (2, "5"), (3, None)]
+    got = pages.json_nodes(spark.createDataFrame(html, "page_id int, html string")).select("page_id", "path").collect()
+    assert sorted(map(tuple, got)) == sorted([(0, "0"), (0, "0/a/1"), (0, "0/a/2/0/0"), (0, "0/c/d"), (0, "1/1"), (1, "0/0")])
+
+
+def test_attempts_meet_once(spark):
+    """Verdicts need no join of attempts with what was found of them: one for what is met, one for the state."""
+    attempts = spark.createDataFrame([(1, 0, None, "read", None)], "id int, place int, profile_id string, kind string, reason_code string")
+    facts = "id int, place int, score double, ean_match boolean, structured_ean boolean, structured boolean, name_score double, price_cents long, profile_id string, overall_confidence int, source_confidence int"
+    made = results.classify_attempts(attempts.select("id"), attempts, spark.createDataFrame([], facts))
+    assert plan_of(made.select("id", "status")).count("Join") <= 2
+    assert [tuple(r) for r in made.collect()] == [(1, "not_found", "not_found")]
+
+
+def test_walk_deals_pages_over_all_cores(spark):
+    """Pages that are read are few bytes and much work: they come in two parts a core, whatever Spark makes of their size."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: [s for l in [store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)] for s in map(l.apply, range(l.size()))]
+    before = {s.stageId() for s in stages()}
+    table = spark.range(40).selectExpr("'https://s' || id || '.example/' AS url", "'<a href=\"/p/1\">zyx</a>' AS html")
+    assert links.walk(table.selectExpr("url AS id", "url", "'9' AS ean", "'zyx' AS name"), table).count() == 40
+    assert any(s.numTasks() == 2 * spark.sparkContext.defaultParallelism for s in stages() if s.stageId() not in before)
