@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide.functions.scalars import digits, host, is_verified, norm_url
@@ -153,10 +153,12 @@ def classify_attempts(targets: DataFrame, attempts: DataFrame, matches: DataFram
     failure that was too large; not found. matches are those of `classify_results`.
     """
     tried = attempts.withColumn("profile_id", F.coalesce("profile_id", F.lit(""))).withColumn("configured", F.col("profile_id").startswith("custom-")).withColumn("failure", ~F.col("kind").isin(*NO_FAILURE))
-    lost = tried.where(F.col("configured") & F.col("failure") & (F.col("kind") != "http_client_error")).groupBy("id", "profile_id").agg(F.min("place").alias("lost"))
-    tried = tried.join(lost, ["id", "profile_id"], "left").where(F.col("lost").isNull() | (F.col("place") <= F.col("lost")))
-    stops = tried.where((F.col("profile_id") != "sitemap") & F.col("kind").isin(*TERMINAL)).groupBy("id").agg(F.min("place").alias("stop"))
-    tried = tried.join(stops, "id", "left").where(F.col("stop").isNull() | (F.col("place") <= F.col("stop")))
+    # attempts meet once, by product; all that follows reads them in that place
+    route, own = Window.partitionBy("id", "profile_id"), Window.partitionBy("id")
+    fails = F.col("configured") & F.col("failure") & (F.col("kind") != "http_client_error")
+    tried = tried.repartition("id").withColumn("lost", F.min(F.when(fails, F.col("place"))).over(route)).where(F.col("lost").isNull() | (F.col("place") <= F.col("lost")))
+    ends = (F.col("profile_id") != "sitemap") & F.col("kind").isin(*TERMINAL)
+    tried = tried.withColumn("stop", F.min(F.when(ends, F.col("place"))).over(own)).where(F.col("stop").isNull() | (F.col("place") <= F.col("stop")))
     told = F.struct("kind", "reason_code")
     first = lambda which: F.min_by(F.when(which, told), F.when(which, F.col("place")))
     any_ = lambda which: F.coalesce(F.bool_or(which), F.lit(False))
