@@ -193,23 +193,34 @@ JSON_DEPTH = 14
 
 def json_documents(html: Column) -> Column:
     """Texts of a page's JSON scripts (linked data, plain JSON and the state of two known frameworks), or the page itself if it is JSON."""
-    scripts = F.arrays_zip(F.regexp_extract_all(html, F.lit(r"(?is)<script\b([^>]*)>(.*?)</script>"), 1).alias("head"), F.regexp_extract_all(html, F.lit(r"(?is)<script\b([^>]*)>(.*?)</script>"), 2).alias("body"))
-    data = F.filter(scripts, lambda s: s["head"].rlike(r"""(?i)\stype=["']?application/(ld\+)?json(;|["'\s]|$)|\sid=["']?__(next|nuxt)_data__(["'\s]|$)"""))
-    return F.when(html.rlike(r"(?s)^\s*(\{.*\}|\[.*\])\s*$"), F.array(html)).otherwise(F.transform(data, lambda s: s["body"]))
+    head = lambda s: F.regexp_extract(s, r"(?i)^<script\b([^>]*)>", 1)
+    kind = r"""(?i)\stype=["']?application/(ld\+)?json(;|["'\s]|$)|\sid=["']?__(next|nuxt)_data__(["'\s]|$)"""
+    data = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*>.*?</script>"), 0), lambda s: head(s).rlike(kind))
+    body = lambda s: once(F.length(head(s)) + len("<script>"), lambda n: F.substr(s, n + 1, F.length(s) - n - len("</script>")))
+    return F.when(html.rlike(r"(?s)^\s*(\{.*\}|\[.*\])\s*$"), F.array(html)).otherwise(F.transform(data, body))
 
 
 def json_nodes(pages: DataFrame, depth: int = JSON_DEPTH, keep: tuple[str, ...] = ()) -> DataFrame:
     """page_id, the columns to keep, path, node: every JSON object down to `depth` levels in a page's JSON documents; bad JSON has none."""
-    kept = "".join(f", `{c}`" for c in keep)
-    rows = pages.select("page_id", *keep, F.posexplode(json_documents(F.col("html"))).alias("place", "text"))
-    rows = rows.select("page_id", *keep, F.col("place").cast("string").alias("path"), F.try_parse_json("text").alias("node"), F.lit(True).alias("open")).where("node IS NOT NULL")
-    # each level passes on what it has and opens what the level before found, so that one chain reads the pages once
-    step = f"""SELECT page_id{kept}, CASE WHEN own THEN path ELSE concat(path, '/', coalesce(c.key, CAST(c.pos AS STRING))) END AS path, CASE WHEN own THEN node ELSE c.value END AS node, NOT own AS open
-        FROM (SELECT *, explode(CASE WHEN open THEN array(true, false) ELSE array(true) END) AS own FROM {{rows}}), LATERAL variant_explode_outer(CASE WHEN own THEN NULL ELSE node END) AS c
-        WHERE own OR schema_of_variant(c.value) RLIKE '^(OBJECT|ARRAY)'"""
-    for _ in range(depth):
-        rows = rows.sparkSession.sql(step, rows=rows)
-    return rows.select("page_id", *keep, "path", "node").where(F.schema_of_variant("node").startswith("OBJECT"))
+    # outer, as Spark would put a filter before an inner explode that makes the array once more
+    texts = pages.select("page_id", *keep, F.posexplode_outer(json_documents(F.col("html"))).alias("place", "text"))
+    get = lambda node, kind: F.try_variant_get(node, "$", kind)
+    made = lambda path, node: F.struct(path.alias("path"), node.alias("node"), get(node, "map<string,variant>").alias("fields"), get(node, "array<variant>").alias("items"))
+    nests = lambda n: n["fields"].isNotNull() | n["items"].isNotNull()
+    below = lambda o, step: F.concat(o["path"], F.lit("/"), step)
+    fields = lambda o: F.transform(F.map_entries(o["fields"]), lambda e: made(below(o, e["key"]), e["value"]))
+    items = lambda o: F.transform(o["items"], lambda v, k: made(below(o, k.cast("string")), v))
+    objects = lambda level: F.transform(F.filter(level, lambda n: n["fields"].isNotNull()), lambda n: F.struct(n["path"].alias("path"), n["node"].alias("node")))
+    top = F.filter(F.array(made(F.col("place").cast("string"), F.try_parse_json("text"))), nests)
+    start = once(top, lambda level: F.struct(objects(level).alias("found"), level.alias("open")))
+
+    def step(so_far: Column, _: Column) -> Column:
+        """What a level holds is opened once; a document without further levels passes on what it has."""
+        level = F.filter(F.flatten(F.transform(so_far["open"], lambda o: F.when(o["fields"].isNotNull(), fields(o)).otherwise(items(o)))), nests)
+        return F.when(F.size(so_far["open"]) == 0, so_far).otherwise(once(level, lambda new: F.struct(F.concat(so_far["found"], objects(new)).alias("found"), new.alias("open"))))
+
+    found = F.aggregate(F.array_repeat(F.lit(0), depth), start, step, lambda all_: all_["found"])
+    return texts.select("page_id", *keep, F.explode_outer(found).alias("n")).where("n IS NOT NULL").select("page_id", *keep, "n.path", "n.node")
 
 
 def select_offer(structured: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -332,11 +343,13 @@ def json_path_values(rows: DataFrame, path: str, node: str = "node") -> DataFram
     """The columns of `rows` but for the node, and value: the plain values at a dotted path of at most five parts, lists opened on the way and at the end."""
     parts = [p.strip() for p in path.split(".") if p.strip()]
     keep = [c for c in rows.columns if c != node]
-    named = ", ".join(f"`{c}`" for c in keep)
-    now = rows.select(*keep, F.col(node).alias("_v")).limit(0) if not parts or len(parts) > 5 else rows.select(*keep, F.col(node).alias("_v"))
-    opened = f"SELECT {named}{',' if keep else ''} coalesce(c.value, _v) AS _v FROM {{now}}, LATERAL variant_explode_outer(CASE WHEN startswith(schema_of_variant(_v), 'ARRAY') THEN _v END) AS c"
+    if not parts or len(parts) > 5:
+        return rows.select(*keep, F.lit(None).cast("string").alias("value")).limit(0)
+    opened = lambda values: F.flatten(F.transform(values, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))))
+    values = F.array(F.col(node))
     for part in parts:
-        now = now.sparkSession.sql(opened, now=now).withColumn("_v", F.try_variant_get("_v", "$['" + part.replace("'", "\\'") + "']", "variant")).where("_v IS NOT NULL")
-    now = now.sparkSession.sql(opened, now=now)
-    kind = F.schema_of_variant("_v")
-    return now.where(~kind.rlike("^(OBJECT|ARRAY|VOID)")).select(*keep, F.try_variant_get("_v", "$", "string").alias("value"))
+        field = "$['" + part.replace("'", "\\'") + "']"
+        values = F.filter(F.transform(opened(values), lambda v: F.try_variant_get(v, field, "variant")), lambda v: v.isNotNull())  # noqa: B023  made at once
+    # outer, as Spark would put a filter before an inner explode that walks the path once more
+    found = rows.select(*keep, F.explode_outer(opened(values)).alias("_v"))
+    return found.where(~F.schema_of_variant("_v").rlike("^(OBJECT|ARRAY|VOID)")).select(*keep, F.try_variant_get("_v", "$", "string").alias("value"))
