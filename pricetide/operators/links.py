@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ HIDING = frozenset("hidden d-none is-hidden visually-hidden sr-only offscreen ho
 FAR, HALF = -100, 50
 TAG = re.compile(r"<(?P<end>/?)(?P<name>[a-z][\w:-]*)\b(?P<rest>[^>]*)>", re.IGNORECASE)
 ATTRIBUTE = re.compile(r"""([\w:-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: Names of the attributes that can hide an element.
+TELLING = re.compile(r"(?<![\w:-])(?:hidden|inert|aria-hidden|style|class|id)(?![\w:-])", re.IGNORECASE)
 SILENT = re.compile(r"<(script|style)\b[^>]*>.*?</\1>", re.IGNORECASE | re.DOTALL)
 SHEET = re.compile(r"<style\b[^>]*>(.*?)</style>", re.IGNORECASE | re.DOTALL)
 NUMBER = re.compile(r"-?\d*\.?\d+")
@@ -30,6 +33,7 @@ def numbers(value: str) -> list[float]:
     return [float(n) for n in NUMBER.findall(value)]
 
 
+@lru_cache(maxsize=4096)
 def unseen(style: str) -> bool:
     """Whether declarations keep an element out of sight; each property is judged by its own value."""
     said = {name.strip(): value.replace("!important", "").strip() for name, _, value in (d.partition(":") for d in style.lower().split(";"))}
@@ -48,16 +52,19 @@ def elements(page: str) -> list[list]:
     found: list[list] = []
     open_: list[int] = []
     for tag in TAG.finditer(page):
-        name = tag["name"].lower()
-        if tag["end"]:
-            depth = next((d for d in reversed(range(len(open_))) if found[open_[d]][0] == name), None)
-            if depth is not None:
+        closing, name, rest = tag.groups()
+        name = name.lower()
+        if closing:
+            depth = len(open_) - 1
+            while depth >= 0 and found[open_[depth]][0] != name:
+                depth -= 1
+            if depth >= 0:
                 for k in open_[depth:]:
                     found[k][3] = tag.end()
                 del open_[depth:]
             continue
-        found.append([name, tag["rest"], tag.start(), len(page)])
-        if name in VOID or tag["rest"].rstrip().endswith("/"):
+        found.append([name, rest, tag.start(), len(page)])
+        if name in VOID or rest.rstrip().endswith("/"):
             found[-1][3] = tag.end()
         else:
             open_.append(len(found) - 1)
@@ -74,10 +81,12 @@ def shown_html(html: str) -> str:
     named = {n for names, body in rules if unseen(body) for n in re.findall(r"[.#][\w-]+", names)}
 
     def hidden(rest: str) -> bool:
+        if not TELLING.search(rest):
+            return False
         have = {a.lower(): v.strip("\"'") for a, v in ATTRIBUTE.findall(rest)}
         classes = have.get("class", "").split()
         marks = {"#" + have.get("id", ""), *("." + c for c in classes)}
-        return bool({"hidden", "inert"} & have.keys() or marks & named or HIDING & {c.lower() for c in classes}) or have.get("aria-hidden", "").lower() == "true" or unseen(have.get("style", ""))
+        return bool({"hidden", "inert"} & have.keys() or marks & named or HIDING & {c.lower() for c in classes}) or have.get("aria-hidden", "").lower() == "true" or "style" in have and unseen(have["style"])
 
     page = SILENT.sub(" ", html)
     parts, at = [], 0
@@ -88,15 +97,20 @@ def shown_html(html: str) -> str:
     return "".join(parts) + page[at:]
 
 
-def shown(html: Column) -> Column:
-    """`shown_html` of a column; null stays null."""
+#: Pages that are Python objects at a time; the rest of a batch stays in Arrow's memory.
+AT_A_TIME = 64
+
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for pages in batches:
-            yield pages.map(lambda p: None if p is None else shown_html(p))
+def shown_parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """`shown_html` of batches of pages, in parts: only a few pages of a batch are texts of Python at a time, and what is made of them goes on at once."""
+    for pages in batches:
+        for k in range(0, len(pages), AT_A_TIME):
+            yield pa.array([None if p is None else shown_html(p) for p in pages.slice(k, AT_A_TIME).to_pylist()], pa.string())
 
-    return run(html)
+
+def shown(html: Column) -> Column:
+    """`shown_html` of a column; null stays null."""
+    return F.arrow_udf(shown_parts, "string")(html)
 
 
 def anchors(html: Column) -> Column:
@@ -106,8 +120,9 @@ def anchors(html: Column) -> Column:
 
 def hidden_links(pages: DataFrame) -> DataFrame:
     """page_id, link: addresses that a page links only where readers don't see them, each once."""
-    both = pages.select("page_id", anchors(F.col("html")).alias("all"), anchors(shown(F.col("html"))).alias("seen"))
-    return both.select("page_id", F.explode(F.array_except("all", "seen")).alias("link"))
+    both = pages.select("page_id", anchors(F.col("html")).alias("all"), shown(F.col("html")).alias("seen"))
+    # outer, as Spark would put a filter before an inner explode that reads the anchors once more; addresses are never null
+    return both.select("page_id", F.explode_outer(F.array_except("all", anchors(F.col("seen")))).alias("link")).where("link IS NOT NULL")
 
 
 def likely_links(pairs: DataFrame, most: int = 8) -> DataFrame:
