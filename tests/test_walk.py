@@ -58,3 +58,32 @@ def test_shared_pages_nulls_and_empty_tables(spark):
     got = {tuple(r) for r in links.walk(targets.withColumn("html", F.lit("own")), table).collect()}
     assert got == {("1", "https://a.example/", 1), ("1", "https://a.example/p/1", 2), ("2", "https://a.example/", 1)}
     assert links.walk(targets.where("false"), table).count() == 0 and links.walk(targets, table.where("false")).count() == 0
+
+
+def made(spark, sites, linked):
+    """Sites whose first page links `linked` others, each without links; targets and pages, in one part each."""
+    root = "'https://s' || id || '.example/'"
+    anchors = "array_join(transform(sequence(1, %d), k -> '<a href=\"/p/' || k || '\">zyx</a>'), '')" % linked
+    table = spark.range(0, sites, 1, 1).selectExpr(f"inline(array_union(array(struct({root} AS url, {anchors} AS html)), transform(sequence(1, {linked}), k -> struct({root} || 'p/' || k AS url, '<p>x</p>' AS html))))")
+    return spark.range(0, sites, 1, 1).selectExpr("'t' || id AS id", f"{root} AS url", "'9' AS ean", "'zyx' AS name"), table
+
+
+def test_read_pages_are_dealt_over_all_cores(spark):
+    """Pages of one part, few bytes and much work, are read in two parts a core; none of them is broadcast by the size of the table that they are made of."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = lambda: (lambda found: {found.apply(k).stageId(): found.apply(k).numTasks() for k in range(found.size())})(store.stageList(None, False, False, none, None))
+    before = stages()
+    targets, table = made(spark, 40, 2)
+    assert {tuple(r) for r in links.walk(targets, table).collect()} == {(f"t{i}", f"https://s{i}.example/" + (f"p/{k}" if k else ""), k + 1) for i in range(40) for k in range(3)}
+    assert sum(n == 2 * spark.sparkContext.defaultParallelism for at, n in stages().items() if at not in before) >= 2
+
+
+def test_pages_after_the_last_turn_are_not_looked_into(spark, monkeypatch):
+    """The eighth page read ends a walk: no links of it are looked for; nor are they where the queue is full."""
+    looked, likely = [], links._likely
+    monkeypatch.setattr(links, "_likely", lambda page, most: looked.append(1) or likely(page, most))
+    targets, table = made(spark, 2, 7)
+    assert links.walk(targets, table).count() == 16 and len(looked) == 1
+    targets, table = made(spark, 2, 3)
+    assert links.walk(targets, table, most_queued=4).count() == 8 and len(looked) == 2
