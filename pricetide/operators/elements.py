@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 TAG = re.compile(r"<(?P<end>/?)(?P<name>[a-z][\w:-]*)\b(?P<head>[^>]*)>", re.IGNORECASE)
 ATTRIBUTE = re.compile(r"""([^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
@@ -24,31 +28,39 @@ def attributes_of(head: str) -> dict[str, str]:
     return {name.lower(): a or b or c for name, a, b, c in ATTRIBUTE.findall(head)}
 
 
+#: Tags, and facts of them, that a process keeps, and the longest heads of them: pages of one shop repeat them.
+KEPT_TAGS, KEPT_CHARS = 4096, 400
+
+
+@lru_cache(maxsize=KEPT_TAGS)
+def _kept(name: str, head: str, keep: re.Pattern | None) -> dict[str, str] | None:
+    """The attributes of a tag that meets the pattern `keep`, else None."""
+    return attributes_of(head) if keep is None or keep.search(f"{name} {head}") else None
+
+
 def spans_of(page: str, keep: re.Pattern | None) -> list[tuple]:
     """Every element in order: name, head, attributes, where its tag and its content begin, where the first end tag of its name begins and ends (the end of its own tag without one), and the place of the element around it (-1: none)."""
-    tags = list(TAG.finditer(page))
+    tags = [(tag.start(), tag.end(), *tag.groups()) for tag in TAG.finditer(page)]
     closes: dict[str, tuple[int, int]] = {}
-    ends: list[tuple[int, int] | None] = [None] * len(tags)
-    for k in range(len(tags) - 1, -1, -1):
-        name = tags[k]["name"].lower()
-        if tags[k]["end"]:
-            closes[name] = tags[k].start(), tags[k].end()
-        else:
-            ends[k] = closes.get(name)
+    rest = []
+    for start, inner, closing, name, head in reversed(tags):
+        name = name.lower()
+        if closing:
+            closes[name] = start, inner
+        rest.append((start, inner, closing, name, head, closes.get(name)))
     out, around = [], []
-    for tag, end in zip(tags, ends, strict=True):
-        name = tag["name"].lower()
-        if tag["end"]:
-            depth = next((d for d in reversed(range(len(around))) if around[d][0] == name), None)
-            if depth is not None:
-                del around[depth:]
+    for start, inner, closing, name, head, end in reversed(rest):
+        if closing:
+            for depth in range(len(around) - 1, -1, -1):
+                if around[depth][0] == name:
+                    del around[depth:]
+                    break
             continue
-        parent = next((p for n, p in reversed(around) if p >= 0), -1)
-        kept = keep is None or keep.search(f"{name} {tag['head']}")
-        if kept:
-            out.append((name, tag["head"], attributes_of(tag["head"]), tag.start(), tag.end(), *(end or (-1, tag.end())), parent))
-        if end and not tag["head"].rstrip().endswith("/"):
-            around.append((name, len(out) - 1 if kept else -1))
+        attributes = (_kept if len(head) <= KEPT_CHARS else _kept.__wrapped__)(name, head, keep)
+        if attributes is not None:
+            out.append((name, head, attributes, start, inner, *(end or (-1, inner)), next((p for n, p in reversed(around) if p >= 0), -1)))
+        if end and not head.rstrip().endswith("/"):
+            around.append((name, len(out) - 1 if attributes is not None else -1))
     return out
 
 
@@ -65,6 +77,33 @@ def spans(html: Column, keep: str | None = None) -> Column:
     return run(html)
 
 
+#: Rows whose texts are Python objects at a time; the rest of a batch stays in Arrow's memory.
+AT_A_TIME = 64
+
+
+def passed(rows: DataFrame, keep: list[str], reads: list[str], rule: Callable[..., Iterable[tuple]], fields: str) -> DataFrame:
+    """The columns to keep, once for each tuple (of `fields`) that `rule` makes of a row's columns `reads`: one pass over the rows, which no filter behind it takes anew."""
+    made = StructType.fromDDL(fields)
+    types = [f.type for f in to_arrow_schema(made)]
+    names = [*keep, *made.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, AT_A_TIME):
+                part = batch.slice(k, AT_A_TIME)
+                at, found = [], []
+                for i, values in enumerate(zip(*(part.column(c).to_pylist() for c in reads), strict=True)):
+                    for made_ in rule(*values):
+                        at.append(i)
+                        found.append(made_)
+                if found:
+                    columns = [pa.array(values, t) for values, t in zip(zip(*found, strict=True), types, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(at, pa.int32())) for c in keep), *columns], names)
+
+    schema = StructType([*(StructField(c, rows.schema[c].dataType) for c in keep), *made.fields])
+    return rows.select(*dict.fromkeys([*keep, *reads])).mapInArrow(run, schema)
+
+
 def decoded(text: Column) -> Column:
     """Text with its named and numbered entities as characters, numbers of any base that pages use; a text without any is passed on as it is."""
 

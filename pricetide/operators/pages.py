@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricetide.functions.scalars import commerce_platform, detect_currency, digits, host, narrowed, normalize_currency, once, price_cents, price_values, resolve_url, same_store, without_fragment
-from pricetide.operators.elements import STATING, between, decoded, selected_text, spans, stated, text_of
+from pricetide.functions import plain as P
+from pricetide.functions.scalars import CURRENCIES, commerce_platform, detect_currency, digits, host, narrowed, normalize_currency, once, price_cents, price_values, resolve_url, same_store, without_fragment
+from pricetide.operators.elements import KEPT_CHARS, KEPT_TAGS, STATING, VALUES, decoded, passed, selected_text, spans, spans_of
 
 # Texts of walls before a page, and characters of a page that are read for them.
 CAPTCHA_TEXT = r"(?:complete|solve|enter)\s+(?:the\s+)?captcha|captcha\s+(?:is\s+)?required|verify\s+(?:that\s+)?you(?:'re| are)\s+human"
@@ -87,6 +91,47 @@ def _beside_price(words: str) -> str:
     return rf"(?i)(?:{words})[-_\s]*(?:price|cost)|(?:price|cost)[-_\s]*(?:{words})"
 
 
+_WORDS = re.compile(r"^(?:meta|link|input)\b|price|cost", re.IGNORECASE)
+_ELEMENT, _TAGGED, _ITEMPROP = P.pattern(PRICE_ELEMENT), P.pattern(PRICE_TAG), P.pattern("(?i)itemprop")
+_STATED, _NOW, _FORMER, _STRUCK = P.pattern("""(?i)itemprop=["']price["']"""), P.pattern(_beside_price(NOW)), P.pattern(_beside_price(FORMER)), P.pattern(r"(?i)<(?:s|del)\b")
+
+
+@lru_cache(maxsize=KEPT_TAGS)
+def _facts(head: str) -> tuple[int | None, int | None, int]:
+    """Of a tag's attributes: the score of a stated price and of a price element's content, if they speak of one, and the rank of the currency that they name."""
+    stated = (110 if _ITEMPROP.search(head) else 100) if _TAGGED.search(head) else None
+    element = 62 + 42 * bool(_STATED.search(head)) + 38 * bool(_NOW.search(head)) - 85 * bool(_FORMER.search(head)) if _ELEMENT.search(head) else None
+    return stated, element, P.currency_rank(head)
+
+
+def prices_of(html: str | None) -> list[tuple]:
+    """`html_prices` of one page: place, price_cents, currency, score, source."""
+    if html is None:
+        return []
+    found = spans_of(html, _WORDS)
+    metas = [((a.get("property") or "").lower(), (a.get("name") or "").lower(), P.decoded(a["content"]).strip(" ")) for name, _, a, *_ in found if name == "meta" and a.get("content")]
+    content = lambda wanted: next((said for property_, name, said in metas if wanted in (property_, name)), None)
+    every = [(content(name), score, P.currency_rank(name), "product-meta") for name, score in META_PRICES] if metas else []
+    elements, last = [], -1
+    for name, head, a, start, inner, close, end, _ in found:
+        stated, element, rank = (_facts if len(head) <= KEPT_CHARS else _facts.__wrapped__)(head)
+        if stated and name in STATING:
+            raw = P.decoded(next((a[v] for v in VALUES if a.get(v)), None))
+            raw = next((said for k in ("data-product-price", "data-price") if (said := (P.decoded(a.get(k)) or "").strip(" "))), None) if raw is None else raw
+            every.append((raw, stated, rank, "product-meta"))
+        if element is not None and close >= 0 and close - inner <= PRICE_CONTENT and start >= last:
+            last = end
+            if element > 20 and (score := element - 65 * bool("<" in (inside := html[inner:close]) and _STRUCK.search(inside))) > 20:
+                elements.append((P.text_of(inside), score, rank, "product-element"))
+    # a blank parts what is said from the tag's attributes, so that no currency's name lies in both
+    every = [(raw, score, min(rank, P.currency_rank(raw)), source) for raw, score, rank, source in every + elements if raw]
+    own = None
+    if any(rank == len(CURRENCIES) for _, _, rank, _ in every):  # the page's own currency is looked for only where a candidate names none
+        own = P.normalize_currency(next((said for name in META_CURRENCIES if (said := content(name))), None) or P.detect_currency(P.text_of(html)))
+    currency = lambda rank: own if rank == len(CURRENCIES) else CURRENCIES[rank][0]
+    return [(place, cents, P.normalize_currency(currency(rank)), score, source) for place, (raw, score, rank, source) in enumerate(every) for cents in P.price_values(raw)]
+
+
 def html_prices(pages: DataFrame) -> DataFrame:
     """page_id, place, price_cents, currency, score, source: all amounts that a page's meta and price elements state, with a base score.
 
@@ -96,38 +141,7 @@ def html_prices(pages: DataFrame) -> DataFrame:
     scores more, a former or struck one less, from 20 down none. The currency is
     that of the element, else that of the page.
     """
-    found = pages.select("page_id", "html", spans(F.col("html"), r"^(?:meta|link|input)\b|price|cost").alias("e"))
-    saying = F.filter("e", lambda e: (e["name"] == "meta") & (F.coalesce(e["attributes"]["content"], F.lit("")) != ""))
-    metas = F.transform(saying, lambda e: F.struct(F.lower(e["attributes"]["property"]).alias("property"), F.lower(e["attributes"]["name"]).alias("name"), F.trim(decoded(e["attributes"]["content"])).alias("content")))
-    closed = F.filter("e", lambda e: e["head"].rlike(PRICE_ELEMENT) & (e["close"] >= 0) & (e["close"] - e["inner"] <= PRICE_CONTENT))
-    found = narrowed(found, F.struct(metas.alias("metas"), closed.alias("closed")), lambda x: F.lit(True))
-    content = lambda name: F.get(F.filter("metas", lambda m: (m["property"] == name) | (m["name"] == name)), 0)["content"]
-    candidate = lambda raw, score, context, source: F.struct(raw.alias("raw"), score.cast("int").alias("score"), context.alias("context"), F.lit(source).alias("source"))
-    by_name = F.array(*(candidate(content(name), F.lit(score), F.lit(name), "product-meta") for name, score in META_PRICES))
-    own = lambda e, name: F.nullif(F.trim(decoded(e["attributes"][name])), F.lit(""))
-    tags = F.transform(
-        F.filter("e", lambda e: e["name"].isin(*STATING) & e["head"].rlike(PRICE_TAG)),
-        lambda e: candidate(F.coalesce(stated(e), own(e, "data-product-price"), own(e, "data-price")), F.when(e["head"].rlike("(?i)itemprop"), 110).otherwise(100), e["head"], "product-meta"),
-    )
-    start = F.struct(F.lit(-1).alias("last"), F.slice("closed", 1, 0).alias("out"))
-    outer = F.aggregate("closed", start, lambda a, e: F.when(e["start"] >= a["last"], F.struct(e["end"].alias("last"), F.array_append(a["out"], e).alias("out"))).otherwise(a), lambda a: a["out"])
-
-    def element(e: Column) -> Column:
-        inside = between(F.col("html"), e["inner"], e["close"])
-        when = lambda c, points: F.when(c, points).otherwise(0)
-        head = e["head"]
-        score = 62 + when(head.rlike("""(?i)itemprop=["']price["']"""), 42) + when(head.rlike(_beside_price(NOW)), 38) - when(head.rlike(_beside_price(FORMER)), 85) - when(inside.rlike(r"(?i)<(?:s|del)\b"), 65)
-        return candidate(F.when(score > 20, text_of(inside)), score, head, "product-element")
-
-    every = F.filter(F.concat(by_name, tags, F.transform(outer, element)), lambda c: F.coalesce(c["raw"], F.lit("")) != "")
-    own_currency = lambda c: F.struct(c.alias("c"), once(F.concat(c["raw"], F.lit(" "), c["context"]), detect_currency).alias("own"))
-    found = narrowed(found, F.struct(F.transform(every, own_currency).alias("every")), lambda x: F.size(x["every"]) > 0)
-    # the page's own currency is looked for only where a candidate names none
-    currency = F.coalesce(*(F.nullif(content(name), F.lit("")) for name in META_CURRENCIES), once(text_of(F.col("html")), detect_currency))
-    silent = F.exists("every", lambda x: x["own"].isNull())
-    rows = found.select("page_id", F.when(silent, once(currency, normalize_currency)).alias("page_currency"), F.posexplode("every").alias("place", "x"))
-    said = F.coalesce("x.own", "page_currency")
-    return rows.select("page_id", "place", F.explode(price_values(F.col("x.c.raw"))).alias("price_cents"), once(said, normalize_currency).alias("currency"), "x.c.score", "x.c.source")
+    return passed(pages, ["page_id"], ["html"], prices_of, "place int, price_cents bigint, currency string, score int, source string")
 
 
 def meta_prices(pages: DataFrame) -> DataFrame:
@@ -142,9 +156,9 @@ def element_prices(pages: DataFrame) -> DataFrame:
 
 def best_price(pages: DataFrame) -> DataFrame:
     """The highest-scoring candidate of each page, the first of equals."""
-    one = html_prices(pages).groupBy("page_id", "price_cents", "currency").agg(F.max_by(F.struct("score", "source", "place"), F.struct("score", -F.col("place"))).alias("b"))
-    top = one.groupBy("page_id").agg(F.max_by(F.struct("price_cents", "currency", "b"), F.struct("b.score", -F.col("b.place"), -F.col("price_cents"))).alias("t"))
-    return top.select("page_id", "t.price_cents", "t.currency", "t.b.score", "t.b.source")
+    rank = F.struct("score", -F.col("place"), -F.col("price_cents"))
+    top = html_prices(pages).groupBy("page_id").agg(F.max_by(F.struct("price_cents", "currency", "score", "source"), rank).alias("t"))
+    return top.select("page_id", "t.price_cents", "t.currency", "t.score", "t.source")
 
 
 #: A price with a label before or behind it, and words near a price that make it another price.
