@@ -52,3 +52,22 @@ def test_prices_are_read_in_one_pass(pairs):
 def test_currencies_of_prices():
     html = "<b class='price'>5 eur</b><b class='price' id='usd'>6</b><p>7 ₹</p><b class='cost'>8</b><b class='cost'>½EUR 9</b><b class='cost'>x9EUR</b>"
     assert [(c, k) for _, c, k, _, _ in pages.prices_of(html)] == [(500, "EUR"), (600, "USD"), (800, "EUR"), (900, "EUR"), (900, "EUR")]
+
+
+@pytest.mark.parametrize(("make", "moves"), [(pages.ranked_data_urls, 1), (pages.search_forms, 1), (links.likely_links, 1)])
+def test_references_are_read_in_one_pass(pairs, make, moves):
+    """What a page refers to comes of one pass over its text, and its rows move once."""
+    df = make(pairs)
+    assert plan_of(df).count("MapInArrow") == 1 and "ArrowEvalPython" not in plan_of(df)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == moves
+
+
+def test_forms_within_forms():
+    page = "<form action=/a><form action=/b><input name=q></form></form><form method=POST><input name=q></form><form class=search><input name=isci><input type=hidden name=a value=1><input type=hidden name=token value=2><input name=s><input name=q></form><form><input name=q>"
+    assert pages.forms_of(page) == [(0, "/a", "q", "", 14), (2, "", "s", "a=1", 22)] and pages.forms_of(None) == []
+
+
+def test_references_of_odd_pages():
+    assert pages.data_references("<link rel='x alternate' type=text/json href=><i data-api-url='a&amp;b' data-product-api=c></i><link rel=alternate type='application/a+json' href=d>") == [(0, "d", 12), (1, "c", 11), (2, "a&b", 8)]
+    assert links.shown_anchors("<a href='/a'>A <b>b</b></a><link rel=canonical><link rel='x canonical' href='/c'><div hidden><a href=\"/h\">h</a></div><a href=/n>n</a>") == [(0, "/c", True, ""), (1, "/a", False, "a b")]
+    assert pages.data_references(None) == links.anchors_of(None) == links.shown_anchors(None) == []
