@@ -131,7 +131,7 @@ def name_score(expected: str | None, candidate: str | None) -> float:
     return sum(t in words for t in tokens) / len(tokens) if tokens else 0.0
 
 
-_NO_DIGIT, _DIGITS, _RUN = pattern("[^0-9]"), pattern(r"[0-9]+\Z"), pattern(r"[0-9](?:[\s-]*[0-9])*")
+_NO_DIGIT, DIGITS, _RUN = pattern("[^0-9]"), pattern(r"[0-9]+\Z"), pattern(r"[0-9](?:[\s-]*[0-9])*")
 
 
 def digits(text: str | None) -> str | None:
@@ -162,7 +162,7 @@ def contains_barcode(text: str | None, code: str | None) -> bool:
     """The code in a text, with blanks or dashes between digits, and not inside a longer number."""
     if text is None or code is None:
         return False
-    if not _DIGITS.match(code):
+    if not DIGITS.match(code):
         return bool((wanted := _barcode(code)) and wanted.search(text))
     digit = lambda k: 0 <= k < len(text) and "0" <= text[k] <= "9"
     return any(not digit(a - 1) and not digit(b) for a, b in spaced(text, code))

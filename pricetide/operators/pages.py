@@ -55,9 +55,12 @@ def stock(text: Column) -> Column:
     return F.when(text.rlike(OUT_OF_STOCK), False).when(text.rlike(IN_STOCK), True)
 
 
+#: What names a page, in the order in which it is tried.
+TITLES = (r"""(?is)<meta[^>]+property=["']og:title["'][^>]+content=["']([^"']*)""", r"(?is)<h1[^>]*>([^<]*)", r"(?is)<title[^>]*>([^<]*)")
+
+
 def title(html: Column) -> Column:
-    take = lambda p: F.nullif(F.trim(F.regexp_extract(html, p, 1)), F.lit(""))
-    return F.coalesce(take(r"""(?is)<meta[^>]+property=["']og:title["'][^>]+content=["']([^"']*)"""), take(r"(?is)<h1[^>]*>([^<]*)"), take(r"(?is)<title[^>]*>([^<]*)"))
+    return F.coalesce(*(F.nullif(F.trim(F.regexp_extract(html, p, 1)), F.lit("")) for p in TITLES))
 
 
 def signals(pages: DataFrame) -> DataFrame:
@@ -169,17 +172,47 @@ LABELLED = (
 OTHER_PRICE = r"(?i)shipping|delivery|postage|per\s+month|monthly|save\s+|discount|was\s+|old\s+price"
 
 
-def _labelled(text: Column, pattern: str, around: int = 45) -> Column:
-    """raw (each match of a pattern), and the characters before and after it, up to `around`."""
-    group = lambda g: F.regexp_extract_all(text, F.lit(f"(?is)\\G(.*?)({pattern})(?=(.{{0,{around}}}))"), g)
-    parts = F.arrays_zip(group(1).alias("gap"), group(2).alias("raw"), group(3).alias("after"))
-    last = lambda *c: F.right(F.concat(*c), F.lit(around))
-    start = F.struct(F.lit("").alias("tail"), F.array().cast("array<struct<before:string,raw:string,after:string>>").alias("out"))
-    step = lambda a, m: F.struct(last(a["tail"], m["gap"], m["raw"]).alias("tail"), F.array_append(a["out"], F.struct(last(a["tail"], m["gap"]).alias("before"), m["raw"].alias("raw"), m["after"].alias("after"))).alias("out"))
-    return F.aggregate(parts, start, step, lambda a: a["out"])
+# Characters around the wanted code, its name and a price that are read.
+AROUND, AROUND_NAME, BESIDE = 1_800, 1_400, 45
+_LABELLED, _OTHER_PRICE, _SALE = tuple(P.pattern(f"(?is){p}") for p in LABELLED), P.pattern(OTHER_PRICE), P.pattern(r"(?i)current|sale|our\s+price|now")
+#: A word of each form of a labelled price: a text without any holds none.
+_LABELS = (("price", "now"), ("current", "today", "now"))
+_BLANKS = P.pattern(r"\s+")
+
+
+def _near(text: str, at: int, what: str, around: int) -> str:
+    """What stands at a place (from 1) of a text, and up to `around` characters on each side."""
+    start = max(1, at - around) - 1
+    return text[start : start + min(at - 1, around) + len(what) + around]
 
 
-def context_prices(pairs: DataFrame, around: int = 1800, around_name: int = 1400) -> DataFrame:
+def _spaced_at(text: str, code: str) -> int:
+    """The place (from 1) of a code of digits with blanks or dashes between them, 0 where it is none."""
+    return next((a + 1 for a, _ in P.spaced(text, code)), 0) if P.DIGITS.match(code) else 0
+
+
+def labelled_prices(html: str | None, ean: str | None, name: str | None, around: int = AROUND, around_name: int = AROUND_NAME) -> list[tuple]:
+    """`context_prices` of one page: price_cents, currency, score, by_code."""
+    if html is None:
+        return []
+    text, best = P.visible(html), {}
+    low = text.lower()
+    name = None if name is None else _BLANKS.sub(" ", name.lower()).strip(" ")
+    at = low.find(ean) + 1 or _spaced_at(text, ean) if ean else 0
+    named_at = low.find(name) + 1 if name else 0
+    for base, by_code, window in ((54, True, _near(text, at, ean, around) if at else ""), (35, False, _near(text, named_at, name, around_name) if named_at else "")):
+        said = window.lower()
+        for price, labels in zip(_LABELLED, _LABELS, strict=True):
+            for m in price.finditer(window) if any(label in said for label in labels) else ():
+                if _OTHER_PRICE.search(window[max(0, m.start() - BESIDE) : m.end() + BESIDE]):
+                    continue
+                for cents in P.price_values(m[0])[:1]:
+                    key, score = (cents, P.detect_currency(m[0])), (base + 18 * bool(_SALE.search(m[0])), by_code)
+                    best[key] = max(score, best.get(key, score))
+    return [(*key, *score) for key, score in best.items()]
+
+
+def context_prices(pairs: DataFrame, around: int = AROUND, around_name: int = AROUND_NAME) -> DataFrame:
     """page_id, price_cents, currency, score, source: labelled prices near the wanted code (54) or, if pairs has a name, near that (35).
 
     A code may have blanks or dashes between its digits where it stands nowhere without. A current or sale label adds 18; a price with shipping, instalments or former
@@ -187,18 +220,10 @@ def context_prices(pairs: DataFrame, around: int = 1800, around_name: int = 1400
     stays, the code's before the name's. pairs has page_id, html, ean.
     """
     named = F.col("name") if "name" in pairs.columns else F.lit(None).cast("string")
-    text = pairs.select("page_id", "ean", F.trim(F.regexp_replace(F.lower(named), r"\s+", " ")).alias("name"), visible(F.col("html")).alias("text"))
-    spaced = F.when(F.col("ean").rlike("^[0-9]+$"), F.array_join(F.split("ean", "(?<=.)(?=.)"), r"[\s-]*"))
-    text = text.withColumn("ean_at", F.coalesce(F.nullif(F.expr("locate(ean, lower(text))"), F.lit(0)), F.regexp_instr("text", spaced))).withColumn("name_at", F.expr("locate(name, lower(text))"))
-    near = lambda what, n: F.when(F.expr(f"{what} != '' AND {what}_at > 0"), F.expr(f"substr(text, greatest(1, {what}_at - {n}), least({what}_at - 1, {n}) + length({what}) + {n})"))
-    windows = F.array(F.struct(near("ean", around).alias("w"), F.lit(54).alias("base"), F.lit("ean-context").alias("source")), F.struct(near("name", around_name).alias("w"), F.lit(35).alias("base"), F.lit("name-context").alias("source")))
-    rows = text.select("page_id", F.explode(windows).alias("x")).select("page_id", "x.*").where("w IS NOT NULL")
-    found = rows.select("page_id", "base", "source", F.explode(F.concat(*(_labelled(F.col("w"), p) for p in LABELLED))).alias("m"))
-    ok = found.where(~F.concat("m.before", "m.raw", "m.after").rlike(OTHER_PRICE))
-    score = F.col("base") + F.when(F.col("m.raw").rlike(r"(?i)current|sale|our\s+price|now"), 18).otherwise(0)
-    priced = ok.select("page_id", F.explode(F.slice(price_values(F.col("m.raw")), 1, 1)).alias("price_cents"), detect_currency(F.col("m.raw")).alias("currency"), score.alias("score"), "source")
-    best = priced.groupBy("page_id", "price_cents", "currency").agg(F.max(F.struct("score", F.col("source") == "ean-context")).alias("b"))
-    return best.select("page_id", "price_cents", "currency", F.col("b.score").alias("score"), F.when(F.col("b.col2"), "ean-context").otherwise("name-context").alias("source"))
+    rule = lambda html, ean, name: labelled_prices(html, ean, name, around, around_name)
+    priced = passed(pairs.select("page_id", "html", "ean", named.alias("name")), ["page_id"], ["html", "ean", "name"], rule, "price_cents bigint, currency string, score int, by_code boolean")
+    best = priced.groupBy("page_id", "price_cents", "currency").agg(F.max(F.struct("score", "by_code")).alias("b"))
+    return best.select("page_id", "price_cents", "currency", F.col("b.score").alias("score"), F.when(F.col("b.by_code"), "ean-context").otherwise("name-context").alias("source"))
 
 
 #: Levels of a JSON document, arrays included, below its top.

@@ -71,3 +71,28 @@ def test_references_of_odd_pages():
     assert pages.data_references("<link rel='x alternate' type=text/json href=><i data-api-url='a&amp;b' data-product-api=c></i><link rel=alternate type='application/a+json' href=d>") == [(0, "d", 12), (1, "c", 11), (2, "a&b", 8)]
     assert links.shown_anchors("<a href='/a'>A <b>b</b></a><link rel=canonical><link rel='x canonical' href='/c'><div hidden><a href=\"/h\">h</a></div><a href=/n>n</a>") == [(0, "/c", True, ""), (1, "/a", False, "a b")]
     assert pages.data_references(None) == links.anchors_of(None) == links.shown_anchors(None) == []
+
+
+def test_candidates_are_judged_in_one_pass(spark, pairs):
+    """Documents are parsed once, no node moves, and what Spark's variants make of numbers and bad documents stays."""
+    df = offers.structured_candidates(pairs)
+    assert plan_of(df).count("MapInArrow") == 1 and "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    data = ['{"@type":"Product","name":"x","gtin13":4006381333931,"offers":{"price":100.0}} tail', '{"@type":"Product","name":"x","offers":[]}', '{"@type":"Product","name":"x","name":"x"}', '{"@type":"Product","name":"x\\ud800","offers":{"price":1e2}}', '{"@type":"Product","name":NaN}', '[[{"@type":["Product"],"gtin":"1","sku":5.50}]]']
+    html = "".join(f"<script type=application/json>{d}</script>" for d in data)
+    got = offers.structured_candidates(spark.createDataFrame([(1, html, CODE, "xy")], "page_id int, html string, ean string, name string")).orderBy("path").collect()
+    assert [(r["path"], r["title"], r["price_cents"], r["exact_ean"]) for r in got] == [("0", "x", 10000, True), ("1", "x", None, False), ("3", "x?", 10000, False), ("5/0/0", None, None, False)]
+
+
+def test_labelled_prices_are_read_in_one_pass(pairs):
+    df = pages.context_prices(pairs)
+    assert plan_of(df).count("MapInArrow") == 1 and "lambda" not in plan_of(df)
+    text = f"<p>now 1.00 EUR</p>{'x ' * 1000}<p>EAN {CODE[:3]} {CODE[3:]}</p><p>Price: 2.00 EUR</p><p>{'y' * 60} price 3.00 EUR and shipping</p><p>{'z' * 60} €4 NOW</p>"
+    assert sorted(pages.labelled_prices(text, CODE, None)) == [(200, "EUR", 54, True), (400, "EUR", 72, True)]
+    assert pages.labelled_prices(None, CODE, "x") == pages.labelled_prices(text, None, None) == pages.labelled_prices(text, "", "") == []
+
+
+def test_evidence_is_read_in_one_pass(pairs, spark):
+    html = f"<title> t </title><h1> </h1><p>{CODE} Stabil</p>"
+    assert offers.evidence_of(html, CODE, "T Stabil point") == [(True, 0.5)] and offers.evidence_of(None, CODE, None) == [(False, 0.0)]
+    rules = spark.createDataFrame([], "host string, price_selector string")
+    assert "(?is)<(script|style|noscript)" in plan_of(pages.signals(pairs)) and plan_of(offers.match_pages(pairs, rules)).count("(?is)<(script|style|noscript)") <= 2
